@@ -167,7 +167,7 @@ def write_records(docs: DataFrame, folder: str, path: str, end_id: int | None, i
                     edges = np.concatenate([[0], np.cumsum(counts)]) * 4
                     ids = b"".join([ids[a:b] + tail for a, b in zip(edges.tolist(), edges[1:].tolist(), strict=False)])
                     counts = counts + 1
-                out = out or files.open_output_stream(f"{base}/{name}")
+                out = out or files.open_output_stream(f"{base}/{name}", compression=None)
                 out.write(frame(ids, counts * 4))
                 sizes, n = counts * 4 + 16, len(texts)
                 yield pa.RecordBatch.from_arrays(
