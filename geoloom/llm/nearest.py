@@ -2,9 +2,11 @@
 
 The forest is fitted on a bounded sample of the vectors (``sample`` of them, chosen by a hash of
 the id); every vector is indexed. A query walks all trees through one priority queue, best margin
-first, until the leaves it has taken hold ``reach`` distinct vectors' worth of entries; all their
-vectors are ranked exactly. Largest inner product becomes nearest direction by one more
-coordinate, which gives every vector the same length.
+first, until the leaves it has taken hold ``reach`` entries; all their vectors are ranked exactly.
+Unless given, ``reach`` comes from a measurement: a bounded number of queries is compared with all
+vectors, and the reach at which ``target`` of their true neighbours are found is used for all.
+Largest inner product becomes nearest direction by one more coordinate, which gives every vector
+the same length.
 
 Equal vectors are indexed once, with their ``k + 1`` smallest ids; no more can be among the k
 nearest. Entries of a leaf are dealt into blocks of a bounded size, so a leaf that outgrew the
@@ -74,8 +76,8 @@ class Forest:
             out[:, t] = node - ((1 << self.depth) - 1)
         return out
 
-    def search(self, q: np.ndarray, counts: np.ndarray, reach: int) -> list[tuple[int, int]]:
-        """(tree, leaf) pairs by best margin until their entries number ``reach`` times the trees' overlap."""
+    def search(self, q: np.ndarray, counts: np.ndarray, reach: float) -> list[tuple[int, int]]:
+        """(tree, leaf) pairs by best margin until their entries number ``reach``."""
         size = float(np.linalg.norm(q)) or 1.0
         point = np.concatenate([q * (self.longest / size), [0.0]]).astype(np.float32)
         margins = self.normal @ point - self.offset
@@ -119,7 +121,41 @@ def products(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     return out
 
 
-def nearest(vectors: DataFrame, is_query, k: int = 20, trees: int = 16, leaf: int = 128, reach: int = 12_000, sample: int = 32_768, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def _exact(groups: DataFrame, queries: np.ndarray, k: int) -> pa.Table:
+    """The k nearest of all vectors for a bounded block of queries: (q, v), 0 <= q < len(queries)."""
+    carried = groups.sparkSession.sparkContext.broadcast(queries)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                scores = products(carried.value, _matrix(batch.column(1)))
+                best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+                at = pa.array(best.reshape(-1))
+                q = np.repeat(np.arange(len(best), dtype=np.int32), best.shape[1])
+                yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(np.take_along_axis(scores, best, 1).reshape(-1)), batch.column(0).take(at), batch.column(1).take(at)], ["q", "score", "gid", "v"])
+
+    found = groups.select("gid", "v").mapInArrow(run, "q int, score double, gid long, v array<float>")
+    best = Window.partitionBy("q").orderBy(F.desc("score"), "gid")
+    return found.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k).select("q", "v").toArrow()
+
+
+def needed_reach(forest: Forest, counts: np.ndarray, queries: np.ndarray, truth: pa.Table, target: float) -> int:
+    """The least reach at which ``target`` of the true neighbours lie in a leaf taken."""
+    if not truth.num_rows:
+        return 1
+    orders = []
+    for q in queries:
+        held, before = 0, {}
+        for t, leaf in forest.search(q, counts, np.inf):
+            before[t, leaf] = held
+            held += int(counts[t, leaf])
+        orders.append(before)
+    leaves = forest.leaves(_matrix(truth["v"]))
+    needed = [min(orders[q][t, leaf] for t, leaf in enumerate(row)) + 1 for q, row in zip(truth["q"].to_pylist(), leaves.tolist(), strict=True)]
+    return int(np.quantile(needed, target, method="higher"))
+
+
+def nearest(vectors: DataFrame, is_query, k: int = 20, trees: int = 16, leaf: int = 1024, reach: int | None = None, target: float = 0.97, tuning: int = 128, sample: int = 32_768, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest rows found for each row for which ``is_query(vec_id)`` holds."""
     rows = valid_vectors(vectors, id_col, vector_col)
     sizes = rows.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "d").first()
@@ -153,6 +189,12 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, trees: int = 16, leaf: in
     counts[counted["tree"].to_numpy(), counted["leaf"].to_numpy()] = counted["n"].to_numpy()
     blocks = spark.sparkContext.broadcast(np.maximum(1, -(-counts // BLOCK)))
     carried_counts = spark.sparkContext.broadcast(counts)
+    queries = rows.where(is_query(F.col("vec_id"))).distinct()
+    owners = checkpointed(queries.join(groups.select(F.col("v").alias("w"), "gid"), F.col("v") == F.col("w")).select("vec_id", "gid"))
+    asked = groups.join(owners.select(F.col("gid").alias("asked")).distinct(), F.col("gid") == F.col("asked"), "left_semi").select("gid", "v")
+    if reach is None:
+        tried = _matrix(asked.orderBy(F.xxhash64("gid"), "gid").limit(tuning).select("v").toArrow()["v"])
+        reach = needed_reach(forest, counts, tried, _exact(groups, tried, k + 1), target)
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -180,9 +222,6 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, trees: int = 16, leaf: in
         q, g, s = (np.concatenate(c) for c in zip(*out, strict=True))
         return pa.table({"qid": q, "gid": g, "score": s})
 
-    queries = rows.where(is_query(F.col("vec_id"))).distinct()
-    owners = checkpointed(queries.join(groups.select(F.col("v").alias("w"), "gid"), F.col("v") == F.col("w")).select("vec_id", "gid"))
-    asked = groups.join(owners.select(F.col("gid").alias("asked")).distinct(), F.col("gid") == F.col("asked"), "left_semi").select("gid", "v")
     probes = asked.mapInArrow(probe, "tree int, leaf int, block int, qid long, q array<float>")
     held = entries.mapInArrow(dealt, "tree int, leaf int, block int, gid long, v array<float>")
     keys = ("tree", "leaf", "block")
