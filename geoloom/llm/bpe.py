@@ -15,6 +15,7 @@ import functools
 import json
 import os
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,8 +28,11 @@ from geoloom.llm.text import slices
 
 KEPT, PASSING, LONGEST = 300_000, 60_000, 48
 #: The pattern of the word-level vocabulary, for texts of ASCII and Latin-1 letters.
-PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
-PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
+PLAIN = "!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
+PIECE = re.compile("\n|'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff\n]+")
+ODD = re.compile(f"^[^\n]*(?:[^{PLAIN}\n]|<\\|)[^\n]*$", re.MULTILINE)
+#: Stands between words; no id's bytes look like it.
+BETWEEN = b"\xff" * 4
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -75,6 +79,10 @@ def safe_pairs(tokens) -> np.ndarray:
     return safe
 
 
+def _packed(ids: list[int]) -> bytes:
+    return array("I", ids).tobytes()
+
+
 class Encoder:
     """Encodes texts with a tokenizers file, fragment by fragment."""
 
@@ -116,49 +124,51 @@ class Encoder:
         at = at.tolist()
         return [whole[a:b] for a, b in zip(at, at[1:], strict=False)], counts
 
-    def encode(self, texts: list[bytes]) -> tuple[bytes, np.ndarray]:
-        """Ids of all texts as little-endian unsigned 32-bit integers, and the number of each text's ids."""
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """Each text's ids as little-endian unsigned 32-bit integers."""
         parts, counts = self.fragments(texts)
-        here = {}
-        missing = [f for f in set(parts) if f not in self.kept and f not in self.passing]
-        if missing:
-            here = self._by_pieces(missing) if self.by_words else self._by_library(missing, self.tokenizer)
         ids = list(map(self.kept.get, parts))
         if None in ids:
+            late = [k for k, i in enumerate(ids) if i is None]
             second = self.passing
-            ids = [second[f] if i is None and f in second else here[f] if i is None else i for f, i in zip(parts, ids, strict=True)]
-        lengths = np.zeros(len(parts) + 1, np.int64)
-        np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)), out=lengths[1:])
-        edges = np.zeros(len(counts) + 1, np.int64)
-        np.cumsum(counts, out=edges[1:])
-        short = {f: i for f, i in here.items() if len(f) <= LONGEST}
-        if len(self.passing) > PASSING:
-            self.passing.clear()
-        (self.kept if len(self.kept) < KEPT else self.passing).update(short)
-        return b"".join(ids), np.diff(lengths[edges]) // 4
+            missing = list({parts[k] for k in late}.difference(second))
+            here = self._by_pieces(missing) if self.by_words else self._by_library(missing, self.tokenizer)
+            for k in late:
+                f = parts[k]
+                ids[k] = second[f] if f in second else here[f]
+            short = {f: i for f, i in here.items() if len(f) <= LONGEST}
+            if len(self.kept) < KEPT:
+                self.kept.update(short)
+            else:
+                if len(second) > PASSING:
+                    second.clear()
+                second.update(short)
+        out, at = [], 0
+        for n in counts:
+            out.append(b"".join(ids[at : at + n]))
+            at += n
+        return out
 
     @staticmethod
     def _by_library(fragments: list[bytes], tokenizer) -> dict[bytes, bytes]:
         found = tokenizer.encode_batch_fast([f.decode("utf-8", "replace") for f in fragments], add_special_tokens=False)
-        return {f: np.array(e.ids, "<u4").tobytes() for f, e in zip(fragments, found, strict=True)}
+        return {f: _packed(e.ids) for f, e in zip(fragments, found, strict=True)}
 
     def _by_pieces(self, words: list[bytes]) -> dict[bytes, bytes]:
         """Words of plain Latin letters, digits and signs are cut as the tokenizer's own pattern
         cuts them, and go straight to its merges; others take the library's whole way."""
-        plain, other = {}, []
-        for word in words:
-            text = word.decode("utf-8", "replace")
-            if PLAIN.fullmatch(text) and "<|" not in text:
-                plain[word] = PIECE.findall(text.lower())
-            else:
-                other.append(word)
-        fresh = list({p for pieces in plain.values() for p in pieces if p not in self.pieces})
+        texts = b"\n".join(words).decode("utf-8", "replace").split("\n")
+        odd = set(ODD.findall("\n".join(texts)))
+        other = [w for w, t in zip(words, texts, strict=True) if t in odd] if odd else []
+        plain = [w for w, t in zip(words, texts, strict=True) if t not in odd] if odd else words
+        pieces = PIECE.findall(b"\n".join(plain).decode().lower())
         if len(self.pieces) > KEPT:
             self.pieces.clear()
-            fresh = list({p for pieces in plain.values() for p in pieces})
+        fresh = list(set(pieces).difference(self.pieces))
         found = self.merges.encode_batch_fast([p.encode().decode("latin-1").translate(self.shown) for p in fresh], add_special_tokens=False)
-        self.pieces.update((p, np.array(e.ids, "<u4").tobytes()) for p, e in zip(fresh, found, strict=True))
-        out = {w: b"".join([self.pieces[p] for p in pieces]) for w, pieces in plain.items()}
+        self.pieces.update(zip(fresh, [_packed(e.ids) for e in found], strict=True))
+        self.pieces["\n"] = BETWEEN
+        out = dict(zip(plain, b"".join(map(self.pieces.__getitem__, pieces)).split(BETWEEN), strict=True)) if plain else {}
         return out | self._by_library(other, self.tokenizer)
 
     def decode(self, ids: np.ndarray) -> str:
@@ -180,10 +190,10 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
         for batch in batches:
             keys = batch.column(0)
             for first, texts in slices(x.as_py() for x in batch.column(1)):
-                data, counts = coder.encode(texts)
-                edges = np.zeros(len(counts) + 1, np.int32)
-                np.cumsum(counts, out=edges[1:])
-                ids = pa.ListArray.from_arrays(pa.array(edges), pa.array(np.frombuffer(data, "<i4")))
+                found = coder.encode(texts)
+                edges = np.zeros(len(found) + 1, np.int32)
+                np.cumsum([len(x) // 4 for x in found], out=edges[1:])
+                ids = pa.ListArray.from_arrays(pa.array(edges), pa.array(np.frombuffer(b"".join(found), "<i4")))
                 yield pa.RecordBatch.from_arrays([keys.slice(first, len(texts)), ids], [id_col, "ids"])
 
     kind = docs.schema[id_col].dataType

@@ -30,7 +30,7 @@ def op4_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("word_bpe_49k.json")
     index = records.write_records(table(spark, sf_dir, "documents"), folder, path, end_id=2)
     found = records.with_starts(records.read_records(spark, folder), index)
-    return found.select("doc_id", "start", (F.octet_length("data") / 4).cast("long").alias("n_tokens"), F.crc32("data").alias("ids_crc32"))
+    return found.select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
 @query

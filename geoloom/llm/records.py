@@ -1,7 +1,8 @@
 """Operator 4: token ids as length-delimited binary records, with an offset index.
 
 A record is: length of the data (unsigned 64-bit, little-endian), masked CRC-32C of those eight
-bytes, the data (ids as unsigned 32-bit integers, little-endian), masked CRC-32C of the data.
+bytes, the data (ids as unsigned little-endian integers of 16 bits where the vocabulary allows,
+else of 32), masked CRC-32C of the data.
 Checksums are masked so that data holding checksums of its own stays safe. Files follow the
 order of ids; an index in Parquet gives each record's file, offset and length, so that a reader
 can fetch records in any order. Each task attempt writes files of its own name, and the index,
@@ -111,15 +112,15 @@ def masked(crc: np.ndarray) -> np.ndarray:
     return ((crc >> 15) | (crc << 17)) + np.uint32(MASK)
 
 
-def frame(data: bytes, lengths: np.ndarray) -> bytes:
-    """Consecutive pieces of ``data`` as records."""
-    heads = np.asarray(lengths, "<u8")
-    head_sums = masked(crc32c(heads.tobytes(), np.full(len(heads), 8))).astype("<u4")
-    sums = masked(crc32c(data, lengths)).astype("<u4")
-    out, at = [], 0
-    for i, n in enumerate(np.asarray(lengths).tolist()):
-        out += [heads[i].tobytes(), head_sums[i].tobytes(), data[at : at + n], sums[i].tobytes()]
-        at += n
+def frame(pieces: list[bytes]) -> bytes:
+    """Pieces of data as consecutive records."""
+    lengths = np.array([len(p) for p in pieces], "<u8")
+    heads = lengths.tobytes()
+    head_sums = masked(crc32c(heads, np.full(len(pieces), 8))).astype("<u4").tobytes()
+    sums = masked(crc32c(b"".join(pieces), lengths)).astype("<u4").tobytes()
+    out = []
+    for i, piece in enumerate(pieces):
+        out += [heads[8 * i : 8 * i + 8], head_sums[4 * i : 4 * i + 4], piece, sums[4 * i : 4 * i + 4]]
     return b"".join(out)
 
 
@@ -157,19 +158,19 @@ def write_records(docs: DataFrame, folder: str, path: str, end_id: int | None, i
         coder, part = encoder(path), TaskContext.get().partitionId()
         files, base = open_folder(folder)
         tail = b"" if end_id is None else int(end_id).to_bytes(4, "little")
+        width = 2 if max(len(coder.table), (end_id or 0) + 1) <= 1 << 16 else 4
         files.create_dir(base, recursive=True)
         name = f"part-{part:06d}-{uuid.uuid4().hex}.records"
         out, offset, position, before = None, 0, 0, 0
         for batch in batches:
             for first, texts in slices(x.as_py() for x in batch.column(1)):
-                ids, counts = coder.encode(texts)
-                if tail:
-                    edges = np.concatenate([[0], np.cumsum(counts)]) * 4
-                    ids = b"".join([ids[a:b] + tail for a, b in zip(edges.tolist(), edges[1:].tolist(), strict=False)])
-                    counts = counts + 1
+                found = [ids + tail for ids in coder.encode(texts)]
+                counts = np.array([len(ids) // 4 for ids in found], np.int64)
+                if width == 2:
+                    found = [np.frombuffer(ids, "<u4").astype("<u2").tobytes() for ids in found]
                 out = out or files.open_output_stream(f"{base}/{name}", compression=None)
-                out.write(frame(ids, counts * 4))
-                sizes, n = counts * 4 + 16, len(texts)
+                out.write(frame(found))
+                sizes, n = counts * width + 16, len(texts)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(first, n), pa.array([name] * n), pa.array([part] * n, pa.int32()), pa.array(np.arange(position, position + n)),
@@ -191,15 +192,14 @@ def write_records(docs: DataFrame, folder: str, path: str, end_id: int | None, i
 
 
 def read_records(spark: SparkSession, folder: str) -> DataFrame:
-    """The index with each record's data (binary, checked) as read from the files at its offset."""
+    """The index with each record's ids as read from its file at its offset and checked: binary, 32 bits each."""
     index = spark.read.parquet(f"{folder}/index")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, base = open_folder(folder)
         opened, source = None, None
         for batch in batches:
-            names, offsets, sizes = (batch.column(batch.schema.get_field_index(c)) for c in ("file", "offset", "n_bytes"))
-            names, offsets, sizes = names.to_pylist(), offsets.to_pylist(), sizes.to_pylist()
+            names, offsets, sizes, counts = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("file", "offset", "n_bytes", "n_tokens"))
             a = 0
             while a < len(names):
                 b, end = a, offsets[a]
@@ -211,13 +211,14 @@ def read_records(spark: SparkSession, folder: str) -> DataFrame:
                         source.close()
                     opened, source = names[a], files.open_input_file(f"{base}/{names[a]}")
                 data = unframe(source.read_at(end - offsets[a], offsets[a]))
-                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, pa.array(data, pa.binary())], [*batch.schema.names, "data"])
+                data = [np.frombuffer(x, "<u2").astype("<u4").tobytes() if 2 * n == len(x) else x for x, n in zip(data, counts[a:b], strict=True)]
+                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, pa.array(data, pa.binary())], [*batch.schema.names, "ids"])
                 a = b
         if source is not None:
             source.close()
 
     ordered = index.repartitionByRange("part", "offset").sortWithinPartitions("part", "offset")
-    return ordered.mapInArrow(run, T.StructType([*index.schema.fields, T.StructField("data", T.BinaryType())]))
+    return ordered.mapInArrow(run, T.StructType([*index.schema.fields, T.StructField("ids", T.BinaryType())]))
 
 
 def with_starts(records: DataFrame, index: DataFrame) -> DataFrame:
