@@ -214,21 +214,26 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, trees: int = 16, leaf: in
         qids, gids = probes["qid"].to_numpy(), held["gid"].to_numpy()
         by_id = np.argsort(gids)
         gids, vecs, queries = gids[by_id], _matrix(held["v"])[by_id], _matrix(probes["q"])
-        out = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+        best_gids, best_scores = [], []
         for a in range(0, len(qids) if len(gids) else 0, 256):
             scores = products(queries[a : a + 256], vecs)
             best = np.argsort(-scores, axis=1, kind="stable")[:, : k + 1]
-            out.append((np.repeat(qids[a : a + 256], best.shape[1]), gids[best].reshape(-1), np.take_along_axis(scores, best, 1).reshape(-1)))
-        q, g, s = (np.concatenate(c) for c in zip(*out, strict=True))
-        return pa.table({"qid": q, "gid": g, "score": s})
+            best_gids += [x.tobytes() for x in gids[best]]
+            best_scores += [x.tobytes() for x in np.take_along_axis(scores, best, 1)]
+        return pa.table([pa.array(qids[: len(best_gids)]), pa.array(best_gids, pa.binary()), pa.array(best_scores, pa.binary())], ["qid", "gids", "scores"])
+
+    def merge(lists: pa.Table) -> pa.Table:
+        gids = np.frombuffer(b"".join(x.as_py() for x in lists["gids"]), np.int64)
+        scores = np.frombuffer(b"".join(x.as_py() for x in lists["scores"]), np.float64)
+        gids, at = np.unique(gids, return_index=True)
+        best = np.argsort(-scores[at], kind="stable")[: k + 1]
+        return pa.table({"qid": np.full(len(best), lists["qid"][0].as_py(), np.int64), "gid": gids[best], "score": scores[at][best]})
 
     probes = asked.mapInArrow(probe, "tree int, leaf int, block int, qid long, q array<float>")
     held = entries.mapInArrow(dealt, "tree int, leaf int, block int, gid long, v array<float>")
     keys = ("tree", "leaf", "block")
-    found = probes.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInArrow(rank, "qid long, gid long, score double")
-    once = found.groupBy("qid", "gid").agg(F.max("score").alias("score"))
-    by_score = Window.partitionBy("qid").orderBy(F.desc("score"), "gid")
-    top = once.withColumn("n", F.row_number().over(by_score)).where(F.col("n") <= k + 1)
+    found = probes.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInArrow(rank, "qid long, gids binary, scores binary")
+    top = found.groupBy("qid").applyInArrow(merge, "qid long, gid long, score double")  # a row per leaf taken
     members = top.join(groups.select(F.col("gid").alias("g"), "ids"), F.col("gid") == F.col("g")).select("qid", "score", F.explode("ids").alias("vec_id"))
     ordered = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("far"), "vec_id")))
     lists = checkpointed(members.groupBy("qid").agg(F.slice(ordered, 1, k + 1).alias("best")))
