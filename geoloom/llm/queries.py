@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoloom.llm import bpe, minhash_dedup, nearest, records, substring_dedup, toxicity, warc
+from geoloom.llm import bpe, class_lm, minhash_dedup, nearest, records, substring_dedup, toxicity, warc
 from geoloom.llm.text import new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,3 +79,9 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity.train(docs.where(~toxicity.held_out()), table(spark, sf_dir, "labels"))
     found = toxicity.score(docs, model)
     return found.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query
+def op5_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = class_lm.score_corpus(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
