@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoloom.llm import bpe, class_lm, minhash_dedup, nearest, records, substring_dedup, toxicity, warc
+from geoloom.llm import bpe, class_lm, decontaminate, minhash_dedup, nearest, records, substring_dedup, toxicity, warc
 from geoloom.llm.text import new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,3 +85,19 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = class_lm.score_corpus(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+_WORDS = """list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \\t\\n\\v\\f\\r]+'), lambda x: x <> '')"""
+_SHINGLES = "unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END)"
+ORACLES["op9_decontaminate"] = f"""
+WITH b AS (SELECT DISTINCT item_id, {_SHINGLES} AS s FROM (SELECT item_id, {_WORDS} AS w FROM benchmark)),
+d AS (SELECT DISTINCT doc_id, {_SHINGLES} AS s FROM (SELECT doc_id, {_WORDS} AS w FROM documents)),
+n AS (SELECT item_id, count(*) AS n_item FROM b GROUP BY item_id),
+h AS (SELECT doc_id, item_id, count(*) AS n_shared FROM d JOIN b USING (s) GROUP BY doc_id, item_id)
+SELECT doc_id, item_id, n_shared, n_item FROM h JOIN n USING (item_id) WHERE 100 * n_shared >= 80 * n_item
+"""
