@@ -5,10 +5,11 @@ sketch i of the first collection and sketch j of the second, so m * m tables of
 only 2 * m * t minhashes. Two documents meet unless one of the collections misses them altogether.
 
 Within a bucket nobody is compared with everybody: every document is verified against the bucket's
-smallest document. Where that fails, the bucket comes back in further rounds, each with one more
-member as its centre, until all members that are not yet known to be connected have been compared;
-a round's work is linear in the buckets, and no link between components is lost. Documents with
-equal shingle sets are one node from the start.
+smallest document. Where that leaves a bucket in several components, it comes back in further
+rounds, each with up to ``centres`` more members, those of its smallest components first, that are
+compared with the members of other components, until all that are not known to be connected have
+been compared. A round's work is linear in the buckets, and no link between components is lost.
+Documents with equal shingle sets are one node from the start.
 
 A document's set holds the distinct ``words``-word shingles of its lower-cased (A-Z) words; with
 fewer words, the whole sequence; without words or text it is empty and linked with nothing. Rows of
@@ -22,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from geoloom.llm import repeats
@@ -79,14 +80,21 @@ def table_keys(mins: np.ndarray, m: int, t: int) -> np.ndarray:
     return mix(left[:, :, None] * np.uint64(3) + right[:, None, :] * np.uint64(5) + cell).reshape(len(mins), -1)
 
 
-def _links(docs: DataFrame, pairs: DataFrame, words: int, share: tuple[int, int], id_col: str, text_col: str) -> DataFrame:
-    """pairs (a, b) with ``linked``: whether share[1] * |A and B| >= share[0] * |A or B|, on full sets."""
+def _held_sets(docs: DataFrame, wanted: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
+    """(id, hashes): the full sets of the wanted documents (column want)."""
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, texts in slices(x.as_py() for x in batch.column(1)):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), pa.array([x.tobytes() for x in shingle_sets(texts, words)], pa.binary())], ["id", "hashes"])
 
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.encode(text_col, "UTF-8").alias("text"))
+    return checkpointed(texts.join(wanted, F.col("id") == F.col("want"), "left_semi").mapInArrow(run, "id long, hashes binary"))
+
+
+def _links(pairs: DataFrame, held: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """pairs (a, b) with ``linked``: whether share[1] * |A and B| >= share[0] * |A or B|, on full sets."""
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             linked = []
@@ -98,16 +106,13 @@ def _links(docs: DataFrame, pairs: DataFrame, words: int, share: tuple[int, int]
                 linked.append(both > 0 and share[1] * both >= share[0] * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_())], ["a", "b", "linked"])
 
-    wanted = pairs.select(F.col("a").alias("want")).union(pairs.select("b")).distinct()
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.encode(text_col, "UTF-8").alias("text"))
-    held = checkpointed(texts.join(wanted, F.col("id") == F.col("want"), "left_semi").mapInArrow(sets, "id long, hashes binary"))
     left = pairs.join(held, pairs.b == held.id).select("a", "b", F.col("hashes").alias("hb"))
     right = held.select(F.col("id").alias("ida"), F.col("hashes").alias("ha"))
     found = left.join(right, left.a == right.ida).select("a", "b", "ha", "hb").mapInArrow(compare, "a long, b long, linked boolean")
     return checkpointed(found.groupBy("a", "b").agg(F.max("linked").alias("linked")))
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, share: tuple[int, int] = (80, 100), m: int = 10, t: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, share: tuple[int, int] = (80, 100), m: int = 10, t: int = 3, centres: int = 32, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, n_shingles, component_id, kept), a row for each row of docs; links where share[1] * |A and B| >= share[0] * |A or B|.
 
     With m = 10 and t = 3, two documents of similarity 0.85 meet in one of the 100 tables with a
@@ -153,28 +158,32 @@ def near_duplicates(docs: DataFrame, words: int = 5, share: tuple[int, int] = (8
     answers = checkpointed(repeats.repeated(keyed.groupBy("batch").applyInArrow(emit, repeats.PACKED)))
     bucketed = keyed.groupBy("batch").cogroup(answers.groupBy("batch"))
     pairs = checkpointed(bucketed.applyInArrow(to_centre, "a long, b long").distinct())
-    tried = _links(docs, pairs, words, share, id_col, text_col)
+    held = _held_sets(docs, pairs.select(F.col("a").alias("want")).union(pairs.select("b")).distinct(), words, id_col, text_col)
+    tried = _links(pairs, held, share)
     linked = tried.where("linked").select("a", "b")
     parts = components(linked)
     apart = _apart(tried.where("NOT linked"), parts)
     if not apart.isEmpty():
         rows = bucketed.applyInArrow(members, "key long, id long, a long")
-        open_keys = rows.join(apart, (rows.a == apart.pa) & (rows.id == apart.pb), "left_semi").select(F.col("key").alias("open")).distinct()
-        left = checkpointed(rows.join(open_keys, F.col("key") == F.col("open"), "left_semi").where("id <> a").select("key", "id"))
+        open_keys = checkpointed(rows.join(apart, (rows.a == apart.pa) & (rows.id == apart.pb), "left_semi").select(F.col("key").alias("open")).distinct())
+        sizes = classed.where("id = first").select(F.col("id").alias("sid"), "n")
+        left = rows.join(open_keys, F.col("key") == F.col("open"), "left_semi").where("id <> a").select("key", "id")
+        left = checkpointed(left.join(sizes, F.col("id") == F.col("sid")).select("key", "id", "n"))
         while True:
-            left = _labelled(left, parts)
-            centres = _centres(left)
-            if centres.isEmpty():
+            left = _mixed(left, parts)
+            chosen = _centres(left, centres)
+            if chosen.isEmpty():
                 break
-            joined = left.join(centres, F.col("key") == F.col("ckey")).where("id <> centre")
-            fresh = joined.where("part <> cpart").select(F.least("centre", "id").alias("a"), F.greatest("centre", "id").alias("b")).distinct()
-            fresh = checkpointed(fresh.join(tried.select(F.col("a").alias("ta"), F.col("b").alias("tb")), (F.col("a") == F.col("ta")) & (F.col("b") == F.col("tb")), "left_anti"))
-            more = _links(docs, fresh, words, share, id_col, text_col)
-            left = checkpointed(joined.select("key", "id"))
-            tried = checkpointed(tried.union(more))
+            both = left.join(chosen, F.col("key") == F.col("ckey")).where("part <> cpart")
+            fits = F.least("n", "cn") * share[1] >= F.greatest("n", "cn") * share[0]
+            fresh = both.where(fits).select(F.least("centre", "id").alias("a"), F.greatest("centre", "id").alias("b")).distinct()
+            old = tried.select(F.col("a").alias("ta"), F.col("b").alias("tb"))
+            more = _links(checkpointed(fresh.join(old, (F.col("a") == F.col("ta")) & (F.col("b") == F.col("tb")), "left_anti")), held, share)
+            left = checkpointed(left.join(chosen, (F.col("key") == F.col("ckey")) & (F.col("id") == F.col("centre")), "left_anti").select("key", "id", "n"))
             if not more.where("linked").isEmpty():
                 linked = checkpointed(linked.union(more.where("linked").select("a", "b")))
                 parts = components(linked)
+            tried = tried.union(more)
     rooted = classed.select("id", "n", "first").join(parts, F.col("first") == F.col("node"), "left").select("id", F.coalesce("component", "first").alias("root"))
     own = rooted.groupBy("id").agg(F.min("root").alias("root"))
     lone = sketched.where("n = 0 OR id IS NULL").select("id", F.lit(None).cast("long").alias("root"))
@@ -193,16 +202,16 @@ def _apart(pairs: DataFrame, parts: DataFrame) -> DataFrame:
     return checkpointed(both.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select(F.col("a").alias("pa"), F.col("b").alias("pb")))
 
 
-def _labelled(rows: DataFrame, parts: DataFrame) -> DataFrame:
-    """Members of buckets that still hold several components."""
-    part = rows.join(parts, F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("component", "id").alias("part"))
-    part = checkpointed(part)
+def _mixed(rows: DataFrame, parts: DataFrame) -> DataFrame:
+    """(key, id, n, part): members of buckets that still hold several components."""
+    part = checkpointed(rows.join(parts, F.col("id") == F.col("node"), "left").select("key", "id", "n", F.coalesce("component", "id").alias("part")))
     mixed = part.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select(F.col("key").alias("mixed"))
-    return checkpointed(part.join(checkpointed(mixed), F.col("key") == F.col("mixed"), "left_semi"))
+    return checkpointed(part.join(mixed, F.col("key") == F.col("mixed"), "left_semi"))
 
 
-def _centres(rows: DataFrame) -> DataFrame:
-    """(ckey, centre, cpart): of each bucket, the smallest member of its smallest component."""
-    sizes = rows.groupBy("key", "part").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("id"))
-    best = sizes.groupBy("key").agg(F.min(F.struct("size", "part", "id")).alias("best"))
-    return checkpointed(best.select(F.col("key").alias("ckey"), F.col("best.id").alias("centre"), F.col("best.part").alias("cpart")))
+def _centres(rows: DataFrame, most: int) -> DataFrame:
+    """(ckey, centre, cpart, cn): of each bucket up to ``most`` members, those of its smallest components first."""
+    sizes = rows.groupBy("key", "part").agg(F.count(F.lit(1)).alias("size")).select(F.col("key").alias("k"), F.col("part").alias("p"), "size")
+    order = Window.partitionBy("key").orderBy("size", "part", "id")
+    ranked = rows.join(checkpointed(sizes), (F.col("key") == F.col("k")) & (F.col("part") == F.col("p"))).withColumn("turn", F.row_number().over(order))
+    return checkpointed(ranked.where(F.col("turn") <= most).select(F.col("key").alias("ckey"), F.col("id").alias("centre"), F.col("part").alias("cpart"), F.col("n").alias("cn")))
