@@ -81,27 +81,35 @@ def sigmoid(x):
     return 1.0 / (1.0 + np.exp(-np.clip(x, -35.0, 35.0)))
 
 
-def _shard_pass(start, turn: int, settings: tuple):
-    def run(table: pa.Table) -> pa.Table:
-        z, n = start.value
-        own = Ftrl(*settings)
-        own.z[:], own.n[:] = z, n
-        order = np.argsort(table["turn"].to_numpy() * np.int64(2 * turn + 1), kind="stable")
-        labels, found = table["label"].to_numpy(), table["slots"]
-        for i in order.tolist():
-            own.learn(np.frombuffer(found[i].as_py(), "<u4").astype(np.int64), int(labels[i]))
-        at = np.flatnonzero((own.z != z) | (own.n != n))
-        return pa.table({"slot": at.astype(np.int32), "z": (own.z - z)[at], "n": (own.n - n)[at]})
+def _shard_pass(start, settings: tuple):
+    """Goes through each shard's rows, which lie together in one partition, and gives the state that it ends with."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, own = None, None
+
+        def ended() -> pa.RecordBatch:
+            z, n = (pa.array([x.astype(np.float32).tobytes()], pa.binary()) for x in (own.z, own.n))
+            return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), z, n], ["shard", "z", "n"])
+
+        for batch in batches:
+            shards, labels = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for i, found in enumerate(batch.column(2)):
+                if shards[i] != shard:
+                    if own is not None:
+                        yield ended()
+                    shard, own = shards[i], Ftrl(*settings)
+                    own.z[:], own.n[:] = start.value
+                own.learn(np.frombuffer(found.as_py(), "<u4").astype(np.int64), labels[i])
+        if own is not None:
+            yield ended()
 
     return run
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", bits: int = 20, shards: int = 4, passes: int = 4, max_train: int = 40_000, alpha: float = 1.0, beta: float = 1.0, l1: float = 4.0, l2: float = 0.0) -> dict[str, np.ndarray]:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", bits: int = 20, shards: int = 4, passes: int = 4, max_train: int = 24_000, alpha: float = 1.0, beta: float = 1.0, l1: float = 4.0, l2: float = 0.0) -> dict[str, np.ndarray]:
     """Weights (slots, weights) learnt from docs that have a label in ``labels``."""
     marks = labels.select(F.col(id_col).alias("lid"), F.col(label_col).cast("int").alias("label")).where("lid IS NOT NULL AND label IN (0, 1)")
-    n_rows = marks.count()
-    share = min(1.0, max_train / max(1, n_rows))
-    marks = marks.where(F.pmod(F.xxhash64("lid", F.lit(7)), F.lit(1_000_000)) < int(share * 1_000_000) + 1)
+    marks = marks.orderBy(F.xxhash64("lid", F.lit(7)), "lid", "label").limit(max_train)
 
     def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -109,18 +117,23 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 found = [x.astype("<u4").tobytes() for x in features(texts, bits)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), batch.column(1).slice(first, len(texts)), pa.array(found, pa.binary())], ["id", "label", "slots"])
 
-    rows = docs.join(marks, F.col(id_col) == F.col("lid")).select(F.col(id_col).alias("id"), "label", F.encode(text_col, "UTF-8").alias("text"))
+    # at most max_train ids and labels are broadcast, so the texts stay where they are
+    rows = docs.join(F.broadcast(marks), F.col(id_col) == F.col("lid")).select(F.col(id_col).alias("id"), "label", F.encode(text_col, "UTF-8").alias("text"))
     rows = rows.mapInArrow(slots, T.StructType([rows.schema["id"], T.StructField("label", T.IntegerType()), T.StructField("slots", T.BinaryType())]))
-    rows = checkpointed(rows.withColumn("turn", F.xxhash64("id", "label")).withColumn("shard", F.pmod(F.col("turn"), F.lit(shards)).cast("int")))
+    rows = rows.withColumn("turn", F.xxhash64("id", "label")).withColumn("shard", F.pmod(F.col("turn"), F.lit(shards)).cast("int"))
+    rows = checkpointed(rows.repartition(shards, "shard").sortWithinPartitions("shard", "turn", "slots").select("shard", "label", "slots"))
     state = Ftrl(bits, alpha, beta, l1, l2)
-    for turn in range(passes):
-        start = docs.sparkSession.sparkContext.broadcast((state.z.astype(np.float32), state.n.astype(np.float32)))
-
-        moved = rows.groupBy("shard").applyInArrow(_shard_pass(start, turn, (bits, alpha, beta, l1, l2)), "slot int, z double, n double").groupBy("slot").agg(F.sum("z").alias("z"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("c"))
-        moved = moved.toArrow()  # a row for each slot that changed: 2**bits at most
-        at, c = moved["slot"].to_numpy(), moved["c"].to_numpy()
-        state.z[at] += moved["z"].to_numpy() / c
-        state.n[at] += moved["n"].to_numpy() / c
+    for _ in range(passes):
+        start = docs.sparkSession.sparkContext.broadcast((state.z, state.n))
+        moved = rows.mapInArrow(_shard_pass(start, (bits, alpha, beta, l1, l2)), "shard int, z binary, n binary")
+        states = moved.toArrow().sort_by("shard")  # one state of 2**bits slots for each of the few shards
+        if not states.num_rows:
+            break
+        z, n = (np.array([np.frombuffer(x.as_py(), np.float32) for x in states[c]], np.float64) for c in ("z", "n"))
+        met = n != state.n.astype(np.float32)  # a slot's state is averaged over the shards that met it
+        state.z += np.where(met, z - state.z, 0.0).sum(0) / np.maximum(1, met.sum(0))
+        state.n += np.where(met, n - state.n, 0.0).sum(0) / np.maximum(1, met.sum(0))
+        start.destroy()
     at = np.arange(1 << bits)
     w = state.weights(at)
     return {"slots": at[w != 0].astype(np.int64), "weights": w[w != 0], "bits": bits}
