@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoloom.llm import bpe, class_lm, decontaminate, minhash_dedup, nearest, records, substring_dedup, toxicity, warc
+from geoloom.llm import bpe, chat, class_lm, decontaminate, minhash_dedup, nearest, records, substring_dedup, toxicity, warc
 from geoloom.llm.text import new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -101,3 +101,8 @@ n AS (SELECT item_id, count(*) AS n_item FROM b GROUP BY item_id),
 h AS (SELECT doc_id, item_id, count(*) AS n_shared FROM d JOIN b USING (s) GROUP BY doc_id, item_id)
 SELECT doc_id, item_id, n_shared, n_item FROM h JOIN n USING (item_id) WHERE 100 * n_shared >= 80 * n_item
 """
+
+
+@query
+def op3_chat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.repair_chats(table(spark, sf_dir, "conversations")).drop("piece")
