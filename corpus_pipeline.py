@@ -1,15 +1,72 @@
-"""A corpus pipeline: toxicity filter, near-dedup, substring dedup, benchmark decontamination, encoding."""
+"""A corpus pipeline of five stages; each works on all that the one before kept.
+
+1. toxicity: documents that the model scores 0.5 or more go. The model learns from ``labels``.
+2. near-dedup: of each group of near-duplicates (five-word shingles, similarity 0.8) the smallest doc_id stays.
+3. substring dedup: words covered by a window of 50 words that starts in an earlier document go; a
+   document that loses nothing keeps its text as it is, n_chars follows the text, and one that loses
+   all its words goes.
+4. decontamination: documents that contain a benchmark item (0.8 of its five-word shingles) go.
+5. encoding: byte-pair ids, decoded again; doc_id with the digests of both.
+
+The stages cannot be said in one SQL query (a learnt model, a tokenizer); the tests hold each
+against a brute-force version.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from geoloom.llm import bpe, decontaminate, minhash_dedup, substring_dedup, toxicity
+from geoloom.llm.text import new_folder
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.score(docs, model, score_col="toxic_score").where("toxic_score < 0.5").drop("toxic_score")
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = minhash_dedup.near_duplicates(docs)
+    gone = found.where("NOT kept").select(F.col("doc_id").alias("gone"))
+    return docs.join(gone, F.col("doc_id") == F.col("gone"), "left_anti")
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = substring_dedup.substring_dedup(docs).where("n_removed > 0").select(F.col("doc_id").alias("cut_id"), "kept")
+    both = docs.join(found, F.col("doc_id") == F.col("cut_id"), "left")
+    changed = F.col("kept").isNotNull()
+    text = F.when(changed, F.col("kept")).otherwise(F.col("text"))
+    n_chars = F.when(changed, F.char_length("kept").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return both.where("kept IS NULL OR kept <> ''").withColumns({"text": text, "n_chars": n_chars}).select(docs.columns)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return bpe.digests(bpe.decode(bpe.encode(docs, path), path))
+
 
-STAGES: list = []
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near-dedup", drop_near_duplicates),
+    ("substring dedup", cut_repeats),
+    ("decontamination", drop_contaminated),
+    ("encoding", encode),
+]
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            kept = new_folder(spark, f"stage-{k}")
+            docs.write.parquet(kept)
+            docs = spark.read.parquet(kept)
     return docs
