@@ -33,3 +33,77 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             return labels.select("node", F.col("label").alias("component"))
         up = hooked.select(F.col("node").alias("at"), F.col("label").alias("above"))
         labels = _kept(hooked.join(up, hooked.label == up.at, "left").select("node", F.least("label", "above").alias("label")))
+
+
+def closure(seeds: DataFrame, incidence: DataFrame, expandable: DataFrame) -> DataFrame:
+    """(way, hop): ways reached from seed ways over shared nodes.
+
+    incidence is (way, node). Only expandable ways are walked through; others are reached, not left.
+    Each round joins the newest ways only and ends when none is new.
+    """
+    reached = _kept(seeds.select("way").distinct().withColumn("hop", F.lit(0)))
+    front, hop = reached, 0
+    inner = expandable.select(F.col("way").alias("_inner"))
+    while True:
+        hop += 1
+        at = front.join(inner, F.col("way") == F.col("_inner"), "left_semi").select("way")
+        nodes = incidence.join(at.withColumnRenamed("way", "_at"), F.col("way") == F.col("_at"), "left_semi").select(F.col("node").alias("_node")).distinct()
+        near = incidence.join(nodes, F.col("node") == F.col("_node"), "left_semi").select("way").distinct()
+        front = _kept(near.join(reached.select(F.col("way").alias("_old")), F.col("way") == F.col("_old"), "left_anti").withColumn("hop", F.lit(hop)))
+        if front.isEmpty():
+            return reached
+        reached = _kept(reached.unionByName(front))
+
+
+def distances(edges: DataFrame, sources: DataFrame, reach: float) -> DataFrame:
+    """(node, distance): least length over undirected edges (a, b, length) from any source, up to ``reach``.
+
+    Relaxation: each round only nodes whose distance fell pass it on.
+    """
+    both = _kept(edges.select(F.col("a").alias("u"), F.col("b").alias("v"), "length").union(edges.select("b", "a", "length")).groupBy("u", "v").agg(F.min("length").alias("length")))
+    known = _kept(sources.select("node").distinct().withColumn("distance", F.lit(0.0)))
+    front = known
+    while True:
+        step = both.join(front, both.u == front.node).select(F.col("v").alias("node"), (F.col("distance") + F.col("length")).alias("distance")).where(F.col("distance") <= reach)
+        step = step.groupBy("node").agg(F.min("distance").alias("near"))
+        old = known.withColumnRenamed("node", "_old")
+        front = _kept(step.join(old, F.col("node") == F.col("_old"), "left").where("distance IS NULL OR near < distance").select("node", F.col("near").alias("distance")))
+        if front.isEmpty():
+            return known
+        known = _kept(known.unionByName(front).groupBy("node").agg(F.min("distance").alias("distance")))
+
+
+def chains(edges: DataFrame, signature: str) -> DataFrame:
+    """(edge, chain): maximal runs of edges (edge, a, b, signature) through nodes of degree two whose two edges agree.
+
+    A chain's name is its smallest edge. Edges that pair at a node are linked, and chains are the
+    links' components.
+    """
+    ends = edges.select("edge", signature, F.explode(F.array("a", "b")).alias("node"))
+    pair = ends.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("edge", signature)).alias("lo"), F.max(F.struct("edge", signature)).alias("hi"))
+    links = pair.where((F.col("n") == 2) & (F.col("lo.edge") != F.col("hi.edge")) & F.col(f"lo.{signature}").eqNullSafe(F.col(f"hi.{signature}"))).select(F.col("lo.edge").alias("a"), F.col("hi.edge").alias("b"))
+    found = components(links)
+    return edges.select("edge").join(found, F.col("edge") == F.col("node"), "left").select("edge", F.coalesce("component", "edge").alias("chain"))
+
+
+def two_arm_joins(edges: DataFrame) -> DataFrame:
+    """(node, lo, hi): the two edges that meet at each node of degree two."""
+    ends = edges.select("edge", F.explode(F.array("a", "b")).alias("node"))
+    both = ends.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("edge").alias("lo"), F.max("edge").alias("hi"))
+    return both.where("n = 2 AND lo <> hi").select("node", "lo", "hi")
+
+
+def route(edges: DataFrame, pairs: DataFrame, most: int) -> DataFrame:
+    """(start, goal, hops): fewest edges between pairs of nodes, for those within ``most`` hops; all pairs advance together."""
+    both = _kept(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select("b", "a")).distinct())
+    front = _kept(pairs.select("start", F.col("start").alias("node")).distinct().withColumn("hops", F.lit(0)))
+    seen = front
+    for hop in range(1, most + 1):
+        step = both.join(front, both.u == front.node).select("start", F.col("v").alias("node")).distinct()
+        old = seen.select(F.col("start").alias("_s"), F.col("node").alias("_n"))
+        front = _kept(step.join(old, (F.col("start") == F.col("_s")) & (F.col("node") == F.col("_n")), "left_anti").withColumn("hops", F.lit(hop)))
+        if front.isEmpty():
+            break
+        seen = _kept(seen.unionByName(front))
+    goal = pairs.select(F.col("start").alias("_s"), "goal")
+    return seen.join(goal, (F.col("start") == F.col("_s")) & (F.col("node") == F.col("goal"))).select("start", "goal", "hops")

@@ -1,10 +1,8 @@
-"""Registered queries over the driver's tables, each with its oracle SQL."""
+"""All registered queries over the driver's tables, with their oracle SQL."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from geoloom.plans import paths, space  # noqa: F401
+from geoloom.plans.base import ORACLES, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
