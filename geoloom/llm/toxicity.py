@@ -118,7 +118,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), batch.column(1).slice(first, len(texts)), pa.array(found, pa.binary())], ["id", "label", "slots"])
 
     # at most max_train ids and labels are broadcast, so the texts stay where they are
-    rows = docs.join(F.broadcast(marks), F.col(id_col) == F.col("lid")).select(F.col(id_col).alias("id"), "label", F.encode(text_col, "UTF-8").alias("text"))
+    texts = docs.select(F.col(id_col).alias("id"), F.encode(text_col, "UTF-8").alias("text"))
+    rows = texts.join(F.broadcast(marks), F.col("id") == F.col("lid")).select("id", "label", "text")
     rows = rows.mapInArrow(slots, T.StructType([rows.schema["id"], T.StructField("label", T.IntegerType()), T.StructField("slots", T.BinaryType())]))
     rows = rows.withColumn("turn", F.xxhash64("id", "label")).withColumn("shard", F.pmod(F.col("turn"), F.lit(shards)).cast("int"))
     rows = checkpointed(rows.repartition(shards, "shard").sortWithinPartitions("shard", "turn", "slots").select("shard", "label", "slots"))
