@@ -4,12 +4,14 @@ Two collections of ``m`` short sketches of ``t`` minhashes each are computed; a
 sketch i of the first collection and sketch j of the second, so m * m tables of 2 * t rows need
 only 2 * m * t minhashes. Two documents meet unless one of the collections misses them altogether.
 
-Within a bucket nobody is compared with everybody: every document is verified against the bucket's
-smallest document. Where that leaves a bucket in several components, it comes back in further
-rounds, each with up to ``centres`` more members, those of its smallest components first, that are
-compared with the members of other components, until all that are not known to be connected have
-been compared. A round's work is linear in the buckets, and no link between components is lost.
-Documents with equal shingle sets are one node from the start.
+Every document is verified against the smallest document of each of its buckets, its centre. Where
+that leaves the documents of a centre in several components, those of different components are
+compared with each other, except within the largest: with x and y in one bucket of centre c, the
+symmetric difference of x and y is that of (x - c) and (y - c), so the short differences that the
+first comparison left suffice, and no set is sent again. Distance from the centre (1 - similarity is a metric) and
+size rule out most pairs first. All of it happens in blocks of bounded size, and only links come
+out. No link between different components of a bucket is lost. Documents with equal shingle sets are
+one node from the start.
 
 A document's set holds the distinct ``words``-word shingles of its lower-cased (A-Z) words; with
 fewer words, the whole sequence; without words or text it is empty and linked with nothing. Rows of
@@ -23,11 +25,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geoloom.llm import repeats
-from geoloom.llm.text import Words, checkpointed, ids_of, mix, rolling, slices
+from geoloom.llm.text import Words, checkpointed, ids_of, in_sorted, mix, rolling, slices
 from geoloom.operators.graph import components
 
 
@@ -92,27 +94,68 @@ def _held_sets(docs: DataFrame, wanted: DataFrame, words: int, id_col: str, text
     return checkpointed(texts.join(wanted, F.col("id") == F.col("want"), "left_semi").mapInArrow(run, "id long, hashes binary"))
 
 
-def _links(pairs: DataFrame, held: DataFrame, share: tuple[int, int]) -> DataFrame:
-    """pairs (a, b) with ``linked``: whether share[1] * |A and B| >= share[0] * |A or B|, on full sets."""
+def _compared(pairs: DataFrame, held: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """pairs (a, b) with linked (share[1] * |A and B| >= share[0] * |A or B|), |B|, the similarity, and the symmetric difference."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            linked = []
+            linked, size, similar, differ = [], [], [], []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
                 x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                both = 0
-                if share[1] * min(len(x), len(y)) >= share[0] * max(len(x), len(y)):
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                linked.append(both > 0 and share[1] * both >= share[0] * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_())], ["a", "b", "linked"])
+                d = np.setxor1d(x, y, assume_unique=True)
+                both, any_ = (len(x) + len(y) - len(d)) // 2, (len(x) + len(y) + len(d)) // 2
+                linked.append(both > 0 and share[1] * both >= share[0] * any_)
+                size.append(len(y))
+                similar.append(both / max(1, any_))
+                differ.append(d.tobytes())
+            columns = [pa.array(linked, pa.bool_()), pa.array(size, pa.int64()), pa.array(similar, pa.float64()), pa.array(differ, pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["a", "b", "linked", "n", "similar", "differ"])
 
     left = pairs.join(held, pairs.b == held.id).select("a", "b", F.col("hashes").alias("hb"))
     right = held.select(F.col("id").alias("ida"), F.col("hashes").alias("ha"))
-    found = left.join(right, left.a == right.ida).select("a", "b", "ha", "hb").mapInArrow(compare, "a long, b long, linked boolean")
-    return checkpointed(found.groupBy("a", "b").agg(F.max("linked").alias("linked")))
-
-
-def near_duplicates(docs: DataFrame, words: int = 5, share: tuple[int, int] = (80, 100), m: int = 10, t: int = 3, centres: int = 32, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    found = left.join(right, left.a == right.ida).select("a", "b", "ha", "hb")
+    return checkpointed(found.mapInArrow(compare, "a long, b long, linked boolean, n long, similar double, differ binary"))
+
+
+def _across(compared: DataFrame, parts: DataFrame, share: tuple[int, int], block: int) -> DataFrame:
+    """(a, b): the links between documents of one centre that lie in different components."""
+    labelled = compared.join(parts, F.col("b") == F.col("node"), "left").select("a", "b", "n", "similar", "differ", F.coalesce("component", "b").alias("part"))
+    labelled = checkpointed(labelled)
+    sizes = labelled.groupBy("a", "part").agg(F.count(F.lit(1)).alias("c"))
+    stats = sizes.groupBy("a").agg(F.max(F.struct("c", "part")).alias("top"), F.sum("c").alias("all"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    pieces = lambda n: F.ceil(n / F.lit(block)).cast("int")
+    stats = checkpointed(stats.select(F.col("a").alias("centre"), F.col("top.part").alias("most"), pieces(F.col("all")).alias("pieces"), pieces(F.col("all") - F.col("top.c")).alias("strays")))
+    both = labelled.join(stats, F.col("a") == F.col("centre")).withColumn("stray", F.col("part") != F.col("most"))
+    columns = ["a", "i", "j", "b", "n", "similar", "differ", "part", "stray"]
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = both.where("stray").withColumn("i", F.pmod(F.xxhash64("b", F.lit(1)), F.col("strays")).cast("int")).withColumn("j", upto("pieces")).select(*[F.col(c).alias(f"own_{c}") for c in columns])
+    right = both.withColumn("j", F.pmod(F.xxhash64("b"), F.col("pieces")).cast("int")).withColumn("i", upto("strays")).select(columns)
+
+    def cross(own: pa.Table, other: pa.Table) -> pa.Table:
+        found = []
+        if own.num_rows and other.num_rows:
+            ids, n, similar, part, stray = (other[c].to_numpy() for c in ("b", "n", "similar", "part", "stray"))
+            differ = [np.frombuffer(x.as_py(), np.uint64) for x in other["differ"]]
+            lengths = np.array([len(x) for x in differ])
+            flat, edges = np.concatenate(differ), np.concatenate([[0], np.cumsum(lengths)])
+            for x in own.to_pylist():
+                d = np.frombuffer(x["own_differ"], np.uint64)
+                b, size = x["own_b"], x["own_n"]
+                may = (part != x["own_part"]) & ~(stray & (ids < b)) & (share[1] * np.minimum(n, size) >= share[0] * np.maximum(n, size))
+                may &= np.abs(similar - x["own_similar"]) <= 1 - share[0] / share[1] + 1e-9
+                if may.any():
+                    common = np.concatenate([[0], np.cumsum(in_sorted(flat, d))])
+                    apart = len(d) + lengths - 2 * (common[edges[1:]] - common[edges[:-1]])
+                    both, any_ = (n + size - apart) // 2, (n + size + apart) // 2
+                    found += [(b, int(y)) for y in ids[may & (both > 0) & (share[1] * both >= share[0] * any_)]]
+        a, b = zip(*found, strict=True) if found else ((), ())
+        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    keys = ("a", "i", "j")
+    return left.groupBy(*[f"own_{k}" for k in keys]).cogroup(right.groupBy(*keys)).applyInArrow(cross, "a long, b long")
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, share: tuple[int, int] = (80, 100), m: int = 10, t: int = 3, block: int = 2000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, n_shingles, component_id, kept), a row for each row of docs; links where share[1] * |A and B| >= share[0] * |A or B|.
 
     With m = 10 and t = 3, two documents of similarity 0.85 meet in one of the 100 tables with a
@@ -136,54 +179,25 @@ def near_duplicates(docs: DataFrame, words: int = 5, share: tuple[int, int] = (8
         ids, keys = band(table)
         return repeats.packed(key[0].as_py(), keys.reshape(-1), np.repeat(ids, keys.shape[1]), bits)
 
-    def met(table: pa.Table, answer: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        shared, low = repeats.known(answer)
-        if not table.num_rows or not len(shared):
-            return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
-        ids, keys = band(table)
-        keys, ids = keys.reshape(-1), np.repeat(ids, keys.shape[1])
-        at = np.minimum(np.searchsorted(shared, keys), len(shared) - 1)
-        hit = shared[at] == keys
-        return keys[hit], ids[hit], low[at[hit]]
-
     def to_centre(key: tuple[pa.Scalar, ...], table: pa.Table, answer: pa.Table) -> pa.Table:
-        _, ids, low = met(table, answer)
-        pairs = np.unique(np.stack([low, ids], 1)[low != ids], axis=0)
+        shared, low = repeats.known(answer)
+        pairs = np.empty((0, 2), np.int64)
+        if table.num_rows and len(shared):
+            ids, keys = band(table)
+            keys, ids = keys.reshape(-1), np.repeat(ids, keys.shape[1])
+            at = np.minimum(np.searchsorted(shared, keys), len(shared) - 1)
+            hit = (shared[at] == keys) & (low[at] != ids)
+            pairs = np.unique(np.stack([low[at], ids], 1)[hit], axis=0)
         return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
-    def members(key: tuple[pa.Scalar, ...], table: pa.Table, answer: pa.Table) -> pa.Table:
-        keys, ids, low = met(table, answer)
-        return pa.table({"key": keys.view(np.int64), "id": ids, "a": low})
-
     answers = checkpointed(repeats.repeated(keyed.groupBy("batch").applyInArrow(emit, repeats.PACKED)))
-    bucketed = keyed.groupBy("batch").cogroup(answers.groupBy("batch"))
-    pairs = checkpointed(bucketed.applyInArrow(to_centre, "a long, b long").distinct())
+    pairs = keyed.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(to_centre, "a long, b long")
+    pairs = checkpointed(pairs.distinct())
     held = _held_sets(docs, pairs.select(F.col("a").alias("want")).union(pairs.select("b")).distinct(), words, id_col, text_col)
-    tried = _links(pairs, held, share)
-    linked = tried.where("linked").select("a", "b")
-    parts = components(linked)
-    apart = _apart(tried.where("NOT linked"), parts)
-    if not apart.isEmpty():
-        rows = bucketed.applyInArrow(members, "key long, id long, a long")
-        open_keys = checkpointed(rows.join(apart, (rows.a == apart.pa) & (rows.id == apart.pb), "left_semi").select(F.col("key").alias("open")).distinct())
-        sizes = classed.where("id = first").select(F.col("id").alias("sid"), "n")
-        left = rows.join(open_keys, F.col("key") == F.col("open"), "left_semi").where("id <> a").select("key", "id")
-        left = checkpointed(left.join(sizes, F.col("id") == F.col("sid")).select("key", "id", "n"))
-        while True:
-            left = _mixed(left, parts)
-            chosen = _centres(left, centres)
-            if chosen.isEmpty():
-                break
-            both = left.join(chosen, F.col("key") == F.col("ckey")).where("part <> cpart")
-            fits = F.least("n", "cn") * share[1] >= F.greatest("n", "cn") * share[0]
-            fresh = both.where(fits).select(F.least("centre", "id").alias("a"), F.greatest("centre", "id").alias("b")).distinct()
-            old = tried.select(F.col("a").alias("ta"), F.col("b").alias("tb"))
-            more = _links(checkpointed(fresh.join(old, (F.col("a") == F.col("ta")) & (F.col("b") == F.col("tb")), "left_anti")), held, share)
-            left = checkpointed(left.join(chosen, (F.col("key") == F.col("ckey")) & (F.col("id") == F.col("centre")), "left_anti").select("key", "id", "n"))
-            if not more.where("linked").isEmpty():
-                linked = checkpointed(linked.union(more.where("linked").select("a", "b")))
-                parts = components(linked)
-            tried = tried.union(more)
+    compared = _compared(pairs, held, share)
+    linked = compared.where("linked").select("a", "b")
+    more = checkpointed(_across(compared, components(linked), share, block))
+    parts = components(linked.unionByName(more))
     rooted = classed.select("id", "n", "first").join(parts, F.col("first") == F.col("node"), "left").select("id", F.coalesce("component", "first").alias("root"))
     own = rooted.groupBy("id").agg(F.min("root").alias("root"))
     lone = sketched.where("n = 0 OR id IS NULL").select("id", F.lit(None).cast("long").alias("root"))
@@ -192,26 +206,3 @@ def near_duplicates(docs: DataFrame, words: int = 5, share: tuple[int, int] = (8
     component = F.coalesce("root", "id")
     kind = docs.schema[id_col].dataType
     return out.select(F.col("id").cast(kind).alias(id_col), F.col("n").alias("n_shingles"), component.cast(kind).alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
-
-
-def _apart(pairs: DataFrame, parts: DataFrame) -> DataFrame:
-    """(pa, pb): the pairs whose ends lie in different components."""
-    x = parts.select(F.col("node").alias("na"), F.col("component").alias("ca"))
-    y = parts.select(F.col("node").alias("nb"), F.col("component").alias("cb"))
-    both = pairs.join(x, F.col("a") == F.col("na"), "left").join(y, F.col("b") == F.col("nb"), "left")
-    return checkpointed(both.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select(F.col("a").alias("pa"), F.col("b").alias("pb")))
-
-
-def _mixed(rows: DataFrame, parts: DataFrame) -> DataFrame:
-    """(key, id, n, part): members of buckets that still hold several components."""
-    part = checkpointed(rows.join(parts, F.col("id") == F.col("node"), "left").select("key", "id", "n", F.coalesce("component", "id").alias("part")))
-    mixed = part.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select(F.col("key").alias("mixed"))
-    return checkpointed(part.join(mixed, F.col("key") == F.col("mixed"), "left_semi"))
-
-
-def _centres(rows: DataFrame, most: int) -> DataFrame:
-    """(ckey, centre, cpart, cn): of each bucket up to ``most`` members, those of its smallest components first."""
-    sizes = rows.groupBy("key", "part").agg(F.count(F.lit(1)).alias("size")).select(F.col("key").alias("k"), F.col("part").alias("p"), "size")
-    order = Window.partitionBy("key").orderBy("size", "part", "id")
-    ranked = rows.join(checkpointed(sizes), (F.col("key") == F.col("k")) & (F.col("part") == F.col("p"))).withColumn("turn", F.row_number().over(order))
-    return checkpointed(ranked.where(F.col("turn") <= most).select(F.col("key").alias("ckey"), F.col("id").alias("centre"), F.col("part").alias("cpart"), F.col("n").alias("cn")))
