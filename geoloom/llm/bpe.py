@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 
 from geoloom.llm.text import slices
 
-KEPT, PASSING, LONGEST = 300_000, 60_000, 48
+HOT, KEPT, PASSING, LONGEST = 20_000, 400_000, 60_000, 48
 #: The pattern of the word-level vocabulary, for texts of ASCII and Latin-1 letters.
 PLAIN = "!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
 PIECE = re.compile("\n|'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff\n]+")
@@ -102,6 +102,7 @@ class Encoder:
         self.merges = bare  # the merges alone, on pieces whose bytes are shown as characters
         self.shown = {b: c for c, b in byte_alphabet().items()}
         self.pieces: dict[str, bytes] = {}
+        self.hot: dict[bytes, bytes] = {}  # small enough for the processor's cache
         self.kept: dict[bytes, bytes] = {}
         self.passing: dict[bytes, bytes] = {}
 
@@ -127,9 +128,13 @@ class Encoder:
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
         parts, counts = self.fragments(texts)
-        ids = list(map(self.kept.get, parts))
+        ids = list(map(self.hot.get, parts))
         if None in ids:
             late = [k for k, i in enumerate(ids) if i is None]
+            for k, i in zip(late, map(self.kept.get, [parts[k] for k in late]), strict=True):
+                ids[k] = i
+        if None in ids:
+            late = [k for k in late if ids[k] is None]
             second = self.passing
             missing = list({parts[k] for k in late}.difference(second))
             here = self._by_pieces(missing) if self.by_words else self._by_library(missing, self.tokenizer)
@@ -137,7 +142,9 @@ class Encoder:
                 f = parts[k]
                 ids[k] = second[f] if f in second else here[f]
             short = {f: i for f, i in here.items() if len(f) <= LONGEST}
-            if len(self.kept) < KEPT:
+            if len(self.hot) < HOT:
+                self.hot.update(short)  # what comes first is mostly frequent
+            elif len(self.kept) < KEPT:
                 self.kept.update(short)
             else:
                 if len(second) > PASSING:
