@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from geoloom.plans import paths, space  # noqa: F401
+from geoloom.plans import classes, paths, space  # noqa: F401
 from geoloom.plans.base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
