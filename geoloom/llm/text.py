@@ -40,6 +40,8 @@ def shared_dir(spark: SparkSession) -> str:
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-geoloom-"))
             current = spark.sparkContext.getCheckpointDir()
         found = current
+    elif spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
