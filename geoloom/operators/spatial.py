@@ -110,7 +110,7 @@ def smallest_site(points: DataFrame, inside: DataFrame, areas: DataFrame, tile:
 
 def bilinear(points: DataFrame, grid: DataFrame, west: float, south: float, step: float) -> DataFrame:
     """(id, h): grid heights (row, col, h) interpolated at points; points without all four corners get null."""
-    at = points.withColumns({"_u": (F.col("x") - west) / step, "_v": (F.col("y") - south) / step})
+    at = points.select("id", "x", "y").withColumns({"_u": (F.col("x") - west) / step, "_v": (F.col("y") - south) / step})
     at = at.withColumns({"_c": F.floor("_u"), "_r": F.floor("_v")}).withColumns({"_fu": F.col("_u") - F.col("_c"), "_fv": F.col("_v") - F.col("_r")})
     corners = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (0, 1) for j in (0, 1)])
     four = at.withColumn("_k", F.explode(corners)).withColumns({"_row": F.col("_r") + F.col("_k.j"), "_col": F.col("_c") + F.col("_k.i")})
