@@ -52,12 +52,12 @@ def _(spark, d):
     return painted(spark, d).groupBy("style").agg((F.count(F.lit(1)) * 10000).alias("area"))
 
 
-@query("jon30_tile_samples", f"WITH {RASTER}, p AS (SELECT CAST(c_custkey AS BIGINT) AS id, (c_custkey * 41 % 630) / 10.0 AS x, (c_custkey * 59 % 630) / 10.0 AS y FROM customer), k AS (SELECT id, floor(x) AS c, floor(y) AS r, x - floor(x) AS u, y - floor(y) AS v FROM p) SELECT k.id, round(a.h * (1 - u) * (1 - v) + b.h * u * (1 - v) + e.h * (1 - u) * v + f.h * u * v, 5) AS h FROM k JOIN g a ON a.row = r AND a.col = c JOIN g b ON b.row = r AND b.col = c + 1 JOIN g e ON e.row = r + 1 AND e.col = c JOIN g f ON f.row = r + 1 AND f.col = c + 1")
+@query("jon30_tile_samples", f"WITH {RASTER}, p AS (SELECT CAST(c_custkey AS BIGINT) AS id, (c_custkey * 41 % 630) / 10.0 AS x, (c_custkey * 59 % 630) / 10.0 AS y FROM customer), k AS (SELECT id, floor(x) AS c, floor(y) AS r, x - floor(x) AS u, y - floor(y) AS v FROM p) SELECT k.id, CAST(round(10000 * (a.h * (1 - u) * (1 - v) + b.h * u * (1 - v) + e.h * (1 - u) * v + f.h * u * v)) AS BIGINT) AS h FROM k JOIN g a ON a.row = r AND a.col = c JOIN g b ON b.row = r AND b.col = c + 1 JOIN g e ON e.row = r + 1 AND e.col = c JOIN g f ON f.row = r + 1 AND f.col = c + 1")
 def _(spark, d):
     k = F.col("c_custkey").cast("bigint")
     pts = table(spark, d, "customer").select(k.alias("id"), (k * 41 % 630 / 10.0).alias("x"), (k * 59 % 630 / 10.0).alias("y"))
     tiles = _raster(spark, d).select(F.floor(F.col("col") / 16).alias("tx"), F.floor(F.col("row") / 16).alias("ty"), (F.col("row") % 16).alias("row"), (F.col("col") % 16).alias("col"), "h")
-    return U.tile_samples(pts, tiles, 16).select("id", F.round("h", 5).alias("h"))
+    return U.tile_samples(pts, tiles, 16).select("id", F.round(F.col("h") * 10000).cast("bigint").alias("h"))
 
 
 @query("agg26_shore_levels", "SELECT vec_id AS id, min(h) AS low, median(h) AS middle, max(h) AS high, count(*) AS n FROM (SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) AS h FROM embeddings) GROUP BY vec_id")

@@ -82,11 +82,11 @@ def _(spark, d):
     return A.density(cells, 24)
 
 
-@query("jon29_bilinear", "WITH g AS (SELECT vec_id AS row, unnest(range(0, 64)) AS col, unnest(embedding) AS h FROM embeddings WHERE vec_id < 64), p AS (SELECT CAST(c_custkey AS BIGINT) AS id, (c_custkey * 37 % 620) / 10.0 AS x, (c_custkey * 53 % 620) / 10.0 AS y FROM customer), k AS (SELECT id, floor(x) AS c, floor(y) AS r, x - floor(x) AS fu, y - floor(y) AS fv FROM p) SELECT id, round(a.h * (1 - fu) * (1 - fv) + b.h * fu * (1 - fv) + e.h * (1 - fu) * fv + f.h * fu * fv, 5) AS h FROM k JOIN g a ON a.row = r AND a.col = c JOIN g b ON b.row = r AND b.col = c + 1 JOIN g e ON e.row = r + 1 AND e.col = c JOIN g f ON f.row = r + 1 AND f.col = c + 1")
+@query("jon29_bilinear", "WITH g AS (SELECT vec_id AS row, unnest(range(0, 64)) AS col, unnest(embedding) AS h FROM embeddings WHERE vec_id < 64), p AS (SELECT CAST(c_custkey AS BIGINT) AS id, (c_custkey * 37 % 620) / 10.0 AS x, (c_custkey * 53 % 620) / 10.0 AS y FROM customer), k AS (SELECT id, floor(x) AS c, floor(y) AS r, x - floor(x) AS fu, y - floor(y) AS fv FROM p) SELECT id, CAST(round(10000 * (a.h * (1 - fu) * (1 - fv) + b.h * fu * (1 - fv) + e.h * (1 - fu) * fv + f.h * fu * fv)) AS BIGINT) AS h FROM k JOIN g a ON a.row = r AND a.col = c JOIN g b ON b.row = r AND b.col = c + 1 JOIN g e ON e.row = r + 1 AND e.col = c JOIN g f ON f.row = r + 1 AND f.col = c + 1")
 def _(spark, d):
     k = F.col("c_custkey").cast("bigint")
     pts = table(spark, d, "customer").select(k.alias("id"), (k * 37 % 620 / 10.0).alias("x"), (k * 53 % 620 / 10.0).alias("y"))
-    return P.bilinear(pts, _raster(spark, d), 0.0, 0.0, 1.0).select("id", F.round("h", 5).alias("h"))
+    return P.bilinear(pts, _raster(spark, d), 0.0, 0.0, 1.0).select("id", F.round(F.col("h") * 10000).cast("bigint").alias("h"))
 
 
 def _raster(spark, d):
@@ -101,9 +101,9 @@ def _(spark, d):
     return P.opening(_raster(spark, d), 2)
 
 
-@query("win13_gaussian", f"WITH {RASTER}, a AS (SELECT row, col, 0.25 * coalesce(lag(h) OVER w, h) + 0.5 * h + 0.25 * coalesce(lead(h) OVER w, h) AS h FROM g WINDOW w AS (PARTITION BY row ORDER BY col)) SELECT row, col, round(0.25 * coalesce(lag(h) OVER w, h) + 0.5 * h + 0.25 * coalesce(lead(h) OVER w, h), 7) AS h FROM a WINDOW w AS (PARTITION BY col ORDER BY row)")
+@query("win13_gaussian", f"WITH {RASTER}, a AS (SELECT row, col, 0.25 * coalesce(lag(h) OVER w, h) + 0.5 * h + 0.25 * coalesce(lead(h) OVER w, h) AS h FROM g WINDOW w AS (PARTITION BY row ORDER BY col)) SELECT row, col, CAST(round(100000 * (0.25 * coalesce(lag(h) OVER w, h) + 0.5 * h + 0.25 * coalesce(lead(h) OVER w, h))) AS BIGINT) AS h FROM a WINDOW w AS (PARTITION BY col ORDER BY row)")
 def _(spark, d):
-    return P.gaussian(_raster(spark, d), [0.25, 0.5, 0.25]).select("row", "col", F.round("h", 7).alias("h"))
+    return P.gaussian(_raster(spark, d), [0.25, 0.5, 0.25]).select("row", "col", F.round(F.col("h") * 100000).cast("bigint").alias("h"))
 
 
 @query("jon01_resolved", f"WITH {WAY_NODES}, {NODES}, k AS (SELECT * FROM nodes WHERE id % 101 <> 0) SELECT id, seq, ref, x, y FROM (SELECT w.*, k.x, k.y, bool_or(k.id IS NULL) OVER (PARTITION BY w.id) AS bad FROM way_nodes w LEFT JOIN k ON w.ref = k.id) WHERE NOT bad")
