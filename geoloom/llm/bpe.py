@@ -26,7 +26,8 @@ from pyspark.sql import types as T
 
 from geoloom.llm.text import slices
 
-HOT, KEPT, PASSING, LONGEST = 20_000, 400_000, 60_000, 48
+HOT, KEPT, PASSING, LONGEST = 20_000, {True: 400_000, False: 200_000}, 60_000, 48
+SLICE = 1 << 20
 #: The pattern of the word-level vocabulary, for texts of ASCII and Latin-1 letters.
 PLAIN = "!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
 PIECE = re.compile("\n|'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff\n]+")
@@ -144,7 +145,7 @@ class Encoder:
             short = {f: i for f, i in here.items() if len(f) <= LONGEST}
             if len(self.hot) < HOT:
                 self.hot.update(short)  # what comes first is mostly frequent
-            elif len(self.kept) < KEPT:
+            elif len(self.kept) < KEPT[self.by_words]:
                 self.kept.update(short)
             else:
                 if len(second) > PASSING:
@@ -169,7 +170,7 @@ class Encoder:
         other = [w for w, t in zip(words, texts, strict=True) if t in odd] if odd else []
         plain = [w for w, t in zip(words, texts, strict=True) if t not in odd] if odd else words
         pieces = PIECE.findall(b"\n".join(plain).decode().lower())
-        if len(self.pieces) > KEPT:
+        if len(self.pieces) > KEPT[self.by_words]:
             self.pieces.clear()
         fresh = list(set(pieces).difference(self.pieces))
         found = self.merges.encode_batch_fast([p.encode().decode("latin-1").translate(self.shown) for p in fresh], add_special_tokens=False)
@@ -196,7 +197,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
         coder = encoder(path)
         for batch in batches:
             keys = batch.column(0)
-            for first, texts in slices(x.as_py() for x in batch.column(1)):
+            for first, texts in slices((x.as_py() for x in batch.column(1)), SLICE):
                 found = coder.encode(texts)
                 edges = np.zeros(len(found) + 1, np.int32)
                 np.cumsum([len(x) // 4 for x in found], out=edges[1:])
@@ -226,6 +227,25 @@ def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     return encoded.select(id_col, "ids").mapInArrow(run, schema)
 
 
+def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """decode(encode(docs)) in one pass, so that a task needs one Python worker instead of two."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = encoder(path)
+        for batch in batches:
+            for first, texts in slices((x.as_py() for x in batch.column(1)), SLICE):
+                found = coder.encode(texts)
+                edges = np.zeros(len(found) + 1, np.int32)
+                np.cumsum([len(x) // 4 for x in found], out=edges[1:])
+                ids = pa.ListArray.from_arrays(pa.array(edges), pa.array(np.frombuffer(b"".join(found), "<i4")))
+                decoded = [coder.decode(np.frombuffer(x, "<u4")) for x in found]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), ids, pa.array(decoded, pa.string())], [id_col, "ids", text_col])
+
+    kind = docs.schema[id_col].dataType
+    schema = T.StructType([T.StructField(id_col, kind), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField(text_col, T.StringType())])
+    return docs.select(id_col, F.encode(text_col, "UTF-8").alias(text_col)).mapInArrow(run, schema)
+
+
 def digests(decoded: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: number of ids, SHA-256 of the ids in decimal joined by commas, SHA-256 of the decoded text."""
     return decoded.select(

@@ -36,7 +36,7 @@ def op4_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
-    return bpe.digests(bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path))
+    return bpe.digests(bpe.round_trip(table(spark, sf_dir, "documents"), path))
 
 
 @query

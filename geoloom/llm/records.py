@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from geoloom.llm.bpe import encoder
+from geoloom.llm.bpe import SLICE, encoder
 from geoloom.llm.text import slices
 
 #: Fixed values of the record format: polynomial of CRC-32C (reflected), and the mask's constant.
@@ -161,7 +161,7 @@ def write_records(docs: DataFrame, folder: str, path: str, end_id: int | None, i
         name = f"part-{part:06d}-{uuid.uuid4().hex}.records"
         out, offset, position, before = None, 0, 0, 0
         for batch in batches:
-            for first, texts in slices(x.as_py() for x in batch.column(1)):
+            for first, texts in slices((x.as_py() for x in batch.column(1)), SLICE):
                 found = [ids + tail for ids in coder.encode(texts)]
                 counts = np.array([len(ids) // 4 for ids in found], np.int64)
                 if width == 2:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 500_000
 NULL_ID = np.iinfo(np.int64).max
 
 _SPACE = np.zeros(256, dtype=bool)
@@ -84,7 +84,7 @@ def powers(n: int, base: int = _BASE) -> np.ndarray:
         have[0] = 1
         with np.errstate(over="ignore"):
             have = np.multiply.accumulate(have)
-        if size <= 4 * CHUNK_BYTES:  # a table for one very long text is not kept
+        if size <= 1 << 21:  # a table for one very long text is not kept
             _POWERS[base] = have
     return have[:n]
 

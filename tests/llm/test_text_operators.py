@@ -155,7 +155,8 @@ def test_bpe_round_trip(docs, nothing):
     for d, t, *_ in corpus():
         ids = library.encode(t or "", add_special_tokens=False).ids
         assert got[d].ids == ids and got[d].text == library.decode(ids, skip_special_tokens=False)
-    assert bpe.decode(bpe.encode(nothing, path), path).count() == 0
+    assert {r.doc_id: (r.ids, r.text) for r in bpe.round_trip(docs, path).collect()} == {d: (r.ids, r.text) for d, r in got.items()}
+    assert bpe.decode(bpe.encode(nothing, path), path).count() == bpe.round_trip(nothing, path).count() == 0
 
 
 def test_bpe_fragments_equal_the_library_on_random_text():
