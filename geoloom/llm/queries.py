@@ -106,3 +106,27 @@ SELECT doc_id, item_id, n_shared, n_item FROM h JOIN n USING (item_id) WHERE 100
 @query
 def op3_chat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.repair_chats(table(spark, sf_dir, "conversations")).drop("piece")
+
+
+_SPLIT = """list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\t\\n\\v\\f\\r]+'), lambda x: x <> '')"""
+ORACLES["op1_substring_dedup"] = f"""
+WITH d AS (SELECT doc_id, ws, len(ws) AS n FROM (SELECT doc_id, {_SPLIT} AS ws FROM documents)),
+k AS (SELECT doc_id, unnest(list_transform(range(1, n - 48), lambda i: sha256(array_to_string(ws[i : i + 49], ' ')))) AS h, unnest(range(1, n - 48)) AS p FROM d WHERE n >= 50),
+f AS (SELECT h, min(doc_id) AS first FROM k GROUP BY h),
+g AS (SELECT DISTINCT doc_id, unnest(range(p, p + 50)) AS pos FROM k JOIN f USING (h) WHERE first < doc_id),
+t AS (SELECT doc_id, unnest(ws) AS w, unnest(range(1, n + 1)) AS pos FROM d WHERE n > 0),
+r AS (SELECT t.doc_id, count(g.pos) AS n_removed, string_agg(w, ' ' ORDER BY t.pos) FILTER (WHERE g.pos IS NULL) AS kept FROM t LEFT JOIN g ON g.doc_id = t.doc_id AND g.pos = t.pos GROUP BY t.doc_id)
+SELECT d.doc_id, n AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN r USING (doc_id)
+"""
+_TRIPLES = "unnest(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i : i + 2], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END)"
+ORACLES["op2_near_duplicates"] = f"""
+WITH RECURSIVE s AS (SELECT DISTINCT doc_id, {_TRIPLES} AS s FROM (SELECT doc_id, {_WORDS} AS w FROM documents)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s a JOIN s b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= 85 * (x.n + y.n - shared)),
+e(a, b) AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT DISTINCT a AS doc_id, a AS seen FROM e UNION SELECT r.doc_id, e.b FROM r JOIN e ON r.seen = e.a),
+m AS (SELECT doc_id, min(seen) AS low FROM r GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(m.low, d.doc_id) AS component_id, coalesce(m.low, d.doc_id) = d.doc_id AS kept
+FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)
+"""
