@@ -28,7 +28,7 @@ def _(spark, d):
 @query("jon21_unshared_crossings", f"WITH {SEGS}, s AS (SELECT * FROM segs WHERE abs(x2 - x) <= 12000 AND abs(y2 - y) <= 12000) SELECT DISTINCT a.id AS a_id, b.id AS b_id FROM s a JOIN s b ON a.id < b.id AND greatest(a.x, a.x2) >= least(b.x, b.x2) AND greatest(b.x, b.x2) >= least(a.x, a.x2) WHERE sign((a.x2 - a.x) * (b.y - a.y) - (a.y2 - a.y) * (b.x - a.x)) * sign((a.x2 - a.x) * (b.y2 - a.y) - (a.y2 - a.y) * (b.x2 - a.x)) < 0 AND sign((b.x2 - b.x) * (a.y - b.y) - (b.y2 - b.y) * (a.x - b.x)) * sign((b.x2 - b.x) * (a.y2 - b.y) - (b.y2 - b.y) * (a.x2 - b.x)) < 0 AND NOT EXISTS (SELECT 1 FROM way_nodes p JOIN way_nodes q ON p.ref = q.ref WHERE p.id = a.id AND q.id = b.id)")
 def _(spark, d):
     short = S.segments(lines(spark, d)).where("abs(x2 - x) <= 12000 AND abs(y2 - y) <= 12000")
-    return R.unshared(P.crossings(short, 12000), way_nodes(spark, d)).select("a_id", "b_id").distinct()
+    return R.unshared(P.crossings(short, 4000), way_nodes(spark, d)).select("a_id", "b_id").distinct()
 
 
 @query("prj17_vertical_faults", f"WITH {WAY_NODES}, v AS (SELECT id, CASE WHEN id % 3 = 0 OR (id % 5 = 0 AND ref % 2 = 0) THEN ref END AS ele FROM way_nodes), n AS (SELECT id, count(*) AS n, count(ele) AS e FROM v GROUP BY id) SELECT id, fault FROM (SELECT id, CASE WHEN e > 0 AND e < n THEN 'partial' WHEN id % 7 = 0 AND e = 0 THEN 'no heights' END AS fault FROM n) WHERE fault IS NOT NULL")

@@ -58,7 +58,7 @@ def _short(spark, d):
 
 @query("jon20_crossings", f"WITH {SEGS}, s AS (SELECT * FROM segs WHERE abs(x2 - x) <= 12000 AND abs(y2 - y) <= 12000) SELECT a.id AS a_id, a.seq AS a_seq, b.id AS b_id, b.seq AS b_seq FROM s a JOIN s b ON a.id < b.id AND greatest(a.x, a.x2) >= least(b.x, b.x2) AND greatest(b.x, b.x2) >= least(a.x, a.x2) WHERE sign((a.x2 - a.x) * (b.y - a.y) - (a.y2 - a.y) * (b.x - a.x)) * sign((a.x2 - a.x) * (b.y2 - a.y) - (a.y2 - a.y) * (b.x2 - a.x)) < 0 AND sign((b.x2 - b.x) * (a.y - b.y) - (b.y2 - b.y) * (a.x - b.x)) * sign((b.x2 - b.x) * (a.y2 - b.y) - (b.y2 - b.y) * (a.x2 - b.x)) < 0")
 def _(spark, d):
-    return P.crossings(_short(spark, d), 12000)
+    return P.crossings(_short(spark, d), 4000)
 
 
 @query("jon38_box_overlap", f"WITH {BOXES} SELECT a.id AS a_id, b.id AS b_id FROM boxes a JOIN boxes b ON a.x0 <= b.x1 AND b.x0 <= a.x1 AND a.y0 <= b.y1 AND b.y0 <= a.y1")
