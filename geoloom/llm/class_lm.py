@@ -5,18 +5,20 @@ P(class | class before) * P(token | class), both smoothed; the class before a te
 that of the end.
 
 Counts cover every training token: each word's count comes from one distributed count over all of
-them. Words are known by 64-bit hashes. Classes:
+them. Words are known by 64-bit hashes. Every training word has a class of its own choice:
 
 1. Exchange clustering sorts the ``core`` most frequent words (and the end): sweep by sweep each
    word goes to the class that most raises the likelihood of the class bigrams, from the full matrix
    of their bigram counts, which Spark adds up over all training texts (core**2 cells at most).
-2. The other words among the ``head`` most frequent get the class that best explains the core
-   classes left and right of all their occurrences, with the class bigrams held fixed: one more exchange.
-3. All rarer words form one class of their own.
+2. All other words, however rare, get the class that best explains the classes left and right of
+   their occurrences, with the class bigrams of the core held fixed, in two rounds: the first sees
+   neighbours from the core, the second all neighbours, by the classes of the first.
 
-Class bigrams are then counted over all training texts. Words, counts and classes of the head are
-broadcast: ``head`` entries of 17 bytes at most. Rarer words are looked up by a join on their hash;
-none of them is frequent, so no key is hot.
+Classes are a Spark table with a row for each training word. Class bigrams are then counted over all
+training texts. Words, counts and classes of the ``head`` most frequent are broadcast, for speed
+alone: 17 bytes each at most. Rarer words are looked up by joins on their hash, for which the pairs
+of neighbours with such a word are written out once; none of these words is frequent, so no key is hot.
+Words never trained on have a class of their own that only the smoothing fills.
 
 Null and empty texts consist of the end alone. Rows with a null id are scored, not trained on. With no training
 text every class is empty and the smoothing alone gives the probabilities.
@@ -32,10 +34,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from geoloom.llm.text import Words, checkpointed, slices
+from geoloom.llm.text import Words, checkpointed, new_folder, slices
 
 END = np.uint64(0x5851F42D4C957F2D)
 SMALL = 0.1
+NONE = -1
 
 
 def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -170,29 +173,49 @@ def exchange(pairs: np.ndarray, n_classes: int, sweeps: int = 6) -> np.ndarray:
     return cls
 
 
-def _contexts(texts: DataFrame, carried, core_class: np.ndarray, n_classes: int) -> DataFrame:
-    """(rank, counts): for every head word beyond the core, how often each core class stands left and right of it."""
-    n_core, k = len(core_class), n_classes
+CONTEXTS = "word long, side int, n long"
+
+
+def _rare_pairs(texts: DataFrame, carried) -> DataFrame:
+    """(key, other, side, rare): for every occurrence of a word beyond the head, the neighbours; the word stands left (side 0) or right (1) of other; ``rare`` if other is beyond the head too."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head = carried.value
+        for _, found, first in _chunks(batches):
+            rare = head.find(found) < 0
+            left = np.roll(found, 1)
+            left[first[:-1]] = END
+            at = np.flatnonzero(rare)  # never the end, so a next token follows in the same text
+            key, other = np.concatenate([found[at], found[at]]), np.concatenate([found[at + 1], left[at]])
+            side = np.repeat(np.array([0, 1], np.int8), len(at))
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(other.view(np.int64)), pa.array(side), pa.array(head.find(other) < 0)], ["key", "other", "side", "rare"])
+
+    folder = new_folder(texts.sparkSession, "rare-pairs")
+    shape = "key long, other long, side byte, rare boolean"
+    texts.mapInArrow(run, shape).write.parquet(folder)
+    return texts.sparkSession.read.schema(shape).parquet(folder)
+
+
+def _contexts(texts: DataFrame, carried, by_hash: np.ndarray, n_core: int, k: int) -> DataFrame:
+    """(word, side, n): for every head word beyond the core, how often each class stands left (0 .. k - 1) and right (k ..) of it; neighbours of class -1 don't count."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head, held = carried.value, []
+        head, held, size = carried.value, [], 0
 
         def summed() -> pa.RecordBatch:
             cell, n = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(cell), pa.array(n)], ["cell", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(head.words[cell // (2 * k)].view(np.int64)), pa.array((cell % (2 * k)).astype(np.int32)), pa.array(n)], ["word", "side", "n"])
 
-        size = 0
         for _, found, first in _chunks(batches):
             at = head.find(found)
-            rank = np.where(at >= 0, head.rank[at], -1)
-            core = (rank >= 0) & (rank < n_core)
-            cls = np.where(core, core_class[np.where(core, rank, 0)], -1)
+            open_ = (at >= 0) & (head.rank[at] >= n_core)
+            cls = np.where(at >= 0, by_hash[at], -1).astype(np.int64)
             before, after = np.full(len(cls), -1), np.full(len(cls), -1)
             before[1:], after[:-1] = cls[:-1], cls[1:]
-            before[first[:-1]] = core_class[head.rank[head.find(np.array([END]))[0]]]
+            before[first[:-1]] = by_hash[head.find(np.array([END]))[0]]
             for side, shift in ((before, 0), (after, k)):
-                use = (rank >= n_core) & (side >= 0)
-                held.append(rank[use].astype(np.int64) * (2 * k) + side[use] + shift)
+                use = open_ & (side >= 0)
+                held.append(at[use] * (2 * k) + side[use] + shift)
                 size += int(use.sum())
             if size > 3_000_000:
                 yield summed()
@@ -200,138 +223,234 @@ def _contexts(texts: DataFrame, carried, core_class: np.ndarray, n_classes: int)
         if held:
             yield summed()
 
-    return texts.mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(run, CONTEXTS)
+
+
+def _rare_contexts(pairs: DataFrame, carried, by_hash: np.ndarray, n_core: int, k: int) -> DataFrame:
+    """Contexts as above from rare pairs (key, other, side, cls): of each key by its head neighbours and, where the key has a class, of each other beyond the core by the key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head = carried.value
+        for batch in batches:
+            key, other, side, own = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(4))
+            at = head.find(other.view(np.uint64))
+            cls = np.where(at >= 0, by_hash[at], -1).astype(np.int64)
+            known, free = cls >= 0, (own >= 0) & ((at < 0) | (head.rank[at] >= n_core))
+            word = np.concatenate([key[known], other[free]])
+            place = np.concatenate([cls[known] + k * (side[known] == 0), own[free] + k * (side[free] == 1)])
+            yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(place.astype(np.int32)), pa.array(np.ones(len(word), np.int64))], ["word", "side", "n"])
+
+    return pairs.select("key", "other", F.col("side").cast("int").alias("side"), F.col("cls").cast("int").alias("cls")).mapInArrow(run, CONTEXTS)
+
+
+def _chosen(contexts: DataFrame, weights: np.ndarray) -> DataFrame:
+    """(word, cls): for each word of the contexts the class that best explains them; ties go to the lower class."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None  # the word whose rows may go on in the next batch, with its counts
+
+        def best(words: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(words), pa.array(np.argmax(np.round(counts @ weights, 6), 1).astype(np.int32))], ["word", "cls"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            word, side, n = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(3))
+            words, at = np.unique(word, return_inverse=True)
+            counts = np.bincount(at * len(weights) + side, n, len(words) * len(weights)).reshape(len(words), len(weights))
+            if last and last[0] == words[0]:
+                counts[0] += last[1]
+            elif last:
+                yield best(np.array([last[0]]), last[1][None])
+            last = (words[-1], counts[-1])
+            if len(words) > 1:
+                yield best(words[:-1], counts[:-1])
+        if last:
+            yield best(np.array([last[0]]), last[1][None])
+
+    return contexts.repartition("word").sortWithinPartitions("word").mapInArrow(run, "word long, cls int")
 
 
 def fit(texts: DataFrame, n_classes: int = 48, core: int = 1500, head: int = 131_072) -> dict:
-    """The model from (id, text) rows; ``counts`` in it is the table of all words' counts."""
+    """The model from (id, text) rows; ``classes`` in it is the table (word, n, cls) of all words."""
+    spark = texts.sparkSession
+    sc = spark.sparkContext
     counts = checkpointed(word_counts(texts))
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     top = counts.orderBy(F.desc("n"), "word").limit(head).toArrow()
     words, n = top["word"].to_numpy().view(np.uint64), top["n"].to_numpy().astype(np.int64)
     end = np.flatnonzero(words == END)
-    if len(end):  # the end always belongs to the core
+    if not len(end) and len(words):  # the end always belongs to the core
+        words, n = np.append(words, END), np.append(n, counts.where(F.col("word") == int(END.view(np.int64))).first()["n"])
+        end = np.array([len(words) - 1])
+    if len(end):
         order = np.concatenate([end, np.delete(np.arange(len(words)), end)])
         words, n = words[order], n[order]
-    sc = texts.sparkSession.sparkContext
     known = Head(words, n)
-    tail = n_classes  # the class of all rarer words
-    cls = np.zeros(len(words), np.int16)
-    n_core = min(core, len(words))
-    if n_core:
+    unseen = n_classes  # the class of words that were not trained on
+    k = n_classes + 1
+    by_hash = np.full(len(words), -1, np.int16)
+    bigrams = np.zeros((k, k))
+    class_n, class_v = np.zeros(k), np.zeros(k)
+    classes = counts.withColumn("cls", F.lit(0))
+    if len(words):
         carried = sc.broadcast(known)
+        n_core = min(core, len(words))
         pairs = _pair_counts(texts, carried, n_core)
         core_class = exchange(pairs, n_classes)
-        cls[:n_core] = core_class
-        if len(words) > n_core:
-            table = np.full((n_classes, n_classes), SMALL)
+        in_core = known.rank < n_core
+        by_hash[in_core] = core_class[known.rank[in_core]]
+        fixed = spark.createDataFrame(pa.table({"_core": pa.array(known.words[in_core].view(np.int64)), "_cls": pa.array(by_hash[in_core].astype(np.int32))}))
+        rare = _rare_pairs(texts, carried)
+
+        def table(chosen: DataFrame | None, otherwise: int) -> DataFrame:
+            found = counts.join(F.broadcast(fixed), F.col("word") == F.col("_core"), "left")
+            own = F.lit(otherwise)
+            if chosen is not None:
+                found = found.join(chosen.withColumnsRenamed({"word": "_word", "cls": "_own"}), F.col("word") == F.col("_word"), "left")
+                own = F.coalesce("_own", own)
+            return checkpointed(found.select("word", "n", F.coalesce("_cls", own).cast("int").alias("cls")))
+
+        def of_head(classes: DataFrame) -> np.ndarray:
+            """The classes of the head words, in their order."""
+            mine = spark.createDataFrame(pa.table({"_head": pa.array(known.words.view(np.int64))}))
+            got = classes.join(F.broadcast(mine), F.col("word") == F.col("_head"), "left_semi").select("word", "cls").toArrow()
+            out = np.empty(len(known.words), np.int16)
+            out[known.find(got["word"].to_numpy().view(np.uint64))] = got["cls"].to_numpy()
+            return out
+
+        if distinct > n_core:
+            cells = np.full((n_classes, n_classes), SMALL)
             for c in range(n_classes):
                 for d in range(n_classes):
-                    table[c, d] += pairs[np.ix_(core_class == c, core_class == d)].sum()
-            forward = np.log(table / table.sum(1, keepdims=True))  # left class -> own class
-            backward = np.log(table / table.sum(1, keepdims=True)).T  # right class -> own class
+                    cells[c, d] += pairs[np.ix_(core_class == c, core_class == d)].sum()
+            forward = np.log(cells / cells.sum(1, keepdims=True))  # left class -> own class
+            backward = forward.T  # right class -> own class
             weights = np.concatenate([forward, backward], 0)
-            share = np.log(table.sum(1) / table.sum())
-            cells = _contexts(texts, carried, core_class, n_classes)
-            given = sc.broadcast((weights, share))
-
-            def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-                w, prior = given.value
-                for batch in batches:
-                    ranks, side, n = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(3))
-                    ranks, at = np.unique(ranks, return_inverse=True)
-                    gain = np.zeros((len(ranks), w.shape[1]))
-                    np.add.at(gain, at, w[side] * n[:, None])
-                    yield pa.RecordBatch.from_arrays([pa.array(ranks), *[pa.array(gain[:, c]) for c in range(w.shape[1])]], ["rank", *[f"g{c}" for c in range(w.shape[1])]])
-
-            shape = "rank long, " + ", ".join(f"g{c} double" for c in range(n_classes))
-            gains = cells.select((F.col("cell") / (2 * n_classes)).cast("long").alias("rank"), (F.col("cell") % (2 * n_classes)).cast("int").alias("side"), "n").mapInArrow(choose, shape)
-            summed = gains.groupBy("rank").agg(*[F.sum(f"g{c}").alias(f"g{c}") for c in range(n_classes)])
-            best = F.array_position(F.array(*[F.col(f"g{c}") for c in range(n_classes)]), F.greatest(*[F.col(f"g{c}") for c in range(n_classes)])) - 1
-            chosen = summed.select("rank", best.cast("int").alias("cls")).toArrow()  # head rows at most
-            cls[n_core:] = int(np.argmax(share))
-            cls[chosen["rank"].to_numpy()] = chosen["cls"].to_numpy()
-    by_hash = cls[known.rank] if len(words) else cls
-    k = n_classes + 1
-    state = sc.broadcast((known, by_hash, k))
-    bigrams = np.full((k, k), 0.0)
+            usual = int(np.argmax(cells.sum(1)))
+            near = rare.withColumn("cls", F.lit(-1))
+            for _ in range(2):
+                seen = _contexts(texts, carried, by_hash, n_core, n_classes).unionByName(_rare_contexts(near, carried, by_hash, n_core, n_classes))
+                classes = table(_chosen(seen, weights), usual)
+                by_hash = of_head(classes)
+                near = _with_class(rare, classes, "key")
+        else:
+            classes = table(None, 0)
+            near = _with_class(rare, classes, "key")
+        bigrams[:n_classes, :n_classes] = _transitions(texts, near, classes, sc.broadcast((known, by_hash)), n_classes)
+        for c, sum_n, sum_v in classes.groupBy("cls").agg(F.sum("n"), F.count(F.lit(1))).collect():
+            class_n[c], class_v[c] = sum_n, sum_v
+    move = np.log10((bigrams + SMALL) / (bigrams.sum(1, keepdims=True) + SMALL * k))
+    return {"known": known, "cls": by_hash, "k": k, "unseen": unseen, "move": move, "class_n": class_n, "class_v": class_v, "total": int(total), "distinct": int(distinct), "classes": classes}
+
 
-    def transitions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known_, by_hash_, k_ = state.value
-        cells = np.zeros(k_ * k_, np.int64)
+def _with_class(rows: DataFrame, classes: DataFrame, column: str) -> DataFrame:
+    """The rows with the class ``cls`` of the word in the column."""
+    found = classes.select(F.col("word").alias("_word"), "cls")
+    return rows.join(found, F.col(column) == F.col("_word")).drop("_word")
+
+
+def _transitions(texts: DataFrame, near: DataFrame, classes: DataFrame, state, k: int) -> np.ndarray:
+    """Counts of class bigrams over all tokens: pairs of head words from the texts, the others from the rare pairs with their key's class."""
+
+    def from_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, by_hash = state.value
+        cells = np.zeros(k * k, np.int64)
         for _, found, first in _chunks(batches):
-            c = _classes(known_, by_hash_, found, k_ - 1)
-            cells += np.bincount(_before(c, first, known_, by_hash_, k_ - 1) * k_ + c, minlength=k_ * k_)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(k_ * k_)), pa.array(cells)], ["cell", "n"])
-
-    summed = texts.mapInArrow(transitions, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    bigrams.reshape(-1)[summed["cell"].to_numpy()] = summed["n"].to_numpy()
-    class_n, class_v = np.bincount(by_hash, n[known.rank] if len(words) else None, minlength=k), np.bincount(by_hash, minlength=k)
-    class_n[tail], class_v[tail] = total - class_n[:tail].sum(), distinct - class_v[:tail].sum()
-    move = np.log10((bigrams + SMALL) / (bigrams.sum(1, keepdims=True) + SMALL * k))
-    return {"known": known, "cls": by_hash, "k": k, "move": move, "class_n": class_n, "class_v": class_v, "total": int(total), "distinct": int(distinct), "counts": counts}
+            c = _classes(known, by_hash, found, -1)
+            before = _before(c, first, known, by_hash, -1)
+            both = (c >= 0) & (before >= 0)
+            cells += np.bincount(before[both] * k + c[both], minlength=k * k)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(k * k)), pa.array(cells)], ["cell", "n"])
+
+    def from_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, by_hash = state.value
+        cells = np.zeros(k * k, np.int64)
+        for batch in batches:
+            other, side, own = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(3))
+            c = _classes(known, by_hash, other.view(np.uint64), -1)
+            cells += np.bincount(np.where(side == 0, own * np.int64(k) + c, c * k + own), minlength=k * k)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(k * k)), pa.array(cells)], ["cell", "n"])
+
+    shape = "cell long, n long"
+    single = near.where("NOT rare").select("other", F.col("side").cast("int").alias("side"), "cls").mapInArrow(from_pairs, shape)
+    both = near.where("rare AND side = 0").select("other", F.col("cls").alias("_left"))  # each such pair is there from both sides
+    double = _with_class(both, classes, "other").groupBy((F.col("_left").cast("long") * k + F.col("cls")).alias("cell")).agg(F.count(F.lit(1)).alias("n"))
+    summed = texts.mapInArrow(from_texts, shape).unionByName(single).unionByName(double).groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(k * k)
+    out[summed["cell"].to_numpy()] = summed["n"].to_numpy()
+    return out.reshape(k, k)
 
 
-def _classes(known: Head, by_hash: np.ndarray, found: np.ndarray, tail: int) -> np.ndarray:
+def _classes(known: Head, by_hash: np.ndarray, found: np.ndarray, other: int) -> np.ndarray:
     at = known.find(found)
-    return np.where(at >= 0, by_hash[at], tail).astype(np.int64) if len(by_hash) else np.full(len(found), tail, np.int64)
+    return np.where(at >= 0, by_hash[at], other).astype(np.int64) if len(by_hash) else np.full(len(found), other, np.int64)
 
 
-def _before(c: np.ndarray, first: np.ndarray, known: Head, by_hash: np.ndarray, tail: int) -> np.ndarray:
+def _before(c: np.ndarray, first: np.ndarray, known: Head, by_hash: np.ndarray, other: int) -> np.ndarray:
     before = np.empty_like(c)
     before[1:] = c[:-1]
-    before[first[:-1]] = _classes(known, by_hash, np.array([END]), tail)[0]
+    before[first[:-1]] = _classes(known, by_hash, np.array([END]), other)[0]
     return before
 
 
 def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_tokens, n_known, base_score, score), a row for each row of docs; base_score is the smoothed unigram model's."""
     sc = docs.sparkSession.sparkContext
-    plain = sc.broadcast({x: y for x, y in model.items() if x != "counts"})
+    plain = sc.broadcast({x: y for x, y in model.items() if x != "classes"})
     rows = _texts(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id())
     kind = rows.schema["id"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = plain.value
-        known, tail = m["known"], m["k"] - 1
+        known, unseen = m["known"], m["unseen"]
         floor = np.log10(m["total"] + SMALL * (m["distinct"] + 1))
         base_of = np.log10(known.counts + SMALL) - floor
         emit_of = np.log10(known.counts + SMALL) - np.log10(m["class_n"][m["cls"]] + SMALL * (m["class_v"][m["cls"]] + 1))
         for part, found, first in _chunks(batches):
             at = known.find(found)
             seen = at >= 0
-            c = np.where(seen, m["cls"][at], tail).astype(np.int64) if len(known.words) else np.full(len(found), tail, np.int64)
-            step = m["move"][_before(c, first, known, m["cls"], tail), c]
-            base = np.where(seen, base_of[at], 0.0) if len(known.words) else np.zeros(len(found))
-            step = step + (np.where(seen, emit_of[at], 0.0) if len(known.words) else 0.0)
+            if len(known.words):
+                c, base, step = np.where(seen, m["cls"][at], -1).astype(np.int64), np.where(seen, base_of[at], 0.0), np.where(seen, emit_of[at], 0.0)
+            else:  # no word was trained on; each is looked up in vain
+                c, base, step = np.full(len(found), -1, np.int64), np.zeros(len(found)), np.zeros(len(found))
+            before = _before(c, first, known, m["cls"], unseen)
+            step = step + np.where(seen & (before >= 0), m["move"][before, c], 0.0)
             start, n = first[:-1], np.diff(first)
             rare = np.flatnonzero(~seen)
             owner = np.searchsorted(first, rare, side="right") - 1
-            order = np.lexsort((found[rare], owner))
-            rare, owner = found[rare][order], owner[order]
-            begin = np.flatnonzero(np.concatenate([[True], (rare[1:] != rare[:-1]) | (owner[1:] != owner[:-1])])) if len(rare) else np.empty(0, np.int64)
-            times = np.diff(np.append(begin, len(rare)))
-            edges = np.searchsorted(owner[begin], np.arange(len(n) + 1)).astype(np.int32)
-            lists = [pa.ListArray.from_arrays(pa.array(edges), pa.array(x)) for x in (rare[begin].view(np.int64), times)]
+            left, after = before[rare], np.minimum(rare + 1, len(found) - 1)
+            right = np.where(after < first[owner + 1], c[after], NONE)
+            right[rare == len(found) - 1] = NONE
+            ahead = np.where(left >= 0, np.int64(0), np.roll(found, 1).view(np.int64)[rare])
+            edges = np.searchsorted(owner, np.arange(len(n) + 1)).astype(np.int32)
+            lists = [pa.ListArray.from_arrays(pa.array(edges), pa.array(x)) for x in (found[rare].view(np.int64), left.astype(np.int32), np.where(right < 0, NONE, right).astype(np.int32), ahead)]
             sums = [np.add.reduceat(x, start) for x in (seen.astype(np.int64), base, step)]
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(n), *[pa.array(x) for x in sums], *lists], names)
 
-    names = ["id", "row", "n_tokens", "n_known", "base", "step", "rare", "times"]
-    long, double = T.LongType(), T.DoubleType()
-    kinds = [kind, long, long, long, double, double, T.ArrayType(long), T.ArrayType(long)]
+    names = ["id", "row", "n_tokens", "n_known", "base", "step", "word", "left", "right", "ahead"]
+    long, double, some = T.LongType(), T.DoubleType(), T.ArrayType
+    kinds = [kind, long, long, long, double, double, some(long), some(T.IntegerType()), some(T.IntegerType()), some(long)]
     found = checkpointed(rows.mapInArrow(run, T.StructType([T.StructField(n, t) for n, t in zip(names, kinds, strict=True)])))
-    each = found.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("rare"), F.col("x.times").alias("times"))
-    counts = model["counts"].select("word", "n")
-    log_n = F.log10(F.coalesce("n", F.lit(0)) + SMALL)
-    tail = model["k"] - 1
-    floor = float(np.log10(model["total"] + SMALL * (model["distinct"] + 1)))
-    tail_floor = float(np.log10(model["class_n"][tail] + SMALL * (model["class_v"][tail] + 1)))
-    looked = each.join(counts, each.rare == counts.word, "left").groupBy("row").agg(
-        F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("known"),
-        F.sum(F.col("times") * (log_n - floor)).alias("base"),
-        F.sum(F.col("times") * (log_n - tail_floor)).alias("step"),
-    )
-    looked = looked.select(F.col("row").alias("r"), "known", F.col("base").alias("rbase"), F.col("step").alias("rstep"))
+    each = found.select("row", F.explode(F.arrays_zip("word", "left", "right", "ahead")).alias("x")).select("row", "x.*")
+    table = model["classes"].select(F.col("word").alias("_word"), "n", "cls")
+    # a word after another rare word: its class is looked up, and the move between them added to the right one
+    joined = lambda a, on: a.join(table, F.col(on) == F.col("_word"), "left")
+    second = joined(each.where("left < 0").select("row", "word", "ahead"), "ahead").select("row", "word", F.coalesce("cls", F.lit(model["unseen"])).cast("int").alias("left"), F.lit(NONE).alias("right"), F.lit(0).alias("times"))
+    first_ = each.select("row", "word", F.when(F.col("left") >= 0, F.col("left")).otherwise(NONE).cast("int").alias("left"), "right", F.lit(1).alias("times"))
+    looked = joined(first_.unionByName(second), "word").select("row", "left", "right", "times", F.coalesce("n", F.lit(0)).cast("long").alias("n"), F.coalesce("cls", F.lit(model["unseen"])).cast("int").alias("cls"))
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = plain.value
+        floor = np.log10(m["total"] + SMALL * (m["distinct"] + 1))
+        room = np.log10(m["class_n"] + SMALL * (m["class_v"] + 1))
+        for batch in batches:
+            row, left, right, times, n, c = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(6))
+            log_n = np.log10(n + SMALL)
+            step = times * (log_n - room[c]) + np.where(left >= 0, m["move"][left, c], 0.0) + np.where(right >= 0, m["move"][c, right], 0.0)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (row, times * (n > 0).astype(np.int64), times * (log_n - floor), step)], ["r", "known", "rbase", "rstep"])
+
+    looked = looked.mapInArrow(add, "r long, known long, rbase double, rstep double").groupBy("r").agg(*[F.sum(c).alias(c) for c in ("known", "rbase", "rstep")])
     both = found.select("id", "row", "n_tokens", "n_known", "base", "step").join(looked, F.col("row") == F.col("r"), "left")
     added = lambda a, b: F.col(a) + F.coalesce(b, F.lit(0))
     return both.select(F.col("id").alias(id_col), "n_tokens", added("n_known", "known").alias("n_known"), added("base", "rbase").alias("base_score"), added("step", "rstep").alias("score"))

@@ -224,6 +224,36 @@ def test_class_lm(spark):
     assert model / n > base / n + 0.15  # the classes tell the two halves apart
 
 
+def test_class_lm_classes_for_all_words(spark):
+    """The broadcast head is for speed alone, and scores follow from the table of classes, rare and unseen words too."""
+    rng = random.Random(3)
+    a, b = [f"a{i}" for i in range(40)], [f"b{i}" for i in range(40)]
+    rows = [(i, " ".join(rng.choice((a if i % 2 else b)[: rng.choice((5, 40))]) for _ in range(60))) for i in range(120)] + [(900, ""), (901, None), (902, "new a39 a38 new new b7"), (903, "a39")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    whole, small = ({r.doc_id: r for r in class_lm.score_corpus(docs, n_classes=4, core=9, head=head).collect()} for head in (1000, 9))
+    assert len(whole) == len(rows)
+    texts = class_lm._texts(docs.where(~class_lm.held_out()), "doc_id", "text")
+    models = [class_lm.fit(texts, n_classes=4, core=9, head=head) for head in (1000, 9)]
+    tables = [{r.word: (r.n, r.cls) for r in m["classes"].collect()} for m in models]
+    assert tables[0] == tables[1] and models[0]["move"] == pytest.approx(models[1]["move"])
+    hashes = {d: class_lm.tokens([(t or "").encode()])[0].view(np.int64).tolist() for d, t in rows}
+    end, table, k, counts = int(class_lm.END.view(np.int64)), tables[0], 4, np.zeros((5, 5))
+    training = [h for d, h in hashes.items() if zlib.crc32(str(d).encode()) % 10]
+    assert set(table) == {w for h in training for w in h} and {c for _, c in table.values()} <= set(range(4))
+    for h in training:
+        for x, y in zip([end, *h], h):
+            counts[table[x][1], table[y][1]] += 1
+    move = np.log10((counts + 0.1) / (counts.sum(1, keepdims=True) + 0.5))
+    class_n, class_v = ([sum(f(n) for n, c in table.values() if c == i) for i in range(5)] for f in (int, bool))
+    for d, h in hashes.items():
+        want = 0.0
+        for x, y in zip([end, *h], h):
+            (_, c), (n, e) = table.get(x, (0, k)), table.get(y, (0, k))
+            want += move[c, e] + np.log10((n + 0.1) / (class_n[e] + 0.1 * (class_v[e] + 1)))
+        assert whole[d].score == pytest.approx(want, rel=1e-9) and small[d].score == pytest.approx(want, rel=1e-9)
+        assert whole[d].base_score == pytest.approx(small[d].base_score) and whole[d].n_known == small[d].n_known == sum(w in table for w in h)
+
+
 def test_class_lm_without_training_text(spark):
     assert class_lm.score_corpus(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
