@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from geoloom.operators import roads as R
 from geoloom.operators import sequences as S
 from geoloom.operators import spatial as P
-from geoloom.plans.base import ARCS, HOMES, SEGS, SHOPS, WAY_NODES, homes, lines, query, shops, table, way_nodes
+from geoloom.plans.base import ARCS, HOMES, SEGS, SHOPS, WAY_NODES, homes, lines, near_lines, query, shops, table, way_nodes
 
 
 @query("prj21_dimensions", "WITH t AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN (o_orderkey % 40) / 2.0::DOUBLE + 1 END AS w, CASE WHEN o_orderkey % 2 = 0 THEN CAST(o_orderkey % 5 + 1 AS INTEGER) END AS l FROM orders), b AS (SELECT *, w IS NOT NULL AND (l IS NULL OR greatest(0.2, w - 0.5) / l > 4.5) AS byw FROM t) SELECT id, CAST(CASE WHEN byw THEN least(greatest(coalesce(l, 1), CAST(round_even(greatest(0.2, w - 0.5) / 3.25, 0) AS INTEGER)), 16) ELSE coalesce(l, 2) END AS INTEGER) AS lanes, CASE WHEN byw THEN 'width' WHEN l IS NOT NULL THEN 'lanes' ELSE 'class' END AS basis FROM b")
@@ -31,6 +31,12 @@ def _(spark, d):
     return R.unshared(P.crossings(short, 4000), way_nodes(spark, d)).select("a_id", "b_id").distinct()
 
 
+@query("jon21_all_unshared_crossings")
+def _(spark, d):
+    found = P.crossings(S.segments(near_lines(spark, d)), 250)
+    return R.unshared(found, way_nodes(spark, d)).select("a_id", "b_id").distinct()
+
+
 @query("prj17_vertical_faults", f"WITH {WAY_NODES}, v AS (SELECT id, CASE WHEN id % 3 = 0 OR (id % 5 = 0 AND ref % 2 = 0) THEN ref END AS ele FROM way_nodes), n AS (SELECT id, count(*) AS n, count(ele) AS e FROM v GROUP BY id) SELECT id, fault FROM (SELECT id, CASE WHEN e > 0 AND e < n THEN 'partial' WHEN id % 7 = 0 AND e = 0 THEN 'no heights' END AS fault FROM n) WHERE fault IS NOT NULL")
 def _(spark, d):
     w = way_nodes(spark, d)

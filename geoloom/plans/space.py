@@ -10,7 +10,7 @@ from geoloom.operators import graph as GR
 from geoloom.operators import references as R
 from geoloom.operators import sequences as S
 from geoloom.operators import spatial as P
-from geoloom.plans.base import BOXES, HOMES, NODES, SEGS, SHOPS, WAY_NODES, box_edges, boxes, homes, lines, nodes, query, shops, table, way_nodes
+from geoloom.plans.base import BOXES, HOMES, NODES, SEGS, SHOPS, WAY_NODES, box_edges, boxes, homes, lines, near_lines, nodes, query, shops, table, way_nodes
 
 INSIDE = f"{HOMES}, {BOXES}, inside AS (SELECT h.id, b.id AS polygon FROM homes h JOIN boxes b ON h.x BETWEEN b.x0 AND b.x1 AND h.y BETWEEN b.y0 AND b.y1)"
 
@@ -61,6 +61,11 @@ def _(spark, d):
     return P.crossings(_short(spark, d), 4000)
 
 
+@query("jon20_all_crossings")
+def _(spark, d):
+    return P.crossings(S.segments(near_lines(spark, d)), 250)
+
+
 @query("jon38_box_overlap", f"WITH {BOXES} SELECT a.id AS a_id, b.id AS b_id FROM boxes a JOIN boxes b ON a.x0 <= b.x1 AND b.x0 <= a.x1 AND a.y0 <= b.y1 AND b.y0 <= a.y1")
 def _(spark, d):
     return P.box_join(boxes(spark, d), boxes(spark, d), 700).select("a_id", "b_id")
