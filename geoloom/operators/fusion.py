@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from geoloom.operators.graph import components
+from geoloom.operators.graph import _kept
 from geoloom.operators.sequences import best
 from geoloom.operators.spatial import box_join, within_distance
 
@@ -136,24 +138,24 @@ def country_defaults(places: DataFrame, defaults: DataFrame, boxes: DataFrame) -
 def greedy_apart(points: DataFrame, radius: int, order: list[str]) -> DataFrame:
     """Points (id, x, y, …) kept so that no two are within the radius, first come first served in ``order``.
 
-    Conflicts link points; each connected group of conflicts is decided alone, which gives the same as one
-    global run. A group is as large as an unbroken cluster of close points.
+    Decided in rounds over the pairs of close points: a point with no undecided earlier neighbour stays
+    and its neighbours go, until no pair is undecided. That gives the same as one serial run; the number
+    of rounds is the longest chain of such decisions. Equal places in the order go by id, nulls come last.
     """
-    close = within_distance(points.select("id", "x", "y"), points.select("id", "x", "y"), radius).where("a_id < b_id").select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
-    groups = components(close)
-    own = points.join(groups, F.col("id") == F.col("node"), "left").drop("node")
-    free = own.where("component IS NULL").drop("component")
-
-    def choose(table: pa.Table) -> pa.Table:
-        table = table.sort_by([(c, "ascending") for c in order])
-        x, y = table["x"].to_numpy(), table["y"].to_numpy()
-        keep: list[int] = []
-        for i in range(len(x)):
-            if not keep or ((x[keep] - x[i]) ** 2 + (y[keep] - y[i]) ** 2 > radius * radius).all():
-                keep.append(i)
-        return table.take(keep).drop_columns(["component"])
-
-    return free.unionByName(own.where("component IS NOT NULL").groupBy("component").applyInArrow(choose, points.schema))
+    place = F.struct(*[x for c in [*order, "id"] for x in (F.col(c).isNull(), F.col(c))])
+    own = points.select("id", "x", "y", place.alias("o"))
+    first = F.col("a_o") < F.col("b_o")
+    close = within_distance(own, own, radius).where("a_id < b_id")
+    pairs = _kept(close.select(F.when(first, F.col("a_id")).otherwise(F.col("b_id")).alias("early"), F.when(first, F.col("b_id")).otherwise(F.col("a_id")).alias("late")))
+    gone = []
+    while not pairs.isEmpty():
+        kept = pairs.select("early").distinct().join(pairs.select(F.col("late").alias("early")).distinct(), "early", "left_anti")
+        lost = _kept(pairs.join(kept, "early", "left_semi").select("late").distinct())
+        gone.append(lost)
+        if len(gone) == 16:
+            gone = [_kept(reduce(DataFrame.union, gone))]
+        pairs = _kept(pairs.join(lost, "late", "left_anti").join(lost.withColumnRenamed("late", "early"), "early", "left_anti").select("early", "late"))
+    return points.join(reduce(DataFrame.union, gone), F.col("id") == F.col("late"), "left_anti") if gone else points
 
 
 def simplify(points: DataFrame, tolerance: float, keep: str | None = None) -> DataFrame:

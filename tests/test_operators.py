@@ -1,5 +1,7 @@
 """Exact values on small frames for what the catalogue's tables do not show."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from geoloom.functions import geometry as G
@@ -8,6 +10,7 @@ from geoloom.operators import changes as C
 from geoloom.operators import fusion as U
 from geoloom.operators import graph as GR
 from geoloom.operators import references as REF
+from geoloom.plans import catalog
 from geoloom.streaming.progress import throttled_stream
 
 
@@ -86,6 +89,23 @@ def test_greedy_and_simplify(spark):
     assert [r.seq for r in U.simplify(line, 2.0).orderBy("seq").collect()] == [0, 2, 3]
 
 
+def test_greedy_in_rounds(spark):
+    rng = random.Random(8)
+    rows = [(i, rng.randrange(300), rng.randrange(300), rng.choice([None, *range(40)])) for i in range(400)]
+    keep = []
+    for i, x, y, _ in sorted(rows, key=lambda r: (r[3] is None, r[3] or 0, r[0])):
+        if all((x - u) ** 2 + (y - v) ** 2 > 900 for _, u, v in keep):
+            keep.append((i, x, y))
+    df = U.greedy_apart(spark.createDataFrame(rows, "id long, x long, y long, w long"), 30, ["w"])
+    assert sorted(tuple(r)[:3] for r in df.collect()) == sorted(keep)
+    assert "FlatMapGroupsInArrow" not in df._jdf.queryExecution().toString()  # no group decides for all its points in one task
+
+
+def test_nearest_line_without_a_global_window(spark):
+    plan = catalog.QUERIES["jon19_nearest_line"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    assert "Window" not in plan
+
+
 def test_connectors(spark):
     uses = spark.createDataFrame([(1, "a"), (1, "b"), (1, "c"), (1, "d")], "id long, connector string")
     segs = spark.createDataFrame([(1, 0, 0, 10, 0)], "id long, x long, y long, x2 long, y2 long")
