@@ -9,7 +9,7 @@ from geoloom.operators import aggregates as A
 from geoloom.operators import fusion as U
 from geoloom.operators import sequences as S
 from geoloom.plans.base import BOXES, HOMES, LINES, NODES, SHOPS, WAY_NODES, boxes, homes, lines, nodes, query, shops, table, way_nodes
-from geoloom.plans.space import RASTER, _raster
+from geoloom.plans.space import RASTER, _raster, _span
 
 SITES = "sites AS (SELECT id, (x // 500) * 500 AS x0, (y // 500) * 500 AS y0, (x // 500) * 500 + 300 + id % 7 * 40 AS x1, (y // 500) * 500 + 420 - id % 5 * 30 AS y1, id % 3 = 0 AS tall FROM homes)"
 PLOTS = "plots AS (SELECT id, (x // 500) * 500 + 20 AS x0, (y // 500) * 500 AS y0, (x // 500) * 500 + 380 AS x1, (y // 500) * 500 + 400 AS y1 FROM shops)"
@@ -53,10 +53,10 @@ def _(spark, d):
 
 
 @query("jon30_tile_samples", f"WITH {RASTER}, p AS (SELECT CAST(c_custkey AS BIGINT) AS id, (c_custkey * 41 % 630) / 10.0 AS x, (c_custkey * 59 % 630) / 10.0 AS y FROM customer), k AS (SELECT id, floor(x) AS c, floor(y) AS r, x - floor(x) AS u, y - floor(y) AS v FROM p) SELECT k.id, CAST(round(10000 * (a.h * (1 - u) * (1 - v) + b.h * u * (1 - v) + e.h * (1 - u) * v + f.h * u * v)) AS BIGINT) AS h FROM k JOIN g a ON a.row = r AND a.col = c JOIN g b ON b.row = r AND b.col = c + 1 JOIN g e ON e.row = r + 1 AND e.col = c JOIN g f ON f.row = r + 1 AND f.col = c + 1")
-def _(spark, d):
+def _(spark, d, whole=False):
     k = F.col("c_custkey").cast("bigint")
-    pts = table(spark, d, "customer").select(k.alias("id"), (k * 41 % 630 / 10.0).alias("x"), (k * 59 % 630 / 10.0).alias("y"))
-    tiles = _raster(spark, d).select(F.floor(F.col("col") / 16).alias("tx"), F.floor(F.col("row") / 16).alias("ty"), (F.col("row") % 16).alias("row"), (F.col("col") % 16).alias("col"), "h")
+    pts = table(spark, d, "customer").select(k.alias("id"), (k * 41 % 630 / 10.0).alias("x"), (k * 59 % (_span(spark, d, 630, whole)) / 10.0).alias("y"))
+    tiles = _raster(spark, d, whole).select(F.floor(F.col("col") / 16).alias("tx"), F.floor(F.col("row") / 16).alias("ty"), (F.col("row") % 16).alias("row"), (F.col("col") % 16).alias("col"), "h")
     return U.tile_samples(pts, tiles, 16).select("id", F.round(F.col("h") * 10000).cast("bigint").alias("h"))
 
 
@@ -66,13 +66,13 @@ def _(spark, d):
 
 
 @query("agg19_blocks_touched", f"WITH {RASTER} SELECT tile, count(*) AS blocks, count(*) * 1024 AS bytes FROM (SELECT DISTINCT row % 3 AS tile, row // 8 AS r, col // 16 AS c FROM g WHERE h > 0.2) GROUP BY tile")
-def _(spark, d):
-    return U.blocks_touched(_raster(spark, d).where("h > 0.2").withColumn("tile", F.col("row") % 3), 8, 16, 1024)
+def _(spark, d, whole=False):
+    return U.blocks_touched(_raster(spark, d, whole).where("h > 0.2").withColumn("tile", F.col("row") % 3), 8, 16, 1024)
 
 
 @query("sca18_quantised", f"WITH {RASTER}, t AS (SELECT row % 4 AS tile, row, col, h, min(h) OVER (PARTITION BY row % 4) AS low FROM g) SELECT tile, row, col, CAST(round_even((h - low) / 0.125, 0) AS BIGINT) AS q FROM t")
-def _(spark, d):
-    return U.quantised(_raster(spark, d).withColumn("tile", F.col("row") % 4), 0.125).select("tile", "row", "col", "q")
+def _(spark, d, whole=False):
+    return U.quantised(_raster(spark, d, whole).withColumn("tile", F.col("row") % 4), 0.125).select("tile", "row", "col", "q")
 
 
 @query("jon32_inserted", f"WITH {WAY_NODES}, p AS (SELECT id, seq, ref AS a, lead(ref) OVER w AS b, lead(seq) OVER w AS seq2 FROM way_nodes WINDOW w AS (PARTITION BY id ORDER BY seq)), e AS (SELECT id, a, b FROM p WHERE seq = 1 AND b IS NOT NULL), h AS (SELECT e.id, e.a, e.b, count(*) AS n FROM e JOIN p ON p.id = e.id AND least(p.a, p.b) = least(e.a, e.b) AND greatest(p.a, p.b) = greatest(e.a, e.b) GROUP BY ALL), s AS (SELECT id, count(*) AS n FROM way_nodes GROUP BY id) SELECT s.id, s.n + coalesce(CASE WHEN h.n = 1 THEN 1 END, 0) AS vertices FROM s LEFT JOIN h ON h.id = s.id")

@@ -82,8 +82,8 @@ def _(spark, d):
 
 
 @query("agg28_grounded_components", "WITH RECURSIVE e AS (SELECT o_custkey * 2 AS a, (o_orderkey % 400) * 2 + 1 AS b FROM orders WHERE o_orderkey % 3 = 0), s(a, b) AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT DISTINCT a AS node, a AS seen FROM s UNION SELECT r.node, s.b FROM r JOIN s ON r.seen = s.a), c AS (SELECT node, min(seen) AS component FROM r GROUP BY node) SELECT component, count(*) AS grounded FROM c WHERE node % 5 = 0 GROUP BY component HAVING count(*) >= 2")
-def _(spark, d):
+def _(spark, d, whole=False):
     from geoloom.plans.space import _graph
 
-    g = _graph(spark, d)
+    g = _graph(spark, d, whole)
     return R.grounded_components(g, g.select(F.explode(F.array("a", "b")).alias("node")).where("node % 5 = 0"))

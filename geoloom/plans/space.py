@@ -86,27 +86,33 @@ def _(spark, d):
 
 
 @query("jon29_bilinear", "WITH g AS (SELECT vec_id AS row, unnest(range(0, 64)) AS col, unnest(embedding) AS h FROM embeddings WHERE vec_id < 64), p AS (SELECT CAST(c_custkey AS BIGINT) AS id, (c_custkey * 37 % 620) / 10.0 AS x, (c_custkey * 53 % 620) / 10.0 AS y FROM customer), k AS (SELECT id, floor(x) AS c, floor(y) AS r, x - floor(x) AS fu, y - floor(y) AS fv FROM p) SELECT id, CAST(round(10000 * (a.h * (1 - fu) * (1 - fv) + b.h * fu * (1 - fv) + e.h * (1 - fu) * fv + f.h * fu * fv)) AS BIGINT) AS h FROM k JOIN g a ON a.row = r AND a.col = c JOIN g b ON b.row = r AND b.col = c + 1 JOIN g e ON e.row = r + 1 AND e.col = c JOIN g f ON f.row = r + 1 AND f.col = c + 1")
-def _(spark, d):
+def _(spark, d, whole=False):
     k = F.col("c_custkey").cast("bigint")
-    pts = table(spark, d, "customer").select(k.alias("id"), (k * 37 % 620 / 10.0).alias("x"), (k * 53 % 620 / 10.0).alias("y"))
-    return P.bilinear(pts, _raster(spark, d), 0.0, 0.0, 1.0).select("id", F.round(F.col("h") * 10000).cast("bigint").alias("h"))
+    pts = table(spark, d, "customer").select(k.alias("id"), (k * 37 % 620 / 10.0).alias("x"), (k * 53 % (_span(spark, d, 620, whole)) / 10.0).alias("y"))
+    return P.bilinear(pts, _raster(spark, d, whole), 0.0, 0.0, 1.0).select("id", F.round(F.col("h") * 10000).cast("bigint").alias("h"))
+
+
+def _span(spark, d, few, whole):
+    """Tenths of a row over which points are spread: those of the first 64 rows, or of all."""
+    return table(spark, d, "embeddings").agg(F.max("vec_id")).first()[0] * 10 if whole else few
 
 
-def _raster(spark, d):
-    return table(spark, d, "embeddings").where("vec_id < 64").select(F.col("vec_id").alias("row"), F.posexplode("embedding").alias("col", "h")).withColumn("h", F.col("h").cast("double"))
+def _raster(spark, d, whole=False):
+    rows = table(spark, d, "embeddings")
+    return (rows if whole else rows.where("vec_id < 64")).select(F.col("vec_id").alias("row"), F.posexplode("embedding").alias("col", "h")).withColumn("h", F.col("h").cast("double"))
 
 
 RASTER = "g AS (SELECT vec_id AS row, CAST(unnest(range(0, 64)) AS INTEGER) AS col, CAST(unnest(embedding) AS DOUBLE) AS h FROM embeddings WHERE vec_id < 64)"
 
 
 @query("win12_opening", f"WITH {RASTER}, a AS (SELECT row, col, min(h) OVER (PARTITION BY row ORDER BY col ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS h FROM g), b AS (SELECT row, col, min(h) OVER (PARTITION BY col ORDER BY row ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS h FROM a), c AS (SELECT row, col, max(h) OVER (PARTITION BY row ORDER BY col ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS h FROM b) SELECT row, col, max(h) OVER (PARTITION BY col ORDER BY row ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS h FROM c")
-def _(spark, d):
-    return P.opening(_raster(spark, d), 2)
+def _(spark, d, whole=False):
+    return P.opening(_raster(spark, d, whole), 2)
 
 
 @query("win13_gaussian", f"WITH {RASTER}, a AS (SELECT row, col, 0.25 * coalesce(lag(h) OVER w, h) + 0.5 * h + 0.25 * coalesce(lead(h) OVER w, h) AS h FROM g WINDOW w AS (PARTITION BY row ORDER BY col)) SELECT row, col, CAST(round(100000 * (0.25 * coalesce(lag(h) OVER w, h) + 0.5 * h + 0.25 * coalesce(lead(h) OVER w, h))) AS BIGINT) AS h FROM a WINDOW w AS (PARTITION BY col ORDER BY row)")
-def _(spark, d):
-    return P.gaussian(_raster(spark, d), [0.25, 0.5, 0.25]).select("row", "col", F.round(F.col("h") * 100000).cast("bigint").alias("h"))
+def _(spark, d, whole=False):
+    return P.gaussian(_raster(spark, d, whole), [0.25, 0.5, 0.25]).select("row", "col", F.round(F.col("h") * 100000).cast("bigint").alias("h"))
 
 
 @query("jon01_resolved", f"WITH {WAY_NODES}, {NODES}, k AS (SELECT * FROM nodes WHERE id % 101 <> 0) SELECT id, seq, ref, x, y FROM (SELECT w.*, k.x, k.y, bool_or(k.id IS NULL) OVER (PARTITION BY w.id) AS bad FROM way_nodes w LEFT JOIN k ON w.ref = k.id) WHERE NOT bad")
@@ -351,8 +357,9 @@ def _(spark, d):
     return C.split(table(spark, d, "part"), ("size", F.col("p_size") > 45), ("price", F.col("p_retailprice") < 950))[1].select("p_partkey", "reason")
 
 
-def _graph(spark, d):
-    o = table(spark, d, "orders").where("o_orderkey % 3 = 0")
+def _graph(spark, d, whole=False):
+    o = table(spark, d, "orders")
+    o = o if whole else o.where("o_orderkey % 3 = 0")
     return o.select((F.col("o_custkey") * 2).alias("a"), ((F.col("o_orderkey") % 400) * 2 + 1).alias("b"))
 
 
@@ -360,13 +367,14 @@ GRAPH = "e AS (SELECT o_custkey * 2 AS a, (o_orderkey % 400) * 2 + 1 AS b FROM o
 
 
 @query("gra02_components", f"WITH RECURSIVE {GRAPH}, s AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT DISTINCT a AS node, a AS seen FROM s UNION SELECT r.node, s.b FROM r JOIN s ON r.seen = s.a) SELECT node, min(seen) AS component FROM r GROUP BY node".replace("s AS (", "s(a, b) AS ("))
-def _(spark, d):
-    return GR.components(_graph(spark, d))
+def _(spark, d, whole=False):
+    return GR.components(_graph(spark, d, whole))
 
 
 @query("gra01_closure")
-def _(spark, d):
-    inc = way_nodes(spark, d).select(F.col("id").alias("way"), F.col("ref").alias("node")).where("node % 3 = 0")
+def _(spark, d, whole=False):
+    inc = way_nodes(spark, d).select(F.col("id").alias("way"), F.col("ref").alias("node"))
+    inc = inc if whole else inc.where("node % 3 = 0")
     ways = inc.select("way").distinct()
     return GR.closure(ways.where("way % 997 = 1"), inc, ways.where("way % 5 = 0"))
 
@@ -387,15 +395,15 @@ def _(spark, d):
 
 
 @query("gra14_routes")
-def _(spark, d):
-    g = _graph(spark, d)
+def _(spark, d, whole=False):
+    g = _graph(spark, d, whole)
     pairs = g.select(F.col("a").alias("start"), (F.col("a") + 2).alias("goal")).distinct()
     return GR.route(g, pairs, 4)
 
 
 @query("gra15_distances")
-def _(spark, d):
-    g = _graph(spark, d).withColumn("length", (F.col("a") % 7 + 1).cast("double"))
+def _(spark, d, whole=False):
+    g = _graph(spark, d, whole).withColumn("length", (F.col("a") % 7 + 1).cast("double"))
     return GR.distances(g, g.where("a % 100 = 0").select(F.col("a").alias("node")), 20.0)
 
 

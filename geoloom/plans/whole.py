@@ -1,0 +1,20 @@
+"""The raster and graph queries over whole tables: all embeddings as raster rows, all orders as edges, all incidences.
+
+Their SQL is that of the query over a part, without its filter; the older queries keep theirs.
+"""
+
+from __future__ import annotations
+
+import functools
+
+from geoloom.plans import fused, jobs, road_queries, space  # noqa: F401
+from geoloom.plans.base import ORACLES, QUERIES
+
+NAMES = ["win12_opening", "win13_gaussian", "agg19_blocks_touched", "sca18_quantised", "jon29_bilinear", "jon30_tile_samples", "pip05_vertical", "gra01_closure", "gra02_components", "gra14_routes", "gra15_distances", "pip14_quality_report", "agg28_grounded_components"]
+SPAN = "(SELECT max(vec_id) * 10 FROM embeddings)"
+FILTERS = {" WHERE vec_id < 64": "", " WHERE o_orderkey % 3 = 0": "", "c_custkey * 53 % 620": f"c_custkey * 53 % {SPAN}", "c_custkey * 59 % 630": f"c_custkey * 59 % {SPAN}"}
+
+for _name in NAMES:
+    QUERIES[f"{_name}_whole"] = functools.partial(QUERIES[_name], whole=True)
+    if _name in ORACLES:
+        ORACLES[f"{_name}_whole"] = functools.reduce(lambda sql, f: sql.replace(*f), FILTERS.items(), ORACLES[_name])

@@ -31,3 +31,22 @@ def test_crossings_of_all_segments(spark):
     pairs = {(a, b) for a, _, b, _ in want if not refs[a] & refs[b]}
     found = catalog.QUERIES["jon21_all_unshared_crossings"](spark, SF).collect()
     assert len(found) == len(pairs) and {tuple(r) for r in found} == pairs
+
+
+def test_whole_rasters_and_graphs(spark):
+    run = lambda name: catalog.QUERIES[name](spark, SF)
+    n = spark.read.parquet(f"{SF}/embeddings.parquet").count()
+    assert n > 64 and run("win12_opening_whole").count() == run("sca18_quantised_whole").count() == 64 * n
+    edges = spark.read.parquet(f"{SF}/orders.parquet").select("o_orderkey", "o_custkey").collect()
+    up = {}
+
+    def root(v):
+        while up.setdefault(v, v) != v:
+            v = up[v]
+        return v
+
+    for key, customer in edges:
+        a, b = sorted((root(customer * 2), root(key % 400 * 2 + 1)))
+        up[b] = a
+    assert {(r.node, r.component) for r in run("gra02_components_whole").collect()} == {(v, root(v)) for v in list(up)}
+    assert run("pip14_quality_report_whole").first().edges == len(edges)
