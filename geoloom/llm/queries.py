@@ -76,7 +76,7 @@ def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = toxicity.train(docs.where(~toxicity.held_out()), table(spark, sf_dir, "labels"))
+    model = toxicity.train(docs.where(~toxicity.held_out()), table(spark, sf_dir, "labels").where(~toxicity.held_out()))
     found = toxicity.score(docs, model)
     return found.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 

@@ -289,6 +289,18 @@ def test_toxicity(spark):
     assert {r.score for r in toxicity.score(docs, none).collect()} == {0.5}
 
 
+def test_held_out_labels_use_up_no_bound(spark, monkeypatch):
+    import inspect
+
+    from geoloom.llm.queries import QUERIES
+
+    taken, train = [], toxicity.train
+    monkeypatch.setattr(toxicity, "train", lambda docs, labels, **k: taken.append(labels) or train(docs, labels, **k))
+    QUERIES["op6_toxicity"](spark, "/root/testdata/sf0.001")
+    assert taken[0].count() and not taken[0].where(toxicity.held_out()).count()
+    assert inspect.signature(train).parameters["max_train"].default == 40_000
+
+
 def test_digest_queries_name_their_columns():
     from geoloom.llm.queries import ORACLES, QUERIES
 
