@@ -2,8 +2,11 @@
 
 A pair of neighbouring bytes that occurs inside no vocabulary token can never be covered by a
 merge, so every encoding has a boundary there. Texts are cut at such pairs; the short fragments
-are encoded one by one, each distinct fragment once per task as far as a bounded cache reaches,
-and their ids are put together again. The result is the library's own for the whole text.
+are encoded one by one and their ids are put together again. A task remembers the ids of fragments
+of up to sixteen bytes in a table of bounded size, compared byte for byte and looked up for a
+whole slice of texts at once. The result is the library's own for the whole text. A tokenizers
+file whose normalizer and pre-tokenizer are not of the two kinds known here goes to the library
+text by text.
 
 Nulls and empty texts give empty id lists; repeated rows are encoded each; empty tables give
 empty results; only the named columns are read, so other columns never clash.
@@ -12,10 +15,10 @@ empty results; only the named columns are read, so other columns never clash.
 from __future__ import annotations
 
 import functools
+import itertools
 import json
 import os
 import re
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,11 +27,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from geoloom.llm.text import slices
+from geoloom.llm.text import Words, lanes, mix, slices
 
-HOT, KEPT, PASSING, LONGEST = 20_000, {True: 400_000, False: 200_000}, 60_000, 48
-SLICE = 1 << 20
-#: The pattern of the word-level vocabulary, for texts of ASCII and Latin-1 letters.
+SLICE, SLOTS, SHORT, PIECES, JOINED = 1 << 20, 1 << 21, 16, 300_000, 2000
+#: The pattern of the word-level vocabulary, and the same for texts of ASCII and Latin-1 letters.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 PLAIN = "!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
 PIECE = re.compile("\n|'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff\n]+")
 ODD = re.compile(f"^[^\n]*(?:[^{PLAIN}\n]|<\\|)[^\n]*$", re.MULTILINE)
@@ -80,8 +83,51 @@ def safe_pairs(tokens) -> np.ndarray:
     return safe
 
 
-def _packed(ids: list[int]) -> bytes:
-    return array("I", ids).tobytes()
+class Known:
+    """The ids of fragments of at most SHORT bytes, by open addressing; half of the slots are used at most."""
+
+    def __init__(self, slots: int = SLOTS):
+        self.low, self.high = np.zeros(slots, np.uint64), np.zeros(slots, np.uint64)
+        self.size, self.n, self.at = np.zeros(slots, np.uint8), np.zeros(slots, np.uint8), np.zeros(slots, np.int32)
+        self.ids, self.used, self.held = np.zeros(1 << 16, np.uint32), 0, 0
+        self.last, self.shift = slots - 1, np.uint64(65 - slots.bit_length())
+
+    def _slots(self, low: np.ndarray, high: np.ndarray, size: np.ndarray) -> np.ndarray:
+        return (mix(low ^ mix(high + size.astype(np.uint64))) >> self.shift).astype(np.int64)
+
+    def find(self, low: np.ndarray, high: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The slot of each fragment, or -1."""
+        slot, out = self._slots(low, high, size), np.full(len(low), -1)
+        there = self.size[slot]
+        same = (there == size) & (self.low[slot] == low) & (self.high[slot] == high)
+        out[same] = slot[same]
+        left = np.flatnonzero(~same & (there > 0))
+        while len(left):
+            at = slot[left] = (slot[left] + 1) & self.last
+            there = self.size[at]
+            same = (there == size[left]) & (self.low[at] == low[left]) & (self.high[at] == high[left])
+            out[left[same]] = at[same]
+            left = left[~same & (there > 0)]
+        return out
+
+    def stage(self, ids: np.ndarray) -> int:
+        """Puts ids behind those that are kept, and says where; they stay if add() follows."""
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.ids[self.used : self.used + len(ids)] = ids
+        return self.used
+
+    def add(self, low: np.ndarray, high: np.ndarray, size: np.ndarray, at: np.ndarray, n: np.ndarray) -> None:
+        """Keeps different fragments, not yet there, whose ids have been staged."""
+        slot, left = self._slots(low, high, size), np.arange(len(low))
+        while len(left):
+            free = left[self.size[slot[left]] == 0]
+            free = free[np.unique(slot[free], return_index=True)[1]]
+            to = slot[free]
+            self.low[to], self.high[to], self.size[to], self.at[to], self.n[to] = low[free], high[free], size[free], at[free], n[free]
+            left = np.setdiff1d(left, free, assume_unique=True)
+            slot[left] = (slot[left] + 1) & self.last
+        self.held += len(low)
 
 
 class Encoder:
@@ -95,89 +141,100 @@ class Encoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         spec = json.loads(self.tokenizer.to_str())
-        self.by_words = spec["normalizer"] is not None  # a normalizer that folds white space away
+        self.cutting = _cutting(spec)
         tokens = _token_bytes(self.tokenizer)
-        self.safe = None if self.by_words else safe_pairs(tokens.values())
+        self.safe = safe_pairs(tokens.values()) if self.cutting == "pairs" else np.zeros((256, 256), bool)
         self.table = [tokens.get(i, b"") for i in range(max(tokens) + 1)]
-        bare = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "pre_tokenizer": None, "added_tokens": []}))
-        self.merges = bare  # the merges alone, on pieces whose bytes are shown as characters
-        self.shown = {b: c for c, b in byte_alphabet().items()}
-        self.pieces: dict[str, bytes] = {}
-        self.hot: dict[bytes, bytes] = {}  # small enough for the processor's cache
-        self.kept: dict[bytes, bytes] = {}
-        self.passing: dict[bytes, bytes] = {}
-
-    def fragments(self, texts: list[bytes]) -> tuple[list[bytes], list[int]]:
-        """All fragments in order, and how many belong to each text."""
-        if self.by_words:
-            parts = [t.split() for t in texts]
-            return [f for p in parts for f in p], [len(p) for p in parts]
-        whole = b"".join(texts)
-        if not whole:
-            return [], [0] * len(texts)
-        data = np.frombuffer(whole, np.uint8)
-        cut = np.zeros(len(data) + 1, bool)
-        cut[1:-1] = self.safe[data[:-1], data[1:]]
+        self.known = Known()
+        if self.cutting == "words":
+            bare = spec | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": []}
+            self.merges = Tokenizer.from_str(json.dumps(bare))  # the merges alone, on pieces whose bytes are shown as characters
+            self.shown = {b: c for c, b in byte_alphabet().items()} | {32: " "}
+            suffix = spec["model"]["end_of_word_suffix"]
+            self.final = np.zeros(len(self.table), bool)
+            self.final[[i for t, i in self.merges.get_vocab().items() if t.endswith(suffix)]] = True
+            self.pieces: dict[str, bytes] = {}
+
+    def fragments(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Padded bytes; start and end of each fragment; and how many come before each text (one more entry than texts)."""
+        if self.cutting == "words":
+            found = Words(texts, lower=False, hashed=False)
+            return found.data, found.start, found.end, found.first
+        data = np.frombuffer(b"".join(texts) + bytes(8), np.uint8)
+        cut = np.zeros(len(data) - 7, bool)
+        cut[1:-1] = self.safe[data[:-9], data[1:-8]]
         edges = np.zeros(len(texts) + 1, np.int64)
         np.cumsum([len(t) for t in texts], out=edges[1:])
         cut[edges] = True
         at = np.flatnonzero(cut)
-        counts = np.diff(np.searchsorted(at, edges)).tolist()
-        at = at.tolist()
-        return [whole[a:b] for a, b in zip(at, at[1:], strict=False)], counts
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Each text's ids as little-endian unsigned 32-bit integers."""
-        parts, counts = self.fragments(texts)
-        ids = list(map(self.hot.get, parts))
-        if None in ids:
-            late = [k for k, i in enumerate(ids) if i is None]
-            for k, i in zip(late, map(self.kept.get, [parts[k] for k in late]), strict=True):
-                ids[k] = i
-        if None in ids:
-            late = [k for k in late if ids[k] is None]
-            second = self.passing
-            missing = list({parts[k] for k in late}.difference(second))
-            here = self._by_pieces(missing) if self.by_words else self._by_library(missing, self.tokenizer)
-            for k in late:
-                f = parts[k]
-                ids[k] = second[f] if f in second else here[f]
-            short = {f: i for f, i in here.items() if len(f) <= LONGEST}
-            if len(self.hot) < HOT:
-                self.hot.update(short)  # what comes first is mostly frequent
-            elif len(self.kept) < KEPT[self.by_words]:
-                self.kept.update(short)
-            else:
-                if len(second) > PASSING:
-                    second.clear()
-                second.update(short)
-        out, at = [], 0
-        for n in counts:
-            out.append(b"".join(ids[at : at + n]))
-            at += n
-        return out
-
-    @staticmethod
-    def _by_library(fragments: list[bytes], tokenizer) -> dict[bytes, bytes]:
-        found = tokenizer.encode_batch_fast([f.decode("utf-8", "replace") for f in fragments], add_special_tokens=False)
-        return {f: _packed(e.ids) for f, e in zip(fragments, found, strict=True)}
-
-    def _by_pieces(self, words: list[bytes]) -> dict[bytes, bytes]:
+        return data, at[:-1], at[1:], np.searchsorted(at, edges)
+
+    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids (unsigned, 32 bits) of the texts in order, and how many belong to each text."""
+        data, start, end, first = self.fragments(texts)
+        known, size = self.known, end - start
+        low, high = lanes(data, start, size), np.zeros(len(start), np.uint64)
+        more = np.flatnonzero(size > 8)
+        high[more] = lanes(data, start[more] + 8, size[more] - 8)
+        slot = known.find(low, high, np.where(size <= SHORT, size, 255))
+        at, n = known.at[slot].astype(np.int64), known.n[slot].astype(np.int64)
+        late = np.flatnonzero(slot < 0)
+        if len(late):
+            whole = data.tobytes()
+            parts = [whole[a:b] for a, b in zip(start[late].tolist(), end[late].tolist(), strict=True)]
+            place = {p: i for i, p in enumerate(dict.fromkeys(parts))}
+            ids, counts = self._by_pieces(list(place)) if self.cutting == "words" else self._by_library(list(place))
+            base = known.stage(ids) + np.cumsum(counts) - counts
+            which = np.fromiter(map(place.__getitem__, parts), np.int64, len(parts))
+            at[late], n[late] = base[which], counts[which]
+            fresh = late[np.unique(which, return_index=True)[1]]
+            fresh = fresh[(size[fresh] <= SHORT) & (n[fresh] < 256)]
+            if known.held + len(fresh) <= len(known.size) // 2:
+                known.add(low[fresh], high[fresh], size[fresh], at[fresh], n[fresh])
+                known.used += len(ids)
+        ends = np.cumsum(n)
+        out = known.ids[np.repeat(at - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)]
+        return out, np.diff(np.concatenate([[0], ends])[first])
+
+    def _by_library(self, fragments: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        found = [e.ids for e in self.tokenizer.encode_batch_fast([f.decode("utf-8", "replace") for f in fragments], add_special_tokens=False)]
+        counts = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(itertools.chain.from_iterable(found), np.uint32, int(counts.sum())), counts
+
+    def _by_pieces(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Words of plain Latin letters, digits and signs are cut as the tokenizer's own pattern
         cuts them, and go straight to its merges; others take the library's whole way."""
         texts = b"\n".join(words).decode("utf-8", "replace").split("\n")
         odd = set(ODD.findall("\n".join(texts)))
-        other = [w for w, t in zip(words, texts, strict=True) if t in odd] if odd else []
-        plain = [w for w, t in zip(words, texts, strict=True) if t not in odd] if odd else words
-        pieces = PIECE.findall(b"\n".join(plain).decode().lower())
-        if len(self.pieces) > KEPT[self.by_words]:
-            self.pieces.clear()
-        fresh = list(set(pieces).difference(self.pieces))
-        found = self.merges.encode_batch_fast([p.encode().decode("latin-1").translate(self.shown) for p in fresh], add_special_tokens=False)
-        self.pieces.update(zip(fresh, [_packed(e.ids) for e in found], strict=True))
-        self.pieces["\n"] = BETWEEN
-        out = dict(zip(plain, b"".join(map(self.pieces.__getitem__, pieces)).split(BETWEEN), strict=True)) if plain else {}
-        return out | self._by_library(other, self.tokenizer)
+        out: list = [None] * len(words)
+        other = [i for i, t in enumerate(texts) if t in odd] if odd else []
+        if other:
+            ids, counts = self._by_library([words[i] for i in other])
+            ends = np.cumsum(counts).tolist()
+            for i, a, b in zip(other, [0, *ends], ends, strict=False):
+                out[i] = ids[a:b].tobytes()
+        plain = [i for i, t in enumerate(texts) if t not in odd] if odd else range(len(words))
+        if len(plain):
+            pieces = PIECE.findall("\n".join([texts[i] for i in plain]).lower())
+            if len(self.pieces) > PIECES:
+                self.pieces.clear()
+            self._learn(list(set(pieces).difference(self.pieces, "\n")))
+            self.pieces["\n"] = BETWEEN
+            for i, x in zip(plain, b"".join(map(self.pieces.__getitem__, pieces)).split(BETWEEN), strict=True):
+                out[i] = x
+        counts = np.fromiter(map(len, out), np.int64, len(out)) // 4
+        return np.frombuffer(b"".join(out), "<u4"), counts
+
+    def _learn(self, pieces: list[str]) -> None:
+        """Encodes pieces, many in one string; each ends with the one token of it that carries the suffix."""
+        joined = [" ".join(pieces[a : a + JOINED]).encode().decode("latin-1").translate(self.shown) for a in range(0, len(pieces), JOINED)]
+        for k, e in enumerate(self.merges.encode_batch_fast(joined, add_special_tokens=False)):
+            own, ids = pieces[k * JOINED : (k + 1) * JOINED], np.array(e.ids, "<u4")
+            ends = np.flatnonzero(self.final[ids]) + 1
+            if len(ends) != len(own):
+                raise ValueError("the vocabulary's word ends are not those of its words")
+            data, edges = ids.tobytes(), (4 * ends).tolist()
+            self.pieces.update(zip(own, [data[a:b] for a, b in zip([0, *edges], edges, strict=False)], strict=True))
 
     def decode(self, ids: np.ndarray) -> str:
         """Text of ids, special tokens included; an id outside the vocabulary gives nothing."""
@@ -185,11 +242,31 @@ class Encoder:
         return b"".join([table[i] for i in ids.tolist() if 0 <= i < size]).decode("utf-8", "replace")
 
 
+def _cutting(spec: dict) -> str:
+    """Where texts may be cut: "words" between words, "pairs" at forced boundaries, else "texts"."""
+    way, before = spec["normalizer"], spec["pre_tokenizer"] or {}
+    steps = before.get("pretokenizers", [])
+    if way is None and before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space"):
+        return "pairs"
+    folds = way is not None and [x["type"] for x in way.get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]
+    if folds and (way["normalizers"][1]["pattern"], way["normalizers"][1]["content"]) == ({"Regex": r"\s+"}, " ") and [x["type"] for x in steps] == ["Split", "ByteLevel"]:
+        split, level = steps
+        if split["pattern"] == {"Regex": PATTERN} and split["behavior"] == "Removed" and split["invert"] and not level["use_regex"] and not level["add_prefix_space"] and spec["model"]["end_of_word_suffix"]:
+            return "words"
+    return "texts"
+
+
 @functools.lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+def _lists(ids: np.ndarray, counts: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    edges = np.zeros(len(counts) + 1, np.int32)
+    np.cumsum(counts, out=edges[1:])
+    return pa.ListArray.from_arrays(pa.array(edges), pa.array(ids.view(np.int32))), edges
+
+
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, ids array<int>), a row for each row of docs. No shuffle."""
 
@@ -198,10 +275,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
         for batch in batches:
             keys = batch.column(0)
             for first, texts in slices((x.as_py() for x in batch.column(1)), SLICE):
-                found = coder.encode(texts)
-                edges = np.zeros(len(found) + 1, np.int32)
-                np.cumsum([len(x) // 4 for x in found], out=edges[1:])
-                ids = pa.ListArray.from_arrays(pa.array(edges), pa.array(np.frombuffer(b"".join(found), "<i4")))
+                ids, _ = _lists(*coder.encode(texts))
                 yield pa.RecordBatch.from_arrays([keys.slice(first, len(texts)), ids], [id_col, "ids"])
 
     kind = docs.schema[id_col].dataType
@@ -234,11 +308,9 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
         coder = encoder(path)
         for batch in batches:
             for first, texts in slices((x.as_py() for x in batch.column(1)), SLICE):
-                found = coder.encode(texts)
-                edges = np.zeros(len(found) + 1, np.int32)
-                np.cumsum([len(x) // 4 for x in found], out=edges[1:])
-                ids = pa.ListArray.from_arrays(pa.array(edges), pa.array(np.frombuffer(b"".join(found), "<i4")))
-                decoded = [coder.decode(np.frombuffer(x, "<u4")) for x in found]
+                found, counts = coder.encode(texts)
+                ids, edges = _lists(found, counts)
+                decoded = [coder.decode(found[a:b]) for a, b in zip(edges, edges[1:], strict=False)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), ids, pa.array(decoded, pa.string())], [id_col, "ids", text_col])
 
     kind = docs.schema[id_col].dataType

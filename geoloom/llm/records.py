@@ -16,25 +16,23 @@ rows with equal ids by their text. Empty tables give an empty index.
 from __future__ import annotations
 
 import functools
-import os
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from geoloom.llm.bpe import SLICE, encoder
-from geoloom.llm.text import slices
+from geoloom.llm.text import open_folder, pieces_for, slices
 
 #: Fixed values of the record format: polynomial of CRC-32C (reflected), and the mask's constant.
 POLYNOMIAL, MASK = 0x82F63B78, 0xA282EAD8
 LANE = 256
-SPAN = 8 << 20
+SPAN, READ_BYTES = 8 << 20, 32 << 20
 
 
 @functools.lru_cache(maxsize=1)
@@ -139,11 +137,6 @@ def unframe(data: bytes) -> list[bytes]:
     return list(bodies)
 
 
-def open_folder(uri: str) -> tuple[pafs.FileSystem, str]:
-    """File system and path of a folder's address; a bare path is a local one."""
-    return pafs.FileSystem.from_uri(uri if ":" in uri else os.path.abspath(uri))
-
-
 def write_records(docs: DataFrame, folder: str, path: str, end_id: int | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encodes texts with the tokenizers file at ``path``, appends ``end_id`` to each, writes records in ascending order of ids.
 
@@ -155,17 +148,17 @@ def write_records(docs: DataFrame, folder: str, path: str, end_id: int | None, i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, part = encoder(path), TaskContext.get().partitionId()
         files, base = open_folder(folder)
-        tail = b"" if end_id is None else int(end_id).to_bytes(4, "little")
         width = 2 if max(len(coder.table), (end_id or 0) + 1) <= 1 << 16 else 4
         files.create_dir(base, recursive=True)
         name = f"part-{part:06d}-{uuid.uuid4().hex}.records"
         out, offset, position, before = None, 0, 0, 0
         for batch in batches:
             for first, texts in slices((x.as_py() for x in batch.column(1)), SLICE):
-                found = [ids + tail for ids in coder.encode(texts)]
-                counts = np.array([len(ids) // 4 for ids in found], np.int64)
-                if width == 2:
-                    found = [np.frombuffer(ids, "<u4").astype("<u2").tobytes() for ids in found]
+                ids, counts = coder.encode(texts)
+                if end_id is not None:
+                    ids, counts = np.insert(ids, np.cumsum(counts), end_id), counts + 1
+                data, ends = ids.astype(f"<u{width}").tobytes(), (np.cumsum(counts) * width).tolist()
+                found = [data[a:b] for a, b in zip([0, *ends], ends, strict=False)]
                 out = out or files.open_output_stream(f"{base}/{name}", compression=None)
                 out.write(frame(found))
                 sizes, n = counts * width + 16, len(texts)
@@ -215,7 +208,8 @@ def read_records(spark: SparkSession, folder: str) -> DataFrame:
         if source is not None:
             source.close()
 
-    ordered = index.repartitionByRange("part", "offset").sortWithinPartitions("part", "offset")
+    n = pieces_for(index.agg(F.sum("n_bytes").alias("n")).first()["n"] or 0, READ_BYTES)
+    ordered = index.repartitionByRange(n, "part", "offset").sortWithinPartitions("part", "offset")
     return ordered.mapInArrow(run, T.StructType([*index.schema.fields, T.StructField("ids", T.BinaryType())]))
 
 

@@ -1,6 +1,8 @@
 """Words, their 64-bit hashes and hash windows, vectorised over many texts at once.
 
-A word is a maximal run of bytes other than space and U+0009..U+000D in UTF-8. These helpers
+A word is a maximal run of bytes other than space and U+0009..U+000D in UTF-8. Its hash mixes each
+eight of its bytes with their place before they are added up, so that no pattern of letters makes
+words collide by rule, as it can with a polynomial modulo a power of two. These helpers
 run inside Spark tasks on a few megabytes at a time; nothing here starts a job, except
 ``total_bytes`` and ``shared_dir``, which the driver calls.
 """
@@ -8,24 +10,20 @@ run inside Spark tasks on a few megabytes at a time; nothing here starts a job,
 from __future__ import annotations
 
 import math
+import os
 import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHUNK_BYTES = 500_000
 NULL_ID = np.iinfo(np.int64).max
 
-_SPACE = np.zeros(256, dtype=bool)
-_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-
-_BASE = 0x9E3779B97F4A7C15
-_BASE_INVERSE = pow(_BASE, -1, 1 << 64)
+_MASKS = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
 _POWERS = {}
 
 
@@ -35,6 +33,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not found:
         current = spark.sparkContext.getCheckpointDir()
         if current is None:
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
             import tempfile
 
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-geoloom-"))
@@ -56,6 +56,11 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def open_folder(uri: str) -> tuple[pafs.FileSystem, str]:
+    """File system and path of a folder's address; a bare path is a local one."""
+    return pafs.FileSystem.from_uri(uri if ":" in uri else os.path.abspath(uri))
+
+
 def total_bytes(docs: DataFrame, text_col: str) -> int:
     return docs.agg(F.sum(F.octet_length(text_col)).alias("n")).first()["n"] or 0
 
@@ -75,7 +80,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def powers(n: int, base: int = _BASE) -> np.ndarray:
+def powers(n: int, base: int) -> np.ndarray:
     """base**0 .. base**(n-1) modulo 2**64."""
     have = _POWERS.get(base)
     if have is None or len(have) < n:
@@ -93,29 +98,50 @@ def utf8(value) -> bytes:
     return b"" if value is None else value if isinstance(value, bytes) else value.encode("utf-8", "surrogatepass")
 
 
+def padded(texts: list[bytes], lower: bool = False) -> np.ndarray:
+    """The texts' bytes, a space after each, and eight more bytes that belong to none."""
+    data = np.frombuffer(b" ".join(texts) + b" " * 9, np.uint8)
+    return data | ((data - np.uint8(65) < 26).view(np.uint8) << 5) if lower else data
+
+
+def lanes(data: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Up to eight bytes from each place in padded data as one integer, zeros behind ``size`` bytes."""
+    every = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
+    return every[at] & _MASKS.take(np.minimum(size, 8))
+
+
+def hashes_of(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each piece data[start:end] of padded data."""
+    size = end - start
+    out = mix(lanes(data, start, size) ^ (size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
+    long = np.flatnonzero(size > 8)
+    if len(long):
+        more = (size[long] - 1) // 8
+        begin = np.cumsum(more) - more
+        owner = np.repeat(long, more)
+        place = np.arange(len(owner)) - np.repeat(begin, more) + 1
+        found = lanes(data, start[owner] + 8 * place, size[owner] - 8 * place)
+        found = mix(found ^ mix(place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+        out[long] = mix(out[long] + np.add.reduceat(found, begin))
+    return out
+
+
 class Words:
     """The words of a list of texts: hashes (uint64) in order, and first[i]:first[i + 1] are those of text i."""
 
-    def __init__(self, texts: list[bytes], lower: bool):
-        lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+    def __init__(self, texts: list[bytes], lower: bool, hashed: bool = True):
         offsets = np.zeros(len(texts) + 1, np.int64)
-        np.cumsum(lengths + 1, out=offsets[1:])
-        data = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
-        if lower:
-            data = _LOWER[data]
-        inside = np.empty(len(data) + 1, np.int8)
-        inside[0] = 0
-        inside[1:] = ~_SPACE[data]
-        step = np.diff(inside)
-        self.start = np.flatnonzero(step == 1)
-        self.end = np.flatnonzero(step == -1)
+        np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1, out=offsets[1:])
+        self.data = padded(texts, lower)
+        shown = self.data[:-8]
+        space = (shown == 0x20) | (shown - np.uint8(9) < 5)
+        edge = np.flatnonzero(space[1:] != space[:-1]) + 1  # starts and ends take turns; the last byte is a space
+        if not space[0]:
+            edge = np.concatenate([[0], edge])
+        self.start, self.end = edge[::2], edge[1::2]
         self.first = np.searchsorted(self.start, offsets)
-        self.data = data
-        sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(len(data)), out=sums[1:])
-        found = (sums[self.end] - sums[self.start]) * powers(len(data), _BASE_INVERSE)[self.start]
-        found += (self.end - self.start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-        self.hashes = mix(found)
+        if hashed:
+            self.hashes = hashes_of(self.data, self.start, self.end)
 
     def of(self, i: int) -> np.ndarray:
         return self.hashes[self.first[i] : self.first[i + 1]]

@@ -1,6 +1,7 @@
 """Operators on documents, against brute force and on the awkward cases: nulls, empties, ties, repeats, extra columns."""
 
 import hashlib
+import json
 import random
 import zlib
 
@@ -10,7 +11,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from geoloom.llm import bpe, class_lm, decontaminate, minhash_dedup, records, substring_dedup, toxicity
-from geoloom.llm.text import new_folder
+from geoloom.llm.text import Words, new_folder
 
 SCHEMA = "doc_id long, text string, id string, batch int, keys string, n long, score string"
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -167,8 +168,51 @@ def test_bpe_fragments_equal_the_library_on_random_text():
         coder, library = bpe.Encoder(public_tokenizers.path(name)), Tokenizer.from_file(public_tokenizers.path(name))
         library.no_truncation()
         library.no_padding()
-        for got, want in zip(coder.encode([t.encode() for t in texts]), library.encode_batch(texts, add_special_tokens=False)):
-            assert np.frombuffer(got, "<u4").tolist() == want.ids
+        assert coder.cutting == ("pairs" if name.startswith("byte") else "words")
+        for _ in range(2):  # the second time from what is known
+            ids, counts = coder.encode([t.encode() for t in texts])
+            for got, want in zip(np.split(ids, np.cumsum(counts)[:-1]), library.encode_batch(texts, add_special_tokens=False), strict=True):
+                assert got.tolist() == want.ids
+
+
+def test_other_tokenizers_go_to_the_library(tmp_path):
+    spec = json.loads(Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")).to_str())
+    spec["normalizer"]["normalizers"].pop()
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(spec))
+    coder, library = bpe.Encoder(str(path)), Tokenizer.from_file(str(path))
+    texts = ["Some Words", "", "some words"]
+    ids, counts = coder.encode([t.encode() for t in texts])
+    assert coder.cutting == "texts"
+    assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_known_fragments_outgrow_their_table():
+    rng = random.Random(8)
+    coder = bpe.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    coder.known = bpe.Known(64)
+    texts = ["".join(rng.choice("abc") for _ in range(rng.randint(1, 24))) + " b" for _ in range(300)]
+    for a in range(0, 300, 50):
+        ids, counts = coder.encode([t.encode() for t in texts[a : a + 50]])
+        want = coder.tokenizer.encode_batch(texts[a : a + 50], add_special_tokens=False)
+        assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [w.ids for w in want]
+    assert 0 < coder.known.held <= 32
+
+
+def test_words_of_one_pattern_differ():
+    signs = [0]
+    for _ in range(10):
+        signs += [1 - x for x in signs]
+    one, other = ("".join("ab"[x ^ y] for x in signs) for y in (0, 1))
+    found = Words([one.encode(), other.encode()], lower=False)
+    assert len(one) == 1024 and found.hashes[0] != found.hashes[1]
+
+
+def test_a_very_long_text_has_its_words():
+    text = b"word " * 6_000_000
+    found = Words([text], lower=True)
+    assert len(found.start) == 6_000_000 and len(set(found.hashes.tolist())) == 1
+    assert len(Words([b"x" * 30_000_000], lower=False).hashes) == 1
 
 
 def test_records(docs, nothing, spark):
