@@ -8,6 +8,8 @@ a model is a few thousand (slot, weight) pairs, which are broadcast: their numbe
 
 Training is spread over a fixed number of shards. Each pass, every shard continues from the common
 state and goes through its rows in a fixed order; the states are then averaged (parameter mixing).
+States travel as files in the shared folder: what a shard changed as (slot, z, n), a name per task
+attempt, and the average of all, 2**bits slots. The driver reads one shard's file at a time.
 Training uses at most ``max_train`` labelled rows, chosen by a hash of the id; scoring covers all.
 
 Null and empty texts have the bias alone and get its score. Rows without a label, or with a null id, are not
@@ -16,6 +18,7 @@ trained on; an id with several labels counts with each. With no rows to train on
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from geoloom.llm.text import Words, checkpointed, mix, slices
+from geoloom.llm.text import Words, checkpointed, mix, new_folder, open_folder, slices
 
 STEM = 5
 BIAS = 0
@@ -81,15 +84,31 @@ def sigmoid(x):
     return 1.0 / (1.0 + np.exp(-np.clip(x, -35.0, 35.0)))
 
 
-def _shard_pass(start, settings: tuple):
-    """Goes through each shard's rows, which lie together in one partition, and gives the state that it ends with."""
+CHANGED = np.dtype([("slot", "<u4"), ("z", "<f4"), ("n", "<f4")])
+
+
+def _shard_pass(start: str | None, folder: str, settings: tuple):
+    """Goes through each shard's rows, which lie together in one partition, and writes what of the state changed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, own = None, None
+        files, base = open_folder(folder)
+        shard, own, first = None, None, None
+
+        def begun() -> Ftrl:
+            out = Ftrl(*settings)
+            if start is not None:
+                with files.open_input_file(f"{base}/{start}") as source:
+                    out.z[:], out.n[:] = np.frombuffer(source.read(), "<f8").reshape(2, -1)
+            return out
 
         def ended() -> pa.RecordBatch:
-            z, n = (pa.array([x.astype(np.float32).tobytes()], pa.binary()) for x in (own.z, own.n))
-            return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), z, n], ["shard", "z", "n"])
+            at = np.flatnonzero(own.n != first)
+            changed = np.empty(len(at), CHANGED)
+            changed["slot"], changed["z"], changed["n"] = at, own.z[at], own.n[at]
+            name = f"shard-{shard}-{uuid.uuid4().hex}"
+            with files.open_output_stream(f"{base}/{name}", compression=None) as out:
+                out.write(changed.tobytes())
+            return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([name])], ["shard", "file"])
 
         for batch in batches:
             shards, labels = batch.column(0).to_pylist(), batch.column(1).to_pylist()
@@ -97,8 +116,8 @@ def _shard_pass(start, settings: tuple):
                 if shards[i] != shard:
                     if own is not None:
                         yield ended()
-                    shard, own = shards[i], Ftrl(*settings)
-                    own.z[:], own.n[:] = start.value
+                    shard, own = shards[i], begun()
+                    first = own.n.copy()
                 own.learn(np.frombuffer(found.as_py(), "<u4").astype(np.int64), labels[i])
         if own is not None:
             yield ended()
@@ -122,19 +141,30 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     rows = texts.join(F.broadcast(marks), F.col("id") == F.col("lid")).select("id", "label", "text")
     rows = rows.mapInArrow(slots, T.StructType([rows.schema["id"], T.StructField("label", T.IntegerType()), T.StructField("slots", T.BinaryType())]))
     rows = rows.withColumn("turn", F.xxhash64("id", "label")).withColumn("shard", F.pmod(F.col("turn"), F.lit(shards)).cast("int"))
-    rows = checkpointed(rows.repartition(shards, "shard").sortWithinPartitions("shard", "turn", "slots").select("shard", "label", "slots"))
-    state = Ftrl(bits, alpha, beta, l1, l2)
-    for _ in range(passes):
-        start = docs.sparkSession.sparkContext.broadcast((state.z, state.n))
-        moved = rows.mapInArrow(_shard_pass(start, (bits, alpha, beta, l1, l2)), "shard int, z binary, n binary")
-        states = moved.toArrow().sort_by("shard")  # one state of 2**bits slots for each of the few shards
-        if not states.num_rows:
+    rows = checkpointed(rows.repartitionByRange(shards, "shard").sortWithinPartitions("shard", "turn", "slots").select("shard", "label", "slots"))
+    state, start, folder = Ftrl(bits, alpha, beta, l1, l2), None, new_folder(docs.sparkSession, "ftrl")
+    files, base = open_folder(folder)
+    files.create_dir(base, recursive=True)
+    for k in range(passes):
+        ended = sorted(rows.mapInArrow(_shard_pass(start, folder, (bits, alpha, beta, l1, l2)), "shard int, file string").collect())  # a row a shard
+        z, n, met = np.zeros(1 << bits), np.zeros(1 << bits), np.zeros(1 << bits, np.int32)
+        for _, name in ended:  # a slot's state is averaged over the shards that changed it
+            with files.open_input_file(f"{base}/{name}") as source:
+                changed = np.frombuffer(source.read(), CHANGED)
+            at = changed["slot"]
+            z[at] += changed["z"] - state.z[at]
+            n[at] += changed["n"] - state.n[at]
+            met[at] += 1
+            files.delete_file(f"{base}/{name}")
+        state.z += z / np.maximum(1, met)
+        state.n += n / np.maximum(1, met)
+        if start is not None:
+            files.delete_file(f"{base}/{start}")
+        if not ended or k == passes - 1:
             break
-        z, n = (np.array([np.frombuffer(x.as_py(), np.float32) for x in states[c]], np.float64) for c in ("z", "n"))
-        met = n != state.n.astype(np.float32)  # a slot's state is averaged over the shards that met it
-        state.z += np.where(met, z - state.z, 0.0).sum(0) / np.maximum(1, met.sum(0))
-        state.n += np.where(met, n - state.n, 0.0).sum(0) / np.maximum(1, met.sum(0))
-        start.destroy()
+        start = f"state-{k}"
+        with files.open_output_stream(f"{base}/{start}", compression=None) as out:
+            out.write(np.stack([state.z, state.n]).astype("<f8").tobytes())
     at = np.arange(1 << bits)
     w = state.weights(at)
     return {"slots": at[w != 0].astype(np.int64), "weights": w[w != 0], "bits": bits}
