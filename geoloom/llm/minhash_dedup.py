@@ -155,12 +155,21 @@ def _across(compared: DataFrame, parts: DataFrame, share: tuple[int, int], block
     return left.groupBy(*[f"own_{k}" for k in keys]).cogroup(right.groupBy(*keys)).applyInArrow(cross, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, share: tuple[int, int] = (80, 100), m: int = 10, t: int = 3, block: int = 2000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def sketches_for(share: tuple[int, int], t: int, miss: float = 0.0002) -> int:
+    """How many sketches a collection needs so that two documents just at the threshold meet but for a chance of ``miss``."""
+    m, alike = 1, (share[0] / share[1]) ** t
+    while 1 - (1 - (1 - alike) ** m) ** 2 > miss:
+        m += 1
+    return m
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, share: tuple[int, int] = (80, 100), m: int | None = None, t: int = 3, block: int = 2000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, n_shingles, component_id, kept), a row for each row of docs; links where share[1] * |A and B| >= share[0] * |A or B|.
 
-    With m = 10 and t = 3, two documents of similarity 0.85 meet in one of the 100 tables with a
-    probability of 0.9998, those of 0.9 of more than 0.99999.
+    Unless given, m is such that two documents just at the threshold meet in one of the m * m tables
+    with a probability of 0.9998: 10 for 0.85, 13 for 0.8. The more alike, the surer: of 0.9, more than 0.99999.
     """
+    m = m or sketches_for(share, t)
     sketched = checkpointed(sketches(docs, words, 2 * m * t, id_col, text_col))
     n_rows = sketched.count()
     some = sketched.where("n > 0 AND id IS NOT NULL")
@@ -180,7 +189,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, share: tuple[int, int] = (8
         return repeats.packed(key[0].as_py(), keys.reshape(-1), np.repeat(ids, keys.shape[1]), bits)
 
     def to_centre(key: tuple[pa.Scalar, ...], table: pa.Table, answer: pa.Table) -> pa.Table:
-        shared, low = repeats.known(answer)
+        shared, low, _ = repeats.known(answer)
         pairs = np.empty((0, 2), np.int64)
         if table.num_rows and len(shared):
             ids, keys = band(table)

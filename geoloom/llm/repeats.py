@@ -4,7 +4,8 @@ Documents are dealt into batches by a hash of their id. A batch sends each disti
 its smallest document id, to the bucket of the key's leading bits; a bucket finds the keys that
 several documents hold and answers each batch with those, and the smallest id of all. Blocks of
 sorted keys travel as one binary value, differences by byte plane, so a key costs about six bytes
-of shuffle, and a key that a third of all documents hold costs one entry a batch.
+of shuffle, and a key that a third of all documents hold costs one entry a batch. Where 64 bits may
+not tell all keys apart, each carries a second hash, its check, and counts as the same only with it.
 """
 
 from __future__ import annotations
@@ -19,8 +20,8 @@ from pyspark.sql import functions as F
 from geoloom.llm.text import pieces_for
 
 BATCH_BYTES, BUCKET_BYTES, LEAST = 4 << 20, 16 << 20, 256
-PACKED = "bucket int, batch int, keys binary, docs binary, several binary"
-ANSWER = "batch int, keys binary, docs binary"
+PACKED = "bucket int, batch int, keys binary, docs binary, several binary, checks binary"
+ANSWER = "batch int, keys binary, docs binary, checks binary"
 
 
 def planes(x: np.ndarray) -> bytes:
@@ -59,47 +60,56 @@ def runs(x: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edges[:-1], edges[1:], strict=True))
 
 
-def condense(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys in order, the smallest document of each, and whether it has several."""
-    if not len(keys):
-        return keys, docs, np.empty(0, bool)
-    order = np.lexsort((docs, keys))
-    keys, docs = keys[order], docs[order]
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    last = np.append(first[1:], len(keys)) - 1
-    return keys[first], docs[first], docs[last] > docs[first]
+def _sorted(keys: np.ndarray, checks: np.ndarray | None, *others: np.ndarray) -> tuple[list[np.ndarray | None], np.ndarray]:
+    """keys, checks and the others in order of all of them, and where each key (with its check) begins."""
+    order = np.lexsort((*others[::-1], keys) if checks is None else (*others[::-1], checks, keys))
+    keys, checks, *others = (x if x is None else x[order] for x in (keys, checks, *others))
+    fresh = np.ones(len(keys), bool)
+    fresh[1:] = keys[1:] != keys[:-1]
+    if checks is not None:
+        fresh[1:] |= checks[1:] != checks[:-1]
+    return [keys, checks, *others], np.flatnonzero(fresh)
+
+
+def packed(batch: int, keys: np.ndarray, docs: np.ndarray, bits: int, checks: np.ndarray | None = None) -> pa.Table:
+    """The batch's rows of schema PACKED for its (key, document) occurrences, of any order: distinct
+    keys in order, the smallest document of each, and whether it has several."""
+    (keys, checks, docs), first = _sorted(keys, checks, docs)
+    last = np.append(first[1:], len(keys))[: len(first)] - 1
+    several = docs[last] > docs[first]
+    keys, docs = keys[first], docs[first]
+    checks = None if checks is None else checks[first]
+    bucket = (keys >> np.uint64(64 - bits)).astype(np.int64)
+    rows = [(int(bucket[a]), batch, pack_sorted(keys[a:b]), planes(docs[a:b]), several[a:b].tobytes(), b"" if checks is None else planes(checks[a:b])) for a, b in runs(bucket)]
+    columns = list(zip(*rows, strict=True)) or [[]] * 6
+    kinds = (pa.int32(), pa.int32(), *[pa.binary()] * 4)
+    return pa.table([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["bucket", "batch", "keys", "docs", "several", "checks"])
 
 
-def packed(batch: int, keys: np.ndarray, docs: np.ndarray, bits: int) -> pa.Table:
-    """The batch's rows of schema PACKED for its (key, document) occurrences, of any order."""
-    keys, docs, several = condense(keys, docs)
-    bucket = (keys >> np.uint64(64 - bits)).astype(np.int64)
-    rows = [(int(bucket[a]), batch, pack_sorted(keys[a:b]), planes(docs[a:b]), several[a:b].tobytes()) for a, b in runs(bucket)]
-    columns = list(zip(*rows, strict=True)) or [[]] * 5
-    return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["bucket", "batch", "keys", "docs", "several"])
+def _unpacked(table: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray | None]:
+    """Keys block by block; all keys, documents and, where there are any, checks."""
+    blocks = [unpack_sorted(x.as_py()) for x in table["keys"]]
+    docs = np.concatenate([from_planes(x.as_py(), np.int64) for x in table["docs"]])
+    checks = np.concatenate([from_planes(x.as_py()) for x in table["checks"]])
+    return blocks, np.concatenate(blocks), docs, checks if len(checks) else None
 
 
 def _answers(table: pa.Table) -> pa.Table:
-    batches = table["batch"].to_numpy()
-    keys = [unpack_sorted(x.as_py()) for x in table["keys"]]
-    owner = np.repeat(batches, [len(k) for k in keys])
-    keys = np.concatenate(keys)
-    docs = np.concatenate([from_planes(x.as_py(), np.int64) for x in table["docs"]])
+    blocks, keys, docs, checks = _unpacked(table)
+    owner = np.repeat(table["batch"].to_numpy(), [len(k) for k in blocks])
     several = np.concatenate([np.frombuffer(x.as_py(), np.bool_) for x in table["several"]])
-    order = np.lexsort((docs, keys))
-    keys, docs, owner, several = keys[order], docs[order], owner[order], several[order]
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    (keys, checks, docs, owner, several), first = _sorted(keys, checks, docs, owner, several)
     counts = np.diff(np.append(first, len(keys)))
     low = np.repeat(docs[first], counts)
     # several batches, but one and the same id in all of them, is no repeat
     last = np.append(first[1:], len(keys)) - 1
-    keep = np.repeat((docs[last] > docs[first]) | np.logical_or.reduceat(several, first), counts)
+    keep = np.flatnonzero(np.repeat((docs[last] > docs[first]) | np.logical_or.reduceat(several, first), counts))
+    keep = keep[np.argsort(owner[keep], kind="stable")]
     keys, low, owner = keys[keep], low[keep], owner[keep]
-    order = np.argsort(owner, kind="stable")
-    keys, low, owner = keys[order], low[order], owner[order]
-    rows = [(int(owner[a]), pack_sorted(keys[a:b]), planes(low[a:b])) for a, b in runs(owner)]
-    columns = list(zip(*rows, strict=True)) or [[]] * 3
-    return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.binary(), pa.binary()), strict=True)], ["batch", "keys", "docs"])
+    checks = None if checks is None else checks[keep]
+    rows = [(int(owner[a]), pack_sorted(keys[a:b]), planes(low[a:b]), b"" if checks is None else planes(checks[a:b])) for a, b in runs(owner)]
+    columns = list(zip(*rows, strict=True)) or [[]] * 4
+    return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int32(), *[pa.binary()] * 3), strict=True)], ["batch", "keys", "docs", "checks"])
 
 
 def repeated(blocks: DataFrame) -> DataFrame:
@@ -107,14 +117,25 @@ def repeated(blocks: DataFrame) -> DataFrame:
     return blocks.groupBy("bucket").applyInArrow(_answers, ANSWER)
 
 
-def known(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """All of a batch's answers as sorted keys and the smallest document of each."""
+def known(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+    """All of a batch's answers: sorted keys, the smallest document of each, and the checks, if any."""
     if not table.num_rows:
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
-    keys = np.concatenate([unpack_sorted(x.as_py()) for x in table["keys"]])
-    docs = np.concatenate([from_planes(x.as_py(), np.int64) for x in table["docs"]])
-    order = np.argsort(keys)
-    return keys[order], docs[order]
+        return np.empty(0, np.uint64), np.empty(0, np.int64), None
+    _, keys, docs, checks = _unpacked(table)
+    (keys, checks, docs), _ = _sorted(keys, checks, docs)
+    return keys, docs, checks
+
+
+def places(keys: np.ndarray, checks: np.ndarray, own: np.ndarray, own_checks: np.ndarray) -> np.ndarray:
+    """Where each own key stands among sorted keys with the same check, or -1."""
+    if not len(keys):
+        return np.full(len(own), -1)
+    at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
+    while True:  # keys that are equal but for their check stand side by side
+        on = (keys[at] == own) & (checks[at] != own_checks) & (at + 1 < len(keys))
+        if not on.any():
+            return np.where((keys[at] == own) & (checks[at] == own_checks), at, -1)
+        at[on] += 1
 
 
 def rows_of(table: pa.Table, column: str) -> Iterator[bytes]:

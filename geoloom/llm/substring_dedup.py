@@ -8,7 +8,8 @@ smallest Rabin-Karp hash among its runs of ``run`` words; equal windows have equ
 neighbouring windows mostly share theirs, so marks are about one word in eighteen. First the marks
 are counted, then the full hashes of the windows whose mark several documents hold, then the
 repeated hashes go back to their documents. The sieve loses nothing. All three steps read the
-texts from one shuffle.
+texts from one shuffle. A window counts as repeated only where two hashes of it, 128 bits in all,
+agree.
 
 Null and empty texts have no words; they and texts shorter than a window lose nothing. A null id
 counts as larger than all others. Rows of equal id keep what they share with each other.
@@ -25,9 +26,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from geoloom.llm import repeats
-from geoloom.llm.text import Words, ids_of, in_sorted, rolling, sliding_min, slices, total_bytes
+from geoloom.llm.text import Words, ids_of, in_sorted, mix, rolling, sliding_min, slices, total_bytes
 
-RUN_BASE, WINDOW_BASE = 0xA0761D6478BD642F, 0xE7037ED1A0B428DB
+RUN_BASE, WINDOW_BASE, CHECK_BASE = 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3
+
+
+def _checks(words: Words, window: int) -> np.ndarray:
+    """A second hash of each window, from other word hashes and another base."""
+    return rolling(mix(words.hashes ^ np.uint64(0x589965CC75374CC3)), window, CHECK_BASE)
 
 
 def _windows(texts: list[bytes], window: int, run: int) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray]:
@@ -64,27 +70,31 @@ def substring_dedup(docs: DataFrame, window: int = 50, run: int = 16, id_col: st
         return repeats.packed(key[0].as_py(), np.concatenate(found), np.concatenate(owners), bits)
 
     def hashes(key: tuple[pa.Scalar, ...], table: pa.Table, answer: pa.Table) -> pa.Table:
-        shared, _ = repeats.known(answer)
-        ids, found, owners = ids_of(table["id"]), [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+        shared, _, _ = repeats.known(answer)
+        ids, found, checks, owners = ids_of(table["id"]), [np.empty(0, np.uint64)], [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
         for first, part in slices(repeats.rows_of(table, "text")):
             words, start, text, mark = _windows(part, window, run)
             may = in_sorted(mark, shared)
             if may.any():
                 found.append(rolling(words.hashes, window, WINDOW_BASE)[start[may]])
+                checks.append(_checks(words, window)[start[may]])
                 owners.append(ids[first + text[may]])
-        return repeats.packed(key[0].as_py(), np.concatenate(found), np.concatenate(owners), bits)
+        return repeats.packed(key[0].as_py(), np.concatenate(found), np.concatenate(owners), bits, np.concatenate(checks))
 
     def cut(key: tuple[pa.Scalar, ...], table: pa.Table, answer: pa.Table) -> pa.Table:
-        again, lowest = repeats.known(answer)
+        again, lowest, again_checks = repeats.known(answer)
         ids, out = ids_of(table["id"]), []
         for first, part in slices(repeats.rows_of(table, "text")):
             words = Words(part, lower=False)
             full = rolling(words.hashes, window, WINDOW_BASE)
+            hit = np.flatnonzero(in_sorted(full, again))
+            least = np.full(len(full), np.iinfo(np.int64).max)
+            if len(hit):
+                place = repeats.places(again, again_checks, full[hit], _checks(words, window)[hit])
+                least[hit[place >= 0]] = lowest[place[place >= 0]]
             for i, text in enumerate(part):
                 a, b = words.first[i], words.first[i + 1]
-                own = full[a : max(a, b - window + 1)]
-                gone = np.flatnonzero(in_sorted(own, again))
-                gone = gone[lowest[np.searchsorted(again, own[gone])] < ids[first + i]] if len(gone) else gone
+                gone = np.flatnonzero(least[a : max(a, b - window + 1)] < ids[first + i])
                 if not len(gone):
                     out.append((b - a, 0, [], b" ".join(text.split())))
                     continue
