@@ -25,12 +25,31 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from geoloom.llm.minhash_dedup import _coefficients, shingle_sets
-from geoloom.llm.text import Words, in_sorted, pieces_for, rolling, slices, total_bytes
+from geoloom.llm.text import Words, in_sorted, new_folder, pieces_for, rolling, slices, total_bytes
 
 LEAST_CLASS = 3
 FILTER_BITS = 16
 
 
+def _coarse(keys: np.ndarray) -> np.ndarray:
+    """Which leading bits occur among the keys."""
+    out = np.zeros(1 << FILTER_BITS, bool)
+    out[keys >> np.uint64(64 - FILTER_BITS)] = True
+    return out
+
+
+def _matches(values: np.ndarray, whose: np.ndarray, keys: np.ndarray, members: np.ndarray, coarse: np.ndarray) -> list[tuple[int, int]]:
+    """(text, item) where a value of the text is one of the sorted keys, with the item it belongs to."""
+    may = np.flatnonzero(coarse[values >> np.uint64(64 - FILTER_BITS)])
+    may = may[in_sorted(values[may], keys)]
+    found: list[tuple[int, int]] = []
+    if len(may):
+        lo, hi = np.searchsorted(keys, values[may]), np.searchsorted(keys, values[may], side="right")
+        for w, x, y in zip(whose[may].tolist(), lo.tolist(), hi.tolist(), strict=True):
+            found += [(w, int(i)) for i in members[x:y]]
+    return found
+
+
 class Items:
     """A block of benchmark items: sets, and minhash tables by size class."""
 
@@ -40,17 +59,19 @@ class Items:
         self.sets = list(shingle_sets(texts, words))
         self.tables: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
         classes: dict[int, list[int]] = {}
+        few = [i for i, own in enumerate(self.sets) if 0 < len(own) <= 1 << LEAST_CLASS]
+        shingle, member = np.concatenate([np.empty(0, np.uint64), *(self.sets[i] for i in few)]), np.repeat(few, [len(self.sets[i]) for i in few]).astype(np.int64)
+        order = np.argsort(shingle, kind="stable")
+        self.few = (shingle[order], member[order], _coarse(shingle))
         for i, own in enumerate(self.sets):
-            if len(own):
-                classes.setdefault(max(LEAST_CLASS, (len(own) - 1).bit_length()), []).append(i)
+            if len(own) > 1 << LEAST_CLASS:
+                classes.setdefault((len(own) - 1).bit_length(), []).append(i)
         for c, members in classes.items():
             mins = np.array([(self.a[:, None] * self.sets[i][None, :] + self.b[:, None]).min(axis=1) for i in members])
             rows = []
             for p in range(n_hashes):
                 order = np.argsort(mins[:, p], kind="stable")
-                coarse = np.zeros(1 << FILTER_BITS, bool)
-                coarse[mins[:, p] >> np.uint64(64 - FILTER_BITS)] = True
-                rows.append((mins[order, p], np.array(members)[order], coarse))
+                rows.append((mins[order, p], np.array(members)[order], _coarse(mins[:, p])))
             self.tables[c] = rows
 
     def candidates(self, texts: list[bytes]) -> tuple[np.ndarray, Words]:
@@ -59,7 +80,7 @@ class Items:
         n = np.maximum(np.diff(found.first) - self.words + 1, 0)
         short = (n == 0) & (np.diff(found.first) > 0)
         size = np.where(short, 1, n)
-        if not size.sum() or not self.tables:
+        if not size.sum() or not (self.tables or len(self.few[0])):
             return np.empty((0, 2), np.int64), found
         full = rolling(found.hashes, self.words, 0xC2B2AE3D27D4EB4F)
         values = np.empty(int(size.sum()), np.uint64)
@@ -76,8 +97,8 @@ class Items:
         owner = np.repeat(np.arange(len(texts)), blocks)
         within = np.arange(len(owner)) - (np.cumsum(blocks) - blocks)[owner]
         starts = (ends - size)[owner] + within * base
-        pairs = []
-        for p in range(len(self.a)):
+        pairs = _matches(values, text, *self.few)
+        for p in range(len(self.a) if self.tables else 0):
             mins = np.minimum.reduceat(values * self.a[p] + self.b[p], starts)
             whose, place = owner, within
             for c in range(LEAST_CLASS, max(self.tables) + 1):
@@ -91,13 +112,7 @@ class Items:
                     window = mins.copy()
                     same = whose[1:] == whose[:-1]
                     window[:-1][same] = np.minimum(mins[:-1], mins[1:])[same]
-                    keys, members, coarse = self.tables[c][p]
-                    may = np.flatnonzero(coarse[window >> np.uint64(64 - FILTER_BITS)])
-                    may = may[in_sorted(window[may], keys)]
-                    if len(may):
-                        lo, hi = np.searchsorted(keys, window[may]), np.searchsorted(keys, window[may], side="right")
-                        for w, x, y in zip(whose[may].tolist(), lo.tolist(), hi.tolist(), strict=True):
-                            pairs += [(w, int(i)) for i in members[x:y]]
+                    pairs += _matches(window, whose, *self.tables[c][p])
         return (np.unique(np.array(pairs, np.int64), axis=0) if pairs else np.empty((0, 2), np.int64)), found
 
     def contained(self, texts: list[bytes], share: tuple[int, int]) -> list[tuple[int, int, int]]:
@@ -117,10 +132,20 @@ class Items:
 def _blocks(items: DataFrame, words: int, n_hashes: int, block_bytes: int, id_col: str, text_col: str) -> Iterator:
     n = pieces_for(total_bytes(items, text_col), block_bytes)
     for k in range(n):
-        part = items.where(F.pmod(F.xxhash64(id_col), F.lit(n)) == k).select(id_col, F.encode(text_col, "UTF-8").alias("text")).orderBy(id_col, "text")
+        part = items.where(F.pmod(F.xxhash64(id_col, text_col), F.lit(n)) == k).select(id_col, F.encode(text_col, "UTF-8").alias("text")).orderBy(id_col, "text")
         held = part.toArrow()  # one block: about block_bytes
         ids, texts = held[id_col].to_pylist(), [x or b"" for x in held["text"].to_pylist()]
-        yield items.sparkSession.sparkContext.broadcast(Items(ids, texts, words, n_hashes))
+        block = items.sparkSession.sparkContext.broadcast(Items(ids, texts, words, n_hashes))
+        yield block, n > 1
+        if n > 1:
+            block.destroy()
+
+
+def _written(found: DataFrame) -> DataFrame:
+    """found, computed now and read back from the shared folder."""
+    folder = new_folder(found.sparkSession, "decontaminated")
+    found.write.parquet(folder)
+    return found.sparkSession.read.schema(found.schema).parquet(folder)
 
 
 def contained_items(docs: DataFrame, items: DataFrame, words: int = 5, share: tuple[int, int] = (80, 100), n_hashes: int = 64, block_bytes: int = 16 << 20, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -129,7 +154,7 @@ def contained_items(docs: DataFrame, items: DataFrame, words: int = 5, share: tu
     kinds = [docs.schema[id_col].dataType, items.schema[item_id].dataType, T.LongType(), T.LongType()]
     schema = T.StructType([T.StructField(n, k) for n, k in zip([id_col, item_id, "n_shared", "n_item"], kinds, strict=True)])
     out = None
-    for block in _blocks(items, words, n_hashes, block_bytes, item_id, item_text):
+    for block, several in _blocks(items, words, n_hashes, block_bytes, item_id, item_text):
 
         def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
             held = block.value
@@ -143,6 +168,7 @@ def contained_items(docs: DataFrame, items: DataFrame, words: int = 5, share: tu
 
         batch_kind = _arrow_type(items.schema[item_id].dataType)
         part = texts.mapInArrow(run, schema)
+        part = _written(part) if several else part
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -154,7 +180,7 @@ def _arrow_type(kind: T.DataType) -> pa.DataType:
 def decontaminate(docs: DataFrame, items: DataFrame, words: int = 5, share: tuple[int, int] = (80, 100), n_hashes: int = 64, block_bytes: int = 16 << 20, text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows of docs that contain no item, with all their columns. No shuffle."""
     names = docs.columns
-    for block in _blocks(items, words, n_hashes, block_bytes, item_id, item_text):
+    for block, several in _blocks(items, words, n_hashes, block_bytes, item_id, item_text):
 
         def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
             at = names.index(text_col)
@@ -165,4 +191,5 @@ def decontaminate(docs: DataFrame, items: DataFrame, words: int = 5, share: tupl
                     yield batch.slice(first, len(part)).filter(pa.array(keep))
 
         docs = docs.mapInArrow(run, docs.schema)
+        docs = _written(docs) if several else docs
     return docs
