@@ -24,13 +24,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from geoloom.llm.records import open_folder
-from geoloom.llm.text import checkpointed
+from geoloom.llm.text import checkpointed, open_folder, pieces_for
 
 #: Fixed values of the formats.
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-FRAME_BYTES = 1 << 20
+FRAME_BYTES, READ_BYTES = 1 << 20, 32 << 20
 
 
 def with_types(pages: DataFrame, least: int = 100, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
@@ -182,7 +181,8 @@ def read_bundles(spark: SparkSession, folder: str) -> DataFrame:
         if source is not None:
             source.close()
 
-    ordered = index.repartitionByRange("part", "frame").sortWithinPartitions("part", "frame", "offset")
+    n = pieces_for(index.agg(F.sum("n_record").alias("n")).first()["n"] or 0, READ_BYTES)
+    ordered = index.repartitionByRange(n, "part", "frame").sortWithinPartitions("part", "frame", "offset")
     found = ordered.mapInArrow(run, "id string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to string")
     return found.withColumn("id", F.col("id").cast(kind)).withColumn("refers_to", F.col("refers_to").cast(kind))
 
