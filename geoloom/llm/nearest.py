@@ -8,12 +8,16 @@ vectors, and the reach at which ``target`` of their true neighbours are found is
 Largest inner product becomes nearest direction by one more coordinate, which gives every vector
 the same length.
 
-Equal vectors are indexed once, with their ``k + 1`` smallest ids; no more can be among the k
+Vectors keep their own precision (others than float become double). Each is sent once to be grouped
+with its equals and once per tree; queries are sent to the leaves they take.
+
+Equal vectors (by 128 bits of hash) are indexed once, with their ``k + 1`` smallest ids; no more can be among the k
 nearest. Entries of a leaf are dealt into blocks of a bounded size, so a leaf that outgrew the
 sample is many tasks' work, not a dropped one. A query vector is searched once for all rows that hold it.
 
-Vectors null, empty, zero, of another length than most of the sample, or holding null or non-finite
-components take no part, nor do rows with a null id; rows of equal id and vector count once. With
+Vectors null, empty, zero, or holding null or non-finite components take no part, nor do rows with
+a null id; shorter vectors count as if filled up with zeros; rows of equal id and vector count once, an
+id with several vectors with each. ``target=1.0`` searches every leaf, which makes the result exact. With
 fewer candidates than k, all are returned; empty tables give no rows.
 """
 
@@ -26,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from geoloom.llm.text import checkpointed
 
@@ -99,11 +104,17 @@ class Forest:
 
 
 def valid_vectors(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(vec_id, v): distinct rows that take part."""
-    v = F.col(vector_col)
+    """(vec_id, v): rows that take part, vectors of one length."""
+    given = vectors.schema[vector_col].dataType.elementType
+    kind = given if isinstance(given, T.FloatType) else T.DoubleType()
+    v = F.col(vector_col).cast(T.ArrayType(kind))
     big = F.lit(float("inf"))
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < big)) & F.exists(v, lambda x: x != 0)
-    return vectors.where(F.col(id_col).isNotNull() & v.isNotNull() & fine).select(F.col(id_col).cast("long").alias("vec_id"), v.cast("array<float>").alias("v"))
+    rows = vectors.where(F.col(id_col).isNotNull() & v.isNotNull() & fine).select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v"))
+    least, most = rows.agg(F.min(F.size("v")), F.max(F.size("v"))).first()
+    if least == most:
+        return rows
+    return rows.withColumn("v", F.concat("v", F.array_repeat(F.lit(0).cast(kind), F.lit(most) - F.size("v"))))
 
 
 def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -113,14 +124,35 @@ def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
 
 
 def products(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
-    """Inner products in double precision, added in the order of the components whatever the shapes."""
-    out = np.zeros((len(queries), len(vectors)))
-    q, v = queries.astype(np.float64), np.ascontiguousarray(vectors.astype(np.float64).T)
-    for d in range(v.shape[0]):
-        out += q[:, d, None] * v[d]
+    """Inner products in double precision of each query with its own list of vectors, added in the order of the components."""
+    out = np.zeros(vectors.shape[:2])
+    for d in range(vectors.shape[2]):
+        out += queries[:, d, None].astype(np.float64) * vectors[:, :, d].astype(np.float64)
     return out
 
 
+def best_of(queries: np.ndarray, vectors: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of each query's k best vectors (all, if fewer), best first and ties in their order, and the exact scores.
+
+    A fast product finds all that can be among them, the exact one ranks these.
+    """
+    q, v = queries.astype(np.float64), vectors.astype(np.float64)
+    k = min(k, len(v))
+    rough = q @ v.T
+    floor = -np.partition(-rough, k - 1, axis=1)[:, k - 1]
+    room = 1e-12 * v.shape[1] * np.abs(q).max(1) * np.abs(v).max()
+    may = rough >= (floor - room)[:, None]
+    width = int(may.sum(1).max())
+    at = np.sort(np.argsort(~may, axis=1, kind="stable")[:, :width], axis=1) if width < len(v) else np.broadcast_to(np.arange(len(v)), may.shape)
+    places, scores = np.empty((len(q), k), np.int64), np.empty((len(q), k))
+    for a in range(0, len(q), step := max(1, (1 << 22) // max(1, width * v.shape[1]))):
+        own = at[a : a + step]
+        exact = products(q[a : a + step], v[own])
+        best = np.argsort(-exact, axis=1, kind="stable")[:, :k]
+        places[a : a + step], scores[a : a + step] = np.take_along_axis(own, best, 1), np.take_along_axis(exact, best, 1)
+    return places, scores
+
+
 def _exact(groups: DataFrame, queries: np.ndarray, k: int) -> pa.Table:
     """The k nearest of all vectors for a bounded block of queries: (q, v), 0 <= q < len(queries)."""
     carried = groups.sparkSession.sparkContext.broadcast(queries)
@@ -128,13 +160,12 @@ def _exact(groups: DataFrame, queries: np.ndarray, k: int) -> pa.Table:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                scores = products(carried.value, _matrix(batch.column(1)))
-                best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+                best, scores = best_of(carried.value, _matrix(batch.column(1)), k)
                 at = pa.array(best.reshape(-1))
                 q = np.repeat(np.arange(len(best), dtype=np.int32), best.shape[1])
-                yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(np.take_along_axis(scores, best, 1).reshape(-1)), batch.column(0).take(at), batch.column(1).take(at)], ["q", "score", "gid", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(scores.reshape(-1)), batch.column(0).take(at), batch.column(1).take(at)], ["q", "score", "gid", "v"])
 
-    found = groups.select("gid", "v").mapInArrow(run, "q int, score double, gid long, v array<float>")
+    found = groups.select("gid", "v").mapInArrow(run, T.StructType([*_fields("q int, score double, gid long"), groups.schema["v"]]))
     best = Window.partitionBy("q").orderBy(F.desc("score"), "gid")
     return found.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k).select("q", "v").toArrow()
 
@@ -155,20 +186,24 @@ def needed_reach(forest: Forest, counts: np.ndarray, queries: np.ndarray, truth:
     return int(np.quantile(needed, target, method="higher"))
 
 
-def nearest(vectors: DataFrame, is_query, k: int = 20, trees: int = 16, leaf: int = 1024, reach: int | None = None, target: float = 0.97, tuning: int = 128, sample: int = 32_768, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def _fields(shape: str) -> list[T.StructField]:
+    return T._parse_datatype_string(shape).fields
+
+
+def nearest(vectors: DataFrame, is_query, k: int = 20, trees: int = 2, leaf: int = 4096, reach: int | None = None, target: float = 0.97, tuning: int = 128, sample: int = 32_768, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest rows found for each row for which ``is_query(vec_id)`` holds."""
-    rows = valid_vectors(vectors, id_col, vector_col)
-    sizes = rows.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "d").first()
-    shape = "query_id long, rank int, vec_id long, score double"
     spark = vectors.sparkSession
-    if sizes is None:
-        return spark.createDataFrame([], shape)
-    rows = rows.where(F.size("v") == sizes["d"])
-    once = rows.groupBy("v", "vec_id").agg(F.lit(1).alias("one"))
-    order = Window.partitionBy("v").orderBy("vec_id")
-    few = once.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k + 1)
-    groups = checkpointed(few.groupBy("v").agg(F.min("vec_id").alias("gid"), F.sort_array(F.collect_list("vec_id")).alias("ids")))
-    n = groups.count()
+    v, same = F.col("v"), ["k1", "k2"]
+    asks = F.coalesce(is_query(F.col("vec_id")), F.lit(False))
+    rows = valid_vectors(vectors, id_col, vector_col).select("vec_id", "v", F.xxhash64(v).alias("k1"), F.xxhash64(F.lit(1), v).alias("k2"), asks.alias("asks"))
+    once = rows.groupBy(*same, "vec_id").agg(F.max("asks").alias("asks"))
+    few = once.withColumn("n", F.row_number().over(Window.partitionBy(*same).orderBy("vec_id"))).where(F.col("n") <= k + 1)
+    ids = few.groupBy(*same).agg(F.min("vec_id").alias("gid"), F.sort_array(F.collect_list("vec_id")).alias("ids"))
+    whole = rows.groupBy(*same).agg(F.first("v").alias("v"), F.max("asks").alias("asked"))
+    groups = checkpointed(whole.join(ids, same).withColumn("g", F.monotonically_increasing_id()))
+    n, held_v = groups.count(), groups.schema["v"]
+    if not n:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     share = min(1.0, 1.2 * sample / n)
     picked = groups.where(F.pmod(F.xxhash64("gid"), F.lit(1_000_000)) < int(share * 1_000_000) + 1).select("v").limit(sample).toArrow()
     forest = Forest(_matrix(picked["v"]), trees, leaf * min(1.0, max(picked.num_rows, 1) / n))
@@ -176,25 +211,35 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, trees: int = 16, leaf: in
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            gids, vecs = batch.column(0), batch.column(1)
-            found = carried.value.leaves(_matrix(vecs))
-            for t in range(trees):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(gids), t, np.int32)), pa.array(found[:, t].astype(np.int32)), gids, vecs], ["tree", "leaf", "gid", "v"])
-
-    entries = groups.select("gid", "v").mapInArrow(index, "tree int, leaf int, gid long, v array<float>")
-    counted = entries.groupBy("tree", "leaf").agg(F.count(F.lit(1)).alias("n")).toArrow()  # a row per leaf: bounded by the sample
+            if batch.num_rows:
+                found = carried.value.leaves(_matrix(batch.column(2)))
+                for t in range(trees):
+                    place = [pa.array(np.full(batch.num_rows, t, np.int32)), pa.array(found[:, t].astype(np.int32)), pa.array((batch.column(0).to_numpy() % blocks.value[t, found[:, t]]).astype(np.int32))]
+                    yield pa.RecordBatch.from_arrays([*place, *batch.columns], ["tree", "leaf", "block", "g", "gid", "v"])
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros((trees, 1 << forest_depth), np.int64)
+        for batch in batches:
+            if batch.num_rows:
+                found = carried.value.leaves(_matrix(batch.column(0)))
+                for t in range(trees):
+                    held[t] += np.bincount(found[:, t], minlength=held.shape[1])
+        t, at = np.nonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(t.astype(np.int32)), pa.array(at.astype(np.int32)), pa.array(held[t, at])], ["tree", "leaf", "n"])
+
+    forest_depth = forest.depth
+    counted = groups.select("v").mapInArrow(tally, "tree int, leaf int, n long").groupBy("tree", "leaf").agg(F.sum("n").alias("n")).toArrow()  # a row per leaf: bounded by the sample
     counts = np.zeros((trees, 1 << forest.depth), np.int64)
     counts[counted["tree"].to_numpy(), counted["leaf"].to_numpy()] = counted["n"].to_numpy()
     blocks = spark.sparkContext.broadcast(np.maximum(1, -(-counts // BLOCK)))
     carried_counts = spark.sparkContext.broadcast(counts)
-    queries = rows.where(is_query(F.col("vec_id"))).distinct()
-    owners = checkpointed(queries.join(groups.select(F.col("v").alias("w"), "gid"), F.col("v") == F.col("w")).select("vec_id", "gid"))
-    asked = groups.join(owners.select(F.col("gid").alias("asked")).distinct(), F.col("gid") == F.col("asked"), "left_semi").select("gid", "v")
-    if reach is None:
-        tried = _matrix(asked.orderBy(F.xxhash64("gid"), "gid").limit(tuning).select("v").toArrow()["v"])
-        reach = needed_reach(forest, counts, tried, _exact(groups, tried, k + 1), target)
+    owners = checkpointed(once.where("asks").join(groups.select(*same, "g"), same).select("vec_id", "g"))
+    asked = groups.where("asked").select("g", "v")
+    if reach is None and target >= 1:
+        reach = np.inf
+    elif reach is None:
+        tried = _matrix(asked.orderBy(F.xxhash64("g"), "g").limit(tuning).select("v").toArrow()["v"])
+        reach = needed_reach(forest, counts, tried, _exact(groups, tried, k + 1), target) if len(tried) else 1
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -204,40 +249,33 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, trees: int = 16, leaf: in
                 t, leaf, b, i = (np.array(c, np.int32) for c in zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(t), pa.array(leaf), pa.array(b), batch.column(0).take(pa.array(i)), batch.column(1).take(pa.array(i))], ["tree", "leaf", "block", "qid", "q"])
 
-    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            t, leaf, gid = (batch.column(c).to_numpy() for c in range(3))
-            block = (gid % blocks.value[t, leaf]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(block), batch.column(2), batch.column(3)], ["tree", "leaf", "block", "gid", "v"])
-
     def rank(key: tuple[pa.Scalar, ...], probes: pa.Table, held: pa.Table) -> pa.Table:
-        qids, gids = probes["qid"].to_numpy(), held["gid"].to_numpy()
-        by_id = np.argsort(gids)
-        gids, vecs, queries = gids[by_id], _matrix(held["v"])[by_id], _matrix(probes["q"])
-        best_gids, best_scores = [], []
-        for a in range(0, len(qids) if len(gids) else 0, 256):
-            scores = products(queries[a : a + 256], vecs)
-            best = np.argsort(-scores, axis=1, kind="stable")[:, : k + 1]
-            best_gids += [x.tobytes() for x in gids[best]]
-            best_scores += [x.tobytes() for x in np.take_along_axis(scores, best, 1)]
-        return pa.table([pa.array(qids[: len(best_gids)]), pa.array(best_gids, pa.binary()), pa.array(best_scores, pa.binary())], ["qid", "gids", "scores"])
+        qids, g, gids = probes["qid"].to_numpy(), held["g"].to_numpy(), held["gid"].to_numpy()
+        by_id = np.lexsort((g, gids))
+        g, gids, vecs, queries = g[by_id], gids[by_id], _matrix(held["v"])[by_id], _matrix(probes["q"])
+        found = []
+        for a in range(0, len(qids) if len(g) else 0, 256):
+            best, scores = best_of(queries[a : a + 256], vecs, k + 1)
+            found += [(x.tobytes(), y.tobytes(), z.tobytes()) for x, y, z in zip(g[best], gids[best], scores, strict=True)]
+        columns = list(zip(*found, strict=True)) or [[]] * 3
+        return pa.table([pa.array(qids[: len(found)]), *[pa.array(c, pa.binary()) for c in columns]], ["qid", "g", "gids", "scores"])
 
     def merge(lists: pa.Table) -> pa.Table:
-        gids = np.frombuffer(b"".join(x.as_py() for x in lists["gids"]), np.int64)
-        scores = np.frombuffer(b"".join(x.as_py() for x in lists["scores"]), np.float64)
-        gids, at = np.unique(gids, return_index=True)
-        best = np.argsort(-scores[at], kind="stable")[: k + 1]
-        return pa.table({"qid": np.full(len(best), lists["qid"][0].as_py(), np.int64), "gid": gids[best], "score": scores[at][best]})
-
-    probes = asked.mapInArrow(probe, "tree int, leaf int, block int, qid long, q array<float>")
-    held = entries.mapInArrow(dealt, "tree int, leaf int, block int, gid long, v array<float>")
+        g, gids, scores = (np.frombuffer(b"".join(x.as_py() for x in lists[c]), kind) for c, kind in (("g", np.int64), ("gids", np.int64), ("scores", np.float64)))
+        g, at = np.unique(g, return_index=True)
+        best = np.lexsort((gids[at], -scores[at]))[: k + 1]
+        return pa.table({"qid": np.full(len(best), lists["qid"][0].as_py(), np.int64), "g": g[best], "score": scores[at][best]})
+
+    place = _fields("tree int, leaf int, block int")
+    probes = asked.mapInArrow(probe, T.StructType([*place, *_fields("qid long"), T.StructField("q", held_v.dataType)]))
+    held = groups.select("g", "gid", "v").mapInArrow(index, T.StructType([*place, *_fields("g long, gid long"), held_v]))
     keys = ("tree", "leaf", "block")
-    found = probes.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInArrow(rank, "qid long, gids binary, scores binary")
-    top = found.groupBy("qid").applyInArrow(merge, "qid long, gid long, score double")  # a row per leaf taken
-    members = top.join(groups.select(F.col("gid").alias("g"), "ids"), F.col("gid") == F.col("g")).select("qid", "score", F.explode("ids").alias("vec_id"))
+    found = probes.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInArrow(rank, "qid long, g binary, gids binary, scores binary")
+    top = found.groupBy("qid").applyInArrow(merge, "qid long, g long, score double")  # a row per block of a leaf taken
+    members = top.join(groups.select("g", "ids"), "g").select("qid", "score", F.explode("ids").alias("vec_id"))
     ordered = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("far"), "vec_id")))
     lists = checkpointed(members.groupBy("qid").agg(F.slice(ordered, 1, k + 1).alias("best")))
-    own = owners.select(F.col("vec_id").alias("query_id"), F.col("gid").alias("g")).join(lists, F.col("g") == F.col("qid"))
+    own = owners.select(F.col("vec_id").alias("query_id"), "g").join(lists, F.col("g") == F.col("qid"))
     best = F.slice(F.filter("best", lambda x: x["vec_id"] != F.col("query_id")), 1, k)
     flat = own.select("query_id", F.posexplode(best).alias("pos", "hit"))
     return flat.select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("hit.vec_id").alias("vec_id"), (-F.col("hit.far")).alias("score"))

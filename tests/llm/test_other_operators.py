@@ -9,8 +9,7 @@ import pyarrow.fs as pafs
 import pytest
 
 from geoloom.llm import chat, nearest, warc
-from geoloom.llm.records import open_folder
-from geoloom.llm.text import new_folder
+from geoloom.llm.text import new_folder, open_folder
 
 
 def cheapest(roles):
@@ -110,7 +109,7 @@ def test_nearest(spark):
     got = {}
     for r in nearest.nearest(df, lambda i: i % 20 == 0, leaf=64).collect():
         got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
-    known = {i: np.array(v, np.float64) for i, v, _ in rows if i is not None and v and len(v) == 16 and None not in v and np.isfinite(v).all() and np.any(v)}
+    known = {i: np.array(v + [0.0] * (16 - len(v)), np.float64) for i, v, _ in rows if i is not None and v and None not in v and np.isfinite(v).all() and np.any(v)}
     ids = np.array(sorted(known))
     matrix = np.array([known[i] for i in ids])
     assert set(got) == {i for i in known if i % 20 == 0}
@@ -126,6 +125,18 @@ def test_nearest(spark):
         assert [(-s, v) for _, v, s in found] == sorted((-s, v) for _, v, s in found)
     assert hit / total >= 0.9
     assert nearest.nearest(df.limit(0), lambda i: i % 20 == 0).count() == 0
+    exact = {}
+    for r in nearest.nearest(df, lambda i: i % 20 == 0, leaf=64, trees=3, target=1.0).collect():
+        exact.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    for q, found in exact.items():
+        scores = matrix @ known[q]
+        found.sort()
+        want = [j for j in np.lexsort((ids, -scores)) if ids[j] != q][:20]
+        assert [s for _, _, s in found] == pytest.approx(scores[want], abs=1e-9) and len(found) == 20
+    fine = [[4.603992, 1e-9, 0.25], [4.603992 + 1e-9, 0.0, 0.25], [1e300, 0.0, 0.0]]
+    doubles = spark.createDataFrame(list(enumerate(fine)), "vec_id long, embedding array<double>")
+    got = nearest.nearest(doubles, lambda i: i == 0, target=1.0).orderBy("rank").collect()
+    assert [(r.vec_id, r.score) for r in got] == [(j, sum(a * b for a, b in zip(fine[0], fine[j]))) for j in (2, 1)]
     few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 1.0]), (2, [0.0, 1.0])], "vec_id long, embedding array<float>")
     assert [tuple(r) for r in nearest.nearest(few, lambda i: i == 0).orderBy("rank").collect()] == [(0, 1, 1, 0.5), (0, 2, 2, 0.0)]
 
