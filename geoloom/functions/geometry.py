@@ -39,6 +39,13 @@ def point_segment_distance2(px: Column, py: Column, ax: Column, ay: Column, bx:
     return ex * ex + ey * ey
 
 
+def segment_gap2(*c: Column) -> Column:
+    """Squared distance of two segments (ax, ay, bx, by, cx, cy, dx, dy); 0 where they cross or touch."""
+    a, b, p, q = (c[i : i + 2] for i in (0, 2, 4, 6))
+    ends = [point_segment_distance2(*x, *y) for x, y in ((a, (*p, *q)), (b, (*p, *q)), (p, (*a, *b)), (q, (*a, *b)))]
+    return F.when(segments_cross(*c), 0.0).otherwise(F.least(*ends))
+
+
 def ring_area2(xs: Column, ys: Column) -> Column:
     """Twice the signed area of a closed ring given as coordinate arrays without the closing vertex."""
     n = F.size(xs)

@@ -9,9 +9,12 @@ from pyspark.sql import functions as F
 def _kept(df: DataFrame) -> DataFrame:
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
+        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not shared and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         import tempfile
 
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-geoloom-"))
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-geoloom-"))
     return df.checkpoint(eager=True)
 
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from geoloom.functions.geometry import on_segment, point_segment_distance2, segments_cross
+from geoloom.functions.geometry import on_segment, point_segment_distance2, segment_gap2, segments_cross
 
 
 def cells(df: DataFrame, cell: int, x0: Column, y0: Column, x1: Column, y1: Column, prefix: str = "") -> DataFrame:
@@ -79,12 +79,19 @@ def crossings(segs: DataFrame, cell: int) -> DataFrame:
 def points_in_polygons(points: DataFrame, edges: DataFrame, cell: int, boundary: bool = True) -> DataFrame:
     """(id, polygon): points in polygons given as ring edges (id, x, y, x2, y2), holes included as further rings.
 
-    A ray to the right crosses the edges whose rows of cells hold the point; an odd count is inside.
-    Points on an edge count if ``boundary``.
+    Points first meet the polygons whose boxes hold them, by grid cells of both axes; a ray to the right
+    of such a point crosses the edges of its polygon in the point's row of cells, and an odd count is
+    inside. Points on an edge count if ``boundary``.
     """
     e = edges.select(F.col("id").alias("polygon"), *[F.col(c).alias(f"e_{c}") for c in ("x", "y", "x2", "y2")])
-    rows = e.withColumn("row", F.explode(F.sequence(F.floor(F.least("e_y", "e_y2") / cell), F.floor(F.greatest("e_y", "e_y2") / cell))))
-    both = points.withColumn("row", F.floor(F.col("y") / cell)).join(rows, "row").where((F.col("x") <= F.greatest("e_x", "e_x2")) & F.col("y").between(F.least("e_y", "e_y2"), F.greatest("e_y", "e_y2")))
+    low, high = (lambda c: F.min(F.least(f"e_{c}", f"e_{c}2"))), (lambda c: F.max(F.greatest(f"e_{c}", f"e_{c}2")))
+    boxes = e.groupBy("polygon").agg(low("x").alias("x0"), low("y").alias("y0"), high("x").alias("x1"), high("y").alias("y1"))
+    held = cells(boxes, cell, F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"))
+    at = points.select("id", "x", "y", F.floor(F.col("x") / cell).alias("cx"), F.floor(F.col("y") / cell).alias("cy"))
+    near = at.join(held, ["cx", "cy"]).where(F.col("x").between(F.col("x0"), F.col("x1")) & F.col("y").between(F.col("y0"), F.col("y1")))
+    rows = e.withColumn("cy", F.explode(F.sequence(F.floor(F.least("e_y", "e_y2") / cell), F.floor(F.greatest("e_y", "e_y2") / cell))))
+    both = near.select("id", "x", "y", "polygon", "cy").join(rows, ["polygon", "cy"])
+    both = both.where((F.col("x") <= F.greatest("e_x", "e_x2")) & F.col("y").between(F.least("e_y", "e_y2"), F.greatest("e_y", "e_y2")))
     spans = (F.col("e_y") > F.col("y")) != (F.col("e_y2") > F.col("y"))
     side = (F.col("e_x2") - F.col("e_x")) * (F.col("y") - F.col("e_y")) - (F.col("x") - F.col("e_x")) * (F.col("e_y2") - F.col("e_y"))
     right = F.when(F.col("e_y2") > F.col("e_y"), side > 0).otherwise(side < 0)
@@ -147,3 +154,43 @@ def gaussian(raster: DataFrame, weights: list[float]) -> DataFrame:
         terms = [F.lit(w) * F.coalesce(F.lag("h", -k).over(order), last if k > 0 else first) for k, w in zip(range(-r, r + 1), weights, strict=True)]
         raster = raster.withColumn("h", sum(terms[1:], terms[0]))
     return raster
+
+
+def corridor(segs: DataFrame, cell: int, clearance: int = 0) -> DataFrame:
+    """(id, cx, cy): cells whose centre lies within half the width (column ``width``) plus a clearance of one of a road's segments."""
+    reach = F.col("width") / 2.0 + clearance
+    near = cells(boxed_segments(segs), cell, F.col("x0") - reach, F.col("y0") - reach, F.col("x1") + reach, F.col("y1") + reach)
+    centre = [(F.col(c) * cell + cell / 2.0) for c in ("cx", "cy")]
+    d2 = point_segment_distance2(*centre, F.col("x"), F.col("y"), F.col("x2"), F.col("y2"))
+    return near.where(d2 <= reach * reach).select("id", "cx", "cy").distinct()
+
+
+def space_share(footprints: DataFrame, space: DataFrame, cell: int) -> DataFrame:
+    """(id, n, taken): cells with their centre in each footprint (id, x0, y0, x1, y1), and how many of them lie in the space (cx, cy)."""
+    half = cell / 2.0
+    first = [F.ceil((F.col(c) - half) / cell) for c in ("x0", "y0")]
+    last = [F.floor((F.col(c) - half) / cell) for c in ("x1", "y1")]
+    some = footprints.where((first[0] <= last[0]) & (first[1] <= last[1]))
+    own = some.withColumn("cx", F.explode(F.sequence(first[0], last[0]))).withColumn("cy", F.explode(F.sequence(first[1], last[1]))).select("id", "cx", "cy")
+    held = space.select(F.col("cx").alias("_x"), F.col("cy").alias("_y")).distinct()
+    both = own.join(held, (F.col("cx") == F.col("_x")) & (F.col("cy") == F.col("_y")), "left")
+    return both.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.count("_x").alias("taken"))
+
+
+def probes_hit(probes: DataFrame, edges: DataFrame, cell: int, reach: int = 0) -> DataFrame:
+    """The probes (id, seq, x, y, x2, y2) that cross, touch or come within ``reach`` of an edge of anything."""
+    pairs = box_join(boxed_segments(probes), boxed_segments(edges), cell, reach)
+    gap = segment_gap2(*[F.col(f"{s}_{c}") for s in "ab" for c in ("x", "y", "x2", "y2")])
+    near = pairs.where(gap <= float(reach) ** 2).select(F.col("a_id").alias("_id"), F.col("a_seq").alias("_seq")).distinct()
+    return probes.join(near, (F.col("id") == F.col("_id")) & (F.col("seq") == F.col("_seq")), "left_semi")
+
+
+def zone_entries(segs: DataFrame, edges: DataFrame, cell: int) -> DataFrame:
+    """(id, zone, seq, x, y, enters): where a line (id, seq, x, y, x2, y2) crosses a zone's edge, and whether it goes in (rings counter-clockwise)."""
+    pairs = box_join(boxed_segments(segs), boxed_segments(edges), cell)
+    c = [F.col(f"{s}_{k}") for s in "ab" for k in ("x", "y", "x2", "y2")]
+    ax, ay, bx, by, px, py, qx, qy = c
+    turn = (qx - px) * (by - ay) - (qy - py) * (bx - ax)
+    t = ((px - ax) * (qy - py) - (py - ay) * (qx - px)) / ((bx - ax) * (qy - py) - (by - ay) * (qx - px)).cast("double")
+    at = [F.round(a + t * (b - a), 3) for a, b in ((ax, bx), (ay, by))]
+    return pairs.where(segments_cross(*c)).select(F.col("a_id").alias("id"), F.col("b_id").alias("zone"), F.col("a_seq").alias("seq"), at[0].alias("x"), at[1].alias("y"), (turn > 0).alias("enters"))
