@@ -14,7 +14,8 @@ them. Words are known by 64-bit hashes. Every training word has a class of its o
    their occurrences, with the class bigrams of the core held fixed, in two rounds: the first sees
    neighbours from the core, the second all neighbours, by the classes of the first.
 
-Classes are a Spark table with a row for each training word. Class bigrams are then counted over all
+Classes are a Spark table with a row for each training word. What stands beside head words is
+counted by each task and sent packed, a group of words at a time. Class bigrams are then counted over all
 training texts. Words, counts and classes of the ``head`` most frequent are broadcast, for speed
 alone: 17 bytes each at most. Rarer words are looked up by joins on their hash, for which the pairs
 of neighbours with such a word are written out once; none of these words is frequent, so no key is hot.
@@ -34,10 +35,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from geoloom.llm.repeats import from_planes, pack_sorted, planes, runs, unpack_sorted
 from geoloom.llm.text import Words, checkpointed, new_folder, slices
 
 END = np.uint64(0x5851F42D4C957F2D)
 SMALL = 0.1
+HELD = 1_000_000
 NONE = -1
 
 
@@ -76,7 +79,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
         for _, found, _ in _chunks(batches):
             held.append(found)
             size += len(found)
-            if size > 3_000_000:
+            if size > HELD:
                 yield summed()
                 held, size = [], 0
         if held:
@@ -173,7 +176,37 @@ def exchange(pairs: np.ndarray, n_classes: int, sweeps: int = 6) -> np.ndarray:
     return cls
 
 
-CONTEXTS = "word long, side int, n long"
+#: A context row is either one count of a class beside a rare word (spot: its hash), or all a task
+#: counted beside the GROUP head words of one group (spot: the group), cells and counts packed.
+CONTEXTS = "packed boolean, spot long, side int, n long, cells binary, counts binary"
+GROUP = 512
+
+
+class _Tally:
+    """Counts of classes beside head words, by cell (word * 2k + side), as packed context rows."""
+
+    def __init__(self, k: int):
+        self.k, self.held, self.size = k, [], 0
+
+    def add(self, cells: np.ndarray) -> Iterator[pa.RecordBatch]:
+        self.held.append(cells)
+        self.size += len(cells)
+        if self.size > HELD:
+            yield from self.rows()
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        if self.size:
+            cell, n = np.unique(np.concatenate(self.held), return_counts=True)
+            group = cell // (2 * self.k * GROUP)
+            parts = [(int(group[a]), pack_sorted(cell[a:b].astype(np.uint64)), planes(n[a:b])) for a, b in runs(group)]
+            spot, cells, counts = zip(*parts, strict=True)
+            none = [None] * len(parts)
+            columns = [pa.array([True] * len(parts)), pa.array(spot, pa.int64()), pa.array(none, pa.int32()), pa.array(none, pa.int64()), pa.array(cells, pa.binary()), pa.array(counts, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, CONTEXT_NAMES)
+        self.held, self.size = [], 0
+
+
+CONTEXT_NAMES = ["packed", "spot", "side", "n", "cells", "counts"]
 
 
 def _rare_pairs(texts: DataFrame, carried) -> DataFrame:
@@ -197,15 +230,10 @@ def _rare_pairs(texts: DataFrame, carried) -> DataFrame:
 
 
 def _contexts(texts: DataFrame, carried, by_hash: np.ndarray, n_core: int, k: int) -> DataFrame:
-    """(word, side, n): for every head word beyond the core, how often each class stands left (0 .. k - 1) and right (k ..) of it; neighbours of class -1 don't count."""
+    """Contexts of the head words beyond the core: how often each class stands left (side 0 .. k - 1) and right (k ..) of a word; neighbours of class -1 don't count."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head, held, size = carried.value, [], 0
-
-        def summed() -> pa.RecordBatch:
-            cell, n = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(head.words[cell // (2 * k)].view(np.int64)), pa.array((cell % (2 * k)).astype(np.int32)), pa.array(n)], ["word", "side", "n"])
-
+        head, tally = carried.value, _Tally(k)
         for _, found, first in _chunks(batches):
             at = head.find(found)
             open_ = (at >= 0) & (head.rank[at] >= n_core)
@@ -215,13 +243,8 @@ def _contexts(texts: DataFrame, carried, by_hash: np.ndarray, n_core: int, k: in
             before[first[:-1]] = by_hash[head.find(np.array([END]))[0]]
             for side, shift in ((before, 0), (after, k)):
                 use = open_ & (side >= 0)
-                held.append(at[use] * (2 * k) + side[use] + shift)
-                size += int(use.sum())
-            if size > 3_000_000:
-                yield summed()
-                held, size = [], 0
-        if held:
-            yield summed()
+                yield from tally.add(at[use] * (2 * k) + side[use] + shift)
+        yield from tally.rows()
 
     return texts.mapInArrow(run, CONTEXTS)
 
@@ -230,34 +253,53 @@ def _rare_contexts(pairs: DataFrame, carried, by_hash: np.ndarray, n_core: int,
     """Contexts as above from rare pairs (key, other, side, cls): of each key by its head neighbours and, where the key has a class, of each other beyond the core by the key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head = carried.value
+        head, tally = carried.value, _Tally(k)
         for batch in batches:
             key, other, side, own = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(4))
             at = head.find(other.view(np.uint64))
             cls = np.where(at >= 0, by_hash[at], -1).astype(np.int64)
-            known, free = cls >= 0, (own >= 0) & ((at < 0) | (head.rank[at] >= n_core))
+            known, free = cls >= 0, (own >= 0) & (at < 0)
             word = np.concatenate([key[known], other[free]])
             place = np.concatenate([cls[known] + k * (side[known] == 0), own[free] + k * (side[free] == 1)])
-            yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(place.astype(np.int32)), pa.array(np.ones(len(word), np.int64))], ["word", "side", "n"])
+            n, empty = len(word), pa.nulls(len(word), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, bool)), pa.array(word), pa.array(place.astype(np.int32)), pa.array(np.ones(n, np.int64)), empty, empty], CONTEXT_NAMES)
+            free = (own >= 0) & (at >= 0) & (head.rank[at] >= n_core)
+            yield from tally.add(at[free] * (2 * k) + own[free] + k * (side[free] == 1))
+        yield from tally.rows()
 
     return pairs.select("key", "other", F.col("side").cast("int").alias("side"), F.col("cls").cast("int").alias("cls")).mapInArrow(run, CONTEXTS)
 
 
-def _chosen(contexts: DataFrame, weights: np.ndarray) -> DataFrame:
+def _chosen(contexts: DataFrame, weights: np.ndarray, carried) -> DataFrame:
     """(word, cls): for each word of the contexts the class that best explains them; ties go to the lower class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None  # the word whose rows may go on in the next batch, with its counts
+        width = len(weights)
+        last = None  # the rare word whose rows may go on in the next batch, with its counts
+        group, table = None, np.zeros((GROUP, width))  # the same for a group of head words
 
         def best(words: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(words), pa.array(np.argmax(np.round(counts @ weights, 6), 1).astype(np.int32))], ["word", "cls"])
 
+        def grouped() -> pa.RecordBatch:
+            at = np.flatnonzero(table.any(1))
+            return best(carried.value.words[group * GROUP + at].view(np.int64), table[at])
+
         for batch in batches:
-            if not batch.num_rows:
+            packed = batch.column(0).to_numpy(zero_copy_only=False)
+            split = int(packed.sum())  # packed rows come first
+            for spot, cells, counts in zip(*(batch.column(c).slice(0, split).to_pylist() for c in (1, 4, 5)), strict=True):
+                if spot != group:
+                    if group is not None:
+                        yield grouped()
+                    group = spot
+                    table[:] = 0
+                table.reshape(-1)[unpack_sorted(cells).astype(np.int64) - group * GROUP * width] += from_planes(counts, np.int64)
+            if split == batch.num_rows:
                 continue
-            word, side, n = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(3))
+            word, side, n = (batch.column(c).slice(split).to_numpy(zero_copy_only=False) for c in (1, 2, 3))
             words, at = np.unique(word, return_inverse=True)
-            counts = np.bincount(at * len(weights) + side, n, len(words) * len(weights)).reshape(len(words), len(weights))
+            counts = np.bincount(at * width + side.astype(np.int64), n, len(words) * width).reshape(len(words), width)
             if last and last[0] == words[0]:
                 counts[0] += last[1]
             elif last:
@@ -265,25 +307,37 @@ def _chosen(contexts: DataFrame, weights: np.ndarray) -> DataFrame:
             last = (words[-1], counts[-1])
             if len(words) > 1:
                 yield best(words[:-1], counts[:-1])
+        if group is not None:
+            yield grouped()
         if last:
             yield best(np.array([last[0]]), last[1][None])
 
-    return contexts.repartition("word").sortWithinPartitions("word").mapInArrow(run, "word long, cls int")
+    return contexts.repartition("packed", "spot").sortWithinPartitions(F.desc("packed"), "spot").mapInArrow(run, "word long, cls int")
+
 
+def _head_floor(counts: DataFrame, head: int) -> tuple[int, int]:
+    """(n, share): about ``head`` words, at most, are more frequent than n, or of n occurrences and of a hash below share modulo 2**20."""
+    sizes = counts.groupBy("n").agg(F.count(F.lit(1)).alias("words")).toArrow().sort_by([("n", "descending")])  # sqrt(2 * tokens) rows at most
+    together = np.cumsum(sizes["words"].to_numpy())
+    fits = int(np.searchsorted(together, head, side="right"))
+    if fits == sizes.num_rows:
+        return 0, 0
+    left = head - (int(together[fits - 1]) if fits else 0)
+    return sizes["n"][fits].as_py(), (left << 20) // sizes["words"][fits].as_py()
 
-def fit(texts: DataFrame, n_classes: int = 48, core: int = 1500, head: int = 131_072) -> dict:
+
+def fit(texts: DataFrame, n_classes: int = 48, core: int = 1500, head: int = 1 << 19) -> dict:
     """The model from (id, text) rows; ``classes`` in it is the table (word, n, cls) of all words."""
     spark = texts.sparkSession
     sc = spark.sparkContext
     counts = checkpointed(word_counts(texts))
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    top = counts.orderBy(F.desc("n"), "word").limit(head).toArrow()
+    floor, share = _head_floor(counts, head)
+    in_head = (F.col("n") > floor) | ((F.col("n") == floor) & (F.pmod("word", F.lit(1 << 20)) < share)) | (F.col("word") == int(END.view(np.int64)))
+    top = counts.where(in_head).select("word", "n").toArrow().sort_by([("n", "descending"), ("word", "ascending")])  # about ``head`` rows
     words, n = top["word"].to_numpy().view(np.uint64), top["n"].to_numpy().astype(np.int64)
     end = np.flatnonzero(words == END)
-    if not len(end) and len(words):  # the end always belongs to the core
-        words, n = np.append(words, END), np.append(n, counts.where(F.col("word") == int(END.view(np.int64))).first()["n"])
-        end = np.array([len(words) - 1])
-    if len(end):
+    if len(end):  # the end always belongs to the core
         order = np.concatenate([end, np.delete(np.arange(len(words)), end)])
         words, n = words[order], n[order]
     known = Head(words, n)
@@ -313,8 +367,7 @@ def fit(texts: DataFrame, n_classes: int = 48, core: int = 1500, head: int = 131
 
         def of_head(classes: DataFrame) -> np.ndarray:
             """The classes of the head words, in their order."""
-            mine = spark.createDataFrame(pa.table({"_head": pa.array(known.words.view(np.int64))}))
-            got = classes.join(F.broadcast(mine), F.col("word") == F.col("_head"), "left_semi").select("word", "cls").toArrow()
+            got = classes.where(in_head).select("word", "cls").toArrow()
             out = np.empty(len(known.words), np.int16)
             out[known.find(got["word"].to_numpy().view(np.uint64))] = got["cls"].to_numpy()
             return out
@@ -331,13 +384,14 @@ def fit(texts: DataFrame, n_classes: int = 48, core: int = 1500, head: int = 131
             near = rare.withColumn("cls", F.lit(-1))
             for _ in range(2):
                 seen = _contexts(texts, carried, by_hash, n_core, n_classes).unionByName(_rare_contexts(near, carried, by_hash, n_core, n_classes))
-                classes = table(_chosen(seen, weights), usual)
+                classes = table(_chosen(seen, weights, carried), usual)
                 by_hash = of_head(classes)
                 near = _with_class(rare, classes, "key")
         else:
             classes = table(None, 0)
             near = _with_class(rare, classes, "key")
-        bigrams[:n_classes, :n_classes] = _transitions(texts, near, classes, sc.broadcast((known, by_hash)), n_classes)
+        bigrams[:n_classes, :n_classes] = _transitions(texts, near, classes, carried, by_hash, n_classes)
+        carried.destroy()  # all that reads it has run
         for c, sum_n, sum_v in classes.groupBy("cls").agg(F.sum("n"), F.count(F.lit(1))).collect():
             class_n[c], class_v[c] = sum_n, sum_v
     move = np.log10((bigrams + SMALL) / (bigrams.sum(1, keepdims=True) + SMALL * k))
@@ -350,11 +404,11 @@ def _with_class(rows: DataFrame, classes: DataFrame, column: str) -> DataFrame:
     return rows.join(found, F.col(column) == F.col("_word")).drop("_word")
 
 
-def _transitions(texts: DataFrame, near: DataFrame, classes: DataFrame, state, k: int) -> np.ndarray:
+def _transitions(texts: DataFrame, near: DataFrame, classes: DataFrame, carried, by_hash: np.ndarray, k: int) -> np.ndarray:
     """Counts of class bigrams over all tokens: pairs of head words from the texts, the others from the rare pairs with their key's class."""
 
     def from_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, by_hash = state.value
+        known = carried.value
         cells = np.zeros(k * k, np.int64)
         for _, found, first in _chunks(batches):
             c = _classes(known, by_hash, found, -1)
@@ -364,7 +418,7 @@ def _transitions(texts: DataFrame, near: DataFrame, classes: DataFrame, state, k
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(k * k)), pa.array(cells)], ["cell", "n"])
 
     def from_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, by_hash = state.value
+        known = carried.value
         cells = np.zeros(k * k, np.int64)
         for batch in batches:
             other, side, own = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(3))
@@ -432,6 +486,8 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
     long, double, some = T.LongType(), T.DoubleType(), T.ArrayType
     kinds = [kind, long, long, long, double, double, some(long), some(T.IntegerType()), some(T.IntegerType()), some(long)]
     found = checkpointed(rows.mapInArrow(run, T.StructType([T.StructField(n, t) for n, t in zip(names, kinds, strict=True)])))
+    plain.destroy()
+    small = {x: model[x] for x in ("move", "class_n", "class_v", "total", "distinct")}  # by class, a few thousand numbers
     each = found.select("row", F.explode(F.arrays_zip("word", "left", "right", "ahead")).alias("x")).select("row", "x.*")
     table = model["classes"].select(F.col("word").alias("_word"), "n", "cls")
     # a word after another rare word: its class is looked up, and the move between them added to the right one
@@ -441,7 +497,7 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
     looked = joined(first_.unionByName(second), "word").select("row", "left", "right", "times", F.coalesce("n", F.lit(0)).cast("long").alias("n"), F.coalesce("cls", F.lit(model["unseen"])).cast("int").alias("cls"))
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = plain.value
+        m = small
         floor = np.log10(m["total"] + SMALL * (m["distinct"] + 1))
         room = np.log10(m["class_n"] + SMALL * (m["class_v"] + 1))
         for batch in batches:
