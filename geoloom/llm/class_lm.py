@@ -94,14 +94,24 @@ class Head:
     def __init__(self, words: np.ndarray, counts: np.ndarray):
         order = np.argsort(words)
         self.words, self.counts, self.rank = words[order], counts[order], order.astype(np.int32)
+        bits = max(1, len(words).bit_length())  # hashes are even, so leading bits tell the place but for a word or two
+        self.shift = np.uint64(64 - bits)
+        self.starts = np.append(np.searchsorted(self.words, np.arange(1 << bits, dtype=np.uint64) << self.shift), len(words)).astype(np.int32)
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """Index of each hash among ``words``, or -1."""
-        if not len(self.words):
-            return np.full(len(hashes), -1)
-        at = np.searchsorted(self.words, hashes)
-        at[at == len(self.words)] = 0
-        return np.where(self.words[at] == hashes, at, -1)
+        out = np.full(len(hashes), -1)
+        bucket = (hashes >> self.shift).astype(np.int64)
+        at, end = self.starts[bucket], self.starts[bucket + 1]
+        left = np.flatnonzero(at < end)
+        at = at[left]
+        while len(left):
+            same = self.words[at] == hashes[left]
+            out[left[same]] = at[same]
+            left, at = left[~same], at[~same] + 1
+            more = at < end[left]
+            left, at = left[more], at[more]
+        return out
 
 
 def _pair_counts(texts: DataFrame, carried, n_core: int) -> np.ndarray:
