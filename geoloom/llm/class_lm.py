@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from geoloom.llm.repeats import from_planes, pack_sorted, planes, runs, unpack_sorted
+from geoloom.llm.repeats import runs
 from geoloom.llm.text import Words, checkpointed, new_folder, slices
 
 END = np.uint64(0x5851F42D4C957F2D)
@@ -189,7 +189,16 @@ def exchange(pairs: np.ndarray, n_classes: int, sweeps: int = 6) -> np.ndarray:
 #: A context row is either one count of a class beside a rare word (spot: its hash), or all a task
 #: counted beside the GROUP head words of one group (spot: the group), cells and counts packed.
 CONTEXTS = "packed boolean, spot long, side int, n long, cells binary, counts binary"
-GROUP = 512
+GROUP = 128
+
+
+def _bytes_of(x: np.ndarray) -> bytes:
+    """Numbers below 2**32, byte by byte of all of them, which packs well."""
+    return x.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _numbers_of(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").reshape(-1).astype(np.int64)
 
 
 class _Tally:
@@ -207,8 +216,8 @@ class _Tally:
     def rows(self) -> Iterator[pa.RecordBatch]:
         if self.size:
             cell, n = np.unique(np.concatenate(self.held), return_counts=True)
-            group = cell // (2 * self.k * GROUP)
-            parts = [(int(group[a]), pack_sorted(cell[a:b].astype(np.uint64)), planes(n[a:b])) for a, b in runs(group)]
+            group, within = np.divmod(cell, 2 * self.k * GROUP)
+            parts = [(int(group[a]), _bytes_of(within[a:b]), _bytes_of(n[a:b])) for a, b in runs(group)]
             spot, cells, counts = zip(*parts, strict=True)
             none = [None] * len(parts)
             columns = [pa.array([True] * len(parts)), pa.array(spot, pa.int64()), pa.array(none, pa.int32()), pa.array(none, pa.int64()), pa.array(cells, pa.binary()), pa.array(counts, pa.binary())]
@@ -298,13 +307,14 @@ def _chosen(contexts: DataFrame, weights: np.ndarray, carried) -> DataFrame:
         for batch in batches:
             packed = batch.column(0).to_numpy(zero_copy_only=False)
             split = int(packed.sum())  # packed rows come first
-            for spot, cells, counts in zip(*(batch.column(c).slice(0, split).to_pylist() for c in (1, 4, 5)), strict=True):
+            for spot, cells, counts in zip(*(batch.column(c).slice(0, split) for c in (1, 4, 5)), strict=True):
+                spot = spot.as_py()
                 if spot != group:
                     if group is not None:
                         yield grouped()
                     group = spot
                     table[:] = 0
-                table.reshape(-1)[unpack_sorted(cells).astype(np.int64) - group * GROUP * width] += from_planes(counts, np.int64)
+                table.reshape(-1)[_numbers_of(cells.as_py())] += _numbers_of(counts.as_py())
             if split == batch.num_rows:
                 continue
             word, side, n = (batch.column(c).slice(split).to_numpy(zero_copy_only=False) for c in (1, 2, 3))
