@@ -174,6 +174,8 @@ def repair_chats(turns: DataFrame, chunk: int = 4096, id_col: str = "conv_id", t
     ``turn`` is the input turn of a piece (null for inserted turns and the closing mark). The
     renderings of a conversation's pieces, in order of ``piece``, concatenate to its chat.
     """
+    if not 0 < chunk <= 8000:
+        raise ValueError("chunk must be from 1 to 8000, so that piece numbers of chunks stay apart")
     id_kind, turn_kind = turns.schema[id_col].dataType, turns.schema[turn_col].dataType
     role = F.coalesce(F.array_position(F.array(*map(F.lit, ROLES)), F.col(role_col)), F.lit(0)).cast("int")
     flat = turns.select(F.col(id_col).alias("id"), F.col(turn_col).alias("turn"), role.alias("r"), F.col(role_col).alias("role"), F.coalesce(text_col, F.lit("")).alias("text"))
@@ -220,7 +222,9 @@ def repair_chats(turns: DataFrame, chunk: int = 4096, id_col: str = "conv_id", t
             s, t, n = zip(*found, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array([x[1] for x in own], pa.int32()), pa.array([x[2] for x in own], pa.int32()), *[pa.array(x, pa.int64()) for x in (s, t, n)], pa.array([False] * (len(own) - 1) + [True])], ["p", "c", "s", "t", "before", "last"])
 
-    decided = chunks.repartition("id").sortWithinPartitions("id", "part", "chunk").mapInArrow(decide, "p int, c int, s long, t long, before long, last boolean")
+    # a number of its own: rows are few bytes but much work, so adaptive execution would put them into one task
+    n = int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    decided = chunks.repartition(n, "id").sortWithinPartitions("id", "part", "chunk").mapInArrow(decide, "p int, c int, s long, t long, before long, last boolean")
     joined = staged.join(checkpointed(decided), (F.col("part") == F.col("p")) & (F.col("chunk") == F.col("c")))
     ordered = joined.select("id", "turn", "r", "text", "part", "chunk", "s", "t", "before", "last", "role").repartition("part", "chunk").sortWithinPartitions("part", "chunk", "id", "turn", "role", "text")
 
@@ -231,7 +235,7 @@ def repair_chats(turns: DataFrame, chunk: int = 4096, id_col: str = "conv_id", t
             s, t, before, last, part, at = (whole.column(c)[0].as_py() for c in (6, 7, 8, 9, 4, 5))
             pieces = list(render_chunk(roles, texts, s, t, before, last))
             i, out, action, role, cost, rendered = zip(*pieces, strict=True)
-            base = (part << 40) + (at << 14)
+            base = (part << 40) + (at << 14)  # a chunk has at most 2 * chunk + 4 pieces
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.concat_arrays([whole.column(0).chunk(0).slice(0, 1)] * len(i)), pa.array([base + k for k in range(len(i))], pa.int64()), pa.array([turn[x] if x >= 0 else None for x in i], whole.schema.field(1).type),
