@@ -17,9 +17,10 @@ def publish(df: DataFrame, path: str, *partition_by: str) -> DataFrame:
 
 
 def write_layer(records: DataFrame, path: str) -> DataFrame:
-    """Records (field, id, …, x0, y0, x1, y1, basis) by field; returns per field the count, extent and estimated rows."""
+    """Records (field, id, …, x0, y0, x1, y1, basis) by field; returns per field the count, extent and estimated rows of what was published."""
     publish(records, path, "field")
-    return records.groupBy("field").agg(F.count(F.lit(1)).alias("n"), *[f(c).alias(c) for f, c in ((F.min, "x0"), (F.min, "y0"), (F.max, "x1"), (F.max, "y1"))], F.count_if(F.col("basis") != "source").alias("estimated"))
+    published = records.sparkSession.read.schema(records.schema).parquet(f"{path}/data")
+    return published.groupBy("field").agg(F.count(F.lit(1)).alias("n"), *[f(c).alias(c) for f, c in ((F.min, "x0"), (F.min, "y0"), (F.max, "x1"), (F.max, "y1"))], F.count_if(F.col("basis") != "source").alias("estimated"))
 
 
 def tiles_for(boxes: DataFrame, margin: float) -> DataFrame:
