@@ -81,9 +81,18 @@ def complexes(rows: DataFrame, key: str, least: int = 2) -> DataFrame:
 
 
 def group_records(df: DataFrame, key: str, sources: str, names: str, flag: str) -> DataFrame:
-    """Records of a key joined: sorted distinct sources and names, and whether any is flagged."""
-    merged = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c))))
-    return df.groupBy(key).agg(merged(sources).alias(sources), merged(names).alias(names), F.bool_or(flag).alias(flag))
+    """Records of a key joined: sorted distinct sources and names, and whether any is flagged.
+
+    Values are made distinct before they are gathered, so a list is as long as a key has different ones;
+    nulls are left out.
+    """
+    out = df.groupBy(key).agg(F.bool_or(flag).alias(flag))
+    for c in (sources, names):
+        each = df.select(F.col(key).alias("_key"), F.explode(c).alias("_value")).distinct()
+        found = each.groupBy("_key").agg(F.array_sort(F.collect_list("_value")).alias(c))
+        out = out.join(found, F.col(key).eqNullSafe(F.col("_key")), "left").drop("_key")
+        out = out.withColumn(c, F.coalesce(c, F.array().cast(df.schema[c].dataType)))
+    return out.select(key, sources, names, flag)
 
 
 def grades(arcs: DataFrame, z: Column, z2: Column, straight: float) -> DataFrame:

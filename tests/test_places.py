@@ -7,6 +7,7 @@ from geoloom.functions import geodesic as G
 from geoloom.functions import styles as Y
 from geoloom.operators import places as L
 from geoloom.operators import spatial as P
+from geoloom.operators.aggregates import group_records
 
 
 def test_geodesics(spark):
@@ -47,6 +48,13 @@ def test_located_falls_back_to_the_only_country(spark):
     assert {r.id: r.basis for r in L.located(points, two, edges, 10).collect()} == {1: "boundary", 2: None}
 
 
+def test_group_records_gathers_distinct_values(spark):
+    rows = [(1, ["b", "a"], ["x"], False), (1, ["a", None], [], True), (2, [], None, False), (None, ["c"], ["y"], None)]
+    df = spark.createDataFrame(rows, "k long, s array<string>, n array<string>, f boolean")
+    got = {r.k: tuple(r)[1:] for r in group_records(df, "k", "s", "n", "f").collect()}
+    assert got == {1: (["a", "b"], ["x"], True), 2: ([], [], False), None: (["c"], ["y"], None)}
+
+
 def test_insert_or_ignore_keeps_one_new_row(spark):
     known, new = spark.createDataFrame([(1, "a")], "id long, v string"), spark.createDataFrame([(1, "b"), (2, "c"), (2, "b")], "id long, v string")
     assert sorted(tuple(r) for r in L.insert_or_ignore(known, new).collect()) == [(1, "a"), (2, "b")]
