@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from geoloom.operators.graph import _kept
 from geoloom.operators.sequences import best
-from geoloom.operators.spatial import box_join, within_distance
+from geoloom.operators.spatial import box_join, crossings, points_in_polygons, within_distance
 
 
 def box_area(p: str) -> Column:
@@ -192,26 +192,52 @@ def simplify(points: DataFrame, tolerance: float, keep: str | None = None) -> Da
 def assemble_rings(segments: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rings (relation, ring, seq, node) from the member ways (relation, way, nodes array) of relations, and relations (relation, fault) that don't close.
 
-    Every end must occur exactly twice in its relation; that is judged in Spark, so only sound relations are joined end to end.
+    Every end must occur exactly twice in its relation, which Spark judges, so only sound relations are joined
+    end to end, by a table of their ends; a ring that meets a node twice is a fault too.
     """
     ends = segments.select("relation", F.explode(F.array(F.element_at("nodes", 1), F.element_at("nodes", -1))).alias("node"))
     bad = ends.groupBy("relation", "node").agg(F.count(F.lit(1)).alias("n")).where("n <> 2").select("relation").distinct()
-    faults = bad.withColumn("fault", F.lit("open"))
     sound = segments.join(bad.withColumnRenamed("relation", "_bad"), F.col("relation") == F.col("_bad"), "left_anti")
 
     def run(table: pa.Table) -> pa.Table:
-        left = {r["way"]: r["nodes"] for r in table.select(["way", "nodes"]).to_pylist()}
-        relation, out = table["relation"][0].as_py(), []
-        for ring in range(len(left)):
-            if not left:
-                break
-            line = left.pop(min(left))
+        left = dict(sorted((r["way"], r["nodes"]) for r in table.select(["way", "nodes"]).to_pylist()))
+        at: dict[int, list[int]] = {}
+        for way, nodes in left.items():
+            for node in (nodes[0], nodes[-1]):
+                at.setdefault(node, []).append(way)
+        relation, out, ring = table["relation"][0].as_py(), [], 0
+        for way in list(left):
+            if way not in left:
+                continue
+            line = list(left.pop(way))
             while line[0] != line[-1]:
-                way = next(w for w in sorted(left) if line[-1] in (left[w][0], left[w][-1]))
-                part = left.pop(way)
-                line = line + (part if part[0] == line[-1] else part[::-1])[1:]
+                part = left.pop(next(w for w in at[line[-1]] if w in left))
+                line += (part if part[0] == line[-1] else part[::-1])[1:]
             out += [(relation, ring, i, n) for i, n in enumerate(line[:-1])]
+            ring += 1
         return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.int64()), strict=True)], ["relation", "ring", "seq", "node"])
 
     shape = T.StructType([T.StructField("relation", T.LongType()), T.StructField("ring", T.IntegerType()), T.StructField("seq", T.IntegerType()), T.StructField("node", T.LongType())])
-    return sound.select("relation", "way", "nodes").groupBy("relation").applyInArrow(run, shape), faults
+    rings = _kept(sound.select("relation", "way", "nodes").groupBy("relation").applyInArrow(run, shape))
+    twice = rings.groupBy("relation", "ring", "node").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("relation").distinct()
+    faults = bad.withColumn("fault", F.lit("open")).unionByName(twice.withColumn("fault", F.lit("repeated node")))
+    return rings.join(twice.withColumnRenamed("relation", "_twice"), F.col("relation") == F.col("_twice"), "left_anti"), faults
+
+
+def group_rings(edges: DataFrame, cell: int) -> DataFrame:
+    """(id, depth, role, parent, fault): rings given as edges (id, seq, x, y, x2, y2), by how many others hold them.
+
+    Even depths are outer rings, odd ones holes of the smallest ring around them. Rings without an area,
+    and rings that cross another, are faults.
+    """
+    area = edges.groupBy("id").agg(F.abs(F.sum(F.col("x") * F.col("y2") - F.col("x2") * F.col("y"))).alias("area2"), F.min(F.struct("seq", "x", "y")).alias("p"))
+    areas = area.select(F.col("id").alias("_around"), F.col("area2").alias("_area2"))
+    inside = points_in_polygons(area.select("id", "p.x", "p.y"), edges, cell, boundary=False).where("id <> polygon")
+    held = inside.join(areas, F.col("polygon") == F.col("_around")).groupBy(F.col("id").alias("_id")).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("_area2", "polygon")).alias("least"))
+    pairs = crossings(edges, cell)
+    crossed = pairs.select(F.col("a_id").alias("_crossed")).union(pairs.select("b_id")).distinct()
+    both = area.join(held, F.col("id") == F.col("_id"), "left").join(crossed, F.col("id") == F.col("_crossed"), "left")
+    depth = F.coalesce("n", F.lit(0))
+    hole = depth % 2 == 1
+    fault = F.when(F.col("area2") == 0, "no area").when(F.col("_crossed").isNotNull(), "crosses")
+    return both.select("id", depth.alias("depth"), F.when(hole, "hole").otherwise("outer").alias("role"), F.when(hole, F.col("least.polygon")).alias("parent"), fault.alias("fault"))

@@ -12,6 +12,7 @@ from geoloom.functions.geometry import utm
 from geoloom.operators import fusion as U
 from geoloom.operators import places as L
 from geoloom.operators import spatial as P
+from geoloom.operators.sequences import segments
 from geoloom.plans.base import BOXES, HOMES, SHOPS, box_edges, boxes, homes, query, shops, table
 from geoloom.plans.classes import _columns, _tags
 from geoloom.plans.fused import OVER, PLOTS, SITES, plots, sites
@@ -343,3 +344,21 @@ def _(spark, d):
 @query("jon43_front_probes", f"WITH {ROADS}, {BOXES} SELECT id FROM roads r WHERE EXISTS (SELECT 1 FROM boxes b WHERE pow(greatest(b.x0 - x2, 0, x - b.x1), 2) + pow(greatest(b.y0 - y, 0, y - b.y1), 2) <= 900 AND NOT (x > b.x0 + 30 AND x2 < b.x1 - 30 AND y > b.y0 + 30 AND y < b.y1 - 30))")
 def _(spark, d):
     return P.probes_hit(_roads(shops(spark, d)), box_edges(spark, d), 500, 30).select("id")
+
+
+def _nested(spark, d):
+    """Three rings in each other for every shop, in a place of its own; every fifth shop has a fourth that crosses the first."""
+    k = F.col("id")
+    x, y = (k % 1000) * 1000, F.floor(k / 1000) * 1000
+    ring = F.explode(F.when(k % 5 == 0, F.array(*map(F.lit, (0, 1, 2, 3)))).otherwise(F.array(*map(F.lit, (0, 1, 2)))))
+    rings = shops(spark, d).select(k.alias("shop"), x.alias("x"), y.alias("y"), ring.alias("r"))
+    low, high = F.col("r") % 3 * 100 + F.when(F.col("r") == 3, 450).otherwise(0), 600 - F.col("r") % 3 * 100 + F.when(F.col("r") == 3, 50).otherwise(0)
+    ends = [(low, low), (high, low), (high, high), (low, high)]
+    corner = F.posexplode(F.array(*[F.struct((F.col("x") + a).alias("x"), (F.col("y") + b).alias("y")) for a, b in ends]))
+    pts = rings.select((F.col("shop") * 4 + F.col("r")).alias("id"), corner.alias("seq", "p")).select("id", "seq", "p.x", "p.y")
+    return segments(pts, closed=True)
+
+
+@query("gra06_grouped_rings", "WITH r AS (SELECT CAST(s_suppkey AS BIGINT) AS k, unnest(CASE WHEN s_suppkey % 5 = 0 THEN [0, 1, 2, 3] ELSE [0, 1, 2] END) AS r FROM supplier) SELECT k * 4 + r AS id, CAST(CASE r WHEN 3 THEN 2 ELSE r END AS BIGINT) AS depth, CASE WHEN r = 1 THEN 'hole' ELSE 'outer' END AS role, CASE WHEN r = 1 THEN k * 4 END AS parent, CASE WHEN k % 5 = 0 AND r <> 2 THEN 'crosses' END AS fault FROM r")
+def _(spark, d):
+    return U.group_rings(_nested(spark, d), 500)

@@ -76,10 +76,10 @@ def test_graph(spark):
 
 
 def test_rings_from_ways(spark):
-    ways = spark.createDataFrame([(1, 10, [1, 2, 3]), (1, 11, [1, 4, 3]), (2, 12, [5, 6, 7]), (3, 13, [8, 9, 8])], "relation long, way long, nodes array<long>")
+    ways = spark.createDataFrame([(1, 10, [1, 2, 3]), (1, 11, [1, 4, 3]), (2, 12, [5, 6, 7]), (3, 13, [8, 9, 8]), (4, 14, [1, 2, 3, 2, 4, 1])], "relation long, way long, nodes array<long>")
     rings, faults = U.assemble_rings(ways)
     assert [r.node for r in rings.where("relation = 1").orderBy("seq").collect()] == [1, 2, 3, 4]
-    assert {tuple(r) for r in faults.collect()} == {(2, "open")} and rings.where("relation = 3").count() == 2
+    assert {tuple(r) for r in faults.collect()} == {(2, "open"), (4, "repeated node")} and rings.where("relation = 4").count() == 0 and rings.where("relation = 3").count() == 2
 
 
 def test_greedy_and_simplify(spark):
