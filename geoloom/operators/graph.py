@@ -96,17 +96,30 @@ def two_arm_joins(edges: DataFrame) -> DataFrame:
     return both.where("n = 2 AND lo <> hi").select("node", "lo", "hi")
 
 
-def route(edges: DataFrame, pairs: DataFrame, most: int) -> DataFrame:
-    """(start, goal, hops): fewest edges between pairs of nodes, for those within ``most`` hops; all pairs advance together."""
-    both = _kept(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select("b", "a")).distinct())
-    front = _kept(pairs.select("start", F.col("start").alias("node")).distinct().withColumn("hops", F.lit(0)))
+def _levels(both: DataFrame, starts: DataFrame, rounds: int) -> DataFrame:
+    """(start, node, hops): the nodes within ``rounds`` edges of each start; each round joins the newest level alone."""
+    front = _kept(starts.select("start", F.col("start").alias("node")).distinct().withColumn("hops", F.lit(0)))
     seen = front
-    for hop in range(1, most + 1):
+    for hop in range(1, rounds + 1):
         step = both.join(front, both.u == front.node).select("start", F.col("v").alias("node")).distinct()
         old = seen.select(F.col("start").alias("_s"), F.col("node").alias("_n"))
         front = _kept(step.join(old, (F.col("start") == F.col("_s")) & (F.col("node") == F.col("_n")), "left_anti").withColumn("hops", F.lit(hop)))
         if front.isEmpty():
             break
-        seen = _kept(seen.unionByName(front))
-    goal = pairs.select(F.col("start").alias("_s"), "goal")
-    return seen.join(goal, (F.col("start") == F.col("_s")) & (F.col("node") == F.col("goal"))).select("start", "goal", "hops")
+        seen = seen.unionByName(front)
+    return seen
+
+
+def route(edges: DataFrame, pairs: DataFrame, most: int) -> DataFrame:
+    """(start, goal, hops): fewest edges between pairs of nodes, for those within ``most`` hops; all pairs advance together.
+
+    Both ends walk half of the way and meet, so a pair costs twice the nodes within ``most`` / 2 edges
+    and not those within ``most``. Pairs with a null end have no route.
+    """
+    both = _kept(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select("b", "a")).distinct())
+    wanted = _kept(pairs.select("start", "goal").where("start IS NOT NULL AND goal IS NOT NULL").distinct())
+    out = _levels(both, wanted, (most + 1) // 2).withColumnRenamed("start", "_from")
+    back = _levels(both, wanted.select(F.col("goal").alias("start")), most // 2).select(F.col("start").alias("_to"), F.col("node").alias("_at"), F.col("hops").alias("_more"))
+    half = wanted.join(out, F.col("start") == F.col("_from"))
+    met = half.join(back, (F.col("goal") == F.col("_to")) & (F.col("node") == F.col("_at")))
+    return met.groupBy("start", "goal").agg(F.min(F.col("hops") + F.col("_more")).alias("hops"))

@@ -15,9 +15,11 @@ WAY_NODES = "way_nodes AS (SELECT l_orderkey AS id, row_number() OVER (PARTITION
 LINES = f"{NODES}, {WAY_NODES}, lines AS (SELECT w.id, seq, ref, x, y FROM way_nodes w JOIN nodes n ON w.ref = n.id)"
 SEGS = f"{LINES}, segs AS (SELECT * FROM (SELECT id, seq, x, y, lead(x) OVER w AS x2, lead(y) OVER w AS y2 FROM lines WINDOW w AS (PARTITION BY id ORDER BY seq)) WHERE x2 IS NOT NULL)"
 ARCS = f"{SEGS}, lens AS (SELECT *, sqrt(CAST((x2 - x) AS DOUBLE) * (x2 - x) + CAST((y2 - y) AS DOUBLE) * (y2 - y)) AS len FROM segs), arcs AS (SELECT *, coalesce(sum(len) OVER (PARTITION BY id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS \"at\", sum(len) OVER (PARTITION BY id) AS total FROM lens)"
-SHOPS = "shops AS (SELECT s_suppkey AS id, (CAST(s_suppkey AS BIGINT) * 7907) % 10000 AS x, (CAST(s_suppkey AS BIGINT) * 10007) % 10000 AS y FROM supplier)"
-HOMES = "homes AS (SELECT c_custkey AS id, (CAST(c_custkey AS BIGINT) * 6007) % 10000 AS x, (CAST(c_custkey AS BIGINT) * 9001) % 10000 AS y FROM customer)"
-BOXES = "boxes AS (SELECT CAST(n_nationkey AS BIGINT) AS id, (CAST(n_nationkey AS BIGINT) * 1709) % 8000 AS x0, (CAST(n_nationkey AS BIGINT) * 2903) % 8000 AS y0, (CAST(n_nationkey AS BIGINT) * 1709) % 8000 + 500 + 60 * CAST(n_nationkey AS BIGINT) AS x1, (CAST(n_nationkey AS BIGINT) * 2903) % 8000 + 1900 - 50 * CAST(n_nationkey AS BIGINT) AS y1 FROM nation)"
+# The map grows with the tables: each block of 12,000 holds 375 customers and 25 suppliers, so density stays the same at every size.
+SHOPS = "shops AS (SELECT s_suppkey AS id, (CAST(s_suppkey AS BIGINT) * 7907) % 10000 + s_suppkey // 25 * 12000 AS x, (CAST(s_suppkey AS BIGINT) * 10007) % 10000 AS y FROM supplier)"
+HOMES = "homes AS (SELECT c_custkey AS id, (CAST(c_custkey AS BIGINT) * 6007) % 10000 + c_custkey // 375 * 12000 AS x, (CAST(c_custkey AS BIGINT) * 9001) % 10000 AS y FROM customer)"
+BOXES = "boxes AS (SELECT id, x0, y0, x0 + 500 + 60 * (id % 25) AS x1, y0 + 1900 - 50 * (id % 25) AS y1 FROM (SELECT CAST(s_suppkey AS BIGINT) AS id, s_suppkey % 25 * 1709 % 8000 + s_suppkey // 25 * 12000 AS x0, s_suppkey % 25 * 2903 % 8000 AS y0 FROM supplier))"
+NEAR_SEGS = f"{WAY_NODES}, near AS (SELECT id, seq, ref, id % 1000 * 250 + ref * 131 % 500 AS x, id // 1000 * 250 + ref * 977 % 500 AS y FROM way_nodes), segs AS (SELECT * FROM (SELECT id, seq, x, y, lead(x) OVER w AS x2, lead(y) OVER w AS y2 FROM near WINDOW w AS (PARTITION BY id ORDER BY seq)) WHERE x2 IS NOT NULL)"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,9 +37,10 @@ def query(name: str, sql: str | None = None):
     return put
 
 
-def _points(df: DataFrame, key: str, a: int, b: int, size: int) -> DataFrame:
+def _points(df: DataFrame, key: str, a: int, b: int, size: int, block: int | None = None) -> DataFrame:
     k = F.col(key).cast("bigint")
-    return df.select(k.alias("id"), ((k * a) % size).alias("x"), ((k * b) % size).alias("y"))
+    x = (k * a) % size
+    return df.select(k.alias("id"), (x + F.floor(k / block) * 12_000 if block else x).alias("x"), ((k * b) % size).alias("y"))
 
 
 def nodes(spark: SparkSession, d: str) -> DataFrame:
@@ -45,17 +48,17 @@ def nodes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def shops(spark: SparkSession, d: str) -> DataFrame:
-    return _points(table(spark, d, "supplier"), "s_suppkey", 7907, 10007, 10_000)
+    return _points(table(spark, d, "supplier"), "s_suppkey", 7907, 10007, 10_000, 25)
 
 
 def homes(spark: SparkSession, d: str) -> DataFrame:
-    return _points(table(spark, d, "customer"), "c_custkey", 6007, 9001, 10_000)
+    return _points(table(spark, d, "customer"), "c_custkey", 6007, 9001, 10_000, 375)
 
 
 def boxes(spark: SparkSession, d: str) -> DataFrame:
-    k = F.col("n_nationkey").cast("bigint")
-    x, y = (k * 1709) % 8000, (k * 2903) % 8000
-    return table(spark, d, "nation").select(k.alias("id"), x.alias("x0"), y.alias("y0"), (x + 500 + 60 * k).alias("x1"), (y + 1900 - 50 * k).alias("y1"))
+    k = F.col("s_suppkey").cast("bigint")
+    x, y = k % 25 * 1709 % 8000 + F.floor(k / 25) * 12_000, k % 25 * 2903 % 8000
+    return table(spark, d, "supplier").select(k.alias("id"), x.alias("x0"), y.alias("y0"), (x + 500 + 60 * (k % 25)).alias("x1"), (y + 1900 - 50 * (k % 25)).alias("y1"))
 
 
 def box_edges(spark: SparkSession, d: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from geoloom.plans import classes, fused, jobs, paths, places, road_queries, space, whole  # noqa: F401
+from geoloom.plans import classes, fused, jobs, paths, places, road_queries, space  # noqa: F401
 from geoloom.plans.base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -41,22 +41,22 @@ def _(spark, d):
     return U.coverage(plots(spark, d), sites(spark, d), 500).select("id", F.round("share", 6).alias("share"), "tall")
 
 
-@query("cel01_paint", f"WITH {BOXES}, p AS (SELECT *, id % 4 AS priority, 'style' || (id % 3) AS style, id % 9 = 8 AS blocked FROM boxes), c AS (SELECT x.cx, y.cy, p.* FROM p JOIN (SELECT unnest(range(0, 120)) AS cx) x ON x.cx * 100 + 50 BETWEEN p.x0 AND p.x1 JOIN (SELECT unnest(range(0, 120)) AS cy) y ON y.cy * 100 + 50 BETWEEN p.y0 AND p.y1) SELECT cx, cy, min_by(id, priority * 100000 + (id % 3) * 1000 + id) AS id, min_by(style, priority * 100000 + (id % 3) * 1000 + id) AS style, count(*) AS contributing FROM c GROUP BY cx, cy HAVING NOT bool_or(blocked)")
+@query("cel01_paint", f"WITH {BOXES}, p AS (SELECT *, id % 4 AS priority, 'style' || (id % 3) AS style, id % 9 = 8 AS blocked FROM boxes), c AS (SELECT x.cx, y.cy, p.* FROM p JOIN (SELECT unnest(range(0, (SELECT max(x1) // 100 + 1 FROM boxes))) AS cx) x ON x.cx * 100 + 50 BETWEEN p.x0 AND p.x1 JOIN (SELECT unnest(range(0, 120)) AS cy) y ON y.cy * 100 + 50 BETWEEN p.y0 AND p.y1) SELECT cx, cy, min_by(id, priority * 10000000000 + id % 3 * 1000000000 + id) AS id, min_by(style, priority * 10000000000 + id % 3 * 1000000000 + id) AS style, count(*) AS contributing FROM c GROUP BY cx, cy HAVING NOT bool_or(blocked)")
 def painted(spark, d):
     k = F.col("id")
     return U.paint(boxes(spark, d).withColumns({"priority": k % 4, "style": F.concat(F.lit("style"), (k % 3).cast("string")), "blocked": k % 9 == 8}), 100)
 
 
-@query("agg23_cover_area", f"WITH {BOXES}, p AS (SELECT *, id % 4 AS priority, 'style' || (id % 3) AS style, id % 9 = 8 AS blocked FROM boxes), c AS (SELECT x.cx, y.cy, p.* FROM p JOIN (SELECT unnest(range(0, 120)) AS cx) x ON x.cx * 100 + 50 BETWEEN p.x0 AND p.x1 JOIN (SELECT unnest(range(0, 120)) AS cy) y ON y.cy * 100 + 50 BETWEEN p.y0 AND p.y1), m AS (SELECT min_by(style, priority * 100000 + (id % 3) * 1000 + id) AS style FROM c GROUP BY cx, cy HAVING NOT bool_or(blocked)) SELECT style, count(*) * 10000 AS area FROM m GROUP BY style")
+@query("agg23_cover_area", f"WITH {BOXES}, p AS (SELECT *, id % 4 AS priority, 'style' || (id % 3) AS style, id % 9 = 8 AS blocked FROM boxes), c AS (SELECT x.cx, y.cy, p.* FROM p JOIN (SELECT unnest(range(0, (SELECT max(x1) // 100 + 1 FROM boxes))) AS cx) x ON x.cx * 100 + 50 BETWEEN p.x0 AND p.x1 JOIN (SELECT unnest(range(0, 120)) AS cy) y ON y.cy * 100 + 50 BETWEEN p.y0 AND p.y1), m AS (SELECT min_by(style, priority * 10000000000 + id % 3 * 1000000000 + id) AS style FROM c GROUP BY cx, cy HAVING NOT bool_or(blocked)) SELECT style, count(*) * 10000 AS area FROM m GROUP BY style")
 def _(spark, d):
     return painted(spark, d).groupBy("style").agg((F.count(F.lit(1)) * 10000).alias("area"))
 
 
-@query("jon30_tile_samples", f"WITH {RASTER}, p AS (SELECT CAST(c_custkey AS BIGINT) AS id, (c_custkey * 41 % 630) / 10.0 AS x, (c_custkey * 59 % 630) / 10.0 AS y FROM customer), k AS (SELECT id, floor(x) AS c, floor(y) AS r, x - floor(x) AS u, y - floor(y) AS v FROM p) SELECT k.id, CAST(round(10000 * (a.h * (1 - u) * (1 - v) + b.h * u * (1 - v) + e.h * (1 - u) * v + f.h * u * v)) AS BIGINT) AS h FROM k JOIN g a ON a.row = r AND a.col = c JOIN g b ON b.row = r AND b.col = c + 1 JOIN g e ON e.row = r + 1 AND e.col = c JOIN g f ON f.row = r + 1 AND f.col = c + 1")
-def _(spark, d, whole=False):
+@query("jon30_tile_samples", f"WITH {RASTER}, p AS (SELECT CAST(c_custkey AS BIGINT) AS id, (c_custkey * 41 % 630) / 10.0 AS x, (c_custkey * 59 % (SELECT max(vec_id) * 10 FROM embeddings)) / 10.0 AS y FROM customer), k AS (SELECT id, floor(x) AS c, floor(y) AS r, x - floor(x) AS u, y - floor(y) AS v FROM p) SELECT k.id, CAST(round(10000 * (a.h * (1 - u) * (1 - v) + b.h * u * (1 - v) + e.h * (1 - u) * v + f.h * u * v)) AS BIGINT) AS h FROM k JOIN g a ON a.row = r AND a.col = c JOIN g b ON b.row = r AND b.col = c + 1 JOIN g e ON e.row = r + 1 AND e.col = c JOIN g f ON f.row = r + 1 AND f.col = c + 1")
+def _(spark, d):
     k = F.col("c_custkey").cast("bigint")
-    pts = table(spark, d, "customer").select(k.alias("id"), (k * 41 % 630 / 10.0).alias("x"), (k * 59 % (_span(spark, d, 630, whole)) / 10.0).alias("y"))
-    tiles = _raster(spark, d, whole).select(F.floor(F.col("col") / 16).alias("tx"), F.floor(F.col("row") / 16).alias("ty"), (F.col("row") % 16).alias("row"), (F.col("col") % 16).alias("col"), "h")
+    pts = table(spark, d, "customer").select(k.alias("id"), (k * 41 % 630 / 10.0).alias("x"), (k * 59 % _span(spark, d) / 10.0).alias("y"))
+    tiles = _raster(spark, d).select(F.floor(F.col("col") / 16).alias("tx"), F.floor(F.col("row") / 16).alias("ty"), (F.col("row") % 16).alias("row"), (F.col("col") % 16).alias("col"), "h")
     return U.tile_samples(pts, tiles, 16).select("id", F.round(F.col("h") * 10000).cast("bigint").alias("h"))
 
 
@@ -66,13 +66,20 @@ def _(spark, d):
 
 
 @query("agg19_blocks_touched", f"WITH {RASTER} SELECT tile, count(*) AS blocks, count(*) * 1024 AS bytes FROM (SELECT DISTINCT row % 3 AS tile, row // 8 AS r, col // 16 AS c FROM g WHERE h > 0.2) GROUP BY tile")
-def _(spark, d, whole=False):
-    return U.blocks_touched(_raster(spark, d, whole).where("h > 0.2").withColumn("tile", F.col("row") % 3), 8, 16, 1024)
+def _(spark, d):
+    return U.blocks_touched(_raster(spark, d).where("h > 0.2").withColumn("tile", F.col("row") % 3), 8, 16, 1024)
 
 
 @query("sca18_quantised", f"WITH {RASTER}, t AS (SELECT row % 4 AS tile, row, col, h, min(h) OVER (PARTITION BY row % 4) AS low FROM g) SELECT tile, row, col, CAST(round_even((h - low) / 0.125, 0) AS BIGINT) AS q FROM t")
-def _(spark, d, whole=False):
-    return U.quantised(_raster(spark, d, whole).withColumn("tile", F.col("row") % 4), 0.125).select("tile", "row", "col", "q")
+def _(spark, d):
+    return U.quantised(_raster(spark, d).withColumn("tile", F.col("row") % 4), 0.125).select("tile", "row", "col", "q")
+
+
+@query("jon32_inserted_rows", f"WITH {LINES}, p AS (SELECT id, seq, x, y, ref AS a, lead(ref) OVER w AS b FROM lines WINDOW w AS (PARTITION BY id ORDER BY seq)), e AS (SELECT * FROM p WHERE seq = 1 AND b IS NOT NULL), h AS (SELECT e.id, e.x, e.y, min(p.seq) AS seq FROM e JOIN p ON p.id = e.id AND least(p.a, p.b) = least(e.a, e.b) AND greatest(p.a, p.b) = greatest(e.a, e.b) GROUP BY e.id, e.x, e.y HAVING count(*) = 1) SELECT id, row_number() OVER (PARTITION BY id ORDER BY seq) AS seq, ref, x, y FROM (SELECT id, seq, ref, x, y FROM lines UNION ALL SELECT id, seq + 0.5, NULL, x, y FROM h)")
+def _(spark, d):
+    w = lines(spark, d)
+    pairs = w.select("id", "seq", F.col("ref").alias("a"), F.lead("ref").over(Window.partitionBy("id").orderBy("seq")).alias("b"), "x", "y").where("seq = 1 AND b IS NOT NULL")
+    return U.insert_points(w, pairs.select("id", "b", "a", "x", "y"))[0].select("id", F.col("seq").cast("bigint").alias("seq"), "ref", "x", "y")
 
 
 @query("jon32_inserted", f"WITH {WAY_NODES}, p AS (SELECT id, seq, ref AS a, lead(ref) OVER w AS b, lead(seq) OVER w AS seq2 FROM way_nodes WINDOW w AS (PARTITION BY id ORDER BY seq)), e AS (SELECT id, a, b FROM p WHERE seq = 1 AND b IS NOT NULL), h AS (SELECT e.id, e.a, e.b, count(*) AS n FROM e JOIN p ON p.id = e.id AND least(p.a, p.b) = least(e.a, e.b) AND greatest(p.a, p.b) = greatest(e.a, e.b) GROUP BY ALL), s AS (SELECT id, count(*) AS n FROM way_nodes GROUP BY id) SELECT s.id, s.n + coalesce(CASE WHEN h.n = 1 THEN 1 END, 0) AS vertices FROM s LEFT JOIN h ON h.id = s.id")
@@ -111,7 +118,7 @@ def _(spark, d):
     return way_nodes(spark, d).groupBy("id").agg(F.count_if(F.col("ref") % 3 == 0).alias("estimated"), F.count(F.lit(1)).alias("n"))
 
 
-@query("win15_greedy_apart")
+@query("win15_greedy_apart", f"WITH RECURSIVE {HOMES}, p AS (SELECT a.id AS early, b.id AS late FROM homes a JOIN homes b ON a.id < b.id AND pow(a.x - b.x, 2) + pow(a.y - b.y, 2) <= 22500), r(id, kept) USING KEY (id) AS (SELECT id, true FROM homes WHERE id NOT IN (SELECT late FROM p) UNION SELECT late, NOT bool_or(coalesce(k.kept, false)) FROM p LEFT JOIN recurring.r AS k ON k.id = early WHERE late NOT IN (SELECT id FROM recurring.r) AND EXISTS (SELECT 1 FROM r) GROUP BY late HAVING bool_or(coalesce(k.kept, false)) OR count(k.id) = count(*)) SELECT id, x, y FROM homes JOIN r USING (id) WHERE kept")
 def _(spark, d):
     return U.greedy_apart(homes(spark, d), 150, ["id"])
 
@@ -121,10 +128,10 @@ def _(spark, d):
     return U.simplify(lines(spark, d).select("id", "seq", "x", "y"), 15000.0)
 
 
-@query("agg33_cell_signatures", f"WITH {NODES} SELECT x // 5000 AS cx, y // 5000 AS cy, count(*) AS n FROM nodes GROUP BY ALL")
+@query("agg33_cell_signatures", f"WITH {NODES} SELECT x // 5000 AS cx, y // 5000 AS cy, count(*) AS n, CAST(sum(('0x' || substr(sha256(concat_ws('|', id, x, y)), 1, 15))::BIGINT) AS VARCHAR) AS signature FROM nodes GROUP BY ALL")
 def _(spark, d):
     rows = nodes(spark, d).select(F.floor(F.col("x") / 5000).alias("cx"), F.floor(F.col("y") / 5000).alias("cy"), F.concat_ws("|", "id", "x", "y").alias("record"))
-    return A.cell_signatures(rows).select("cx", "cy", "n")
+    return A.cell_signatures(rows)
 
 
 @query("top05_largest_rings", f"WITH {LINES}, e AS (SELECT id, x, y, coalesce(lead(x) OVER w, first(x) OVER f) AS x2, coalesce(lead(y) OVER w, first(y) OVER f) AS y2 FROM lines WINDOW w AS (PARTITION BY id ORDER BY seq), f AS (PARTITION BY id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) SELECT id, CAST(abs(sum(x * y2 - x2 * y)) AS BIGINT) AS area2 FROM e GROUP BY id ORDER BY area2 DESC, id LIMIT 16")

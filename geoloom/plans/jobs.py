@@ -12,7 +12,7 @@ from geoloom.operators import graph as GR
 from geoloom.operators import spatial as P
 from geoloom.plans.base import query, table
 from geoloom.plans.fused import OVER, plots, sites
-from geoloom.plans.space import GRAPH, _graph, _raster, _span
+from geoloom.plans.space import _BOTH, _LABELS, _graph, _raster, _span
 
 
 def convert_heights(points: DataFrame, grid: DataFrame, west: float, south: float, step: float) -> tuple[DataFrame, DataFrame]:
@@ -35,11 +35,11 @@ def quality_report(edges: DataFrame) -> DataFrame:
     return A.topology(edges, GR.components(edges))
 
 
-@query("pip05_vertical", "WITH g AS (SELECT vec_id AS row, unnest(range(0, 64)) AS col, unnest(embedding) AS d FROM embeddings WHERE vec_id < 64), p AS (SELECT CAST(c_custkey AS BIGINT) AS id, (c_custkey * 37 % 700) / 10.0 AS x, (c_custkey * 53 % 620) / 10.0 AS y, c_acctbal AS h FROM customer), k AS (SELECT *, floor(x) AS c, floor(y) AS r, x - floor(x) AS u, y - floor(y) AS v FROM p WHERE x <= 63) SELECT k.id, round(k.h + a.d * (1 - u) * (1 - v) + coalesce(b.d, 0) * u * (1 - v) + e.d * (1 - u) * v + coalesce(f.d, 0) * u * v, 4) AS h FROM k JOIN g a ON a.row = r AND a.col = c LEFT JOIN g b ON b.row = r AND b.col = c + 1 JOIN g e ON e.row = r + 1 AND e.col = c LEFT JOIN g f ON f.row = r + 1 AND f.col = c + 1")
-def _(spark, d, whole=False):
+@query("pip05_vertical", "WITH g AS (SELECT vec_id AS row, unnest(range(0, 64)) AS col, unnest(embedding) AS d FROM embeddings), p AS (SELECT CAST(c_custkey AS BIGINT) AS id, (c_custkey * 37 % 700) / 10.0 AS x, (c_custkey * 53 % (SELECT max(vec_id) * 10 FROM embeddings)) / 10.0 AS y, c_acctbal AS h FROM customer), k AS (SELECT *, floor(x) AS c, floor(y) AS r, x - floor(x) AS u, y - floor(y) AS v FROM p WHERE x <= 63) SELECT k.id, round(k.h + a.d * (1 - u) * (1 - v) + coalesce(b.d, 0) * u * (1 - v) + e.d * (1 - u) * v + coalesce(f.d, 0) * u * v, 4) AS h FROM k JOIN g a ON a.row = r AND a.col = c LEFT JOIN g b ON b.row = r AND b.col = c + 1 JOIN g e ON e.row = r + 1 AND e.col = c LEFT JOIN g f ON f.row = r + 1 AND f.col = c + 1")
+def _(spark, d):
     k = F.col("c_custkey").cast("bigint")
-    pts = table(spark, d, "customer").select(k.alias("id"), (k * 37 % 700 / 10.0).alias("x"), (k * 53 % (_span(spark, d, 620, whole)) / 10.0).alias("y"), F.col("c_acctbal").alias("h"))
-    return convert_heights(pts, _raster(spark, d, whole), 0.0, 0.0, 1.0)[0].select("id", F.round("h", 4).alias("h"))
+    pts = table(spark, d, "customer").select(k.alias("id"), (k * 37 % 700 / 10.0).alias("x"), (k * 53 % _span(spark, d) / 10.0).alias("y"), F.col("c_acctbal").alias("h"))
+    return convert_heights(pts, _raster(spark, d), 0.0, 0.0, 1.0)[0].select("id", F.round("h", 4).alias("h"))
 
 
 @query("pip03_annotated", f"WITH {OVER}, m AS (SELECT a, CAST(min_by(b, -(c / (s + t - c)) * 1000000 + b / 1000000.0) AS BIGINT) AS b FROM o WHERE c / (s + t - c) >= 0.5 GROUP BY a), r AS (SELECT h.id, CASE WHEN h.id % 4 = 0 THEN CAST(h.id % 50 AS DOUBLE) END AS own, CASE WHEN m.b % 3 <> 0 THEN CAST(m.b % 30 AS DOUBLE) END AS aux FROM sites h LEFT JOIN m ON m.a = h.id) SELECT id, coalesce(own, aux, 6.0::DOUBLE) AS height, CASE WHEN own IS NOT NULL THEN 'source' WHEN aux IS NOT NULL THEN 'auxiliary' ELSE 'context' END AS height_basis FROM r")
@@ -50,6 +50,6 @@ def _(spark, d):
     return annotate(own, aux, 500, 0.5, 6.0)
 
 
-@query("pip14_quality_report", f"WITH RECURSIVE {GRAPH}, s(a, b) AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT DISTINCT a AS node, a AS seen FROM s UNION SELECT r.node, s.b FROM r JOIN s ON r.seen = s.a), c AS (SELECT count(DISTINCT m) AS components FROM (SELECT node, min(seen) AS m FROM r GROUP BY node)), g AS (SELECT node, count(*) AS k FROM (SELECT unnest([a, b]) AS node FROM e) GROUP BY node) SELECT count(*) AS nodes, CAST(sum(k) / 2 AS BIGINT) AS edges, CAST(sum((k > 2)::INT) AS BIGINT) AS junctions, CAST(sum((k = 1)::INT) AS BIGINT) AS dead_ends, any_value(components) AS components, CAST(sum(k) / 2 AS BIGINT) - count(*) + any_value(components) AS cycle_rank FROM g, c")
-def _(spark, d, whole=False):
-    return quality_report(_graph(spark, d, whole))
+@query("pip14_quality_report", f"WITH RECURSIVE {_BOTH}, {_LABELS}, c AS (SELECT count(DISTINCT label) AS components FROM r), g AS (SELECT node, count(*) AS k FROM (SELECT unnest([a, b]) AS node FROM e) GROUP BY node) SELECT count(*) AS nodes, CAST(sum(k) / 2 AS BIGINT) AS edges, CAST(sum((k > 2)::INT) AS BIGINT) AS junctions, CAST(sum((k = 1)::INT) AS BIGINT) AS dead_ends, any_value(components) AS components, CAST(sum(k) / 2 AS BIGINT) - count(*) + any_value(components) AS cycle_rank FROM g, c")
+def _(spark, d):
+    return quality_report(_graph(spark, d))

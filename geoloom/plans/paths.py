@@ -102,6 +102,12 @@ def _(spark, d):
     return found.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("win09_stations", f"WITH {ARCS}, k AS (SELECT *, unnest(range(CAST(ceil(greatest(\"at\", 700) / 5000) AS BIGINT), CAST(floor(least(\"at\" + len, total - 700) / 5000) AS BIGINT) + 1)) AS k FROM arcs WHERE len > 0) SELECT id, k, CAST(k * 5000 AS DOUBLE) AS \"at\", round(x + (x2 - x) * (k * 5000 - \"at\") / len, 3) AS x, round(y + (y2 - y) * (k * 5000 - \"at\") / len, 3) AS y FROM k")
+def _(spark, d):
+    found = S.stations(S.arc_length(S.segments(lines(spark, d))), 5000.0, clear=700.0)
+    return found.select("id", "k", "at", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"))
+
+
 @query("win10_morton", f"WITH {NODES} SELECT id, CAST((SELECT sum(((x // 3200 >> b) & 1) * (1::BIGINT << (2 * b)) + ((y // 3200 >> b) & 1) * (1::BIGINT << (2 * b + 1))) FROM range(0, 10) r(b)) AS BIGINT) AS code FROM nodes")
 def _(spark, d):
     cell = lambda c: F.floor(F.col(c) / 3200)
@@ -153,10 +159,9 @@ def _(spark, d):
     return found.select("id", F.round("length", 3).alias("length"), "segments")
 
 
-@query("sca01_seeded", "SELECT p_partkey, CAST(('0x' || substr(sha256(concat_ws(chr(31), 'storeys', CAST(p_partkey AS VARCHAR))), 1, 15))::UBIGINT % 97 AS BIGINT) AS high FROM part")
+@query("sca01_seeded", "SELECT p_partkey, CAST(('0x' || substr(sha256(concat_ws(chr(31), 'storeys', CAST(p_partkey AS VARCHAR))), 1, 16))::UBIGINT % 97 AS BIGINT) AS high FROM part")
 def _(spark, d):
-    digest = F.sha2(F.concat_ws("\x1f", F.lit("storeys"), F.col("p_partkey").cast("string")), 256)
-    return table(spark, d, "part").select("p_partkey", (F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint") % 97).alias("high"))
+    return table(spark, d, "part").select("p_partkey", G.seeded(97, F.lit("storeys"), F.col("p_partkey")).alias("high"))
 
 
 @query("sca06_snap", f"WITH {NODES} SELECT id, CAST(sign(x - 50000) * floor(abs(x - 50000) / 320.0 + 0.5) * 320 AS BIGINT) AS x FROM nodes")

@@ -310,7 +310,7 @@ def _(spark, d):
 _AREAS = "areas AS (SELECT id, x0, y0, x1, y1, CASE WHEN id % 4 = 0 THEN 2 ELSE 4 END AS level, CASE WHEN id % 8 = 0 THEN 'AA' WHEN id % 4 = 0 THEN 'BB' ELSE '' END AS country, CASE WHEN id % 4 = 1 THEN 'cc-' || id ELSE '' END AS subdivision, CAST((x1 - x0) * (y1 - y0) AS DOUBLE) AS km2 FROM boxes)"
 
 
-@query("jon17_located", f"WITH {HOMES}, {BOXES}, {_AREAS}, h AS (SELECT h.id, a.id AS aid, level, country, subdivision, km2 FROM homes h JOIN areas a ON h.x BETWEEN a.x0 AND a.x1 AND h.y BETWEEN a.y0 AND a.y1), g AS (SELECT id, string_agg(aid::VARCHAR, ',' ORDER BY km2 DESC, aid) AS areas, arg_min(country, -km2 * 100 + aid) FILTER (country <> '') AS own, arg_min(upper(substr(subdivision, 1, 2)), km2 * 100 - aid) FILTER (subdivision <> '') AS part FROM h GROUP BY id) SELECT homes.id, coalesce(areas, '') AS areas, coalesce(own, part) AS code, CASE WHEN own IS NOT NULL THEN 'boundary' WHEN part IS NOT NULL THEN 'subdivision' END AS basis FROM homes LEFT JOIN g USING (id)")
+@query("jon17_located", f"WITH {HOMES}, {BOXES}, {_AREAS}, h AS (SELECT h.id, a.id AS aid, level, country, subdivision, km2 FROM homes h JOIN areas a ON h.x BETWEEN a.x0 AND a.x1 AND h.y BETWEEN a.y0 AND a.y1), g AS (SELECT id, string_agg(aid::VARCHAR, ',' ORDER BY km2 DESC, aid) AS areas, arg_min(country, -km2 * 100000 + aid) FILTER (country <> '') AS own, arg_min(upper(substr(subdivision, 1, 2)), km2 * 100000 - aid) FILTER (subdivision <> '') AS part FROM h GROUP BY id) SELECT homes.id, coalesce(areas, '') AS areas, coalesce(own, part) AS code, CASE WHEN own IS NOT NULL THEN 'boundary' WHEN part IS NOT NULL THEN 'subdivision' END AS basis FROM homes LEFT JOIN g USING (id)")
 def _(spark, d):
     k = F.col("id")
     areas = boxes(spark, d).select("id", F.when(k % 4 == 0, 2).otherwise(4).alias("level"), F.when(k % 8 == 0, "AA").when(k % 4 == 0, "BB").otherwise("").alias("country"), F.when(k % 4 == 1, F.concat(F.lit("cc-"), k.cast("string"))).otherwise("").alias("subdivision"), ((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))).cast("double").alias("km2"))

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from geoloom.operators import roads as R
 from geoloom.operators import sequences as S
 from geoloom.operators import spatial as P
-from geoloom.plans.base import ARCS, HOMES, SEGS, SHOPS, WAY_NODES, homes, lines, near_lines, query, shops, table, way_nodes
+from geoloom.plans.base import ARCS, HOMES, NEAR_SEGS, SHOPS, WAY_NODES, homes, lines, near_lines, query, shops, table, way_nodes
+from geoloom.plans.space import _BOTH, _LABELS, _graph
 
 
 @query("prj21_dimensions", "WITH t AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN (o_orderkey % 40) / 2.0::DOUBLE + 1 END AS w, CASE WHEN o_orderkey % 2 = 0 THEN CAST(o_orderkey % 5 + 1 AS INTEGER) END AS l FROM orders), b AS (SELECT *, w IS NOT NULL AND (l IS NULL OR greatest(0.2, w - 0.5) / l > 4.5) AS byw FROM t) SELECT id, CAST(CASE WHEN byw THEN least(greatest(coalesce(l, 1), CAST(round_even(greatest(0.2, w - 0.5) / 3.25, 0) AS INTEGER)), 16) ELSE coalesce(l, 2) END AS INTEGER) AS lanes, CASE WHEN byw THEN 'width' WHEN l IS NOT NULL THEN 'lanes' ELSE 'class' END AS basis FROM b")
@@ -25,13 +26,7 @@ def _(spark, d):
     return R.fitted_lanes(rows, gaps, 1.0).select("id", "lanes", F.col("fitted").cast("int").alias("fitted"))
 
 
-@query("jon21_unshared_crossings", f"WITH {SEGS}, s AS (SELECT * FROM segs WHERE abs(x2 - x) <= 12000 AND abs(y2 - y) <= 12000) SELECT DISTINCT a.id AS a_id, b.id AS b_id FROM s a JOIN s b ON a.id < b.id AND greatest(a.x, a.x2) >= least(b.x, b.x2) AND greatest(b.x, b.x2) >= least(a.x, a.x2) WHERE sign((a.x2 - a.x) * (b.y - a.y) - (a.y2 - a.y) * (b.x - a.x)) * sign((a.x2 - a.x) * (b.y2 - a.y) - (a.y2 - a.y) * (b.x2 - a.x)) < 0 AND sign((b.x2 - b.x) * (a.y - b.y) - (b.y2 - b.y) * (a.x - b.x)) * sign((b.x2 - b.x) * (a.y2 - b.y) - (b.y2 - b.y) * (a.x2 - b.x)) < 0 AND NOT EXISTS (SELECT 1 FROM way_nodes p JOIN way_nodes q ON p.ref = q.ref WHERE p.id = a.id AND q.id = b.id)")
-def _(spark, d):
-    short = S.segments(lines(spark, d)).where("abs(x2 - x) <= 12000 AND abs(y2 - y) <= 12000")
-    return R.unshared(P.crossings(short, 4000), way_nodes(spark, d)).select("a_id", "b_id").distinct()
-
-
-@query("jon21_all_unshared_crossings")
+@query("jon21_unshared_crossings", f"WITH {NEAR_SEGS}, s AS (SELECT * FROM segs) SELECT DISTINCT a.id AS a_id, b.id AS b_id FROM s a JOIN s b ON a.id < b.id AND greatest(a.x, a.x2) >= least(b.x, b.x2) AND greatest(b.x, b.x2) >= least(a.x, a.x2) WHERE sign((a.x2 - a.x) * (b.y - a.y) - (a.y2 - a.y) * (b.x - a.x)) * sign((a.x2 - a.x) * (b.y2 - a.y) - (a.y2 - a.y) * (b.x2 - a.x)) < 0 AND sign((b.x2 - b.x) * (a.y - b.y) - (b.y2 - b.y) * (a.x - b.x)) * sign((b.x2 - b.x) * (a.y2 - b.y) - (b.y2 - b.y) * (a.x2 - b.x)) < 0 AND NOT EXISTS (SELECT 1 FROM way_nodes p JOIN way_nodes q ON p.ref = q.ref WHERE p.id = a.id AND q.id = b.id)")
 def _(spark, d):
     found = P.crossings(S.segments(near_lines(spark, d)), 250)
     return R.unshared(found, way_nodes(spark, d)).select("a_id", "b_id").distinct()
@@ -81,9 +76,7 @@ def _(spark, d):
     return used.subtract(c.where("c_custkey % 3 = 0").select("c_custkey")).union(c.where("c_custkey % 7 = 0").select((-F.col("c_custkey")).alias("id"))).distinct()
 
 
-@query("agg28_grounded_components", "WITH RECURSIVE e AS (SELECT o_custkey * 2 AS a, (o_orderkey % 400) * 2 + 1 AS b FROM orders WHERE o_orderkey % 3 = 0), s(a, b) AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT DISTINCT a AS node, a AS seen FROM s UNION SELECT r.node, s.b FROM r JOIN s ON r.seen = s.a), c AS (SELECT node, min(seen) AS component FROM r GROUP BY node) SELECT component, count(*) AS grounded FROM c WHERE node % 5 = 0 GROUP BY component HAVING count(*) >= 2")
-def _(spark, d, whole=False):
-    from geoloom.plans.space import _graph
-
-    g = _graph(spark, d, whole)
+@query("agg28_grounded_components", f"WITH RECURSIVE {_BOTH}, {_LABELS} SELECT label AS component, count(*) AS grounded FROM r WHERE node % 5 = 0 GROUP BY label HAVING count(*) >= 2")
+def _(spark, d):
+    g = _graph(spark, d)
     return R.grounded_components(g, g.select(F.explode(F.array("a", "b")).alias("node")).where("node % 5 = 0"))

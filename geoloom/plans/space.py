@@ -10,7 +10,7 @@ from geoloom.operators import graph as GR
 from geoloom.operators import references as R
 from geoloom.operators import sequences as S
 from geoloom.operators import spatial as P
-from geoloom.plans.base import BOXES, HOMES, NODES, SEGS, SHOPS, WAY_NODES, box_edges, boxes, homes, lines, near_lines, nodes, query, shops, table, way_nodes
+from geoloom.plans.base import BOXES, HOMES, NEAR_SEGS, NODES, SHOPS, WAY_NODES, box_edges, boxes, homes, lines, near_lines, nodes, query, shops, table, way_nodes
 
 INSIDE = f"{HOMES}, {BOXES}, inside AS (SELECT h.id, b.id AS polygon FROM homes h JOIN boxes b ON h.x BETWEEN b.x0 AND b.x1 AND h.y BETWEEN b.y0 AND b.y1)"
 
@@ -31,7 +31,7 @@ def _(spark, d):
     return P.first_region(homes(spark, d), inside(spark, d), regions, "default")
 
 
-@query("jon16_smallest_site", f"WITH {INSIDE}, m AS (SELECT i.id, min_by(polygon, (b.x1 - b.x0) * (b.y1 - b.y0) * 100 + polygon) AS site FROM inside i JOIN boxes b ON b.id = i.polygon GROUP BY i.id) SELECT h.id, CASE WHEN site IS NULL THEN 'tile' ELSE 'site' END AS kind, coalesce(CAST(site AS VARCHAR), (x // 256) || ':' || (y // 256)) AS key FROM homes h LEFT JOIN m ON m.id = h.id")
+@query("jon16_smallest_site", f"WITH {INSIDE}, m AS (SELECT i.id, min_by(polygon, (b.x1 - b.x0) * (b.y1 - b.y0) * 100000 + polygon) AS site FROM inside i JOIN boxes b ON b.id = i.polygon GROUP BY i.id) SELECT h.id, CASE WHEN site IS NULL THEN 'tile' ELSE 'site' END AS kind, coalesce(CAST(site AS VARCHAR), (x // 256) || ':' || (y // 256)) AS key FROM homes h LEFT JOIN m ON m.id = h.id")
 def _(spark, d):
     areas = boxes(spark, d).select(F.col("id").alias("polygon"), ((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))).alias("area"))
     return P.smallest_site(homes(spark, d), inside(spark, d), areas, 256)
@@ -50,16 +50,7 @@ def _(spark, d):
     return P.nearest_line(homes(spark, d), seg, 400).select("id", "line")
 
 
-def _short(spark, d):
-    return S.segments(lines(spark, d)).where("abs(x2 - x) <= 12000 AND abs(y2 - y) <= 12000")
-
-
-@query("jon20_crossings", f"WITH {SEGS}, s AS (SELECT * FROM segs WHERE abs(x2 - x) <= 12000 AND abs(y2 - y) <= 12000) SELECT a.id AS a_id, a.seq AS a_seq, b.id AS b_id, b.seq AS b_seq FROM s a JOIN s b ON a.id < b.id AND greatest(a.x, a.x2) >= least(b.x, b.x2) AND greatest(b.x, b.x2) >= least(a.x, a.x2) WHERE sign((a.x2 - a.x) * (b.y - a.y) - (a.y2 - a.y) * (b.x - a.x)) * sign((a.x2 - a.x) * (b.y2 - a.y) - (a.y2 - a.y) * (b.x2 - a.x)) < 0 AND sign((b.x2 - b.x) * (a.y - b.y) - (b.y2 - b.y) * (a.x - b.x)) * sign((b.x2 - b.x) * (a.y2 - b.y) - (b.y2 - b.y) * (a.x2 - b.x)) < 0")
-def _(spark, d):
-    return P.crossings(_short(spark, d), 4000)
-
-
-@query("jon20_all_crossings")
+@query("jon20_crossings", f"WITH {NEAR_SEGS}, s AS (SELECT * FROM segs) SELECT a.id AS a_id, a.seq AS a_seq, b.id AS b_id, b.seq AS b_seq FROM s a JOIN s b ON a.id < b.id AND greatest(a.x, a.x2) >= least(b.x, b.x2) AND greatest(b.x, b.x2) >= least(a.x, a.x2) WHERE sign((a.x2 - a.x) * (b.y - a.y) - (a.y2 - a.y) * (b.x - a.x)) * sign((a.x2 - a.x) * (b.y2 - a.y) - (a.y2 - a.y) * (b.x2 - a.x)) < 0 AND sign((b.x2 - b.x) * (a.y - b.y) - (b.y2 - b.y) * (a.x - b.x)) * sign((b.x2 - b.x) * (a.y2 - b.y) - (b.y2 - b.y) * (a.x2 - b.x)) < 0")
 def _(spark, d):
     return P.crossings(S.segments(near_lines(spark, d)), 250)
 
@@ -85,34 +76,34 @@ def _(spark, d):
     return A.density(cells, 24)
 
 
-@query("jon29_bilinear", "WITH g AS (SELECT vec_id AS row, unnest(range(0, 64)) AS col, unnest(embedding) AS h FROM embeddings WHERE vec_id < 64), p AS (SELECT CAST(c_custkey AS BIGINT) AS id, (c_custkey * 37 % 620) / 10.0 AS x, (c_custkey * 53 % 620) / 10.0 AS y FROM customer), k AS (SELECT id, floor(x) AS c, floor(y) AS r, x - floor(x) AS fu, y - floor(y) AS fv FROM p) SELECT id, CAST(round(10000 * (a.h * (1 - fu) * (1 - fv) + b.h * fu * (1 - fv) + e.h * (1 - fu) * fv + f.h * fu * fv)) AS BIGINT) AS h FROM k JOIN g a ON a.row = r AND a.col = c JOIN g b ON b.row = r AND b.col = c + 1 JOIN g e ON e.row = r + 1 AND e.col = c JOIN g f ON f.row = r + 1 AND f.col = c + 1")
-def _(spark, d, whole=False):
+@query("jon29_bilinear", "WITH g AS (SELECT vec_id AS row, unnest(range(0, 64)) AS col, unnest(embedding) AS h FROM embeddings), p AS (SELECT CAST(c_custkey AS BIGINT) AS id, (c_custkey * 37 % 620) / 10.0 AS x, (c_custkey * 53 % (SELECT max(vec_id) * 10 FROM embeddings)) / 10.0 AS y FROM customer), k AS (SELECT id, floor(x) AS c, floor(y) AS r, x - floor(x) AS fu, y - floor(y) AS fv FROM p) SELECT id, CAST(round(10000 * (a.h * (1 - fu) * (1 - fv) + b.h * fu * (1 - fv) + e.h * (1 - fu) * fv + f.h * fu * fv)) AS BIGINT) AS h FROM k JOIN g a ON a.row = r AND a.col = c JOIN g b ON b.row = r AND b.col = c + 1 JOIN g e ON e.row = r + 1 AND e.col = c JOIN g f ON f.row = r + 1 AND f.col = c + 1")
+def _(spark, d):
     k = F.col("c_custkey").cast("bigint")
-    pts = table(spark, d, "customer").select(k.alias("id"), (k * 37 % 620 / 10.0).alias("x"), (k * 53 % (_span(spark, d, 620, whole)) / 10.0).alias("y"))
-    return P.bilinear(pts, _raster(spark, d, whole), 0.0, 0.0, 1.0).select("id", F.round(F.col("h") * 10000).cast("bigint").alias("h"))
+    pts = table(spark, d, "customer").select(k.alias("id"), (k * 37 % 620 / 10.0).alias("x"), (k * 53 % _span(spark, d) / 10.0).alias("y"))
+    return P.bilinear(pts, _raster(spark, d), 0.0, 0.0, 1.0).select("id", F.round(F.col("h") * 10000).cast("bigint").alias("h"))
 
 
-def _span(spark, d, few, whole):
-    """Tenths of a row over which points are spread: those of the first 64 rows, or of all."""
-    return table(spark, d, "embeddings").agg(F.max("vec_id")).first()[0] * 10 if whole else few
+def _span(spark, d):
+    """Tenths of a row over which points are spread."""
+    return table(spark, d, "embeddings").agg(F.max("vec_id")).first()[0] * 10
 
 
-def _raster(spark, d, whole=False):
-    rows = table(spark, d, "embeddings")
-    return (rows if whole else rows.where("vec_id < 64")).select(F.col("vec_id").alias("row"), F.posexplode("embedding").alias("col", "h")).withColumn("h", F.col("h").cast("double"))
+def _raster(spark, d):
+    """All vectors as the rows of a raster."""
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("row"), F.posexplode("embedding").alias("col", "h")).withColumn("h", F.col("h").cast("double"))
 
 
-RASTER = "g AS (SELECT vec_id AS row, CAST(unnest(range(0, 64)) AS INTEGER) AS col, CAST(unnest(embedding) AS DOUBLE) AS h FROM embeddings WHERE vec_id < 64)"
+RASTER = "g AS (SELECT vec_id AS row, CAST(unnest(range(0, 64)) AS INTEGER) AS col, CAST(unnest(embedding) AS DOUBLE) AS h FROM embeddings)"
 
 
 @query("win12_opening", f"WITH {RASTER}, a AS (SELECT row, col, min(h) OVER (PARTITION BY row ORDER BY col ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS h FROM g), b AS (SELECT row, col, min(h) OVER (PARTITION BY col ORDER BY row ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS h FROM a), c AS (SELECT row, col, max(h) OVER (PARTITION BY row ORDER BY col ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS h FROM b) SELECT row, col, max(h) OVER (PARTITION BY col ORDER BY row ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS h FROM c")
-def _(spark, d, whole=False):
-    return P.opening(_raster(spark, d, whole), 2)
+def _(spark, d):
+    return P.opening(_raster(spark, d), 2)
 
 
 @query("win13_gaussian", f"WITH {RASTER}, a AS (SELECT row, col, 0.25 * coalesce(lag(h) OVER w, h) + 0.5 * h + 0.25 * coalesce(lead(h) OVER w, h) AS h FROM g WINDOW w AS (PARTITION BY row ORDER BY col)) SELECT row, col, CAST(round(100000 * (0.25 * coalesce(lag(h) OVER w, h) + 0.5 * h + 0.25 * coalesce(lead(h) OVER w, h))) AS BIGINT) AS h FROM a WINDOW w AS (PARTITION BY col ORDER BY row)")
-def _(spark, d, whole=False):
-    return P.gaussian(_raster(spark, d, whole), [0.25, 0.5, 0.25]).select("row", "col", F.round(F.col("h") * 100000).cast("bigint").alias("h"))
+def _(spark, d):
+    return P.gaussian(_raster(spark, d), [0.25, 0.5, 0.25]).select("row", "col", F.round(F.col("h") * 100000).cast("bigint").alias("h"))
 
 
 @query("jon01_resolved", f"WITH {WAY_NODES}, {NODES}, k AS (SELECT * FROM nodes WHERE id % 101 <> 0) SELECT id, seq, ref, x, y FROM (SELECT w.*, k.x, k.y, bool_or(k.id IS NULL) OVER (PARTITION BY w.id) AS bad FROM way_nodes w LEFT JOIN k ON w.ref = k.id) WHERE NOT bad")
@@ -357,24 +348,26 @@ def _(spark, d):
     return C.split(table(spark, d, "part"), ("size", F.col("p_size") > 45), ("price", F.col("p_retailprice") < 950))[1].select("p_partkey", "reason")
 
 
-def _graph(spark, d, whole=False):
-    o = table(spark, d, "orders")
-    o = o if whole else o.where("o_orderkey % 3 = 0")
-    return o.select((F.col("o_custkey") * 2).alias("a"), ((F.col("o_orderkey") % 400) * 2 + 1).alias("b"))
+def _graph(spark, d):
+    """All orders as edges between a customer and a run of 37 orders."""
+    return table(spark, d, "orders").select((F.col("o_custkey") * 2).alias("a"), (F.floor(F.col("o_orderkey") / 37) * 2 + 1).alias("b"))
+
 
+GRAPH = "e AS (SELECT o_custkey * 2 AS a, o_orderkey // 37 * 2 + 1 AS b FROM orders)"
 
-GRAPH = "e AS (SELECT o_custkey * 2 AS a, (o_orderkey % 400) * 2 + 1 AS b FROM orders WHERE o_orderkey % 3 = 0)"
 
+_BOTH = f"{GRAPH}, s(a, b) AS (SELECT a, b FROM e UNION SELECT b, a FROM e)"
+_LABELS = "r(node, label) USING KEY (node) AS (SELECT DISTINCT a, a FROM s UNION SELECT s.b, min(r.label) FROM r JOIN s ON s.a = r.node JOIN recurring.r AS old ON old.node = s.b WHERE r.label < old.label GROUP BY s.b)"
 
-@query("gra02_components", f"WITH RECURSIVE {GRAPH}, s AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT DISTINCT a AS node, a AS seen FROM s UNION SELECT r.node, s.b FROM r JOIN s ON r.seen = s.a) SELECT node, min(seen) AS component FROM r GROUP BY node".replace("s AS (", "s(a, b) AS ("))
-def _(spark, d, whole=False):
-    return GR.components(_graph(spark, d, whole))
+
+@query("gra02_components", f"WITH RECURSIVE {_BOTH}, {_LABELS} SELECT node, label AS component FROM r")
+def _(spark, d):
+    return GR.components(_graph(spark, d))
 
 
-@query("gra01_closure")
-def _(spark, d, whole=False):
+@query("gra01_closure", f"WITH RECURSIVE {WAY_NODES}, i AS (SELECT DISTINCT id AS way, ref AS node FROM way_nodes), r(way, hop) USING KEY (way) AS (SELECT DISTINCT way, 0 FROM i WHERE way % 997 = 1 UNION SELECT DISTINCT q.way, r.hop + 1 FROM r JOIN i p ON p.way = r.way JOIN i q ON q.node = p.node LEFT JOIN recurring.r AS old ON old.way = q.way WHERE r.way % 5 = 0 AND old.way IS NULL) SELECT way, hop FROM r")
+def _(spark, d):
     inc = way_nodes(spark, d).select(F.col("id").alias("way"), F.col("ref").alias("node"))
-    inc = inc if whole else inc.where("node % 3 = 0")
     ways = inc.select("way").distinct()
     return GR.closure(ways.where("way % 997 = 1"), inc, ways.where("way % 5 = 0"))
 
@@ -389,21 +382,21 @@ def _(spark, d):
     return GR.two_arm_joins(_ends(spark, d))
 
 
-@query("gra03_chains")
+@query("gra03_chains", f"WITH RECURSIVE {WAY_NODES}, w AS (SELECT id, min_by(ref, seq) * 8 + id % 8 AS a, max_by(ref, seq) * 8 + id % 8 AS b FROM way_nodes GROUP BY id), h AS (SELECT id, unnest([a, b]) AS node FROM w), l AS (SELECT min(id) AS a, max(id) AS b FROM h GROUP BY node HAVING count(*) = 2 AND min(id) <> max(id) AND min(id % 2) = max(id % 2)), s(a, b) AS (SELECT a, b FROM l UNION SELECT b, a FROM l), {_LABELS} SELECT id AS edge, coalesce(label, id) AS chain FROM w LEFT JOIN r ON r.node = w.id")
 def _(spark, d):
     return GR.chains(_ends(spark, d).withColumn("lanes", F.col("edge") % 2), "lanes")
 
 
-@query("gra14_routes")
-def _(spark, d, whole=False):
-    g = _graph(spark, d, whole)
+@query("gra14_routes", f"WITH {GRAPH}, p AS (SELECT DISTINCT a AS start, a + 2 AS goal FROM e), h AS (SELECT DISTINCT f.a AS start, t.a AS node FROM e f JOIN e t ON f.b = t.b), two AS (SELECT start, goal FROM p JOIN h USING (start) WHERE node = goal), four AS (SELECT DISTINCT p.start, p.goal FROM p JOIN h x ON x.start = p.start JOIN h y ON y.start = p.goal AND y.node = x.node) SELECT start, goal, CASE WHEN (start, goal) IN (SELECT (start, goal) FROM two) THEN 2 ELSE 4 END AS hops FROM four")
+def _(spark, d):
+    g = _graph(spark, d)
     pairs = g.select(F.col("a").alias("start"), (F.col("a") + 2).alias("goal")).distinct()
     return GR.route(g, pairs, 4)
 
 
-@query("gra15_distances")
-def _(spark, d, whole=False):
-    g = _graph(spark, d, whole).withColumn("length", (F.col("a") % 7 + 1).cast("double"))
+@query("gra15_distances", f"WITH RECURSIVE {GRAPH}, s AS (SELECT a AS u, b AS v, a % 7 + 1 AS length FROM e UNION SELECT b, a, a % 7 + 1 FROM e), r(node, distance) AS (SELECT DISTINCT a, 0 FROM e WHERE a % 100 = 0 UNION SELECT v, distance + length FROM r JOIN s ON u = node WHERE distance + length <= 20) SELECT node, CAST(min(distance) AS DOUBLE) AS distance FROM r GROUP BY node")
+def _(spark, d):
+    g = _graph(spark, d).withColumn("length", (F.col("a") % 7 + 1).cast("double"))
     return GR.distances(g, g.where("a % 100 = 0").select(F.col("a").alias("node")), 20.0)
 
 
