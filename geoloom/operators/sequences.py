@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from geoloom.functions.geometry import clip_interval
+
 
 def by_seq(id_col: str = "id", seq_col: str = "seq"):
     return Window.partitionBy(id_col).orderBy(seq_col)
@@ -133,3 +135,26 @@ def value_at(steps: DataFrame, asks: DataFrame, id_col: str = "id", at: str = "a
     both = steps.select(id_col, F.col(at).alias("t"), F.lit(0).alias("_kind"), "value").unionByName(asks.select(id_col, "t", F.lit(1).alias("_kind"), F.lit(None).cast(steps.schema["value"].dataType).alias("value")))
     order = Window.partitionBy(id_col).orderBy("t", "_kind").rowsBetween(Window.unboundedPreceding, 0)
     return both.withColumn("value", F.last("value", ignorenulls=True).over(order)).where("_kind = 1").drop("_kind")
+
+
+def crop_lines(points: DataFrame, window: tuple[int, int, int, int], least: float = 0.0) -> tuple[DataFrame, DataFrame]:
+    """Lines (id, seq, x, y, z) cut at a window (west, south, east, north): (id, piece, seq, x, y, z, cut), and (id, short), how many pieces below ``least`` went.
+
+    Lines inside stay whole; where a line leaves, a piece ends with a ``cut`` vertex whose height is
+    interpolated, and the next begins where it comes back. A line that only touches the window gives nothing.
+    """
+    order = by_seq()
+    ahead = {f"{c}2": F.lead(c).over(order) for c in ("x", "y", "z")}
+    t0, t1 = clip_interval(*[F.col(c) for c in ("x", "y", "x2", "y2")], *[F.lit(v) for v in window])
+    segs = points.select("id", "seq", "x", "y", "z", *[v.alias(k) for k, v in ahead.items()]).where("x2 IS NOT NULL").withColumns({"t0": t0, "t1": t1})
+    goes_on = F.coalesce((F.lag("t1").over(order) == 1) & (F.col("t0") == 0), F.lit(False))
+    # a segment without length belongs to the piece that it stands in
+    segs = segs.withColumn("new", ~goes_on).where("t0 < t1").withColumn("piece", F.sum(F.col("new").cast("int")).over(order) - 1)
+    size = F.sum(segment_length() * (F.col("t1") - F.col("t0"))).over(Window.partitionBy("id", "piece"))
+    segs = segs.withColumn("size", size)
+    short = segs.where((F.col("size") < least) & F.col("new")).groupBy("id").agg(F.count(F.lit(1)).alias("short"))
+    at = lambda t, cut: F.struct(*[(F.col(c) + F.col(t) * (F.col(f"{c}2") - F.col(c))).alias(c) for c in ("x", "y", "z")], cut.alias("cut"))
+    ends = F.when(F.col("new"), F.array(at("t0", F.col("t0") > 0), at("t1", F.col("t1") < 1))).otherwise(F.array(at("t1", F.col("t1") < 1)))
+    each = segs.where(F.col("size") >= least).select("id", "piece", F.col("seq").alias("_seq"), F.posexplode(ends).alias("_at", "v"))
+    number = F.row_number().over(Window.partitionBy("id", "piece").orderBy("_seq", "_at")).cast("bigint")
+    return each.select("id", "piece", number.alias("seq"), "v.x", "v.y", "v.z", "v.cut"), short

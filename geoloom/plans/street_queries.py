@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from geoloom.operators import graph as GR
+from geoloom.operators import parallels as A
 from geoloom.operators import roads as R
 from geoloom.operators import sequences as S
 from geoloom.operators import spatial as P
 from geoloom.operators import streets as T
-from geoloom.plans.base import BOXES, HOMES, NEAR_SEGS, SHOPS, WAY_NODES, box_edges, boxes, homes, near_lines, query, shops, table, way_nodes
+from geoloom.plans.base import BOXES, HOMES, LINES, NEAR_SEGS, SHOPS, WAY_NODES, box_edges, boxes, homes, lines, near_lines, query, shops, table, way_nodes
 from geoloom.plans.places import _roads
 from geoloom.plans.space import _BOTH, _LABELS, _graph
 from geoloom.sources import overlays
@@ -157,3 +158,62 @@ def _(spark, d):
     segments, connectors = overlays.transport_rows(rows, (0.0, 0.0, 10.0, 10.0), ["residential", "primary", "service", "track"])
     both = segments.withColumn("kind", F.lit("segment")).unionByName(connectors.withColumn("kind", F.lit("connector")))
     return both.select("o_orderkey", "kind", F.array_join("reasons", ",").alias("reasons"))
+
+
+def _parallel(spark, d):
+    """Roads of which every third runs backwards, in two kinds."""
+    k = F.col("id")
+    r, back = _roads(homes(spark, d)), k % 3 == 0
+    turned = {"x": F.when(back, F.col("x2")).otherwise(F.col("x")), "x2": F.when(back, F.col("x")).otherwise(F.col("x2"))}
+    return r.withColumns(turned).withColumn("kind", k % 2)
+
+
+_SAMPLES = "s AS (SELECT id, width, y, CASE WHEN id % 3 = 0 THEN x2 - k * 50 ELSE x + k * 50 END AS x, k, CAST(ceil((x2 - x) / 50.0) AS BIGINT) AS n FROM (SELECT *, unnest(range(CAST(ceil((x2 - x) / 50.0) AS BIGINT))) AS k FROM roads))"
+
+
+@query("jon23_carriageways", f"WITH {HOME_ROADS}, {_SAMPLES}, p AS (SELECT s.id, s.k, b.id AS partner, sqrt(pow(greatest(b.x - s.x, 0, s.x - b.x2), 2) + pow(b.y - s.y, 2)) AS gap FROM s JOIN roads b ON b.id <> s.id AND b.id % 2 = s.id % 2 AND (b.id % 3 = 0) <> (s.id % 3 = 0) AND abs(b.y - s.y) <= 700 AND b.x - 700 <= s.x AND s.x <= b.x2 + 700), r AS (SELECT *, row_number() OVER (PARTITION BY id, k ORDER BY gap, partner) AS i FROM p WHERE gap BETWEEN 50 AND 700) SELECT id, k, partner, round(gap, 3) AS gap FROM r WHERE i = 1")
+def _(spark, d):
+    return A.match_carriageways(_parallel(spark, d), 50.0, 50.0, 700).select("id", "k", "partner", F.round("gap", 3).alias("gap"))
+
+
+_WALKS = f"WITH {HOME_ROADS}, {_SAMPLES}, f AS (SELECT id, x + 10 AS x, x + 260 AS x2, y + CASE WHEN id % 4 = 0 THEN -1 ELSE 1 END * (25 + id % 30) AS y, 16 + id % 4 AS w FROM homes), d AS (SELECT s.id, k, n, CASE WHEN (f.y - s.y) * CASE WHEN s.id % 3 = 0 THEN -1 ELSE 1 END >= 0 THEN 1 ELSE -1 END AS side, f.id AS footway, sqrt(pow(greatest(f.x - s.x, 0, s.x - f.x2), 2) + pow(f.y - s.y, 2)) AS gap, f.w, s.width FROM s JOIN f ON abs(f.y - s.y) <= 120 AND f.x - 120 <= s.x AND s.x <= f.x2 + 120), e AS (SELECT *, gap + w / 2 - width / 2 AS o FROM d WHERE gap - width / 2 <= 80), m AS (SELECT id, side, n, k, min(o) AS o FROM e GROUP BY ALL), g AS (SELECT id, side, list_sort(list(o))[len(list(o)) // 2 + 1] AS \"offset\" FROM m GROUP BY id, side, n HAVING count(*) * 2 >= n)"
+
+
+def _sidewalks(spark, d):
+    k = F.col("id")
+    y = F.col("y") + F.when(k % 4 == 0, -1).otherwise(1) * (25 + k % 30)
+    footways = homes(spark, d).select("id", F.lit(0).cast("bigint").alias("seq"), (F.col("x") + 10).alias("x"), y.alias("y"), (F.col("x") + 260).alias("x2"), y.alias("y2"), (16 + k % 4).alias("width"))
+    return footways, A.match_sidewalks(_parallel(spark, d), footways, 50.0, 80, 80)
+
+
+@query("jon24_sidewalks", f'{_WALKS} SELECT id, side, round("offset", 3) AS "offset" FROM g')
+def _(spark, d):
+    return _sidewalks(spark, d)[1][0].select("id", "side", F.round("offset", 3).alias("offset"))
+
+
+@query("jon25_absorbed_footways", f'{_WALKS}, pairs AS (SELECT DISTINCT e.id AS road, footway FROM e JOIN g ON g.id = e.id AND g.side = e.side), b AS (SELECT r.*, r.width / 2 + (SELECT max("offset") FROM g WHERE g.id = r.id) + 0.25 AS band FROM roads r), q AS (SELECT f.id, k, p.road FROM f JOIN (SELECT unnest(range(5)) AS k) ON true JOIN pairs p ON p.footway = f.id JOIN b ON b.id = p.road WHERE sqrt(pow(greatest(b.x - (f.x + k * 50), 0, f.x + k * 50 - b.x2), 2) + pow(f.y - b.y, 2)) <= band), c AS (SELECT id, road, count(*) AS n FROM q GROUP BY id, road) SELECT id, min_by(road, -n * 1000000 + road) AS owner FROM c WHERE id IN (SELECT id FROM q GROUP BY id HAVING count(DISTINCT k) = 5) GROUP BY id')
+def _(spark, d):
+    footways, (sides, pairs) = _sidewalks(spark, d)
+    wide = sides.groupBy(F.col("id").alias("_id")).agg(F.max("offset").alias("_o"))
+    roads = _parallel(spark, d).join(wide, F.col("id") == F.col("_id")).withColumn("band", F.col("width") / 2.0 + F.col("_o") + 0.25)
+    return A.absorbed_footways(footways, roads, pairs, 50.0, 200)
+
+
+_FLAT = "CASE WHEN {d} = 0 THEN CASE WHEN {a} BETWEEN {low} AND {high} THEN {inside} ELSE NULL END ELSE {f}(({low} - {a}) / {d}, ({high} - {a}) / {d}) END"
+_SLABS = {f"{c}{n}": _FLAT.format(d=f"d{c}", a=c, low=low, high=high, inside=n, f=("least", "greatest")[n]) for c, low, high in (("x", 20000, 80000), ("y", 30000, 70000)) for n in (0, 1)}
+_CROP = f"""WITH {LINES}, g AS (SELECT id, seq, x, y, ref % 50 AS z, lead(x) OVER w AS bx, lead(y) OVER w AS by_, lead(ref % 50) OVER w AS z2 FROM lines WINDOW w AS (PARTITION BY id ORDER BY seq)),
+h AS (SELECT *, CAST(bx - x AS DOUBLE) AS dx, CAST(by_ - y AS DOUBLE) AS dy FROM g WHERE bx IS NOT NULL),
+s AS (SELECT *, {_SLABS['x0']} AS ax, {_SLABS['x1']} AS zx, {_SLABS['y0']} AS ay, {_SLABS['y1']} AS zy FROM h),
+t AS (SELECT *, CASE WHEN ax IS NULL OR ay IS NULL THEN NULL ELSE greatest(0.0, ax, ay) END AS t0, CASE WHEN ax IS NULL OR ay IS NULL THEN NULL ELSE least(1.0, zx, zy) END AS t1 FROM s),
+u AS (SELECT *, NOT coalesce(lag(CASE WHEN t0 <= t1 THEN t1 END) OVER (PARTITION BY id ORDER BY seq) = 1 AND t0 = 0, false) AS fresh FROM t),
+v AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY id ORDER BY seq) - 1 AS piece FROM u WHERE t0 < t1),
+k AS (SELECT *, sum(sqrt(dx * dx + dy * dy) * (t1 - t0)) OVER (PARTITION BY id, piece) AS size FROM v),
+e AS (SELECT id, piece, seq AS q, 0 AS i, t0 AS t, t0 > 0 AS cut, x, y, z, dx, dy, z2 FROM k WHERE fresh AND size >= 5000 UNION ALL SELECT id, piece, seq, 1, t1, t1 < 1, x, y, z, dx, dy, z2 FROM k WHERE size >= 5000)
+SELECT id, CAST(piece AS BIGINT) AS piece, row_number() OVER (PARTITION BY id, piece ORDER BY q, i) AS seq, round(x + t * dx, 3) AS x, round(y + t * dy, 3) AS y, round(z + t * (z2 - z), 3) AS z, cut FROM e"""
+
+
+@query("pip01_cropped_lines", _CROP)
+def _(spark, d):
+    points = lines(spark, d).select("id", "seq", "x", "y", (F.col("ref") % 50).alias("z"))
+    kept, _ = S.crop_lines(points, (20000, 30000, 80000, 70000), 5000.0)
+    return kept.select("id", "piece", "seq", *[F.round(c, 3).alias(c) for c in ("x", "y", "z")], "cut")

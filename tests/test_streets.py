@@ -1,5 +1,7 @@
 """Streets and published rows on small worked examples."""
 
+from geoloom.operators import parallels as A
+from geoloom.operators import sequences as S
 from geoloom.operators import streets as T
 from geoloom.sources import overlays
 
@@ -68,3 +70,24 @@ def test_rows_with_nulls_keep_reasons(spark):
     lines = spark.createDataFrame([(None,) * 9], "id string, type string, version int, subtype string, class string, level int, flags array<string>, sources array<struct<dataset: string>>, points array<struct<x: double, y: double>>")
     segments, connectors = overlays.transport_rows(lines, (0, 0, 5, 5), ["service"])
     assert segments.first().reasons == ["id", "version", "sources", "type", "line", "class"] and connectors.count() == 0
+
+
+def test_parallels(spark):
+    shape = f"{SEG}, width long, kind string"
+    roads = spark.createDataFrame([(1, 0, 0, 0, 100, 0, 10, "a"), (2, 0, 100, 20, 0, 20, 10, "a"), (3, 0, 100, 10, 0, 10, 10, "b"), (4, 0, 0, -20, 100, -20, 10, "a"), (5, 0, 7, 7, 7, 7, 10, "a")], shape)
+    got = {(r.id, r.partner, r.gap) for r in A.match_carriageways(roads, 10.0, 5.0, 50).collect()}
+    assert got == {(1, 2, 20.0), (2, 1, 20.0), (4, 2, 40.0)}
+    footways = spark.createDataFrame([(8, 0, 0, 8, 100, 8, 2), (9, 0, 0, -8, 30, -8, 2), (10, 0, 50, 5, 50, 60, 2)], f"{SEG}, width long")
+    sides, pairs = A.match_sidewalks(roads.where("id = 1"), footways, 10.0, 6, 10)
+    assert [tuple(r) for r in sides.collect()] == [(1, 1, 4.0)] and [tuple(r) for r in pairs.collect()] == [(1, 8)]
+    bands = roads.where("id = 1").selectExpr("*", "9.25 AS band")
+    both = spark.createDataFrame([(1, 8), (1, 10)], "road long, footway long")
+    assert [tuple(r) for r in A.absorbed_footways(footways, bands, both, 10.0, 20).collect()] == [(8, 1)]
+    assert A.match_carriageways(roads.limit(0), 10.0, 5.0, 50).count() == 0
+
+
+def test_crop_leaves_and_comes_back(spark):
+    rows = [(1, 1, 5, 5, 0), (1, 2, 15, 5, 10), (1, 3, 15, 8, 10), (1, 4, 5, 8, 0), (2, 1, 1, 1, 3), (2, 2, 1, 1, 3), (2, 3, 2, 1, 3), (3, 1, -5, 5, 0), (3, 2, 5, -5, 0), (4, 1, 9, 5, 0), (4, 2, 11, 5, 2)]
+    kept, short = S.crop_lines(spark.createDataFrame(rows, "id long, seq long, x long, y long, z long"), (0, 0, 10, 10), 1.5)
+    assert [tuple(r) for r in kept.where("id = 1").orderBy("piece", "seq").collect()] == [(1, 0, 1, 5, 5, 0, False), (1, 0, 2, 10, 5, 5, True), (1, 1, 1, 10, 8, 5, True), (1, 1, 2, 5, 8, 0, False)]
+    assert {r.id for r in kept.collect()} == {1} and {tuple(r) for r in short.collect()} == {(2, 1), (4, 1)}
