@@ -37,11 +37,11 @@ def _(spark, d):
     return T.snap_to_side(homes(spark, d), _roads(shops(spark, d)), 400, 7.5).select("id", "line", "side", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"))
 
 
-@query("jon44_opposite", f"WITH {HOME_ROADS}, p AS (SELECT a.id, CAST(sign(b.y - a.y) AS INTEGER) AS side, b.id AS other, abs(b.y - a.y) AS far FROM roads a JOIN roads b ON (a.id % 3 = 0) <> (b.id % 3 = 0) AND (a.x + a.x2) / 2 BETWEEN b.x AND b.x2 AND abs(b.y - a.y) BETWEEN a.width / 2 + 10 AND a.width / 2 + 600) SELECT id, side, min_by(other, far * 1000000 + other) AS other FROM p GROUP BY id, side")
+@query("jon44_opposite", f"WITH {HOME_ROADS}, p AS (SELECT a.id, CAST(sign(b.y - a.y) AS INTEGER) AS side, b.id AS other, abs(b.y - a.y) AS far FROM roads a JOIN roads b ON (a.id % 3 = 0) <> (b.id % 3 = 0) AND (a.x + a.x2) / 2 BETWEEN b.x AND b.x2 AND abs(b.y - a.y) BETWEEN a.width / 2 AND a.width / 2 + 2500) SELECT id, side, min_by(other, far * 1000000 + other) AS other FROM p GROUP BY id, side")
 def _(spark, d):
     k = F.col("id")
     one_way = _roads(homes(spark, d)).withColumn("one_way", F.when(k % 3 == 0, -1).otherwise(1))
-    return T.opposite(one_way, 10.0, 600.0, 500).select("id", "side", "other")
+    return T.opposite(one_way, 0.0, 2500.0, 1000).select("id", "side", "other")
 
 
 @query("jon45_related", f"WITH RECURSIVE {_BOTH}, {_LABELS}, {HOMES}, t AS (SELECT *, id % 3 AS grp, id * 2 AS node FROM homes), n AS (SELECT a.id, b.grp, b.id AS other, a.node AS an, b.node AS bn, row_number() OVER (PARTITION BY a.id, b.grp ORDER BY (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y), b.id) AS k FROM t a JOIN t b ON b.grp = a.grp + 1 AND a.id <> b.id) SELECT id, grp, other, coalesce(p.label = q.label, false) AS connected FROM n LEFT JOIN r p ON p.node = an LEFT JOIN r q ON q.node = bn WHERE k = 1")
