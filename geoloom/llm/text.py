@@ -110,10 +110,11 @@ def lanes(data: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
     return every[at] & _MASKS.take(np.minimum(size, 8))
 
 
-def hashes_of(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each piece data[start:end] of padded data."""
+def hashes_of(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of each piece data[start:end] of padded data; another (even) seed gives another hash."""
+    by_size, by_place = np.uint64(0xD6E8FEB86659FD93 ^ seed), np.uint64(0x9E3779B97F4A7C15 ^ seed)
     size = end - start
-    out = mix(lanes(data, start, size) ^ (size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
+    out = mix(lanes(data, start, size) ^ (size.astype(np.uint64) * by_size))
     long = np.flatnonzero(size > 8)
     if len(long):
         more = (size[long] - 1) // 8
@@ -121,7 +122,7 @@ def hashes_of(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarra
         owner = np.repeat(long, more)
         place = np.arange(len(owner)) - np.repeat(begin, more) + 1
         found = lanes(data, start[owner] + 8 * place, size[owner] - 8 * place)
-        found = mix(found ^ mix(place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+        found = mix(found ^ mix(place.astype(np.uint64) * by_place))
         out[long] = mix(out[long] + np.add.reduceat(found, begin))
     return out
 
