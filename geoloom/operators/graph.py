@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _kept(df: DataFrame) -> DataFrame:
+def _shared(df: DataFrame) -> str:
+    """The folder that driver and executors share: that of the session's checkpoints."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
@@ -15,9 +18,22 @@ def _kept(df: DataFrame) -> DataFrame:
         import tempfile
 
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-geoloom-"))
+    return sc.getCheckpointDir()
+
+
+def _kept(df: DataFrame) -> DataFrame:
+    _shared(df)
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df as a table in the shared folder. Unlike a checkpoint it has statistics, so small sides are broadcast,
+    and no constraints, which double with each round of a loop that joins a table with itself."""
+    path = f"{_shared(df)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the smallest node reachable over undirected edges, for every node of an edge.
 

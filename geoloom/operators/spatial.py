@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from geoloom.functions.geometry import on_segment, point_segment_distance2, segment_gap2, segments_cross
 
 
-def cells(df: DataFrame, cell: int, x0: Column, y0: Column, x1: Column, y1: Column, prefix: str = "") -> DataFrame:
+def cells(df: DataFrame, cell: int | Column, x0: Column, y0: Column, x1: Column, y1: Column, prefix: str = "") -> DataFrame:
     """Each row once for every cell that its box touches, with columns cx, cy."""
     cx = F.sequence(F.floor(x0 / cell), F.floor(x1 / cell))
     cy = F.sequence(F.floor(y0 / cell), F.floor(y1 / cell))
@@ -39,6 +39,30 @@ def box_join(a: DataFrame, b: DataFrame, cell: int, reach: int = 0) -> DataFrame
     return both.where(owner & touch).drop("lcx", "lcy", "rcx", "rcy")
 
 
+def segment_cells(segs: DataFrame, size: Column, prefix: str = "") -> DataFrame:
+    """Each segment once for every cell of the given size that it touches, along itself and not over its box."""
+    x, y, x2, y2 = (F.col(c).cast("double") for c in ("x", "y", "x2", "y2"))
+    column = F.explode(F.sequence(F.floor(F.least(x, x2) / size), F.floor(F.greatest(x, x2) / size)))
+    by_column = segs.withColumn(f"{prefix}cx", column)
+    cx, slope = F.col(f"{prefix}cx"), F.when(x2 != x, (y2 - y) / (x2 - x))
+    ends = [F.least(F.greatest(edge, F.least(x, x2)), F.greatest(x, x2)) for edge in (cx * size, (cx + 1) * size)]
+    at = [F.when(x2 == x, straight).otherwise(y + slope * (e - x)) for e, straight in zip(ends, (y, y2), strict=True)]
+    room = F.lit(1e-6) * size  # for rounding; a cell too many costs a comparison, not a result
+    low, high = F.greatest(F.least(*at) - room, F.least(y, y2)), F.least(F.greatest(*at) + room, F.greatest(y, y2))
+    return by_column.withColumn(f"{prefix}cy", F.explode(F.sequence(F.floor(low / size), F.floor(high / size))))
+
+
+def segment_pairs(a: DataFrame, b: DataFrame, cell: int, *same: str) -> DataFrame:
+    """Pairs of segments (columns a_*, b_*) that share a cell and the ``same`` columns; a pair comes once for every cell it shares."""
+    size = F.lit(cell)
+    left, right = (segment_cells(s, size, "_").select(*[F.col(c).alias(f"{p}_{c}") for c in (*s.columns, "_cx", "_cy")]) for s, p in ((a, "a"), (b, "b")))
+    keys = [F.col(f"a_{c}") == F.col(f"b_{c}") for c in ("_cx", "_cy", *same)]
+    boxes = [(F.greatest(f"{p}_{c}", f"{p}_{c}2") >= F.least(f"{q}_{c}", f"{q}_{c}2")) for c in "xy" for p, q in ("ab", "ba")]
+    for k in (*keys[1:], *boxes):
+        keys[0] = keys[0] & k
+    return left.join(right, keys[0]).drop("a__cx", "a__cy", "b__cx", "b__cy")
+
+
 def boxed_points(points: DataFrame) -> DataFrame:
     return points.withColumns({"x0": F.col("x"), "y0": F.col("y"), "x1": F.col("x"), "y1": F.col("y")})
 
@@ -71,34 +95,84 @@ def nearest_line(points: DataFrame, segs: DataFrame, reach: int) -> DataFrame:
 
 def crossings(segs: DataFrame, cell: int) -> DataFrame:
     """Proper crossings of segments (id, seq, x, y, x2, y2) of different lines: (a_id, a_seq, b_id, b_seq, a_id < b_id)."""
-    pairs = box_join(boxed_segments(segs), boxed_segments(segs), cell).where("a_id < b_id")
+    pairs = segment_pairs(segs, segs, cell).where("a_id < b_id")
     c = [F.col(x) for x in ("a_x", "a_y", "a_x2", "a_y2", "b_x", "b_y", "b_x2", "b_y2")]
-    return pairs.where(segments_cross(*c)).select("a_id", "a_seq", "b_id", "b_seq")
+    return pairs.where(segments_cross(*c)).select("a_id", "a_seq", "b_id", "b_seq").distinct()
 
 
-def points_in_polygons(points: DataFrame, edges: DataFrame, cell: int, boundary: bool = True) -> DataFrame:
-    """(id, polygon): points in polygons given as ring edges (id, x, y, x2, y2), holes included as further rings.
+#: A polygon's box covers at most this many cells along each axis; larger ones get larger cells.
+ACROSS = 8
 
-    Points first meet the polygons whose boxes hold them, by grid cells of both axes; a ray to the right
-    of such a point crosses the edges of its polygon in the point's row of cells, and an odd count is
-    inside. Points on an edge count if ``boundary``.
+
+def _levels(boxes: DataFrame, cell: int) -> tuple[DataFrame, list[int]]:
+    """Boxes with the level of their cells (cell * 2**level), and the levels there are: one for each doubling of an extent."""
+    extent = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")).cast("double")
+    level = F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(extent, F.lit(1.0)) / (ACROSS * cell))).cast("int"))
+    found = boxes.withColumn("level", level)
+    return found, sorted(r["level"] for r in found.select("level").distinct().collect())
+
+
+def _parity(points: DataFrame, edges: DataFrame, cell: int) -> DataFrame:
+    """Points (id, polygon, level, x, y) with n, the edges of their polygon to their right, and ``on``: whether one holds them.
+
+    A ray to the right crosses only edges in the point's row; a polygon of a high level has rows a 64th as high as its cells.
     """
-    e = edges.select(F.col("id").alias("polygon"), *[F.col(c).alias(f"e_{c}") for c in ("x", "y", "x2", "y2")])
-    low, high = (lambda c: F.min(F.least(f"e_{c}", f"e_{c}2"))), (lambda c: F.max(F.greatest(f"e_{c}", f"e_{c}2")))
-    boxes = e.groupBy("polygon").agg(low("x").alias("x0"), low("y").alias("y0"), high("x").alias("x1"), high("y").alias("y1"))
-    held = cells(boxes, cell, F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"))
-    at = points.select("id", "x", "y", F.floor(F.col("x") / cell).alias("cx"), F.floor(F.col("y") / cell).alias("cy"))
-    near = at.join(held, ["cx", "cy"]).where(F.col("x").between(F.col("x0"), F.col("x1")) & F.col("y").between(F.col("y0"), F.col("y1")))
-    rows = e.withColumn("cy", F.explode(F.sequence(F.floor(F.least("e_y", "e_y2") / cell), F.floor(F.greatest("e_y", "e_y2") / cell))))
-    both = near.select("id", "x", "y", "polygon", "cy").join(rows, ["polygon", "cy"])
+    size = F.lit(cell) * F.pow(F.lit(2), F.greatest(F.lit(0), F.col("level") - 6))
+    rows = edges.withColumn("row", F.explode(F.sequence(F.floor(F.least("e_y", "e_y2") / size), F.floor(F.greatest("e_y", "e_y2") / size))))
+    at = points.withColumn("row", F.floor(F.col("y") / size)).drop("level")
+    both = at.join(rows, ["polygon", "row"])
     both = both.where((F.col("x") <= F.greatest("e_x", "e_x2")) & F.col("y").between(F.least("e_y", "e_y2"), F.greatest("e_y", "e_y2")))
     spans = (F.col("e_y") > F.col("y")) != (F.col("e_y2") > F.col("y"))
     side = (F.col("e_x2") - F.col("e_x")) * (F.col("y") - F.col("e_y")) - (F.col("x") - F.col("e_x")) * (F.col("e_y2") - F.col("e_y"))
     right = F.when(F.col("e_y2") > F.col("e_y"), side > 0).otherwise(side < 0)
     on = on_segment(F.col("x"), F.col("y"), F.col("e_x"), F.col("e_y"), F.col("e_x2"), F.col("e_y2"))
-    found = both.groupBy("id", "polygon").agg(F.sum((spans & right).cast("int")).alias("n"), F.max(on).alias("on"))
+    return both.groupBy("id", "polygon").agg(F.sum((spans & right).cast("int")).alias("n"), F.max(on).alias("on"))
+
+
+def _inner_cells(held: DataFrame, edges: DataFrame, cell: int) -> DataFrame:
+    """Cells (polygon, level, cx, cy) of large polygons with what is known of them: ``edge`` if a boundary may pass, else ``inner``; outer cells go."""
+    size = F.lit(cell) * F.pow(F.lit(2), F.col("level"))
+    named = edges.where("level > 0").select("polygon", "level", *[F.col(f"e_{c}").alias(c) for c in ("x", "y", "x2", "y2")])
+    touched = segment_cells(named, size, "_").select(F.col("polygon").alias("_p"), "_cx", "_cy").distinct()
+    both = held.join(touched, (F.col("polygon") == F.col("_p")) & (F.col("cx") == F.col("_cx")) & (F.col("cy") == F.col("_cy")), "left")
+    free = both.where("_p IS NULL").select(F.struct("cx", "cy").alias("id"), "polygon", "level", ((F.col("cx") + 0.5) * size).alias("x"), ((F.col("cy") + 0.5) * size).alias("y"))
+    inner = _parity(free, edges, cell).where("n % 2 = 1").select(F.col("polygon").alias("_q"), F.col("id.cx").alias("_ix"), F.col("id.cy").alias("_iy"))
+    known = both.join(inner, (F.col("polygon") == F.col("_q")) & (F.col("cx") == F.col("_ix")) & (F.col("cy") == F.col("_iy")), "left")
+    return known.where("_p IS NOT NULL OR _q IS NOT NULL").select("polygon", "level", "cx", "cy", "x0", "y0", "x1", "y1", F.col("_q").isNotNull().alias("inner"))
+
+
+def points_in_polygons(points: DataFrame, edges: DataFrame, cell: int, boundary: bool = True, same: str | None = None) -> DataFrame:
+    """(id, polygon): points in polygons given as ring edges (id, x, y, x2, y2), holes included as further rings.
+
+    Points first meet the polygons whose boxes hold them, by grid cells of both axes; a ray to the right
+    of such a point crosses the edges of its polygon in the point's row of cells, and an odd count is
+    inside. Points on an edge count if ``boundary``. A large polygon has larger cells, by powers of two, so that its box is
+    ``ACROSS`` + 1 cells wide at most; those of its cells that no edge passes lie inside or outside as a
+    whole, and points in them are answered without edges. With ``same``, a column of both sides, points meet only polygons of equal value.
+    """
+    tie = [same] if same else []
+    e = edges.select(F.col("id").alias("polygon"), *tie, *[F.col(c).alias(f"e_{c}") for c in ("x", "y", "x2", "y2")])
+    low, high = (lambda c: F.min(F.least(f"e_{c}", f"e_{c}2"))), (lambda c: F.max(F.greatest(f"e_{c}", f"e_{c}2")))
+    boxes = e.groupBy("polygon", *tie).agg(low("x").alias("x0"), low("y").alias("y0"), high("x").alias("x1"), high("y").alias("y1"))
+    boxes, levels = _levels(boxes, cell)
+    size = F.lit(cell) * F.pow(F.lit(2), F.col("level"))
+    held = cells(boxes, size, F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"))
+    if levels and levels[-1] > 0:
+        e = e.join(boxes.select(F.col("polygon").alias("_b"), "level"), F.col("polygon") == F.col("_b")).drop("_b")
+        large = _inner_cells(held.where("level > 0").drop(*tie), e, cell)
+        if tie:
+            large = large.join(boxes.select(F.col("polygon").alias("_b"), same), F.col("polygon") == F.col("_b")).drop("_b")
+        small = held.where("level = 0").withColumn("inner", F.lit(False))
+        held = small.unionByName(large.select(small.columns))
+    else:
+        held, e = held.withColumn("inner", F.lit(False)), e.withColumn("level", F.lit(0))
+    at = points.select("id", *tie, "x", "y", F.explode(F.array(*map(F.lit, levels or [0]))).alias("level"))
+    at = at.withColumns({"cx": F.floor(F.col("x") / size), "cy": F.floor(F.col("y") / size)})
+    near = at.join(held, [*tie, "level", "cx", "cy"]).where(F.col("x").between(F.col("x0"), F.col("x1")) & F.col("y").between(F.col("y0"), F.col("y1")))
+    found = _parity(near.where("NOT inner").select("id", "polygon", "level", "x", "y"), e.drop(*tie), cell)
     inside = F.col("on") | (F.col("n") % 2 == 1) if boundary else ~F.col("on") & (F.col("n") % 2 == 1)
-    return found.where(inside).select("id", "polygon")
+    found = found.where(inside).select("id", "polygon")
+    return found if not levels or levels[-1] == 0 else found.unionByName(near.where("inner").select("id", "polygon"))
 
 
 def first_region(points: DataFrame, inside: DataFrame, regions: DataFrame, default: str) -> DataFrame:
