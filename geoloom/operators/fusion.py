@@ -89,9 +89,10 @@ def blocks_touched(samples: DataFrame, height: int, width: int, bytes_each: int)
 
 def quantised(raster: DataFrame, step: float) -> DataFrame:
     """(…, q, error): heights as whole steps above the tile's lowest, halves to even, and what that loses."""
-    low = F.min("h").over(Window.partitionBy("tile"))
-    q = F.bround((F.col("h") - low) / step)
-    return raster.withColumn("offset", low).withColumn("q", q.cast("bigint")).withColumn("error", F.abs(F.col("offset") + q * step - F.col("h")))
+    low = raster.groupBy(F.col("tile").alias("_tile")).agg(F.min("h").alias("offset"))
+    q = F.bround((F.col("h") - F.col("offset")) / step)
+    both = raster.join(low, F.col("tile").eqNullSafe(F.col("_tile"))).drop("_tile")
+    return both.withColumn("q", q.cast("bigint")).withColumn("error", F.abs(F.col("offset") + q * step - F.col("h")))
 
 
 def connector_faults(uses: DataFrame, segs: DataFrame, connectors: DataFrame, most: float) -> DataFrame:

@@ -10,9 +10,10 @@ from geoloom.operators import changes as C
 from geoloom.operators import fusion as U
 from geoloom.operators import graph as GR
 from geoloom.operators import spatial as P
+from geoloom.operators import terrain as TE
 from geoloom.plans.base import query, table
 from geoloom.plans.fused import OVER, plots, sites
-from geoloom.plans.space import _BOTH, _LABELS, _graph, _raster, _span
+from geoloom.plans.space import _BOTH, _LABELS, RASTER, _graph, _raster, _span
 
 
 def convert_heights(points: DataFrame, grid: DataFrame, west: float, south: float, step: float) -> tuple[DataFrame, DataFrame]:
@@ -53,3 +54,30 @@ def _(spark, d):
 @query("pip14_quality_report", f"WITH RECURSIVE {_BOTH}, {_LABELS}, c AS (SELECT count(DISTINCT label) AS components FROM r), g AS (SELECT node, count(*) AS k FROM (SELECT unnest([a, b]) AS node FROM e) GROUP BY node) SELECT count(*) AS nodes, CAST(sum(k) / 2 AS BIGINT) AS edges, CAST(sum((k > 2)::INT) AS BIGINT) AS junctions, CAST(sum((k = 1)::INT) AS BIGINT) AS dead_ends, any_value(components) AS components, CAST(sum(k) / 2 AS BIGINT) - count(*) + any_value(components) AS cycle_rank FROM g, c")
 def _(spark, d):
     return quality_report(_graph(spark, d))
+
+
+# Samples at half steps of the raster: cells of 9 by 9 samples, four steps wide.
+SAMPLES = f"""{RASTER}, k AS (SELECT DISTINCT vec_id // 4 AS cy FROM embeddings WHERE (vec_id // 4 + 1) * 4 <= (SELECT max(vec_id) FROM embeddings)), cells AS (SELECT cy, unnest(range(15)) AS cx FROM k),
+p AS (SELECT DISTINCT cy * 8 + j AS r, cx * 8 + i AS c FROM (SELECT cx, cy, unnest(range(9)) AS j FROM cells), (SELECT unnest(range(9)) AS i)),
+s AS (SELECT r, c, (1 - r % 2 / 2) * ((1 - c % 2 / 2) * g0.h + c % 2 / 2 * coalesce(g1.h, 0)) + r % 2 / 2 * ((1 - c % 2 / 2) * coalesce(g2.h, 0) + c % 2 / 2 * coalesce(g3.h, 0)) AS h FROM p JOIN g g0 ON g0.row = r // 2 AND g0.col = c // 2 LEFT JOIN g g1 ON g1.row = r // 2 AND g1.col = c // 2 + 1 LEFT JOIN g g2 ON g2.row = r // 2 + 1 AND g2.col = c // 2 LEFT JOIN g g3 ON g3.row = r // 2 + 1 AND g3.col = c // 2 + 1),
+{", ".join(f"{b} AS (SELECT r, c, {f}(h) OVER (PARTITION BY {y} ORDER BY {x} ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS h FROM {a})" for a, b, f, x, y in (("s", "o1", "min", "c", "r"), ("o1", "o2", "min", "r", "c"), ("o2", "o3", "max", "c", "r"), ("o3", "o4", "max", "r", "c")))},
+{", ".join(f"{b} AS (SELECT r, c, 0.25 * coalesce(lag(h) OVER w, h) + 0.5 * h + 0.25 * coalesce(lead(h) OVER w, h) AS h FROM {a} WINDOW w AS (PARTITION BY {y} ORDER BY {x}))" for a, b, x, y in (("o4", "b1", "c", "r"), ("b1", "b2", "r", "c")))},
+m AS (SELECT r, c, CAST(round_even((h + 1) * 100 / 0.01, 0) AS BIGINT) AS cm FROM b2), e AS (SELECT min(cm) AS low, greatest(1, CAST(ceil((max(cm) - min(cm)) / 65535.0) AS BIGINT)) AS step, count(*) AS n FROM m)"""
+
+
+def _terrain(spark, d):
+    rows = table(spark, d, "embeddings")
+    cy = F.floor(F.col("vec_id") / 4)
+    last = rows.agg(F.max("vec_id")).first()[0]
+    cells = rows.where((cy + 1) * 4 <= last).select(cy.alias("cy")).distinct().withColumn("cx", F.explode(F.sequence(F.lit(0), F.lit(14)).cast("array<bigint>")))
+    return TE.terrain(_raster(spark, d), cells, 9, 0.5, 1, [0.25, 0.5, 0.25], F.lit(-1.0), 0.01, tile=64)
+
+
+@query("pip06_terrain", f"WITH {SAMPLES} SELECT cx, cy, r - cy * 8 AS j, c - cx * 8 AS i, cm, CAST(round_even((cm - low) / step, 0) AS BIGINT) AS q FROM m, e, cells WHERE r BETWEEN cy * 8 AND cy * 8 + 8 AND c BETWEEN cx * 8 AND cx * 8 + 8")
+def _(spark, d):
+    return _terrain(spark, d)[0]
+
+
+@query("pip06_terrain_summary", f"WITH {SAMPLES} SELECT low AS \"offset\", step, 0.5 + step / 2 AS max_error, CAST(NULL AS VARCHAR) AS fault FROM e")
+def _(spark, d):
+    return _terrain(spark, d)[1]

@@ -10,6 +10,7 @@ from geoloom.operators import graph as GR
 from geoloom.operators import references as R
 from geoloom.operators import sequences as S
 from geoloom.operators import spatial as P
+from geoloom.operators import terrain as TE
 from geoloom.plans.base import BOXES, HOMES, NEAR_SEGS, NODES, SHOPS, WAY_NODES, box_edges, boxes, homes, lines, near_lines, nodes, query, shops, table, way_nodes
 
 INSIDE = f"{HOMES}, {BOXES}, inside AS (SELECT h.id, b.id AS polygon FROM homes h JOIN boxes b ON h.x BETWEEN b.x0 AND b.x1 AND h.y BETWEEN b.y0 AND b.y1)"
@@ -98,12 +99,12 @@ RASTER = "g AS (SELECT vec_id AS row, CAST(unnest(range(0, 64)) AS INTEGER) AS c
 
 @query("win12_opening", f"WITH {RASTER}, a AS (SELECT row, col, min(h) OVER (PARTITION BY row ORDER BY col ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS h FROM g), b AS (SELECT row, col, min(h) OVER (PARTITION BY col ORDER BY row ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS h FROM a), c AS (SELECT row, col, max(h) OVER (PARTITION BY row ORDER BY col ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS h FROM b) SELECT row, col, max(h) OVER (PARTITION BY col ORDER BY row ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS h FROM c")
 def _(spark, d):
-    return P.opening(_raster(spark, d), 2)
+    return TE.opening(_raster(spark, d), 2)
 
 
 @query("win13_gaussian", f"WITH {RASTER}, a AS (SELECT row, col, 0.25 * coalesce(lag(h) OVER w, h) + 0.5 * h + 0.25 * coalesce(lead(h) OVER w, h) AS h FROM g WINDOW w AS (PARTITION BY row ORDER BY col)) SELECT row, col, CAST(round(100000 * (0.25 * coalesce(lag(h) OVER w, h) + 0.5 * h + 0.25 * coalesce(lead(h) OVER w, h))) AS BIGINT) AS h FROM a WINDOW w AS (PARTITION BY col ORDER BY row)")
 def _(spark, d):
-    return P.gaussian(_raster(spark, d), [0.25, 0.5, 0.25]).select("row", "col", F.round(F.col("h") * 100000).cast("bigint").alias("h"))
+    return TE.gaussian(_raster(spark, d), [0.25, 0.5, 0.25]).select("row", "col", F.round(F.col("h") * 100000).cast("bigint").alias("h"))
 
 
 @query("jon01_resolved", f"WITH {WAY_NODES}, {NODES}, k AS (SELECT * FROM nodes WHERE id % 101 <> 0) SELECT id, seq, ref, x, y FROM (SELECT w.*, k.x, k.y, bool_or(k.id IS NULL) OVER (PARTITION BY w.id) AS bad FROM way_nodes w LEFT JOIN k ON w.ref = k.id) WHERE NOT bad")
