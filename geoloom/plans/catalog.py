@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from geoloom.plans import classes, fused, jobs, paths, places, polygon_queries, road_queries, space, street_queries  # noqa: F401
+from geoloom.plans import classes, fused, fusion_queries, jobs, paths, places, polygon_queries, road_queries, space, street_queries  # noqa: F401
 from geoloom.plans.base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
