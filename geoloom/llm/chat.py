@@ -180,7 +180,8 @@ def repair_chats(turns: DataFrame, chunk: int = 4096, id_col: str = "conv_id", t
     role = F.coalesce(F.array_position(F.array(*map(F.lit, ROLES)), F.col(role_col)), F.lit(0)).cast("int")
     flat = turns.select(F.col(id_col).alias("id"), F.col(turn_col).alias("turn"), role.alias("r"), F.col(role_col).alias("role"), F.coalesce(text_col, F.lit("")).alias("text"))
     keys = ["id", "turn", "role", "text"]
-    dealt = flat.withColumn("text_hash", F.xxhash64("text")).repartitionByRange("id", "turn", "role", "text_hash").sortWithinPartitions(*keys)
+    # the beginning of a text stands in its order before the whole of it, and is bounded where ranges are sampled
+    dealt = flat.withColumn("text_head", F.substring("text", 1, 200)).repartitionByRange("id", "turn", "role", "text_head").sortWithinPartitions(*keys)
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, now, size, piece = TaskContext.get().partitionId(), object(), 0, -1

@@ -165,3 +165,32 @@ def test_pipeline_stages(spark, tmp_path):
     assert kept == {r[0] for r in rows} - {304}
     final = P.run(spark, str(tmp_path))
     assert {r.doc_id for r in final.collect()} == {r[0] for r in rows if not (r[0] < 200 and r[0] % 4 == 0)} - {301, 304}
+
+
+def test_chat_order_does_not_depend_on_the_cuts(spark):
+    """Equal turns and roles over several real partitions: texts stay in their order."""
+    texts = [f"{random.Random(i).randrange(10**6):06d}" + "x" * (i % 400) for i in range(3000)]
+    old = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+        df = spark.createDataFrame([(1, 0, "user", t) for t in texts], "conv_id long, turn long, role string, text string").repartition(8)
+        got = chat.repair_chats(df, chunk=256).orderBy("piece").collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    whole = "".join(r.rendered for r in got)
+    at = [whole.index(t) for t in sorted(texts)]
+    assert at == sorted(at)
+
+
+def test_pipeline_with_clashing_columns(spark, tmp_path):
+    import corpus_pipeline as pipeline
+
+    docs = spark.createDataFrame([(i, f"w{i} " + " ".join(f"a{(i % 3) * 7 + k}" for k in range(80)), "en", "s", 9, "x", 1, True, 0.1) for i in range(9)], "doc_id long, text string, lang string, source string, n_chars long, kept string, cut_id long, gone boolean, toxic_score double")
+    spark.createDataFrame([(i, 1, i % 2) for i in range(9)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    plain = docs.drop("kept", "cut_id", "gone", "toxic_score")
+    for stage in (pipeline.drop_toxic, pipeline.drop_near_duplicates, pipeline.cut_repeats):
+        found = stage(spark, docs, str(tmp_path))
+        assert found.columns == docs.columns
+        assert sorted(map(tuple, found.select(plain.columns).collect())) == sorted(map(tuple, stage(spark, plain, str(tmp_path)).collect()))
