@@ -22,24 +22,34 @@ from geoloom.llm import bpe, decontaminate, minhash_dedup, substring_dedup, toxi
 from geoloom.llm.text import new_folder
 
 
+def free_name(docs: DataFrame, name: str) -> str:
+    """The name, longer if documents have a column of it."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score(docs, model, score_col="toxic_score").where("toxic_score < 0.5").drop("toxic_score")
+    score = free_name(docs, "toxic_score")
+    return toxicity.score(docs, model, score_col=score).where(F.col(score) < 0.5).drop(score)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = minhash_dedup.near_duplicates(docs)
-    gone = found.where("NOT kept").select(F.col("doc_id").alias("gone"))
-    return docs.join(gone, F.col("doc_id") == F.col("gone"), "left_anti")
+    gone = free_name(docs, "gone")
+    return docs.join(found.where("NOT kept").select(F.col("doc_id").alias(gone)), F.col("doc_id") == F.col(gone), "left_anti")
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = substring_dedup.substring_dedup(docs).where("n_removed > 0").select(F.col("doc_id").alias("cut_id"), "kept")
-    both = docs.join(found, F.col("doc_id") == F.col("cut_id"), "left")
-    changed = F.col("kept").isNotNull()
-    text = F.when(changed, F.col("kept")).otherwise(F.col("text"))
-    n_chars = F.when(changed, F.char_length("kept").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return both.where("kept IS NULL OR kept <> ''").withColumns({"text": text, "n_chars": n_chars}).select(docs.columns)
+    cut, left = free_name(docs, "cut_id"), free_name(docs, "kept")
+    found = substring_dedup.substring_dedup(docs).where("n_removed > 0").select(F.col("doc_id").alias(cut), F.col("kept").alias(left))
+    both = docs.join(found, F.col("doc_id") == F.col(cut), "left")
+    changed = F.col(left).isNotNull()
+    text = F.when(changed, F.col(left)).otherwise(F.col("text"))
+    n_chars = F.when(changed, F.char_length(left).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return both.where(F.col(left).isNull() | (F.col(left) != "")).withColumns({"text": text, "n_chars": n_chars}).select(docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
