@@ -198,10 +198,14 @@ def tree_hint(tags: Column) -> Column:
     return F.coalesce(first_of(*rules, (tag(tags, "leaf_type") == "needleleaved", "pine")), F.lit("tree"))
 
 
-def profile_height(kind: Column, settlement: Column, rural=("rural", "village")) -> Column:
+#: Settlements with houses of one storey and a roof. Fixed values.
+RURAL = ("rural", "village", "sparse", "wilderness")
+
+
+def profile_height(kind: Column, settlement: Column) -> Column:
     """Metres of an untagged building by its type and settlement."""
     floors = F.when(kind.isin("apartment", "residential_tower", "office", "hotel", "hospital"), 4).when(kind.isin("utility", "research"), 1).otherwise(2)
-    return F.when(kind.isin("detached", "farmhouse") & settlement.isin(*rural), 5).otherwise(3 * floors)
+    return F.when(kind.isin("detached", "farmhouse") & settlement.isin(*RURAL), 5).otherwise(3 * floors)
 
 
 def style_id(*parts: Column) -> Column:

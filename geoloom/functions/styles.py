@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from geoloom.functions.rules import BARRIERS, SITE_AMENITY, WATERWAY_METRES, _area, either, first_of, is_in, is_structure, lookup, tag, tree_hint
+from geoloom.functions.rules import BARRIERS, RURAL, SITE_AMENITY, WATERWAY_METRES, _area, either, first_of, is_in, is_structure, lookup, tag, tree_hint
 
 # Tag names and values that decide a feature's place, look or use, in order of precedence.
 CITY_POINTS = (
@@ -64,7 +64,6 @@ COMMERCIAL_BUILDINGS = ("commercial", "retail", "office", "hotel", "supermarket"
 INDUSTRIAL_BUILDINGS = ("industrial", "warehouse", "factory", "manufacture", "service", "garage", "garages", "hangar", "greenhouse", "barn", "farm_auxiliary", "shed")
 WOODEN_INDUSTRIAL = ("greenhouse", "barn", "farm_auxiliary", "shed")
 HOUSE_TALL_M, TOWER_M, RURAL_HOUSE_M2 = 12.0, 40, 300
-RURAL = ("rural", "village", "sparse", "wilderness")
 BUILDING_TYPES = {
     "house": "detached", "detached": "detached", "bungalow": "detached", "villa": "detached", "cabin": "detached", "terrace": "terraced",
     "semidetached_house": "terraced", "apartments": "apartment", "dormitory": "apartment", "residential": "lowrise", "retail": "shop", "shop": "shop",

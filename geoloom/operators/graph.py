@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -58,20 +59,21 @@ def closure(seeds: DataFrame, incidence: DataFrame, expandable: DataFrame) -> Da
     """(way, hop): ways reached from seed ways over shared nodes.
 
     incidence is (way, node). Only expandable ways are walked through; others are reached, not left.
-    Each round joins the newest ways only and ends when none is new.
+    Each round joins the newest ways only, is kept by itself and ends when none is new; rounds are put together sixteen at a time.
     """
-    reached = _kept(seeds.select("way").distinct().withColumn("hop", F.lit(0)))
-    front, hop = reached, 0
+    front, hop = _kept(seeds.select("way").distinct().withColumn("hop", F.lit(0))), 0
+    rounds = [front]
     inner = expandable.select(F.col("way").alias("_inner"))
     while True:
         hop += 1
         at = front.join(inner, F.col("way") == F.col("_inner"), "left_semi").select("way")
         nodes = incidence.join(at.withColumnRenamed("way", "_at"), F.col("way") == F.col("_at"), "left_semi").select(F.col("node").alias("_node")).distinct()
         near = incidence.join(nodes, F.col("node") == F.col("_node"), "left_semi").select("way").distinct()
+        reached = reduce(DataFrame.unionByName, rounds)
         front = _kept(near.join(reached.select(F.col("way").alias("_old")), F.col("way") == F.col("_old"), "left_anti").withColumn("hop", F.lit(hop)))
         if front.isEmpty():
             return reached
-        reached = _kept(reached.unionByName(front))
+        rounds = [_kept(reached.unionByName(front))] if len(rounds) == 16 else [*rounds, front]
 
 
 def distances(edges: DataFrame, sources: DataFrame, reach: float) -> DataFrame:

@@ -44,9 +44,15 @@ def drop_blocked(rows: DataFrame, blocked: DataFrame, key: str = "id") -> DataFr
     return rows.join(blocked.select(F.col(key).alias("_blocked")), F.col(key) == F.col("_blocked"), "left_anti")
 
 
-def attach_parts(parents: DataFrame, parts: DataFrame, parent_key: str, *columns: str) -> DataFrame:
-    """Parents with their parts as a sorted array of structs; without parts, an empty one."""
-    kept = parts.groupBy(parent_key).agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("parts"))
+def attach_parts(parents: DataFrame, parts: DataFrame, parent_key: str, *columns: str, most: int = 10_000) -> DataFrame:
+    """Parents with their parts as a sorted array of structs; without parts, an empty one.
+
+    A parent holds at most ``most`` parts. They are counted first, and a parent with more is an error before its parts meet in one value.
+    """
+    counts = parts.groupBy(F.col(parent_key).alias("_counted")).agg(F.count(F.lit(1)).alias("_n"))
+    too_many = F.raise_error(F.concat(F.lit(f"more than {most} parts: "), F.col("_counted").cast("string")))
+    few = counts.where(F.when(F.col("_n") <= most, True).otherwise(too_many.cast("boolean"))).select("_counted")
+    kept = parts.join(few, F.col(parent_key) == F.col("_counted"), "left_semi").groupBy(parent_key).agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("parts"))
     joined = parents.join(kept.withColumnRenamed(parent_key, "_parent"), F.col(parent_key) == F.col("_parent"), "left").drop("_parent")
     empty = F.array().cast(kept.schema["parts"].dataType)
     return joined.withColumn("parts", F.coalesce("parts", empty))

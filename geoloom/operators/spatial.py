@@ -26,14 +26,20 @@ def occupancy(records: DataFrame, cell: int, margin: int = 0) -> DataFrame:
     return cells(records, cell, F.col("x0") - m, F.col("y0") - m, F.col("x1") + m, F.col("y1") + m)
 
 
-def box_join(a: DataFrame, b: DataFrame, cell: int, reach: int = 0) -> DataFrame:
-    """Pairs of boxes (id, x0, y0, x1, y1) that overlap or lie within ``reach`` along both axes: columns a_*, b_*."""
+def box_join(a: DataFrame, b: DataFrame, cell: int, reach: int = 0, same: tuple[str, str] | None = None) -> DataFrame:
+    """Pairs of boxes (id, x0, y0, x1, y1) that overlap or lie within ``reach`` along both axes: columns a_*, b_*.
+
+    ``same`` names a column of a and one of b that must be equal; it is part of the join key.
+    """
     left = a.select(*[F.col(c).alias(f"a_{c}") for c in a.columns])
     right = b.select(*[F.col(c).alias(f"b_{c}") for c in b.columns])
     r = F.lit(reach)
     left = cells(left, cell, F.col("a_x0") - r, F.col("a_y0") - r, F.col("a_x1") + r, F.col("a_y1") + r, "l")
     right = cells(right, cell, F.col("b_x0"), F.col("b_y0"), F.col("b_x1"), F.col("b_y1"), "r")
-    both = left.join(right, (F.col("lcx") == F.col("rcx")) & (F.col("lcy") == F.col("rcy")))
+    key = (F.col("lcx") == F.col("rcx")) & (F.col("lcy") == F.col("rcy"))
+    if same:
+        key = key & (F.col(f"a_{same[0]}") == F.col(f"b_{same[1]}"))
+    both = left.join(right, key)
     owner = (F.col("lcx") == F.floor(F.greatest(F.col("a_x0") - r, F.col("b_x0")) / cell)) & (F.col("lcy") == F.floor(F.greatest(F.col("a_y0") - r, F.col("b_y0")) / cell))
     touch = (F.col("a_x0") - r <= F.col("b_x1")) & (F.col("b_x0") - r <= F.col("a_x1")) & (F.col("a_y0") - r <= F.col("b_y1")) & (F.col("b_y0") - r <= F.col("a_y1"))
     return both.where(owner & touch).drop("lcx", "lcy", "rcx", "rcy")
@@ -71,10 +77,10 @@ def boxed_segments(segs: DataFrame) -> DataFrame:
     return segs.withColumns({"x0": F.least("x", "x2"), "y0": F.least("y", "y2"), "x1": F.greatest("x", "x2"), "y1": F.greatest("y", "y2")})
 
 
-def within_distance(a: DataFrame, b: DataFrame, radius: int) -> DataFrame:
-    """Pairs of points (id, x, y) at most ``radius`` apart, with d2: squared distance."""
+def within_distance(a: DataFrame, b: DataFrame, radius: int, same: tuple[str, str] | None = None) -> DataFrame:
+    """Pairs of points (id, x, y) at most ``radius`` apart, with d2: squared distance; ``same`` as for ``box_join``."""
     dx, dy = F.col("a_x") - F.col("b_x"), F.col("a_y") - F.col("b_y")
-    pairs = box_join(boxed_points(a), boxed_points(b), max(1, radius), radius)
+    pairs = box_join(boxed_points(a), boxed_points(b), max(1, radius), radius, same)
     return pairs.withColumn("d2", dx * dx + dy * dy).where(F.col("d2") <= radius * radius)
 
 

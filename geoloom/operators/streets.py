@@ -111,7 +111,8 @@ def opposite(segs: DataFrame, near: float, far: float, cell: int, angle: float =
 def related(sites: DataFrame, rules: DataFrame, labels: DataFrame, radius: int) -> DataFrame:
     """(id, grp, other, connected): for each site (id, grp, x, y, node) and rule (grp, adjacent) the nearest site of the adjacent group, ties to the smaller id, and whether a route joins their nodes.
 
-    The search begins with ``radius`` and doubles for those that have found nothing, so each sees few candidates.
+    The search begins with ``radius`` and doubles for those that have found nothing, so each sees few candidates; the group is
+    part of the join's key, so a rare one is compared with its own few sites alone. Rules x groups are broadcast: a few kinds.
     ``labels`` are (node, component). Groups without a site give no row.
     """
     there = sites.groupBy(F.col("grp").alias("_g")).agg(F.count(F.lit(1)).alias("_n"))
@@ -121,7 +122,7 @@ def related(sites: DataFrame, rules: DataFrame, labels: DataFrame, radius: int)
     goal = sites.select("id", "x", "y", "grp")
     found = None
     while not left.isEmpty():
-        near = within_distance(left, goal, radius).where("a_adjacent = b_grp AND a_id <> b_id")
+        near = within_distance(left, goal, radius, ("adjacent", "grp")).where("a_id <> b_id")
         best = _kept(near.groupBy(F.col("a_id").alias("id"), F.col("a_adjacent").alias("grp")).agg(F.min(F.struct("d2", "b_id")).alias("m")).select("id", "grp", F.col("m.b_id").alias("other")))
         found = best if found is None else found.unionByName(best)
         if radius > 2 * span:

@@ -122,3 +122,13 @@ def _(spark, d):
 @query("prj36_style_id", "SELECT p_partkey, concat_ws('/', lower(p_type), p_brand, CAST(p_size AS VARCHAR)) AS style FROM part")
 def _(spark, d):
     return table(spark, d, "part").select("p_partkey", R.style_id(F.lower("p_type"), F.col("p_brand"), F.col("p_size").cast("string")).alias("style"))
+
+
+USES, SETTLEMENTS = ("detached", "farmhouse", "office", "utility", "shop", "apartment"), ("urban", "rural", "village", "sparse", "wilderness")
+
+
+@query("prj38_profile_height", "SELECT o_orderkey, CASE WHEN o_orderkey % 6 IN (0, 1) AND o_orderkey % 5 > 0 THEN 5 ELSE [6, 6, 12, 3, 6, 12][CAST(o_orderkey % 6 AS INT) + 1] END AS height FROM orders")
+def _(spark, d):
+    k = F.col("o_orderkey").cast("int")
+    kind, settlement = (F.get(F.array(*map(F.lit, values)), k % len(values)) for values in (USES, SETTLEMENTS))
+    return table(spark, d, "orders").select("o_orderkey", R.profile_height(kind, settlement).alias("height"))
