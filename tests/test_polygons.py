@@ -118,7 +118,7 @@ def test_holes_islands_and_faults(spark):
         (10, "outer", 0, 0, 50), (11, "outer", 0, 0, 50), (12, "part", 0, 0, 50),
     ]
     placed, faults, used = faults_of(spark, *rings, tags={20: {"landuse": "grass"}, 21: {"landuse": "forest"}})
-    assert faults == {(3, "outer areas overlap"), (4, "hole outside"), (5, "rings meet"), (6, "no outer ring"), (7, "hole outside"), (8, "rings meet"), (9, "no area"), (9, "rings meet"), (10, "conflicting tags"), (12, "member kind")}
+    assert faults == {(3, "outer areas overlap"), (4, "hole outside"), (5, "rings meet"), (6, "no outer ring"), (6, "hole outside"), (7, "hole outside"), (8, "rings meet"), (9, "no area"), (9, "rings meet"), (10, "conflicting tags"), (12, "member kind")}
     assert placed == {(1, 0, None), (1, 1, 0), (1, 2, None), (1, 3, 2), (1, 4, None), (2, 5, None), (2, 6, 5), (11, 21, None)}
     assert used == {(w, 1) for w in range(5)} | {(5, 2), (6, 2), (21, 11)}
 
