@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from geoloom.operators import levels as L
 from geoloom.plans.base import query, table
 
-# The serial run: one step an edge, the state of all groups in lists.
+# The serial run: one step an edge, the state of all groups in lists. Pairs that are out of range by themselves stay so and need no step.
 SERIAL = """
 WITH RECURSIVE u AS (SELECT CAST(c_custkey AS BIGINT) AS id, row_number() OVER (ORDER BY c_custkey) AS i, CAST(c_custkey AS BIGINT) * 7919 % 400 AS low, CAST(c_custkey AS BIGINT) % 30 AS m, CAST(c_custkey AS BIGINT) % 40 AS h, c_custkey % 4 = 0 AS tight FROM customer),
-p AS (SELECT a.i AS a, b.i AS b, a.tight OR b.tight AS narrow, abs(a.low - b.low) AS d FROM u a JOIN u b ON b.id IN (a.id + 1, a.id + 13)),
+p AS (SELECT a.i AS a, b.i AS b, a.tight OR b.tight AS narrow, abs(a.low - b.low) AS d FROM u a JOIN u b ON b.id IN (a.id + 1, a.id + 13)
+ WHERE greatest(CASE WHEN NOT a.tight THEN a.low + a.m END, CASE WHEN NOT b.tight THEN b.low + b.m END, -1000000) - least(a.low, b.low) <= 60 AND greatest(CASE WHEN a.tight THEN a.low + a.m + a.h END, CASE WHEN b.tight THEN b.low + b.m + b.h END, -1000000) - least(a.low, b.low) <= 110),
 e AS (SELECT row_number() OVER (ORDER BY narrow, d, a, b) AS n, a, b FROM p),
 r(k, n, g, lo, mid, hi) USING KEY (k) AS (
  SELECT 1, CAST(0 AS BIGINT), list(i ORDER BY i), list(low ORDER BY i), list(CASE WHEN tight THEN -1000000 ELSE low + m END ORDER BY i), list(CASE WHEN tight THEN low + m + h ELSE -1000000 END ORDER BY i) FROM u
