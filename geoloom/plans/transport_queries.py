@@ -1,4 +1,7 @@
-"""A road graph of all orders: ends and every third vertex are connectors, with rules of width and surface along each."""
+"""A road graph of all orders: ends and every third vertex are connectors, with rules of width and surface along each.
+
+A line's tenth and later vertices share the connector names of the next line's, so names are repeated too.
+"""
 
 from __future__ import annotations
 
@@ -39,7 +42,7 @@ c AS (SELECT id, id * 10 + seq AS connector, pos, x, y FROM v WHERE (seq = 1 OR
 u AS (SELECT i.id, r.* FROM (SELECT DISTINCT id FROM way_nodes) i JOIN (VALUES {', '.join(map(str, RULES))}) r(k, layer, lo, hi, value) ON i.id % 7 = k),
 faults AS (SELECT DISTINCT id, fault FROM (SELECT id, 'short' AS fault FROM v WHERE pos IS NULL UNION ALL SELECT id, unnest(['short', 'ends']) FROM v GROUP BY id HAVING max(pos) IS NULL
  UNION ALL SELECT id, 'ambiguous' FROM c GROUP BY id HAVING count(*) <> count(DISTINCT pos)
- UNION ALL SELECT id, 'unknown' FROM c WHERE connector % 400 = 7 UNION ALL SELECT id, 'off the line' FROM c WHERE connector % 300 = 0 AND connector % 400 <> 7
+ UNION ALL SELECT id, 'unknown' FROM c WHERE connector % 400 = 7 UNION ALL SELECT id, CASE WHEN n > 1 THEN 'repeated' ELSE 'off the line' END FROM (SELECT *, count(*) OVER (PARTITION BY connector) AS n FROM c WHERE connector % 400 <> 7) WHERE n > 1 OR connector % 300 = 0
  UNION ALL SELECT id, 'width gap' FROM v WHERE id % 7 = 3 UNION ALL SELECT id, 'width overlap' FROM v WHERE id % 7 = 5)),
 good AS (SELECT * FROM v WHERE id NOT IN (SELECT id FROM faults)),
 b AS (SELECT DISTINCT id, pos FROM good UNION SELECT id, lo FROM u WHERE id IN (SELECT id FROM good)),
