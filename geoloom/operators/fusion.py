@@ -136,17 +136,23 @@ def country_defaults(places: DataFrame, defaults: DataFrame, boxes: DataFrame) -
     return both.select(places.columns + [F.coalesce("_box", "_own").alias("climate"), F.when(F.col("_box").isNotNull(), "area").when(F.col("_own").isNotNull(), "country").alias("basis")])
 
 
-def greedy_apart(points: DataFrame, radius: int, order: list[str]) -> DataFrame:
+def greedy_apart(points: DataFrame, radius: int, order: list[str], heading: tuple[str, str] | None = None, alike: float = 0.0, same: str | None = None) -> DataFrame:
     """Points (id, x, y, …) kept so that no two are within the radius, first come first served in ``order``.
 
+    With ``heading``, the columns of a direction, only two points whose directions have an inner product of
+    at least ``alike`` keep each other away, so that signs for both ways of a road may stand together; a point without direction keeps
+    none away. With ``same``, a column, only points of equal value do.
+
     Decided in rounds over the pairs of close points: a point with no undecided earlier neighbour stays
     and its neighbours go, until no pair is undecided. That gives the same as one serial run; the number
     of rounds is the longest chain of such decisions. Equal places in the order go by id, nulls come last.
     """
     place = F.struct(*[x for c in [*order, "id"] for x in (F.col(c).isNull(), F.col(c))])
-    own = points.select("id", "x", "y", place.alias("o"))
+    own = points.select("id", "x", "y", place.alias("o"), *[F.col(c).alias(k) for c, k in zip(heading or (), ("hx", "hy"), strict=False)], *([F.col(same).alias("k")] if same else []))
     first = F.col("a_o") < F.col("b_o")
-    close = within_distance(own, own, radius).where("a_id < b_id")
+    close = within_distance(own, own, radius, ("k", "k") if same else None).where("a_id < b_id")
+    if heading:
+        close = close.where(F.col("a_hx") * F.col("b_hx") + F.col("a_hy") * F.col("b_hy") >= alike)
     pairs = _kept(close.select(F.when(first, F.col("a_id")).otherwise(F.col("b_id")).alias("early"), F.when(first, F.col("b_id")).otherwise(F.col("a_id")).alias("late")))
     gone = []
     while not pairs.isEmpty():

@@ -123,6 +123,18 @@ def _(spark, d):
     return U.greedy_apart(homes(spark, d), 150, ["id"])
 
 
+#: Directions in fifths, by stretches of ids. Fixed values of the fixture, as the SQL has them.
+WAYS = ((5, 0), (3, 4), (0, 5), (-4, 3))
+
+
+@query("win15_heading", f"WITH RECURSIVE {HOMES}, w AS (SELECT *, id // 40 % 3 AS kind, [5, 3, 0, -4][id // 60 % 4 + 1] AS hx, [0, 4, 5, 3][id // 60 % 4 + 1] AS hy FROM homes), p AS (SELECT a.id AS early, b.id AS late FROM w a JOIN w b ON a.id < b.id AND a.kind = b.kind AND a.hx * b.hx + a.hy * b.hy >= 15 AND pow(a.x - b.x, 2) + pow(a.y - b.y, 2) <= 160000), r(id, kept) USING KEY (id) AS (SELECT id, true FROM homes WHERE id NOT IN (SELECT late FROM p) UNION SELECT late, NOT bool_or(coalesce(k.kept, false)) FROM p LEFT JOIN recurring.r AS k ON k.id = early WHERE late NOT IN (SELECT id FROM recurring.r) AND EXISTS (SELECT 1 FROM r) GROUP BY late HAVING bool_or(coalesce(k.kept, false)) OR count(k.id) = count(*)) SELECT id, kind, hx, hy FROM w JOIN r USING (id) WHERE kept")
+def _(spark, d):
+    k = F.col("id")
+    way = lambda i: F.element_at(F.array(*[F.lit(w[i]) for w in WAYS]), (F.floor(k / 60) % 4 + 1).cast("int"))
+    signs = homes(spark, d).withColumns({"kind": F.floor(k / 40) % 3, "hx": way(0), "hy": way(1)})
+    return U.greedy_apart(signs, 400, ["id"], ("hx", "hy"), 15, "kind").select("id", "kind", "hx", "hy")
+
+
 @query("win20_simplified")
 def _(spark, d):
     return U.simplify(lines(spark, d).select("id", "seq", "x", "y"), 15000.0)
