@@ -42,7 +42,10 @@ class Forest:
 
     def __init__(self, sample: np.ndarray, trees: int, leaf: float, seed: int = 17):
         rng = np.random.default_rng(seed)
-        self.longest = float(np.sqrt((sample**2).sum(1).max())) if len(sample) else 1.0
+        # a power of two near the largest component: dividing by it is exact, and squares stay in range
+        most = float(np.abs(sample.astype(np.float64)).max()) if sample.size else 0.0
+        self.scale = float(2.0 ** np.floor(np.log2(most))) if most > 0 else 1.0
+        self.longest = float(np.sqrt((self.scaled(sample) ** 2).sum(1).max())) if sample.size else 1.0
         points = self.lifted(sample)
         self.depth = max(0, int(np.ceil(np.log2(max(1.0, len(points) / max(leaf, 1.0))))))
         n = (1 << self.depth) - 1
@@ -65,8 +68,14 @@ class Forest:
                     at = np.flatnonzero(node == j)
                     node[at] = 2 * j + 1 + (own @ normal > self.offset[t, j])
 
+    def scaled(self, x: np.ndarray) -> np.ndarray:
+        """x over the scale; what is far larger than all of the sample is held where floats can carry it."""
+        with np.errstate(over="ignore"):
+            return np.clip(x.astype(np.float64) / self.scale, -1e15, 1e15)
+
     def lifted(self, x: np.ndarray) -> np.ndarray:
-        rest = np.sqrt(np.maximum(0.0, self.longest**2 - (x.astype(np.float64) ** 2).sum(1)))
+        x = self.scaled(x)
+        rest = np.sqrt(np.maximum(0.0, self.longest**2 - (x**2).sum(1)))
         return np.concatenate([x, rest[:, None]], 1).astype(np.float32)
 
     def leaves(self, x: np.ndarray) -> np.ndarray:
@@ -83,6 +92,7 @@ class Forest:
 
     def search(self, q: np.ndarray, counts: np.ndarray, reach: float) -> list[tuple[int, int]]:
         """(tree, leaf) pairs by best margin until their entries number ``reach``."""
+        q = self.scaled(q)
         size = float(np.linalg.norm(q)) or 1.0
         point = np.concatenate([q * (self.longest / size), [0.0]]).astype(np.float32)
         margins = self.normal @ point - self.offset

@@ -137,6 +137,9 @@ def test_nearest(spark):
     doubles = spark.createDataFrame(list(enumerate(fine)), "vec_id long, embedding array<double>")
     got = nearest.nearest(doubles, lambda i: i == 0, target=1.0).orderBy("rank").collect()
     assert [(r.vec_id, r.score) for r in got] == [(j, sum(a * b for a, b in zip(fine[0], fine[j]))) for j in (2, 1)]
+    forest = nearest.Forest((base * 3e37).astype(np.float32), 2, 64)  # squares beyond the range of floats
+    assert len(np.unique(forest.leaves((base * 3e37).astype(np.float32))[:, 0])) == 1 << forest.depth
+    assert np.array_equal(forest.leaves((base * 3e37).astype(np.float32)), nearest.Forest(base * 3e37 / 2.0**80, 2, 64).leaves(base * 3e37 / 2.0**80))
     few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 1.0]), (2, [0.0, 1.0])], "vec_id long, embedding array<float>")
     assert [tuple(r) for r in nearest.nearest(few, lambda i: i == 0).orderBy("rank").collect()] == [(0, 1, 1, 0.5), (0, 2, 2, 0.0)]
 
