@@ -1,6 +1,7 @@
 """Which 64-bit keys occur in more than one document: counted in Spark, carried in packed blocks.
 
-Documents are dealt into batches by a hash of their id. A batch sends each distinct key once, with
+Documents are dealt into batches by a hash of their id and, where many rows may hold one id or none, of
+what else tells them apart. A batch sends each distinct key once, with
 its smallest document id, to the bucket of the key's leading bits; a bucket finds the keys that
 several documents hold and answers each batch with those, and the smallest id of all. Blocks of
 sorted keys travel as one binary value, differences by byte plane, so a key costs about six bytes
@@ -48,8 +49,8 @@ def bucket_bits(n_bytes: int) -> int:
     return max(LEAST, pieces_for(n_bytes, BUCKET_BYTES)).bit_length() - 1
 
 
-def with_batch(docs: DataFrame, n: int, id_col: str) -> DataFrame:
-    return docs.select(F.pmod(F.xxhash64(id_col), F.lit(n)).cast("int").alias("batch"), "*")
+def with_batch(docs: DataFrame, n: int, *by: str) -> DataFrame:
+    return docs.select(F.pmod(F.xxhash64(*by), F.lit(n)).cast("int").alias("batch"), "*")
 
 
 def runs(x: np.ndarray) -> list[tuple[int, int]]:

@@ -9,9 +9,10 @@ neighbouring windows mostly share theirs, so marks are about one word in eightee
 are counted, then the full hashes of the windows whose mark several documents hold, then the
 repeated hashes go back to their documents. The sieve loses nothing. All three steps read the
 texts from one shuffle. A window counts as repeated only where two hashes of it, 128 bits in all,
-agree.
+agree; both are made of the same 64-bit hashes of its words.
 
-Null and empty texts have no words; they and texts shorter than a window lose nothing. A null id
+Ids are whole numbers; others are a TypeError. Documents are dealt by id and text, so many rows of a null
+or repeated id are many batches. Null and empty texts have no words; they and texts shorter than a window lose nothing. A null id
 counts as larger than all others. Rows of equal id keep what they share with each other.
 """
 
@@ -54,10 +55,12 @@ def substring_dedup(docs: DataFrame, window: int = 50, run: int = 16, id_col: st
     ``removed`` has the maximal intervals of removed word positions, end exclusive; ``kept`` is the
     words left, joined by one space.
     """
+    if not isinstance(docs.schema[id_col].dataType, T.IntegralType):
+        raise TypeError(f"{id_col} must hold whole numbers, not {docs.schema[id_col].dataType.simpleString()}")
     n_bytes = total_bytes(docs, text_col)
     bits = repeats.bucket_bits(n_bytes)
     keyed = docs.select(F.col(id_col).alias("id"), F.encode(text_col, "UTF-8").alias("text"))
-    texts = repeats.with_batch(keyed, repeats.batches_of(n_bytes), "id")
+    texts = repeats.with_batch(keyed, repeats.batches_of(n_bytes), "id", "text")
 
     def marks(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         ids, found, owners = ids_of(table["id"]), [], []

@@ -10,7 +10,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from geoloom.llm import bpe, class_lm, decontaminate, minhash_dedup, records, substring_dedup, toxicity
+from geoloom.llm import bpe, class_lm, decontaminate, minhash_dedup, records, repeats, substring_dedup, toxicity
 from geoloom.llm.text import Words, new_folder
 
 SCHEMA = "doc_id long, text string, id string, batch int, keys string, n long, score string"
@@ -79,6 +79,18 @@ def test_substring_dedup_null_ids_and_equal_ids(spark):
     assert sorted((r.doc_id is None, r.n_removed) for r in got) == [(False, 0), (False, 0), (True, 60)]
 
 
+def test_substring_dedup_deals_rows_of_one_id(spark):
+    passage = " ".join(f"w{i}" for i in range(60))
+    rows = [(None, f"n{i} {passage}") for i in range(1500)] + [(7, f"s{i} {passage} {i}") for i in range(1500)] + [(3, f"first {passage}")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    batches = repeats.with_batch(df, 256, "doc_id", "text").where("doc_id IS NULL").groupBy("batch").count()
+    assert batches.count() > 200 and batches.agg({"count": "max"}).first()[0] < 40
+    got = substring_dedup.substring_dedup(df).groupBy("doc_id", "n_words", "n_removed").count().collect()
+    assert {tuple(r) for r in got} == {(None, 61, 60, 1500), (7, 62, 60, 1500), (3, 61, 0, 1)}
+    with pytest.raises(TypeError, match="whole numbers"):
+        substring_dedup.substring_dedup(df.selectExpr("cast(doc_id AS string) AS doc_id", "text"))
+
+
 @pytest.mark.parametrize("n, share", [(3, (85, 100)), (5, (80, 100))])
 def test_near_duplicates(docs, nothing, n, share):
     rows = corpus()
