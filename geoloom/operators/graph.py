@@ -8,6 +8,11 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from geoloom.operators.spatial import grown
+
+#: Bytes of a table's packed files up to which it may be broadcast.
+SMALL = 1 << 20
+
 
 def _shared(df: DataFrame) -> str:
     """The folder that driver and executors share: that of the session's checkpoints."""
@@ -29,10 +34,14 @@ def _kept(df: DataFrame) -> DataFrame:
 
 def written(df: DataFrame) -> DataFrame:
     """df as a table in the shared folder. Unlike a checkpoint it has statistics, so small sides are broadcast,
-    and no constraints, which double with each round of a loop that joins a table with itself."""
+    and no constraints, which double with each round of a loop that joins a table with itself. Files are packed, so
+    a table of over ``SMALL`` bytes of them is never sent whole through the driver."""
     path = f"{_shared(df)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    sc = df.sparkSession.sparkContext
+    at = sc._jvm.org.apache.hadoop.fs.Path(path)
+    return table if at.getFileSystem(sc._jsc.hadoopConfiguration()).getContentSummary(at).getLength() <= SMALL else grown(table)
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

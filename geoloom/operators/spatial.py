@@ -13,6 +13,12 @@ from pyspark.sql import functions as F
 from geoloom.functions.geometry import on_segment, point_segment_distance2, segment_gap2, segments_cross
 
 
+def grown(df: DataFrame) -> DataFrame:
+    """df, to be joined by sort and merge. Spark knows a table's size from before its rows were multiplied, and would
+    send what it takes for a small table whole through the driver."""
+    return df.hint("merge")
+
+
 def cells(df: DataFrame, cell: int | Column, x0: Column, y0: Column, x1: Column, y1: Column, prefix: str = "") -> DataFrame:
     """Each row once for every cell that its box touches, with columns cx, cy."""
     cx = F.sequence(F.floor(x0 / cell), F.floor(x1 / cell))
@@ -39,7 +45,7 @@ def box_join(a: DataFrame, b: DataFrame, cell: int, reach: int = 0, same: tuple[
     key = (F.col("lcx") == F.col("rcx")) & (F.col("lcy") == F.col("rcy"))
     if same:
         key = key & (F.col(f"a_{same[0]}") == F.col(f"b_{same[1]}"))
-    both = left.join(right, key)
+    both = left.join(grown(right), key)
     owner = (F.col("lcx") == F.floor(F.greatest(F.col("a_x0") - r, F.col("b_x0")) / cell)) & (F.col("lcy") == F.floor(F.greatest(F.col("a_y0") - r, F.col("b_y0")) / cell))
     touch = (F.col("a_x0") - r <= F.col("b_x1")) & (F.col("b_x0") - r <= F.col("a_x1")) & (F.col("a_y0") - r <= F.col("b_y1")) & (F.col("b_y0") - r <= F.col("a_y1"))
     return both.where(owner & touch).drop("lcx", "lcy", "rcx", "rcy")
@@ -66,7 +72,7 @@ def segment_pairs(a: DataFrame, b: DataFrame, cell: int, *same: str) -> DataFram
     boxes = [(F.greatest(f"{p}_{c}", f"{p}_{c}2") >= F.least(f"{q}_{c}", f"{q}_{c}2")) for c in "xy" for p, q in ("ab", "ba")]
     for k in (*keys[1:], *boxes):
         keys[0] = keys[0] & k
-    return left.join(right, keys[0]).drop("a__cx", "a__cy", "b__cx", "b__cy")
+    return left.join(grown(right), keys[0]).drop("a__cx", "a__cy", "b__cx", "b__cy")
 
 
 def boxed_points(points: DataFrame) -> DataFrame:

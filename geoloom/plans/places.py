@@ -203,7 +203,7 @@ def _(spark, d):
 def _(spark, d):
     k = F.col("s_suppkey").cast("bigint")
     centres = table(spark, d, "supplier").select(k.alias("id"), (k * 7 % 340 - 170).cast("double").alias("lon"), (k * 11 % 130 - 65).cast("double").alias("lat"), (k % 200 * 100 + 50).alias("metres"))
-    ring = G.disk(centres).withColumnsRenamed({"lon": "x", "lat": "y"}).join(centres, "id")
+    ring = P.grown(G.disk(centres)).withColumnsRenamed({"lon": "x", "lat": "y"}).join(centres, "id")
     off = F.abs(G.inverse("lon", "lat", "x", "y")["metres"] - F.col("metres"))
     return ring.select("id", off.alias("off")).groupBy("id").agg(F.count(F.lit(1)).alias("vertices"), (F.max("off") < 0.001).alias("round"))
 
@@ -212,7 +212,7 @@ def _(spark, d):
 def _(spark, d):
     k = F.col("s_suppkey").cast("bigint")
     centres = table(spark, d, "supplier").select(k.alias("id"), (12.5 + k % 9 * 0.2).alias("lon"), (56.0 + k % 7 * 0.3).alias("lat"), (k % 50 * 20 + 30).alias("half"))
-    ring = G.square(centres, 12.0).withColumnsRenamed({"lon": "x", "lat": "y"}).join(centres, "id")
+    ring = P.grown(G.square(centres, 12.0)).withColumnsRenamed({"lon": "x", "lat": "y"}).join(centres, "id")
     a, b = utm(F.col("lon"), F.col("lat"), 12.0), utm(F.col("x"), F.col("y"), 12.0)
     far = F.greatest(F.abs(b[0] - a[0]), F.abs(b[1] - a[1]))
     return ring.select("id", F.abs(far - F.col("half")).alias("off")).groupBy("id").agg(F.count(F.lit(1)).alias("vertices"), (F.max("off") < 0.001).alias("straight"))
