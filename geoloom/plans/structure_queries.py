@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geoloom.operators import structures as T
+from geoloom.operators.spatial import grown
 from geoloom.plans.base import query, table
 
 #: Ways of each shape: (way, nodes, layer, bridge); nodes are (number, x, y). Structures are those off layer 0. Fixed values of the fixture.
@@ -30,6 +31,7 @@ def _town(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     k = F.col("c_custkey").cast("bigint")
     shape = F.coalesce(*[F.when(k % 8 == s, F.array(*map(way, ws))) for s, ws in SHAPES.items()])
     each = table(spark, d, "customer").select(k.alias("k"), F.explode(shape).alias("w")).select("k", "w.*")
+    each = grown(each)
     node = lambda c: F.col("k") * 10 + F.col(c)
     off = F.col("layer") != 0
     ways = each.select(node("way").alias("id"), node("na").alias("a"), node("nb").alias("b"), "layer", off.alias("structure"), "bridge", off.alias("candidate"), F.lit(False).alias("level"), F.lit(False).alias("walking"))
