@@ -278,7 +278,7 @@ def _(spark, d):
     return L.in_band(U.coverage(plots(spark, d), sites(spark, d), 500).select("id", "share"), 0.30, 0.55)
 
 
-@query("agg25_grounded", "WITH g AS (SELECT vec_id AS row, unnest(range(0, 64)) AS col, unnest(embedding) AS h FROM embeddings), p AS (SELECT CAST(c_custkey AS BIGINT) AS id, CAST(c_custkey % 70 AS DOUBLE) AS x, CAST(c_custkey AS DOUBLE) AS y FROM customer) SELECT id, CAST(round(10000 * h) AS BIGINT) AS h FROM p LEFT JOIN g ON row = y AND col = x")
+@query("agg25_grounded", "WITH g AS (SELECT vec_id AS row, unnest(range(0, 64)) AS col, unnest(embedding) AS h FROM embeddings), p AS (SELECT CAST(c_custkey AS BIGINT) AS id, CAST(c_custkey % 70 AS DOUBLE) AS x, CAST(c_custkey AS DOUBLE) AS y FROM customer) SELECT id, CAST(round(10000 * CAST(h AS DOUBLE)) AS BIGINT) AS h FROM p LEFT JOIN g ON row = y AND col = x")
 def _(spark, d):
     k = F.col("c_custkey").cast("bigint")
     pts = table(spark, d, "customer").select(k.alias("id"), (k % 70).cast("double").alias("x"), k.cast("double").alias("y"))
