@@ -43,7 +43,7 @@ def _(spark, d):
     return P.within_distance(homes(spark, d), shops(spark, d), 300).select("a_id", "b_id", "d2")
 
 
-@query("jon19_nearest_line", f"WITH {SHOPS}, {HOMES}, seg AS (SELECT id, x, y, lead(x) OVER (ORDER BY id) AS x2, lead(y) OVER (ORDER BY id) AS y2 FROM shops), t AS (SELECT h.id, s.id AS line, h.x, h.y, s.x AS ax, s.y AS ay, CAST(s.x2 - s.x AS DOUBLE) AS dx, CAST(s.y2 - s.y AS DOUBLE) AS dy FROM homes h JOIN seg s ON s.x2 IS NOT NULL AND h.x BETWEEN least(s.x, s.x2) - 400 AND greatest(s.x, s.x2) + 400 AND h.y BETWEEN least(s.y, s.y2) - 400 AND greatest(s.y, s.y2) + 400), u AS (SELECT *, greatest(0, least(1, ((x - ax) * dx + (y - ay) * dy) / (dx * dx + dy * dy))) AS p FROM t), v AS (SELECT id, line, (x - (ax + p * dx)) ** 2 + (y - (ay + p * dy)) ** 2 AS d2 FROM u) SELECT id, min_by(line, d2) AS line FROM v WHERE d2 <= 160000 GROUP BY id")
+@query("jon19_nearest_line", f"WITH {SHOPS}, {HOMES}, seg AS (SELECT id, x, y, lead(x) OVER (ORDER BY id) AS x2, lead(y) OVER (ORDER BY id) AS y2 FROM shops), t AS (SELECT h.id, s.id AS line, h.x, h.y, s.x AS ax, s.y AS ay, CAST(s.x2 - s.x AS DOUBLE) AS dx, CAST(s.y2 - s.y AS DOUBLE) AS dy FROM homes h JOIN seg s ON s.x2 IS NOT NULL AND h.x BETWEEN least(s.x, s.x2) - 400 AND greatest(s.x, s.x2) + 400 AND h.y BETWEEN least(s.y, s.y2) - 400 AND greatest(s.y, s.y2) + 400), u AS (SELECT *, greatest(0, least(1, ((x - ax) * dx + (y - ay) * dy) / (dx * dx + dy * dy))) AS p FROM t), v AS (SELECT id, line, (x - (ax + p * dx)) ** 2 + (y - (ay + p * dy)) ** 2 AS d2 FROM u) SELECT id, min({{'d2': d2, 'line': line}}).line AS line FROM v WHERE d2 <= 160000 GROUP BY id")
 def _(spark, d):
     own = shops(spark, d).select("id", "x", "y")
     # a chain over the shops, whose keys have no gaps

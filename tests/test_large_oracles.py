@@ -20,3 +20,16 @@ def test_grounded_heights_are_rounded_in_double_precision():
     want = dict(con.sql("SELECT vec_id, CAST(round(10000 * CAST(embedding[vec_id % 70 + 1] AS DOUBLE)) AS BIGINT) FROM embeddings").fetchall())
     single = dict(con.sql("SELECT vec_id, CAST(round(10000 * embedding[vec_id % 70 + 1]) AS BIGINT) FROM embeddings").fetchall())
     assert got == want != single
+
+
+def test_nearest_line_takes_the_smaller_of_equals():
+    # where the nearest place is a shop, two lines meet there
+    con = tables(supplier="SELECT k AS s_suppkey FROM range(200) r(k)", customer="SELECT k AS c_custkey FROM range(3000) r(k)")
+    s, h = np.arange(200), np.arange(3000)
+    ax, ay, x, y = s * 7907 % 10000 + s // 25 * 12000, s * 10007 % 10000, h * 6007 % 10000 + h // 375 * 12000, h * 9001 % 10000
+    dx, dy = np.diff(ax).astype(float), np.diff(ay).astype(float)
+    ax, ay, x, y = ax[:-1], ay[:-1], x[:, None], y[:, None]
+    p = np.clip(((x - ax) * dx + (y - ay) * dy) / (dx * dx + dy * dy), 0, 1)
+    d2 = (x - (ax + p * dx)) ** 2 + (y - (ay + p * dy)) ** 2
+    want = {int(i): int(d2[i].argmin()) for i in h if d2[i].min() <= 160000}
+    assert dict(con.sql(catalog.ORACLES["jon19_nearest_line"]).fetchall()) == want
