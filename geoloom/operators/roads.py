@@ -45,7 +45,7 @@ def unshared(crossings: DataFrame, incidence: DataFrame) -> DataFrame:
 
 
 def vertical_faults(ways: DataFrame, vertices: DataFrame) -> DataFrame:
-    """(id, fault) of ways (id, kind) whose vertices (id, ele) have heights in part, or, on a bridge or tunnel, none."""
+    """(id, fault) of ways (id, kind) whose vertices (id, ele) have heights in part, or, on a bridge or tunnel, none, or one beyond 10,000."""
     n = vertices.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.count("ele").alias("e"), F.max(F.abs("ele")).alias("top")).withColumnRenamed("id", "_id")
     both = ways.join(n, F.col("id") == F.col("_id"))
     fault = F.when((F.col("e") > 0) & (F.col("e") < F.col("n")), "partial").when((F.col("kind") != "ground") & (F.col("e") == 0), "no heights").when(F.col("top") > 10_000, "range")

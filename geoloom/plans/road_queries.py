@@ -32,7 +32,7 @@ def _(spark, d):
     return R.unshared(found, way_nodes(spark, d)).select("a_id", "b_id").distinct()
 
 
-@query("prj17_vertical_faults", f"WITH {WAY_NODES}, v AS (SELECT id, CASE WHEN id % 3 = 0 OR (id % 5 = 0 AND ref % 2 = 0) THEN ref END AS ele FROM way_nodes), n AS (SELECT id, count(*) AS n, count(ele) AS e FROM v GROUP BY id) SELECT id, fault FROM (SELECT id, CASE WHEN e > 0 AND e < n THEN 'partial' WHEN id % 7 = 0 AND e = 0 THEN 'no heights' END AS fault FROM n) WHERE fault IS NOT NULL")
+@query("prj17_vertical_faults", f"WITH {WAY_NODES}, v AS (SELECT id, CASE WHEN id % 3 = 0 OR (id % 5 = 0 AND ref % 2 = 0) THEN ref END AS ele FROM way_nodes), n AS (SELECT id, count(*) AS n, count(ele) AS e, max(abs(ele)) AS top FROM v GROUP BY id) SELECT id, fault FROM (SELECT id, CASE WHEN e > 0 AND e < n THEN 'partial' WHEN id % 7 = 0 AND e = 0 THEN 'no heights' WHEN top > 10000 THEN 'range' END AS fault FROM n) WHERE fault IS NOT NULL")
 def _(spark, d):
     w = way_nodes(spark, d)
     k = F.col("id")

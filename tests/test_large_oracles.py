@@ -33,3 +33,8 @@ def test_nearest_line_takes_the_smaller_of_equals():
     d2 = (x - (ax + p * dx)) ** 2 + (y - (ay + p * dy)) ** 2
     want = {int(i): int(d2[i].argmin()) for i in h if d2[i].min() <= 160000}
     assert dict(con.sql(catalog.ORACLES["jon19_nearest_line"]).fetchall()) == want
+
+
+def test_heights_out_of_range_are_faults():
+    con = tables(lineitem="SELECT 3 AS l_orderkey, 1 AS l_linenumber, 10001 AS l_partkey, 1 AS l_suppkey, 1.0 AS l_quantity, 1.0 AS l_extendedprice, DATE '2024-01-01' AS l_shipdate")
+    assert con.sql(catalog.ORACLES["prj17_vertical_faults"]).fetchall() == [(3, "range")]
