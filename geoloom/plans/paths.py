@@ -78,7 +78,7 @@ _SPANS = "spans AS (SELECT l_suppkey AS id, l_partkey % 1000 AS lo, l_partkey %
 @query(
     "win06_merge_intervals",
     f"""WITH {_SPANS}, f AS (SELECT *, CASE WHEN max(hi) OVER p IS NULL OR lo > max(hi) OVER p THEN 1 ELSE 0 END AS fresh FROM spans WINDOW p AS (PARTITION BY id ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-    g AS (SELECT *, sum(fresh) OVER (PARTITION BY id ORDER BY lo, hi ROWS UNBOUNDED PRECEDING) AS island FROM f) SELECT id, min(lo) AS lo, max(hi) AS hi, count(*) AS parts FROM g GROUP BY id, island""",
+    g AS (SELECT *, sum(fresh) OVER (PARTITION BY id ORDER BY lo, hi, fresh DESC ROWS UNBOUNDED PRECEDING) AS island FROM f) SELECT id, min(lo) AS lo, max(hi) AS hi, count(*) AS parts FROM g GROUP BY id, island""",
 )
 def _(spark, d):
     lo = F.col("l_partkey") % 1000

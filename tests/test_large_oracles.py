@@ -38,3 +38,10 @@ def test_nearest_line_takes_the_smaller_of_equals():
 def test_heights_out_of_range_are_faults():
     con = tables(lineitem="SELECT 3 AS l_orderkey, 1 AS l_linenumber, 10001 AS l_partkey, 1 AS l_suppkey, 1.0 AS l_quantity, 1.0 AS l_extendedprice, DATE '2024-01-01' AS l_shipdate")
     assert con.sql(catalog.ORACLES["prj17_vertical_faults"]).fetchall() == [(3, "range")]
+
+
+def test_equal_intervals_stay_with_their_first():
+    # many equal rows, whose order two sorts need not agree on
+    con = tables(lineitem="SELECT k % 5 AS l_suppkey, k % 7 * 100 AS l_partkey, 3.0 AS l_quantity FROM range(400000) r(k)")
+    assert all(hi == lo + 3 for _, lo, hi, _ in con.sql(catalog.ORACLES["win06_merge_intervals"]).fetchall())
+    assert len(con.sql(catalog.ORACLES["win06_merge_intervals"]).fetchall()) == 35
