@@ -129,13 +129,12 @@ def rungs(nodes: DataFrame, lines: DataFrame, links: DataFrame, chains: DataFram
     return shared.select("pair", "k", "j", F.lit(2).alias("weight"), none.alias("link")).unionByName(linked).unionByName(met.withColumn("link", none))
 
 
-def _heaviest(df: pd.DataFrame) -> pd.DataFrame:
-    """Of one tangle the heaviest chain of rows whose j falls as k rises; of equal ones that with the earliest end and predecessors."""
-    df = df.sort_values("k", kind="stable")
-    js = sorted({-j for j in df["j"]})
+def _heaviest(js_: list, weights: list) -> list[int]:
+    """Of one tangle, sorted by k, the rows of the heaviest chain whose j falls as k rises; of equal ones that with the earliest end and predecessors."""
+    js = sorted({-j for j in js_})
     tree = [(0, 0)] * (len(js) + 1)  # prefix maxima of (weight, -row)
     score, before = [], []
-    for row, (j, w) in enumerate(zip(df["j"], df["weight"], strict=True)):
+    for row, (j, w) in enumerate(zip(js_, weights, strict=True)):
         at = place = bisect_left(js, -j)
         best = (0, 0)
         while at:
@@ -149,25 +148,46 @@ def _heaviest(df: pd.DataFrame) -> pd.DataFrame:
     while row >= 0:
         keep.append(row)
         row = before[row]
-    return df.iloc[keep[::-1]]
+    return keep[::-1]
+
+
+def _tangles(frames):
+    """The heaviest chain of each tangle of a stream of rows sorted by tangle; ``_start`` marks where one begins, and the last one of a frame waits for the next frame."""
+    waiting = []
+    for frame in frames:
+        starts = frame["_start"].to_numpy().nonzero()[0]
+        if not len(starts):
+            waiting.append(frame)
+            continue
+        head = [*waiting, frame.iloc[: starts[0]]]
+        done = pd.concat(head) if waiting else head[0]
+        if len(done):
+            yield done.iloc[_heaviest(done["j"].tolist(), done["weight"].tolist())]
+        js, ws = (frame[c].tolist() for c in ("j", "weight"))
+        keep = [low + i for low, high in zip(starts, starts[1:], strict=False) for i in _heaviest(js[low:high], ws[low:high])]
+        yield frame.iloc[keep]
+        waiting = [frame.iloc[starts[-1] :]]
+    if waiting:
+        done = pd.concat(waiting)
+        yield done.iloc[_heaviest(done["j"].tolist(), done["weight"].tolist())]
 
 
 def align(found: DataFrame) -> DataFrame:
     """The heaviest set of rungs (pair, k, j, weight, …; one for each k) in which j falls as k rises.
 
     Where every j so far is above every j to come, the sides are independent and what is best for each is best for both. So a
-    pair is cut there, and only what is left in a tangle, of a few rungs on real roads, is weighed in one group; a single rung stays as it is.
+    pair is cut there, and only what is left in a tangle, of a few rungs on real roads, is weighed at once, many tangles a call; a single rung stays as it is.
     """
     order = Window.partitionBy("pair").orderBy("k")
     low = F.min("j").over(order.rowsBetween(Window.unboundedPreceding, -1))
     high = F.max("j").over(Window.partitionBy("pair").orderBy(F.col("k").desc()).rowsBetween(Window.unboundedPreceding, 0))
-    cut = F.coalesce(low > high, F.lit(False)).cast("long")
-    blocks = found.withColumn("_cut", cut).withColumn("_block", F.sum("_cut").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_cut")
+    blocks = found.withColumn("_start", low.isNull() | (low > high)).withColumn("_block", F.sum(F.col("_start").cast("long")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
     blocks = written(blocks.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("pair", "_block"))))
     tangled = blocks.where("_n > 1").drop("_n")
     flat = tangled.withColumns({"_a": F.col("pair.a"), "_b": F.col("pair.b")}).drop("pair")
-    solved = flat.groupBy("_a", "_b", "_block").applyInPandas(_heaviest, flat.schema).withColumn("pair", F.struct(F.col("_a").alias("a"), F.col("_b").alias("b")))
-    columns = [c for c in blocks.columns if c not in ("_n", "_block")]
+    dealt = flat.repartition("_a", "_b", "_block").sortWithinPartitions("_a", "_b", "_block", "k")
+    solved = dealt.mapInPandas(_tangles, flat.schema).withColumn("pair", F.struct(F.col("_a").alias("a"), F.col("_b").alias("b")))
+    columns = [c for c in blocks.columns if c not in ("_n", "_block", "_start")]
     return blocks.where("_n = 1").select(columns).unionByName(solved.select(columns))
 
 
