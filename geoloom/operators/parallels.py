@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from geoloom.functions.geometry import point_segment_distance2
+from geoloom.operators.graph import written
 from geoloom.operators.sequences import arc_length
 from geoloom.operators.spatial import box_join, boxed_points, boxed_segments
 
@@ -64,10 +65,10 @@ def match_sidewalks(roads: DataFrame, footways: DataFrame, spacing: float, reach
     t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((F.col("a_x") - F.col("b_x")) * dx + (F.col("a_y") - F.col("b_y")) * dy) / (dx * dx + dy * dy).cast("double")))
     ox, oy = F.col("b_x") + t * dx - F.col("a_x"), F.col("b_y") + t * dy - F.col("a_y")
     side = F.when(oy * F.col("a_hx") - ox * F.col("a_hy") >= 0, 1).otherwise(-1)
-    seen = near.select(F.col("a_id").alias("id"), F.col("a_k").alias("k"), F.col("a_n").alias("n"), side.alias("side"), F.col("b_id").alias("footway"), (F.col("gap") + F.col("b_width") / 2.0 - F.col("a_width") / 2.0).alias("outer"))
+    seen = written(near.select(F.col("a_id").alias("id"), F.col("a_k").alias("k"), F.col("a_n").alias("n"), side.alias("side"), F.col("b_id").alias("footway"), (F.col("gap") + F.col("b_width") / 2.0 - F.col("a_width") / 2.0).alias("outer")))
     each = seen.groupBy("id", "side", "n", "k").agg(F.min("outer").alias("outer"))
     sides = each.groupBy("id", "side", "n").agg(F.array_sort(F.collect_list("outer")).alias("o")).where(F.size("o") * 2 >= F.col("n"))
-    sides = sides.select("id", "side", F.element_at("o", F.floor(F.size("o") / 2).cast("int") + 1).alias("offset"))
+    sides = written(sides.select("id", "side", F.element_at("o", F.floor(F.size("o") / 2).cast("int") + 1).alias("offset")))
     chosen = sides.select(F.col("id").alias("road"), F.col("side").alias("_side"))
     pairs = seen.join(chosen, (F.col("id") == F.col("road")) & (F.col("side") == F.col("_side"))).select("road", "footway").distinct()
     return sides, pairs
@@ -80,7 +81,7 @@ def absorbed_footways(footways: DataFrame, roads: DataFrame, pairs: DataFrame, s
     """
     near = _near(samples(footways, spacing), roads, widest).where(F.col("gap") <= F.col("b_band"))
     own = near.join(pairs, (F.col("a_id") == F.col("footway")) & (F.col("b_id") == F.col("road")))
-    held = own.select(F.col("a_id").alias("id"), F.col("a_k").alias("k"), F.col("a_n").alias("n"), "road").distinct()
+    held = written(own.select(F.col("a_id").alias("id"), F.col("a_k").alias("k"), F.col("a_n").alias("n"), "road").distinct())
     whole = held.groupBy("id", "n").agg(F.count_distinct("k").alias("_k")).where("_k = n").select(F.col("id").alias("_id"))
     most = held.groupBy("id", "road").agg((-F.count(F.lit(1))).alias("less")).groupBy("id").agg(F.min(F.struct("less", "road")).alias("m"))
     return most.join(whole, F.col("id") == F.col("_id"), "left_semi").select("id", F.col("m.road").alias("owner"))

@@ -10,6 +10,7 @@ from geoloom.operators import roads as R
 from geoloom.operators import sequences as S
 from geoloom.operators import spatial as P
 from geoloom.operators import streets as T
+from geoloom.operators.spatial import grown
 from geoloom.plans.base import BOXES, HOMES, LINES, NEAR_SEGS, SHOPS, WAY_NODES, box_edges, boxes, homes, lines, near_lines, query, shops, table, way_nodes
 from geoloom.plans.places import _roads
 from geoloom.plans.space import _BOTH, _LABELS, _graph
@@ -195,7 +196,7 @@ def _(spark, d):
 def _(spark, d):
     footways, (sides, pairs) = _sidewalks(spark, d)
     wide = sides.groupBy(F.col("id").alias("_id")).agg(F.max("offset").alias("_o"))
-    roads = _parallel(spark, d).join(wide, F.col("id") == F.col("_id")).withColumn("band", F.col("width") / 2.0 + F.col("_o") + 0.25)
+    roads = grown(_parallel(spark, d)).join(wide, F.col("id") == F.col("_id")).withColumn("band", F.col("width") / 2.0 + F.col("_o") + 0.25)
     return A.absorbed_footways(footways, roads, pairs, 50.0, 200)
 
 

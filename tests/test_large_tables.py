@@ -44,3 +44,15 @@ def test_written_tables_are_broadcast_by_what_they_hold(spark, capsys):
     assert SMALL < 10 << 20
     assert "BroadcastHashJoin" in plan(big.join(few, F.col("id") == F.col("k")), capsys)
     assert "BroadcastHashJoin" not in plan(big.join(many.select("k"), F.col("id") == F.col("k")), capsys)
+
+
+def test_roads_and_pieces_made_from_customers_are_not_broadcast(spark, capsys):
+    from geoloom.plans.carriageway_queries import _pieces
+
+    each = _pieces(spark, SF)
+    assert "Broadcast" not in plan(each.join(each.select(F.col("id").alias("_i")), F.col("id") == F.col("_i")), capsys)
+
+
+def test_sidewalks_are_matched_once(spark, capsys):
+    """What runs beside a road is found once, not again for each side, pair and footway."""
+    assert "Generate" not in plan(catalog.QUERIES["jon24_sidewalks"](spark, SF), capsys)
