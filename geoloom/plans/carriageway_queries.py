@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geoloom.operators import carriageways as C
+from geoloom.operators.spatial import grown
 from geoloom.plans.base import WAY_NODES, query, table, way_nodes
 
 #: Nodes of a ladder: the first carriageway runs east over 0 to 3, the second west over 4 to 7. Fixed values of the fixture.
@@ -37,6 +38,7 @@ def _pieces(spark: SparkSession, d: str) -> DataFrame:
     piece = lambda p: F.struct(*[F.lit(v).cast("bigint").alias(n) for n, v in zip(names, (*p, *PLACES[p[1]], *PLACES[p[2]]), strict=True)])
     shape = F.coalesce(*[F.when(F.col("k") % 8 == s, F.array(*map(piece, ps))) for s, ps in SHAPES.items()])
     each = _base(spark, d).select("k", F.col("x").alias("x0"), F.col("y").alias("y0"), F.explode(shape).alias("p"))
+    each = grown(each)
     at = [(F.col(f"p.{c}") + F.col(f"{c[0]}0")).alias(c) for c in ("x", "y", "x2", "y2")]
     return each.select((F.col("k") * 20 + F.col("p.piece")).alias("id"), "p.piece", (F.col("k") * 20 + F.col("p.a")).alias("a"), (F.col("k") * 20 + F.col("p.b")).alias("b"), F.expr(KINDS).alias("kind"), F.lit(0).cast("bigint").alias("seq"), *at)
 
