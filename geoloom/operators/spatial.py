@@ -7,6 +7,8 @@ skewed join key, which adaptive execution splits.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +21,16 @@ def grown(df: DataFrame) -> DataFrame:
     return df.hint("merge")
 
 
+#: Rows that a task may make of the rows it is given.
+MADE = 1 << 19
+
+
+def spread(df: DataFrame, each: int, *keys: str) -> DataFrame:
+    """df, of which each row will become about ``each``, dealt to as many tasks as that takes: tasks are cut by the bytes they
+    read, so a small table, or one that adaptive execution has packed, would be multiplied in one task."""
+    return df.repartition(max(1, math.ceil(df.count() * each / MADE)), *keys)
+
+
 def cells(df: DataFrame, cell: int | Column, x0: Column, y0: Column, x1: Column, y1: Column, prefix: str = "") -> DataFrame:
     """Each row once for every cell that its box touches, with columns cx, cy."""
     cx = F.sequence(F.floor(x0 / cell), F.floor(x1 / cell))

@@ -15,7 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from geoloom.operators.spatial import bilinear
+from geoloom.operators.graph import written
+from geoloom.operators.spatial import bilinear, spread
 
 TILE = 256
 
@@ -134,7 +135,7 @@ def bare_earth(raster: DataFrame, radius: int, weights: list[float], tile: int =
 def sample_plan(cells: DataFrame, side: int) -> DataFrame:
     """(row, col): the samples of cells (cx, cy) of ``side`` by ``side`` samples, those on shared edges once."""
     steps = F.sequence(F.lit(0), F.lit(side - 1))
-    at = cells.select("cx", "cy", F.explode(steps).alias("j")).select("*", F.explode(steps).alias("i"))
+    at = spread(cells.select("cx", "cy"), side * side, "cy", "cx").select("cx", "cy", F.explode(steps).alias("j")).select("*", F.explode(steps).alias("i"))
     return at.select((F.col("cy") * (side - 1) + F.col("j")).alias("row"), (F.col("cx") * (side - 1) + F.col("i")).alias("col")).distinct()
 
 
@@ -170,10 +171,10 @@ def terrain(grid: DataFrame, cells: DataFrame, side: int, spacing: float, radius
     """
     plan = sample_plan(cells, side)
     at = plan.select(F.struct("row", "col").alias("id"), (F.col("col") * spacing).alias("x"), (F.col("row") * spacing).alias("y"))
-    found = bilinear(at, grid, 0.0, 0.0, 1.0).select("id.row", "id.col", "h")
+    found = written(bilinear(at, grid, 0.0, 0.0, 1.0).select("id.row", "id.col", "h"))
     ground = found if weights is None else bare_earth(found, radius, weights, tile)
     lost = found.where("h IS NULL") if weights is not None else None
     heights = ground.unionByName(lost) if lost is not None else ground
-    cm = heights.select("row", "col", F.bround((F.col("h") - zero) * 100 / denominator, 0).cast("long").alias("cm"))
+    cm = written(heights.select("row", "col", F.bround((F.col("h") - zero) * 100 / denominator, 0).cast("long").alias("cm")))
     done, summary = quantised(cm)
     return in_cells(done, cells, side), summary

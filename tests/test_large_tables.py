@@ -56,3 +56,16 @@ def test_roads_and_pieces_made_from_customers_are_not_broadcast(spark, capsys):
 def test_sidewalks_are_matched_once(spark, capsys):
     """What runs beside a road is found once, not again for each side, pair and footway."""
     assert "Generate" not in plan(catalog.QUERIES["jon24_sidewalks"](spark, SF), capsys)
+
+
+def test_rows_to_be_multiplied_are_dealt_to_tasks(spark, capsys, monkeypatch):
+    from geoloom.operators import fusion, terrain
+
+    monkeypatch.setattr(P, "MADE", 100)
+    few = spark.range(40).coalesce(1)
+    assert P.spread(few, 10, "id").rdd.getNumPartitions() == 4 and P.spread(few.where("id < 0"), 10).rdd.getNumPartitions() == 1
+    boxes = few.select("id", (F.col("id") * 100).alias("x0"), F.lit(0).alias("y0"), (F.col("id") * 100 + 500).alias("x1"), F.lit(300).alias("y1"), F.lit(1).alias("priority"), F.lit("a").alias("style"), F.lit(False).alias("blocked"))
+    cells = few.select(F.col("id").alias("cx"), F.lit(0).cast("long").alias("cy"))
+    for made in (fusion.paint(boxes, 100), terrain.sample_plan(cells, 9)):
+        assert "REPARTITION_BY_NUM" in plan(made, capsys)
+    assert fusion.paint(boxes, 100).count() == 44 * 3 and terrain.sample_plan(cells, 9).count() == 321 * 9
