@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from geoloom.operators.graph import _kept
 from geoloom.operators.sequences import best
-from geoloom.operators.spatial import box_join, crossings, points_in_polygons, within_distance
+from geoloom.operators.spatial import box_join, crossings, points_in_polygons, spread, within_distance
 
 
 def box_area(p: str) -> Column:
@@ -56,7 +56,8 @@ def paint(sources: DataFrame, cell: int) -> DataFrame:
     half = cell / 2
     span = lambda a, b: F.explode(F.sequence(F.ceil((F.col(a) - half) / cell), F.floor((F.col(b) - half) / cell)))
     fits = sources.where((F.ceil((F.col("x0") - half) / cell) <= F.floor((F.col("x1") - half) / cell)) & (F.ceil((F.col("y0") - half) / cell) <= F.floor((F.col("y1") - half) / cell)))
-    cells = fits.withColumn("cx", span("x0", "x1")).withColumn("cy", span("y0", "y1"))
+    most = fits.agg(F.avg((F.col("x1") - F.col("x0") + cell) * (F.col("y1") - F.col("y0") + cell))).first()[0] or 0
+    cells = spread(fits, int(most / cell**2) + 1, "id").withColumn("cx", span("x0", "x1")).withColumn("cy", span("y0", "y1"))
     top = cells.groupBy("cx", "cy").agg(F.min(F.struct("priority", "style", "id", "blocked")).alias("m"), F.count(F.lit(1)).alias("contributing"), F.bool_or("blocked").alias("_b"))
     return top.where("NOT _b").select("cx", "cy", "m.id", "m.style", "contributing")
 
