@@ -166,35 +166,60 @@ def greedy_apart(points: DataFrame, radius: int, order: list[str], heading: tupl
     return points.join(reduce(DataFrame.union, gone), F.col("id") == F.col("late"), "left_anti") if gone else points
 
 
+def _bent(table: pa.Table, tolerance: float, keep: str | None) -> np.ndarray:
+    """Which vertices stay of whole lines one after the other; all open stretches of all lines are split at once, a round."""
+    x, y = (table[c].to_numpy().astype(float) for c in "xy")
+    first = table["_first"].to_numpy()
+    stay = first | np.append(first[1:], True)
+    if keep:
+        stay |= table[keep].fill_null(False).to_numpy()
+    ends, line = np.flatnonzero(stay), np.cumsum(first)
+    a, b = ends[:-1], ends[1:]
+    inside = line[a] == line[b]
+    a, b = a[inside], b[inside]
+    while True:
+        wide = b - a > 1
+        a, b = a[wide], b[wide]
+        if not len(a):
+            return stay
+        n = b - a - 1
+        off = np.cumsum(n) - n
+        at = np.arange(n.sum()) + np.repeat(a + 1 - off, n)
+        dx, dy, px, py = np.repeat(x[b] - x[a], n), np.repeat(y[b] - y[a], n), x[at] - np.repeat(x[a], n), y[at] - np.repeat(y[a], n)
+        size = dx * dx + dy * dy
+        with np.errstate(divide="ignore", invalid="ignore"):
+            t = np.where(size == 0, 0.0, np.clip((px * dx + py * dy) / size, 0, 1))
+        d2 = (px - t * dx) ** 2 + (py - t * dy) ** 2
+        most = np.maximum.reduceat(d2, off)
+        far = most > tolerance * tolerance
+        k = np.minimum.reduceat(np.where(d2 == np.repeat(most, n), at, len(x)), off)[far]
+        stay[k] = True
+        a, b = np.concatenate([a[far], k]), np.concatenate([k, b[far]])
+
+
 def simplify(points: DataFrame, tolerance: float, keep: str | None = None) -> DataFrame:
-    """Lines (id, seq, x, y) without vertices closer than the tolerance to the simplified line (Douglas-Peucker), one line at a time.
+    """Lines (id, seq, x, y) without vertices closer than the tolerance to the simplified line (Douglas-Peucker).
 
-    Vertices with a true ``keep`` flag stay; the stretches between them are simplified by themselves.
+    Vertices with a true ``keep`` flag stay; the stretches between them are simplified by themselves. Lines come as a stream of
+    sorted rows, a batch's whole lines together, so short lines don't cost a Python call each; a line is in one task.
     """
-    def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by("seq")
-        x, y = (table[c].to_numpy().astype(float) for c in "xy")
-        fixed = table[keep].to_numpy() if keep else np.zeros(len(x), bool)
-        stay = np.zeros(len(x), bool)
-        anchors = sorted({0, len(x) - 1, *np.flatnonzero(fixed).tolist()})
-        stay[anchors] = True
-        work = list(zip(anchors, anchors[1:], strict=False))
-        while work:
-            a, b = work.pop()
-            if b - a < 2:
-                continue
-            dx, dy = x[b] - x[a], y[b] - y[a]
-            px, py = x[a + 1 : b] - x[a], y[a + 1 : b] - y[a]
-            size = dx * dx + dy * dy
-            t = np.clip((px * dx + py * dy) / size, 0, 1) if size else np.zeros(len(px))
-            d2 = (px - t * dx) ** 2 + (py - t * dy) ** 2
-            k = int(np.argmax(d2))
-            if d2[k] > tolerance * tolerance:
-                stay[a + 1 + k] = True
-                work += [(a, a + 1 + k), (a + 1 + k, b)]
-        return table.filter(pa.array(stay))
-
-    return points.groupBy("id").applyInArrow(run, points.schema)
+    def run(batches):
+        held: list[pa.Table] = []
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            starts = np.flatnonzero(table["_first"].to_numpy())
+            if len(starts):
+                yield from kept([*held, table.slice(0, starts[-1])])
+                held = []
+            held.append(table.slice(starts[-1] if len(starts) else 0))
+        yield from kept(held)
+
+    def kept(parts: list[pa.Table]):
+        if parts and (table := pa.concat_tables(parts)).num_rows:
+            yield from table.filter(pa.array(_bent(table, tolerance, keep))).drop_columns(["_first"]).to_batches()
+
+    order = Window.partitionBy("id").orderBy(F.asc_nulls_last("seq"))
+    return points.withColumn("_first", F.row_number().over(order) == 1).mapInArrow(run, points.schema)
 
 
 def assemble_rings(segments: DataFrame) -> tuple[DataFrame, DataFrame]:

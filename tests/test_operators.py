@@ -89,6 +89,42 @@ def test_greedy_and_simplify(spark):
     assert [r.seq for r in U.simplify(line, 2.0).orderBy("seq").collect()] == [0, 2, 3]
 
 
+def test_lines_are_simplified_in_a_stream(spark):
+    """No Python call a line; lines that Arrow batches cut, single vertices, kept ones and null ids come out as line by line."""
+    rng = random.Random(5)
+    rows = [(i if i else None, k, rng.randrange(9), rng.randrange(9), rng.random() < 0.1) for i in range(30) for k in range(rng.choice([1, 2, 3, 8, 20]))]
+    rng.shuffle(rows)
+
+    def kept(line, tol=2.0):
+        stay, work = {0, len(line) - 1} | {i for i, r in enumerate(line) if r[4]}, []
+        work = list(zip(sorted(stay), sorted(stay)[1:], strict=False))
+        while work:
+            a, b = work.pop()
+            (ax, ay), (bx, by) = line[a][2:4], line[b][2:4]
+            dx, dy, best, at = bx - ax, by - ay, tol * tol, None
+            for i in range(a + 1, b):
+                px, py = line[i][2] - ax, line[i][3] - ay
+                t = min(1.0, max(0.0, (px * dx + py * dy) / (dx * dx + dy * dy))) if dx or dy else 0.0
+                d2 = (px - t * dx) ** 2 + (py - t * dy) ** 2
+                if d2 > best:
+                    best, at = d2, i
+            if at is not None:
+                stay.add(at)
+                work += [(a, at), (at, b)]
+        return [line[i] for i in stay]
+
+    want = [r for key in {r[0] for r in rows} for r in kept(sorted((r for r in rows if r[0] == key), key=lambda r: r[1]))]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        df = U.simplify(spark.createDataFrame(rows, "id long, seq long, x long, y long, hold boolean"), 2.0, "hold")
+        assert sorted(map(str, (tuple(r) for r in df.collect()))) == sorted(map(str, want))
+        assert U.simplify(df.where("false"), 2.0, "hold").collect() == []
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert "FlatMapGroupsInArrow" not in df._jdf.queryExecution().toString()
+
+
 def test_greedy_in_rounds(spark):
     rng = random.Random(8)
     rows = [(i, rng.randrange(300), rng.randrange(300), rng.choice([None, *range(40)])) for i in range(400)]
