@@ -45,13 +45,13 @@ def split_at(points: DataFrame, cuts: DataFrame, id_col: str = "id", seq_col: st
     order = by_seq(id_col, seq_col)
     keys = cuts.select(F.col(key_col).alias("_cut")).distinct()
     marked = points.join(keys, F.col(key_col) == F.col("_cut"), "left")
-    n = F.count(F.lit(1)).over(Window.partitionBy(id_col))
-    at = F.row_number().over(order)
-    marked = marked.withColumns({"_n": n, "_at": at}).withColumn("_is", (F.col("_cut").isNotNull() & (F.col("_at") > 1) & (F.col("_at") < F.col("_n"))).cast("int"))
+    inner = F.lag(F.lit(1)).over(order).isNotNull() & F.lead(F.lit(1)).over(order).isNotNull()
+    marked = marked.withColumn("_is", (F.col("_cut").isNotNull() & inner).cast("int"))
     piece = F.coalesce(F.sum("_is").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # both rows of a cut vertex come from one pass over the sorted lines
     own = marked.withColumn("piece", piece)
-    again = own.where("_is = 1").withColumn("piece", F.col("piece") + 1)
-    return own.unionByName(again).drop("_cut", "_n", "_at", "_is")
+    both = F.when(F.col("_is") == 1, F.array(F.col("piece"), F.col("piece") + 1)).otherwise(F.array("piece"))
+    return own.withColumn("piece", F.explode(both)).drop("_cut", "_is")
 
 
 def drop_repeats(points: DataFrame, id_col: str = "id", seq_col: str = "seq") -> DataFrame:

@@ -69,3 +69,10 @@ def test_rows_to_be_multiplied_are_dealt_to_tasks(spark, capsys, monkeypatch):
     for made in (fusion.paint(boxes, 100), terrain.sample_plan(cells, 9)):
         assert "REPARTITION_BY_NUM" in plan(made, capsys)
     assert fusion.paint(boxes, 100).count() == 44 * 3 and terrain.sample_plan(cells, 9).count() == 321 * 9
+
+
+@pytest.mark.parametrize("name, before", [("win03_split_at_nodes", 6)])
+def test_lines_are_sorted_and_read_once(spark, capsys, name, before):
+    """Both rows of a cut vertex, and the numbers of cropped vertices, need no further pass or sort of all lines."""
+    text = plan(catalog.QUERIES[name](spark, SF), capsys)
+    assert "Union" not in text and text.count("Sort [") < before
