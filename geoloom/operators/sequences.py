@@ -150,11 +150,13 @@ def crop_lines(points: DataFrame, window: tuple[int, int, int, int], least: floa
     goes_on = F.coalesce((F.lag("t1").over(order) == 1) & (F.col("t0") == 0), F.lit(False))
     # a segment without length belongs to the piece that it stands in
     segs = segs.withColumn("new", ~goes_on).where("t0 < t1").withColumn("piece", F.sum(F.col("new").cast("int")).over(order) - 1)
-    size = F.sum(segment_length() * (F.col("t1") - F.col("t0"))).over(Window.partitionBy("id", "piece"))
-    segs = segs.withColumn("size", size)
+    inside = Window.partitionBy("id", "piece").orderBy("seq")
+    size = F.sum(segment_length() * (F.col("t1") - F.col("t0"))).over(inside.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    # a segment that opens its piece gives two vertices, any other one, so places are known before vertices are made
+    opened = F.coalesce(F.sum(F.col("new").cast("int")).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    segs = segs.withColumns({"size": size, "_place": F.row_number().over(inside) + opened})
     short = segs.where((F.col("size") < least) & F.col("new")).groupBy("id").agg(F.count(F.lit(1)).alias("short"))
     at = lambda t, cut: F.struct(*[(F.col(c) + F.col(t) * (F.col(f"{c}2") - F.col(c))).alias(c) for c in ("x", "y", "z")], cut.alias("cut"))
     ends = F.when(F.col("new"), F.array(at("t0", F.col("t0") > 0), at("t1", F.col("t1") < 1))).otherwise(F.array(at("t1", F.col("t1") < 1)))
-    each = segs.where(F.col("size") >= least).select("id", "piece", F.col("seq").alias("_seq"), F.posexplode(ends).alias("_at", "v"))
-    number = F.row_number().over(Window.partitionBy("id", "piece").orderBy("_seq", "_at")).cast("bigint")
-    return each.select("id", "piece", number.alias("seq"), "v.x", "v.y", "v.z", "v.cut"), short
+    each = segs.where(F.col("size") >= least).select("id", "piece", "_place", F.posexplode(ends).alias("_at", "v"))
+    return each.select("id", "piece", (F.col("_place") + F.col("_at")).cast("bigint").alias("seq"), "v.x", "v.y", "v.z", "v.cut"), short

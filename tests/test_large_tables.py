@@ -71,7 +71,7 @@ def test_rows_to_be_multiplied_are_dealt_to_tasks(spark, capsys, monkeypatch):
     assert fusion.paint(boxes, 100).count() == 44 * 3 and terrain.sample_plan(cells, 9).count() == 321 * 9
 
 
-@pytest.mark.parametrize("name, before", [("win03_split_at_nodes", 6)])
+@pytest.mark.parametrize("name, before", [("win03_split_at_nodes", 6), ("pip01_cropped_lines", 4)])
 def test_lines_are_sorted_and_read_once(spark, capsys, name, before):
     """Both rows of a cut vertex, and the numbers of cropped vertices, need no further pass or sort of all lines."""
     text = plan(catalog.QUERIES[name](spark, SF), capsys)
