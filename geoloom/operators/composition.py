@@ -34,15 +34,17 @@ def road_conflicts(buildings: DataFrame, segs: DataFrame, cell: int, scale: floa
     half = F.col("b_width") / 2.0
     most = segs.agg(F.max("width")).first()[0] or 0
     named = segs.withColumnRenamed("road", "id")
-    pairs = box_join(buildings, boxed_segments(named), cell, int(most / 2) + 1)
+    # written, so that the long exact conditions are not part of the join's, and run once for pairs whose boxes are near
+    needed = [f"a_{c}" for c in (*BOX, "base", "top")] + [f"b_{c}" for c in ("id", "seq", "x", "y", "x2", "y2", "z", "z2", "width", "kind")]
+    pairs = written(box_join(buildings, boxed_segments(named), cell, int(most / 2) + 1).select(*needed))
     box = {c: F.col(f"a_{c}") for c in ("x0", "y0", "x1", "y1")}
     line = [F.col(f"b_{c}") for c in ("x", "y", "x2", "y2")]
-    near = pairs.where(_gap2(line, box) < half * half)
+    # columns of a projection share their common parts, a filter's conditions don't
     t0, t1 = clip_interval(*line, box["x0"] - half, box["y0"] - half, box["x1"] + half, box["y1"] + half)
-    near = near.select("a_id", "a_base", "a_top", "b_id", "b_seq", "b_kind", "b_z", "b_z2", F.coalesce(t0, F.lit(0.0)).alias("t0"), F.coalesce(t1, F.lit(1.0)).alias("t1"))
+    near = pairs.select("a_id", "a_base", "a_top", "b_id", "b_seq", "b_kind", "b_z", "b_z2", F.coalesce(t0, F.lit(0.0)).alias("t0"), F.coalesce(t1, F.lit(1.0)).alias("t1"), (_gap2(line, box) < half * half).alias("near"))
     at = [F.col("b_z") + (F.col("b_z2") - F.col("b_z")) * F.col(t) for t in ("t0", "t1")]
     clear = F.when(F.col("b_kind") == "bridge", F.least(*at) >= F.col("a_top") + ROOM * scale).when(F.col("b_kind") == "tunnel", F.greatest(*at) + ROOM * scale <= F.col("a_base"))
-    judged = near.select(F.col("a_id").alias("id"), F.col("b_id").alias("road"), F.col("b_seq").alias("seq"), F.coalesce(clear, F.lit(False)).alias("clear"))
+    judged = written(near.select(F.col("a_id").alias("id"), F.col("b_id").alias("road"), F.col("b_seq").alias("seq"), F.coalesce(clear, F.lit(False)).alias("clear"), "near")).where("near")
     hit = judged.where("NOT clear").select(F.col("id").alias("_id"), F.col("road").alias("_road")).distinct()
     return judged.join(hit, (F.col("id") == F.col("_id")) & (F.col("road") == F.col("_road")), "left_semi").select("id", "road", "seq")
 

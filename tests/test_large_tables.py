@@ -76,3 +76,17 @@ def test_lines_are_sorted_and_read_once(spark, capsys, name, before):
     """Both rows of a cut vertex, and the numbers of cropped vertices, need no further pass or sort of all lines."""
     text = plan(catalog.QUERIES[name](spark, SF), capsys)
     assert "Union" not in text and text.count("Sort [") < before
+
+
+def test_exact_road_conditions_are_not_part_of_the_join(spark, capsys, monkeypatch):
+    """They made the join's method too long to be compiled; pairs are written first and judged once."""
+    from geoloom.operators import composition as K
+
+    made = []
+    monkeypatch.setattr(K, "written", lambda df: made.append(df) or written(df))
+    long = F.lit(0).cast("long")
+    boxes = spark.range(4).select("id", (F.col("id") * 1000).alias("x0"), long.alias("y0"), (F.col("id") * 1000 + 400).alias("x1"), (long + 400).alias("y1"), F.lit(0.0).alias("base"), F.lit(3.0).alias("top"))
+    segs = spark.range(4).select(F.col("id").alias("road"), long.alias("seq"), (F.col("id") * 1000).alias("x"), (F.col("id") * 200).alias("y"), (F.col("id") * 1000 + 300).alias("x2"), (F.col("id") * 200).alias("y2"), F.lit(0.0).alias("z"), F.lit(0.0).alias("z2"), F.lit(100).alias("width"), F.lit("ground").alias("kind"))
+    found = K.road_conflicts(boxes, segs, 500)
+    assert len(made) == 2 and "SQRT" not in plan(made[0], capsys) and "POWER" not in plan(made[0], capsys)
+    assert "Generate" not in plan(found, capsys) and sorted(r.id for r in found.collect()) == [0, 1, 2]
