@@ -73,7 +73,9 @@ def crossings_along(segs: DataFrame, cell: int) -> DataFrame:
 
     segs are (id, seq, x, y, x2, y2, at, len).
     """
-    pairs = segment_pairs(segs, segs, cell).where("a_id < b_id")
+    # written, so that the long exact conditions are not part of the join's, and run for pairs whose boxes meet
+    needed = [f"{s}_{k}" for s in "ab" for k in ("id", "seq", "x", "y", "x2", "y2", "at", "len")]
+    pairs = written(segment_pairs(segs, segs, cell).where("a_id < b_id").select(*needed))
     c = {f"{s}_{k}": F.col(f"{s}_{k}").cast("double") for s in "ab" for k in ("x", "y", "x2", "y2")}
     ax, ay, ax2, ay2, bx, by, bx2, by2 = c.values()
     cross = segments_cross(*c.values())
