@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from geoloom.functions.geometry import seeded
 from geoloom.functions.rules import LANE_MARGIN, LANE_METRES, MOST_LANES
-from geoloom.operators.graph import components
+from geoloom.operators.graph import components, written
 
 WIDEST_LANE = 4.5
 
@@ -36,6 +36,7 @@ def fitted_lanes(roads: DataFrame, gaps: DataFrame, clearance: float) -> DataFra
 
 def unshared(crossings: DataFrame, incidence: DataFrame) -> DataFrame:
     """Crossings (a_id, b_id, …) of ways that have no node in common (incidence: id, ref)."""
+    crossings = written(crossings)  # found once, not again for what it is compared with
     pairs = crossings.select("a_id", "b_id").distinct()
     a = incidence.select(F.col("id").alias("_ia"), F.col("ref").alias("_ra")).distinct()
     b = incidence.select(F.col("id").alias("_ib"), F.col("ref").alias("_rb")).distinct()
