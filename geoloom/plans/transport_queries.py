@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geoloom.operators import transport as X
+from geoloom.operators.graph import written
 from geoloom.plans.base import WAY_NODES, near_lines, query
 
 #: Rules of each kind of segment: (kind of seven, layer, from, to, value). Kind 3 has a gap, kind 5 an overlap, kind 6 no surface. Fixed values of the fixture.
@@ -17,10 +18,11 @@ RULES += [(k, "surface", 0.0, 1.0, 1) for k in (0, 3, 5)] + [(k, "surface", lo,
 
 
 def _inputs(spark: SparkSession, d: str) -> tuple[DataFrame, ...]:
-    vertices = near_lines(spark, d).select("id", "seq", "x", "y")
-    at = X.fractions(vertices)
+    # numbered and measured once; all that follows reads them
+    at = written(X.fractions(near_lines(spark, d).select("id", "seq", "x", "y")))
+    vertices = at.drop("at")
     last = at.groupBy(F.col("id").alias("_l")).agg(F.max("seq").alias("last"))
-    tied = at.join(last, F.col("id") == F.col("_l")).where("seq = 1 OR seq = last OR seq % 3 = 0").where("at IS NOT NULL")
+    tied = written(at.join(last, F.col("id") == F.col("_l")).where("seq = 1 OR seq = last OR seq % 3 = 0").where("at IS NOT NULL"))
     name = F.col("id").cast("bigint") * 10 + F.col("seq")
     refs = tied.select("id", name.alias("connector"), "at")
     # one connector in 400 is missing, one in 300 lies beside the line
