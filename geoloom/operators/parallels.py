@@ -23,10 +23,15 @@ def _headed(segs: DataFrame) -> DataFrame:
     return segs.where(size > 0).withColumns({"hx": dx / size, "hy": dy / size})
 
 
+def _places(at: Column, size: Column, spacing: float) -> tuple[Column, Column]:
+    """First and last multiple of the spacing on a piece of a line; none if the last is smaller."""
+    return F.ceil(at / spacing), F.ceil((at + size) / spacing) - 1
+
+
 def samples(segs: DataFrame, spacing: float) -> DataFrame:
     """Points (id, k, x, y, hx, hy, n, …) at k times the spacing along each line, with its heading there and how many it has; lines without length have none."""
     own = _headed(arc_length(segs).where("len > 0"))
-    first, last = F.ceil(F.col("at") / spacing), F.ceil((F.col("at") + F.col("len")) / spacing) - 1
+    first, last = _places(F.col("at"), F.col("len"), spacing)
     each = own.where(first <= last).withColumns({"n": F.ceil(F.col("total") / spacing), "k": F.explode(F.sequence(first, last))})
     t = (F.col("k") * spacing - F.col("at")) / F.col("len")
     place = {c: F.col(c) + t * (F.col(f"{c}2") - F.col(c)) for c in ("x", "y")}
@@ -46,8 +51,16 @@ def _dot() -> Column:
 
 def match_carriageways(roads: DataFrame, spacing: float, least: float, most: int) -> DataFrame:
     """(id, k, partner, gap): for each sample of a road the nearest other road of its ``kind`` that runs the other way, least to most away; ties go to the smaller id."""
-    near = _near(samples(roads, spacing), roads, most)
-    found = near.where((F.col("a_id") != F.col("b_id")) & (F.col("a_kind") == F.col("b_kind")) & (_dot() < -PARALLEL) & (F.col("gap") >= least))
+    # segments meet first, once for all of their samples; a sample is made for a segment that may be its partner
+    own = _headed(arc_length(roads).where("len > 0")).select("id", "kind", "x", "y", "x2", "y2", "hx", "hy", "at", "len")
+    pairs = box_join(boxed_segments(own), boxed_segments(own.drop("at", "len")), max(1, most), most, ("kind", "kind"))
+    pairs = pairs.where((F.col("a_id") != F.col("b_id")) & (_dot() < -PARALLEL))
+    first, last = _places(F.col("a_at"), F.col("a_len"), spacing)
+    each = pairs.where(first <= last).withColumn("a_k", F.explode(F.sequence(first, last)))
+    t = (F.col("a_k") * spacing - F.col("a_at")) / F.col("a_len")
+    x, y = (F.col(f"a_{c}") + t * (F.col(f"a_{c}2") - F.col(f"a_{c}")) for c in ("x", "y"))
+    each = each.withColumn("gap", F.sqrt(point_segment_distance2(x, y, *[F.col(f"b_{c}") for c in ("x", "y", "x2", "y2")])))
+    found = each.where((F.col("gap") >= least) & (F.col("gap") <= most))
     best = found.groupBy(F.col("a_id").alias("id"), F.col("a_k").alias("k")).agg(F.min(F.struct("gap", F.col("b_id").alias("partner"))).alias("m"))
     return best.select("id", "k", "m.partner", "m.gap")
 
