@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geoloom.operators.spatial import grown
+from geoloom.operators.spatial import MADE, grown
 
 #: Bytes of a table's packed files up to which it may be broadcast.
 SMALL = 1 << 20
 
+#: Most neighbours that a route's list holds.
+LIST = 1024
+
 
 def _shared(df: DataFrame) -> str:
     """The folder that driver and executors share: that of the session's checkpoints."""
@@ -125,12 +129,12 @@ def two_arm_joins(edges: DataFrame) -> DataFrame:
 
 def _levels(both: DataFrame, starts: DataFrame, rounds: int) -> DataFrame:
     """(start, node, hops): the nodes within ``rounds`` edges of each start; each round joins the newest level alone."""
-    front = _kept(starts.select("start", F.col("start").alias("node")).distinct().withColumn("hops", F.lit(0)))
+    front = written(starts.select("start", F.col("start").alias("node")).distinct().withColumn("hops", F.lit(0)))
     seen = front
     for hop in range(1, rounds + 1):
         step = both.join(front, both.u == front.node).select("start", F.col("v").alias("node")).distinct()
         old = seen.select(F.col("start").alias("_s"), F.col("node").alias("_n"))
-        front = _kept(step.join(old, (F.col("start") == F.col("_s")) & (F.col("node") == F.col("_n")), "left_anti").withColumn("hops", F.lit(hop)))
+        front = written(step.join(old, (F.col("start") == F.col("_s")) & (F.col("node") == F.col("_n")), "left_anti").withColumn("hops", F.lit(hop)))
         if front.isEmpty():
             break
         seen = seen.unionByName(front)
@@ -143,10 +147,27 @@ def route(edges: DataFrame, pairs: DataFrame, most: int) -> DataFrame:
     Both ends walk half of the way and meet, so a pair costs twice the nodes within ``most`` / 2 edges
     and not those within ``most``. Pairs with a null end have no route.
     """
-    both = _kept(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select("b", "a")).distinct())
-    wanted = _kept(pairs.select("start", "goal").where("start IS NOT NULL AND goal IS NOT NULL").distinct())
-    out = _levels(both, wanted, (most + 1) // 2).withColumnRenamed("start", "_from")
-    back = _levels(both, wanted.select(F.col("goal").alias("start")), most // 2).select(F.col("start").alias("_to"), F.col("node").alias("_at"), F.col("hops").alias("_more"))
-    half = wanted.join(out, F.col("start") == F.col("_from"))
-    met = half.join(back, (F.col("goal") == F.col("_to")) & (F.col("node") == F.col("_at")))
-    return met.groupBy("start", "goal").agg(F.min(F.col("hops") + F.col("_more")).alias("hops"))
+    both = written(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select("b", "a")).distinct())
+    wanted = written(pairs.select("start", "goal").where("start IS NOT NULL AND goal IS NOT NULL").distinct().withColumn("pair", F.monotonically_increasing_id()))
+    # the last half-level is by far the largest: it goes once, to its pairs, as lists of neighbours. Lists of nodes with very many are cut by hash.
+    degree = written(both.groupBy(F.col("u").alias("_u")).agg(F.count(F.lit(1)).alias("n")))
+    top = degree.agg(F.max("n")).first()[0] or 0
+    cut = lambda c: F.pmod(F.hash(c), F.lit(math.ceil(top / LIST) or 1))
+    lists = written(both.groupBy("u", cut("v").alias("cut")).agg(F.array_sort(F.collect_list("v")).alias("nodes")))
+    ends, made = [], 0
+    for end, rounds in (("start", (most + 1) // 2), ("goal", most // 2)):
+        seen = _levels(both, wanted.select(F.col(end).alias("start")), max(0, rounds - 1))
+        at = wanted.select("pair", F.col(end).alias("_end")).join(seen, F.col("_end") == F.col("start")).select("pair", "node", "hops")
+        at = written(at)
+        rows = [at.select("pair", cut("node").alias("cut"), F.array("node").alias("nodes"), "hops")]
+        if rounds:
+            front = at.where(F.col("hops") == rounds - 1)
+            made += front.join(degree, F.col("node") == F.col("_u")).agg(F.sum("n")).first()[0] or 0
+            last = front.join(lists, F.col("node") == F.col("u"))
+            rows.append(last.select("pair", "cut", "nodes", F.lit(rounds).alias("hops")))
+        ends += [r.withColumn("back", F.lit(end == "goal")) for r in rows]
+    # a node's rows of both ends are in one partition, where the lists are opened; as many partitions as the rows in them ask for
+    dealt = reduce(DataFrame.union, ends).repartition(max(1, math.ceil(made / MADE)), "pair", "cut").select("pair", "cut", F.explode("nodes").alias("node"), "hops", "back")
+    met = dealt.groupBy("pair", "cut", "node").agg((F.min(F.when(~F.col("back"), F.col("hops"))) + F.min(F.when(F.col("back"), F.col("hops")))).alias("hops"))
+    least = met.where("hops IS NOT NULL").groupBy("pair").agg(F.min("hops").alias("hops"))
+    return least.join(wanted.withColumnRenamed("pair", "_pair"), F.col("pair") == F.col("_pair")).select("start", "goal", "hops")

@@ -90,3 +90,32 @@ def test_exact_road_conditions_are_not_part_of_the_join(spark, capsys, monkeypat
     found = K.road_conflicts(boxes, segs, 500)
     assert len(made) == 2 and "SQRT" not in plan(made[0], capsys) and "POWER" not in plan(made[0], capsys)
     assert "Generate" not in plan(found, capsys) and sorted(r.id for r in found.collect()) == [0, 1, 2]
+
+
+def test_routes_are_the_same_with_cut_lists(spark, monkeypatch):
+    """Lists of a hub's neighbours are cut by hash; each half of a way may be empty."""
+    from geoloom.operators import graph as GR
+
+    edges = spark.createDataFrame([(0, n) for n in range(1, 30)] + [(29, 30), (30, 31), (31, 32)], "a long, b long")
+    pairs = spark.createDataFrame([(1, 2), (1, 31), (1, 32), (5, 5), (0, 7), (2, None)], "start long, goal long")
+    for size in (1024, 4):
+        monkeypatch.setattr(GR, "LIST", size)
+        assert sorted(tuple(r) for r in GR.route(edges, pairs, 4).collect()) == [(0, 7, 1), (1, 2, 2), (1, 31, 4), (5, 5, 0)]
+    assert sorted(tuple(r) for r in GR.route(edges, pairs, 1).collect()) == [(0, 7, 1), (5, 5, 0)]
+
+
+def test_carriageways_are_matched_by_segments(spark, capsys):
+    """Samples are made for pairs of segments; they are not dealt to cells one by one."""
+    from geoloom.operators.parallels import match_carriageways
+
+    segs = spark.createDataFrame([(1, 0, 0, 0, 400, 0, 0), (2, 0, 400, 100, 0, 100, 0), (3, 0, 0, 60, 400, 60, 1)], "id long, seq long, x long, y long, x2 long, y2 long, kind long")
+    found = match_carriageways(segs, 50.0, 50.0, 700)
+    text = plan(found, capsys)
+    assert text.rindex("SortMergeJoin") > text.index("sequence(") and {(r.id, r.partner, r.gap) for r in found.collect()} == {(1, 2, 100.0), (2, 1, 100.0)} and found.count() == 16
+
+
+@pytest.mark.parametrize("name", ["pip08_graph_faults", "gra10_level_ways"])
+def test_inputs_used_again_are_written(spark, capsys, name):
+    """Ways are numbered, and crossings found, once and not for each use."""
+    text = plan(catalog.QUERIES[name](spark, SF), capsys)
+    assert "LAG" not in text.upper() and text.count("lineitem.parquet") < 4 and "signum" not in text.lower()
