@@ -71,22 +71,34 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 def closure(seeds: DataFrame, incidence: DataFrame, expandable: DataFrame) -> DataFrame:
     """(way, hop): ways reached from seed ways over shared nodes.
 
-    incidence is (way, node). Only expandable ways are walked through; others are reached, not left.
-    Each round joins the newest ways only, is kept by itself and ends when none is new; rounds are put together sixteen at a time.
+    incidence is (way, node). Only expandable ways are walked through; others are reached, not left, so rounds go over the expandable
+    ways' incidence alone: each joins the newest ways to nodes not met before and these to new ways, and ends when none is new.
+    All other ways take their hop from their nodes, in one pass over the whole incidence at the end.
     """
-    front, hop = _kept(seeds.select("way").distinct().withColumn("hop", F.lit(0))), 0
-    rounds = [front]
-    inner = expandable.select(F.col("way").alias("_inner"))
+    first = grown(written(seeds.select("way").distinct()))
+    known = grown(expandable.select(F.col("way").alias("_inner")))
+    inner = grown(written(incidence.join(known, F.col("way") == F.col("_inner"), "left_semi").select("way", "node")))
+    front = grown(written(first.join(known, F.col("way") == F.col("_inner"), "left_semi")))
+    walked, met, hop = [front], [], 0
     while True:
-        hop += 1
-        at = front.join(inner, F.col("way") == F.col("_inner"), "left_semi").select("way")
-        nodes = incidence.join(at.withColumnRenamed("way", "_at"), F.col("way") == F.col("_at"), "left_semi").select(F.col("node").alias("_node")).distinct()
-        near = incidence.join(nodes, F.col("node") == F.col("_node"), "left_semi").select("way").distinct()
-        reached = reduce(DataFrame.unionByName, rounds)
-        front = _kept(near.join(reached.select(F.col("way").alias("_old")), F.col("way") == F.col("_old"), "left_anti").withColumn("hop", F.lit(hop)))
-        if front.isEmpty():
-            return reached
-        rounds = [_kept(reached.unionByName(front))] if len(rounds) == 16 else [*rounds, front]
+        step = inner.join(front.select(F.col("way").alias("_at")), F.col("way") == F.col("_at"), "left_semi").select(F.col("node").alias("at")).where("at IS NOT NULL").distinct()
+        if met:
+            step = step.join(grown(reduce(DataFrame.unionByName, met).select(F.col("at").alias("_old"))), F.col("at") == F.col("_old"), "left_anti")
+        nodes = grown(written(step.withColumn("hop", F.lit(hop))))
+        if nodes.isEmpty():
+            break
+        near = inner.join(nodes, F.col("node") == F.col("at"), "left_semi").select("way").distinct()
+        front = grown(written(near.join(grown(reduce(DataFrame.unionByName, walked).select(F.col("way").alias("_old"))), F.col("way") == F.col("_old"), "left_anti")))
+        met, walked, hop = _joined(met, nodes), _joined(walked, front), hop + 1
+    rounds = [first.withColumn("hop", F.lit(0))]
+    if met:
+        rounds.append(incidence.join(grown(reduce(DataFrame.unionByName, met)), F.col("node") == F.col("at")).select("way", (F.col("hop") + 1).alias("hop")))
+    return reduce(DataFrame.unionByName, rounds).groupBy("way").agg(F.min("hop").alias("hop"))
+
+
+def _joined(rounds: list[DataFrame], new: DataFrame) -> list[DataFrame]:
+    """The tables of all rounds, put together sixteen at a time."""
+    return [written(reduce(DataFrame.unionByName, [*rounds, new]))] if len(rounds) == 16 else [*rounds, new]
 
 
 def distances(edges: DataFrame, sources: DataFrame, reach: float) -> DataFrame:
