@@ -40,14 +40,24 @@ def written(df: DataFrame) -> DataFrame:
     """df as a table in the shared folder. Unlike a checkpoint it has statistics, so small sides are broadcast,
     and no constraints, which double with each round of a loop that joins a table with itself. Files are packed, so
     a table of over ``SMALL`` bytes of them is never sent whole through the driver."""
-    path = f"{_shared(df)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    path, table = _stored(df)
     sc = df.sparkSession.sparkContext
     at = sc._jvm.org.apache.hadoop.fs.Path(path)
     return table if at.getFileSystem(sc._jsc.hadoopConfiguration()).getContentSummary(at).getLength() <= SMALL else grown(table)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """As ``written``, for a table that may be large but is joined with ``written`` tables alone: how these are joined is left to their size.
+    A large table's hint would sort and merge by keys that few rows have, so that all rows of one key were one task's."""
+    return _stored(df)[1]
+
+
+def _stored(df: DataFrame) -> tuple[str, DataFrame]:
+    path = f"{_shared(df)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return path, df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the smallest node reachable over undirected edges, for every node of an edge.
 
@@ -101,6 +111,31 @@ def _joined(rounds: list[DataFrame], new: DataFrame) -> list[DataFrame]:
     return [written(reduce(DataFrame.unionByName, [*rounds, new]))] if len(rounds) == 16 else [*rounds, new]
 
 
+def cycle_lows(links: DataFrame, rounds: int = 5) -> DataFrame:
+    """(dart, low, dist): one dart of each cycle, the same for all its darts, and the distance on to it (0 for itself).
+
+    links are (dart, next, dist): every dart's successor on its cycle and the distance to it, with darts as longs. ``rounds`` doublings give every dart the
+    least of the 2 ** ``rounds`` darts ahead, in the order of a hash. Only darts that are some dart's least, in a long cycle about two of
+    2 ** ``rounds``, go on as a list of their own, and the others follow theirs; so all rounds together cost little more than the first ``rounds``.
+    """
+    # a path of leasts may pass over a dart, but never over the least of its cycle; where that finds itself, its windows went all around
+    at = links.select("dart", "next", F.col("next").alias("low"), "dist", F.col("dist").alias("total"))
+    mine, theirs = F.xxhash64("low"), F.xxhash64("_low")
+    first = (mine < theirs) | ((mine == theirs) & (F.col("low") <= F.col("_low")))
+    for _ in range(rounds):
+        there = at.select(*[F.col(c).alias(f"_{c}") for c in at.columns])
+        met = at.join(there, F.col("next") == F.col("_dart"))
+        low, dist = F.when(first, F.col("low")).otherwise(F.col("_low")), F.when(first, F.col("dist")).otherwise(F.col("total") + F.col("_dist"))
+        at = written(met.select("dart", F.col("_next").alias("next"), low.alias("low"), dist.alias("dist"), (F.col("total") + F.col("_total")).alias("total")))
+    lows = at.select(F.col("low").alias("_low")).distinct()
+    upper = written(at.join(lows, F.col("dart") == F.col("_low"), "left_semi").select("dart", F.col("low").alias("next"), "dist"))
+    if upper.where("next <> dart").isEmpty():
+        return at.select("dart", "low", F.when(F.col("dart") == F.col("low"), 0).otherwise(F.col("dist")).alias("dist"))
+    above = cycle_lows(upper, rounds).select(*[F.col(c).alias(f"_{c}") for c in ("dart", "low", "dist")])
+    final = at.join(above, F.col("low") == F.col("_dart"))
+    return written(final.select("dart", F.col("_low").alias("low"), F.when(F.col("dart") == F.col("_low"), 0).otherwise(F.col("dist") + F.col("_dist")).alias("dist")))
+
+
 def distances(edges: DataFrame, sources: DataFrame, reach: float) -> DataFrame:
     """(node, distance): least length over undirected edges (a, b, length) from any source, up to ``reach``.
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geoloom.functions.geometry import on_segment, segments_cross
-from geoloom.operators.graph import written
+from geoloom.operators.graph import cycle_lows, stored, written
 from geoloom.operators.spatial import points_in_polygons, segment_pairs
 
 #: Tags of a member way that must agree with its relation's. Fixed values of the data model.
@@ -18,49 +18,31 @@ SHARED_TAGS = ("building", "building:part", "height", "landuse", "natural", "hig
 
 
 def ring_order(ways: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(group, way, ring, offset, backward) and open groups (group, node).
+    """(group, way, size, ring, offset, backward) and open groups (group, node).
 
     ways are (group, way, a, b, size): open ways between end nodes, ``size`` vertices up to the last one. In a
     group every end node must occur exactly twice; groups with others are open and get no rings. A ring is named by its smallest
     way, which is walked forward and has offset 0; ``offset`` is how many vertices of the ring come before a way.
 
-    Each way is two darts, one a direction. A dart's successor starts where it ends, so a ring is two cycles
-    of darts. Doubling the pointers finds a cycle's smallest dart, then the distance to it: as many rounds as the longest
-    ring's number of ways has bits.
+    Each way is two darts, one a direction: twice the way's number, and that plus one. A dart's successor starts where it ends, so a ring is two cycles
+    of darts. ``cycle_lows`` gives every dart its distance to one dart of its cycle, from which it is turned to the smallest way.
     """
-    ports = ways.select("group", "way", F.posexplode(F.array("a", "b")).alias("side", "node"))
-    ends = ports.groupBy("group", "node").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("way", "side")).alias("p"), F.max(F.struct("way", "side")).alias("q"))
-    ends = written(ends)
+    own = written(ways.select("group", "way", "a", "b", F.col("size").cast("long").alias("size")).withColumn("num", F.monotonically_increasing_id()))
+    ports = own.select("group", "num", "size", F.posexplode(F.array("a", "b")).alias("side", "node")).select("group", "node", "size", (F.col("num") * 2 + F.col("side")).alias("port"))
+    sizes = [F.min_by("size", "port").alias("p_size"), F.max_by("size", "port").alias("q_size")]
+    ends = written(ports.groupBy("group", "node").agg(F.count(F.lit(1)).alias("n"), F.min("port").alias("p"), F.max("port").alias("q"), *sizes))
     open_ = ends.where("n <> 2").select("group", "node")
     bad = open_.select(F.col("group").alias("_bad")).distinct()
     sound = ends.where("n = 2").join(bad, F.col("group") == F.col("_bad"), "left_anti")
     # who leaves through one port enters through the other: dart side 0 runs from a to b, side 1 back
-    steps = sound.select("group", F.explode(F.array(F.struct(F.col("p").alias("out"), F.col("q").alias("into")), F.struct(F.col("q").alias("out"), F.col("p").alias("into")))).alias("s"))
-    steps = steps.select("group", F.struct(F.col("s.out.way").alias("way"), (1 - F.col("s.out.side")).alias("side")).alias("dart"), F.col("s.into").alias("next"))
-    links = written(steps)
-    jumps = links.withColumn("low", F.col("dart"))
-    while True:
-        there = jumps.select(F.col("group").alias("_g"), F.col("dart").alias("_d"), F.col("next").alias("_next"), F.col("low").alias("_low"))
-        met = jumps.join(there, (F.col("group") == F.col("_g")) & (F.col("next") == F.col("_d")))
-        jumps = written(met.select("group", "dart", F.col("_next").alias("next"), F.least("low", "_low").alias("low"), (F.col("_low") < F.col("low")).alias("moved")))
-        if jumps.where("moved").isEmpty():
-            break
-        jumps = jumps.drop("moved")
-    # of a ring's two cycles the one that walks its smallest way forward; it is cut before that dart
-    one = jumps.where("low.side = 0").select("group", "dart", F.col("low.way").alias("ring"))
-    sizes = ways.select(F.col("group").alias("_g"), F.col("way").alias("_w"), "size")
-    cut = one.join(links.select(F.col("group").alias("_lg"), F.col("dart").alias("_ld"), "next"), (F.col("group") == F.col("_lg")) & (F.col("dart") == F.col("_ld")))
-    cut = cut.join(sizes, (F.col("group") == F.col("_g")) & (F.col("dart.way") == F.col("_w")))
-    last = (F.col("next.way") == F.col("ring")) & (F.col("next.side") == 0)
-    ranks = written(cut.select("group", "ring", "dart", F.when(~last, F.col("next")).alias("next"), F.col("size").cast("long").alias("left")))
-    while not ranks.where("next IS NOT NULL").isEmpty():
-        there = ranks.select(F.col("group").alias("_g"), F.col("dart").alias("_d"), F.col("next").alias("_next"), F.col("left").alias("_left"))
-        met = ranks.join(there, (F.col("group") == F.col("_g")) & (F.col("next") == F.col("_d")), "left")
-        ranks = written(met.select("group", "ring", "dart", F.col("_next").alias("next"), (F.col("left") + F.coalesce("_left", F.lit(0))).alias("left")))
-    # what is left from a dart on, of all that is left from the first dart on
-    whole = ranks.groupBy(F.col("group").alias("_g"), F.col("ring").alias("_r")).agg(F.max("left").alias("all"))
-    both = ranks.join(whole, (F.col("group") == F.col("_g")) & (F.col("ring") == F.col("_r")))
-    return both.select("group", F.col("dart.way").alias("way"), "ring", (F.col("all") - F.col("left")).alias("offset"), (F.col("dart.side") == 1).alias("backward")), open_
+    step = lambda out, into: F.struct(F.col(out).bitwiseXOR(F.lit(1).cast("long")).alias("dart"), F.col(into).alias("next"), F.col(f"{out}_size").alias("dist"))
+    links = written(sound.select(F.explode(F.array(step("p", "q"), step("q", "p"))).alias("s")).select("s.*"))
+    found = cycle_lows(links).select("low", "dist", F.shiftright("dart", 1).alias("_num"), (F.col("dart") % 2).alias("side"))
+    at = stored(found.join(own, F.col("_num") == F.col("num")).select("group", "way", "size", "side", "low", "dist"))
+    rings = at.groupBy(F.col("low").alias("_low")).agg(F.min("way").alias("ring"), F.min_by("side", "way").alias("_side"), F.min_by("dist", "way").alias("_dist"), F.sum("size").alias("_all"))
+    # of a ring's two cycles the one that walks its smallest way forward
+    one = at.join(written(rings.where("_side = 0").drop("_side")), F.col("low") == F.col("_low"))
+    return one.select("group", "way", "size", "ring", F.pmod(F.col("_dist") - F.col("dist"), F.col("_all")).alias("offset"), (F.col("side") == 1).alias("backward")), open_
 
 
 def ring_vertices(members: DataFrame, way_nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -70,27 +52,28 @@ def ring_vertices(members: DataFrame, way_nodes: DataFrame) -> tuple[DataFrame,
     and go on to the smaller of its neighbours. Faults, which cost the group all its rings: ``open`` (an end that isn't shared by exactly two ways),
     ``short`` (a way of one node or a ring of less than three), ``repeated node`` (in a ring).
     """
-    used = way_nodes.join(members.select(F.col("way").alias("_used")).distinct(), F.col("id") == F.col("_used"), "left_semi")
+    used = written(way_nodes.join(members.select(F.col("way").alias("_used")).distinct(), F.col("id") == F.col("_used"), "left_semi").select("id", "seq", "ref"))
     shape = used.groupBy(F.col("id").alias("_id")).agg(F.min_by("ref", "seq").alias("a"), F.max_by("ref", "seq").alias("b"), (F.count(F.lit(1)) - 1).alias("size"))
     ways = written(members.select("group", "way").join(shape, F.col("way") == F.col("_id")).drop("_id"))
     closed, ends = ways.where("a = b AND size > 0"), ways.where("a <> b")
     order, open_ = ring_order(ends)
-    placed = order.unionByName(closed.select("group", "way", F.col("way").alias("ring"), F.lit(0).cast("long").alias("offset"), F.lit(False).alias("backward")))
-    sized = placed.join(shape.select("_id", "size"), F.col("way") == F.col("_id")).drop("_id")
-    at = sized.join(used, F.col("way") == F.col("id"))
+    placed = order.unionByName(closed.select("group", "way", "size", F.col("way").alias("ring"), F.lit(0).cast("long").alias("offset"), F.lit(False).alias("backward")))
+    at = placed.join(used, F.col("way") == F.col("id"))
     step = F.when(F.col("backward"), F.col("size") + 1 - F.col("seq")).otherwise(F.col("seq") - 1)
-    walked = written(at.where(step < F.col("size")).select("group", "ring", (F.col("offset") + step).alias("seq"), F.col("ref").alias("node")))
-    rings = walked.groupBy("group", "ring").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("node", "seq")).alias("low"))
+    walked = stored(at.where(step < F.col("size")).select("group", "ring", (F.col("offset") + step).alias("seq"), F.col("ref").alias("node")))
+    rings = written(walked.groupBy("group", "ring").agg(F.count(F.lit(1)).alias("n"), F.min_by("seq", "node").alias("_s")))
     twice = walked.groupBy("group", "ring", "node").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
     faults = [open_.select("group", F.lit("open").alias("fault")), ways.where("size < 1").select("group", F.lit("short").alias("fault")), rings.where("n < 3").select("group", F.lit("short").alias("fault")), twice.select("group", F.lit("repeated node").alias("fault"))]
-    fault = faults[0].union(faults[1]).union(faults[2]).union(faults[3]).distinct()
+    fault = written(faults[0].union(faults[1]).union(faults[2]).union(faults[3]).distinct())
     bad = fault.select(F.col("group").alias("_bad")).distinct()
-    sound = walked.join(bad, F.col("group") == F.col("_bad"), "left_anti")
-    start = rings.select(F.col("group").alias("_g"), F.col("ring").alias("_r"), "n", F.col("low.seq").alias("_s"))
-    turned = sound.join(start, (F.col("group") == F.col("_g")) & (F.col("ring") == F.col("_r"))).withColumn("seq", F.pmod(F.col("seq") - F.col("_s"), F.col("n"))).drop("_g", "_r", "_s")
-    sides = turned.where("seq = 1 OR seq = n - 1").groupBy(F.col("group").alias("_g"), F.col("ring").alias("_r")).agg((F.min_by("node", "seq") > F.max_by("node", "seq")).alias("_turn"))
-    final = turned.join(sides, (F.col("group") == F.col("_g")) & (F.col("ring") == F.col("_r")))
-    return final.select("group", "ring", F.when(F.col("_turn"), F.pmod(-F.col("seq"), F.col("n"))).otherwise(F.col("seq")).alias("seq"), "node"), fault
+    # rings are few or small: what is known of a ring goes to its vertices, not all of a ring's vertices to one task
+    same = (F.col("group") == F.col("_g")) & (F.col("ring") == F.col("_r"))
+    start = written(rings.join(bad, F.col("group") == F.col("_bad"), "left_anti").select(F.col("group").alias("_g"), F.col("ring").alias("_r"), "n", "_s"))
+    turned = walked.join(start, same).withColumn("seq", F.pmod(F.col("seq") - F.col("_s"), F.col("n")))
+    sides = turned.where("seq = 1 OR seq = n - 1").groupBy("_g", "_r", "n", "_s").agg((F.min_by("node", "seq") > F.max_by("node", "seq")).alias("_turn"))
+    seq = F.pmod(F.col("seq") - F.col("_s"), F.col("n"))
+    final = walked.join(written(sides), same)
+    return final.select("group", "ring", F.when(F.col("_turn"), F.pmod(-seq, F.col("n"))).otherwise(seq).alias("seq"), "node"), fault
 
 
 def ring_edges(rings: DataFrame, *keys: str) -> DataFrame:

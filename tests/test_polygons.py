@@ -2,6 +2,7 @@
 
 import random
 
+from geoloom.operators import graph as GR
 from geoloom.operators import polygons as G
 from geoloom.operators import spatial as P
 
@@ -81,6 +82,39 @@ def test_one_long_ring(spark):
     assert "Window" not in rings._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_darts_of_cycles_find_one_of_them(spark):
+    rng, links, place = random.Random(26), [], {}
+    for c, n in enumerate([1, 2, 3, 31, 32, 33, 700]):
+        darts, at = rng.sample(range(c * 1000, c * 1000 + 1000), n), 0
+        for i, d in enumerate(darts):
+            links.append((d, darts[(i + 1) % n], rng.randint(0, 9)))
+            place[d] = (c, at)
+            at += links[-1][2]
+    whole = {c: sum(k for d, _, k in links if place[d][0] == c) for c, _ in place.values()}
+    for rounds in (1, 5):  # one round a level takes many levels
+        got = GR.cycle_lows(spark.createDataFrame(links, "dart long, next long, dist long"), rounds).collect()
+        assert len(got) == len(links) and len({r.low for r in got}) == 7
+        for r in got:
+            (c, a), (low_c, b) = place[r.dart], place[r.low]
+            assert c == low_c and (r.dist - (b - a)) % max(1, whole[c]) == 0 and 0 <= r.dist <= whole[c] and (r.dart != r.low or r.dist == 0)
+
+
+def test_long_rings_are_not_written_whole_each_round(spark, monkeypatch):
+    """What is written for a ring is some rows for each of its ways, not some for each round of each way."""
+    n, rows, real = 2000, [], GR.written
+
+    def counted(df):
+        table = real(df)
+        rows.append(table.count())
+        return table
+
+    monkeypatch.setattr(GR, "written", counted)
+    monkeypatch.setattr(G, "written", counted)
+    ways = [(1, i * 7919 % 10007, i, (i + 1) % n, 1) for i in range(n)]
+    order, _ = G.ring_order(spark.createDataFrame(ways, "group long, way long, a long, b long, size long"))
+    assert {(r.way, r.offset) for r in order.collect()} == {(i * 7919 % 10007, i) for i in range(n)} and sum(rows) < 25 * n
+
+
 def square(node, x, y, half, way):
     corners = [(x - half, y - half), (x + half, y - half), (x + half, y + half), (x - half, y + half)]
     nodes = [(node + i, cx, cy) for i, (cx, cy) in enumerate(corners)]
