@@ -54,15 +54,16 @@ def connecting(roads: DataFrame, painted: DataFrame) -> DataFrame:
     What is left falls into connected parts. Painted roads between these are pruned at their dead ends, round by round; a connected
     group of what remains that touches two parts or more is restored.
     """
-    cut = lambda c, end: F.when(F.col(c).isNotNull(), F.concat(F.lit("n"), F.col(c).cast("string"))).otherwise(F.concat(F.lit(end), F.col("road").cast("string")))
-    named = roads.select("road", cut("a", "x").alias("a"), cut("b", "y").alias("b"))
     chosen = painted.select(F.col("road").alias("_p")).distinct()
-    left = named.join(chosen, F.col("road") == F.col("_p"), "left_anti")
-    part = written(components(left.select("a", "b")))
-    known = part.select(F.col("node").alias("_n"), F.concat(F.lit("part "), F.col("component")).alias("_part"))
-    edges = named.join(chosen, F.col("road") == F.col("_p"), "left_semi")
-    for c in ("a", "b"):
-        edges = edges.join(known, F.col(c) == F.col("_n"), "left").withColumn(c, F.coalesce("_part", c)).drop("_n", "_part")
+    flagged = written(roads.select("road", "a", "b").join(chosen, F.col("road") == F.col("_p"), "left").select("road", "a", "b", F.col("_p").isNotNull().alias("painted")))
+    # nothing else meets at a cut end, so a road that stays is a loop at its other end
+    left = flagged.where("NOT painted").select(F.coalesce("a", "b").alias("a"), F.coalesce("b", "a").alias("b"))
+    part = written(components(left))
+    known = part.select(F.col("node").alias("_n"), F.concat(F.lit("part "), F.col("component").cast("string")).alias("_part"))
+    edges = flagged.where("painted").drop("painted")
+    for c, end in (("a", "x"), ("b", "y")):
+        name = F.coalesce("_part", F.concat(F.lit("n"), F.col(c).cast("string")), F.concat(F.lit(end), F.col("road").cast("string")))
+        edges = edges.join(known, F.col(c) == F.col("_n"), "left").withColumn(c, name).drop("_n", "_part")
     edges = written(edges)
     while True:
         ends = edges.select("road", F.explode(F.array("a", "b")).alias("node")).where("NOT startswith(node, 'part ')")
@@ -82,9 +83,11 @@ def paint_service(roads: DataFrame) -> DataFrame:
 
     roads have also ``structural``: roads off the ground, which connect but are never painted. The surface is the road's own, else dirt for tracks and asphalt for others.
     """
+    roads = written(roads)  # each step reads them again
     free = "driving AND NOT coalesce(fixed, false)"
     always = roads.where(f"{free} AND ((highway = 'service' AND service IN ({', '.join(map(repr, PAINTED_SERVICE))}) AND NOT (a IS NULL AND b IS NULL)) OR highway = 'track')").select("road")
     painted = written(always.union(stub_paths(roads)).distinct())
     stays = connecting(roads.where("driving OR structural"), painted).withColumnRenamed("road", "_stays")
-    final = roads.join(painted.withColumnRenamed("road", "_p"), F.col("road") == F.col("_p"), "left_semi").join(stays, F.col("road") == F.col("_stays"), "left_anti")
+    gone = painted.join(stays, F.col("road") == F.col("_stays"), "left_anti").withColumnRenamed("road", "_p")
+    final = roads.join(gone, F.col("road") == F.col("_p"), "left_semi")
     return final.select("road", F.col("highway").alias("kind"), F.coalesce("surface", F.when(F.col("highway") == "track", "dirt").otherwise("asphalt")).alias("surface"))
