@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from geoloom.functions.geometry import point_segment_distance2
 from geoloom.operators.graph import written
 from geoloom.operators.sequences import arc_length
-from geoloom.operators.spatial import box_join, boxed_points, boxed_segments
+from geoloom.operators.spatial import box_join, boxed_segments, once
 
 PARALLEL = 0.9
 
@@ -38,30 +38,41 @@ def samples(segs: DataFrame, spacing: float) -> DataFrame:
     return each.withColumns(place).drop("seq", "x2", "y2", "len", "at", "total", "fraction")
 
 
-def _near(points: DataFrame, segs: DataFrame, reach: int) -> DataFrame:
-    """Samples a with the segments b within reach of them, and ``gap``, the distance."""
-    pairs = box_join(boxed_points(points), boxed_segments(_headed(segs)), max(1, reach), reach)
-    d2 = point_segment_distance2(*[F.col(c) for c in ("a_x", "a_y", "b_x", "b_y", "b_x2", "b_y2")])
-    return pairs.withColumn("gap", F.sqrt(d2)).where(F.col("gap") <= reach)
-
-
 def _dot() -> Column:
     return F.col("a_hx") * F.col("b_hx") + F.col("a_hy") * F.col("b_hy")
 
 
+def _met(lines: DataFrame, segs: DataFrame, spacing: float, reach: int, same: tuple[str, str] | None = None) -> DataFrame:
+    """Segments a of lines, with the samples first to last of ``n`` on them, and the segments b within reach of them along both axes."""
+    own = _headed(arc_length(lines).where("len > 0"))
+    first, last = _places(F.col("at"), F.col("len"), spacing)
+    own = own.withColumns({"n": F.ceil(F.col("total") / spacing), "first": first, "last": last}).where("first <= last").drop("seq", "total", "fraction")
+    pairs = box_join(boxed_segments(own), boxed_segments(_headed(segs)), max(1, reach), reach, same)
+    return pairs.drop(*[f"{p}_{c}{n}" for p in "ab" for c in "xy" for n in "01"])
+
+
+def _sampled(pairs: DataFrame, spacing: float, reach: int) -> DataFrame:
+    """Samples a (a_k, a_x, a_y) of pairs of segments (as ``_met`` gives them) with ``gap``, how far segment b is from them, up to reach."""
+    # a sample within reach of a point of b is within reach of its place along a, too; one unit more is for rounding
+    along = [(F.col(f"b_x{e}") - F.col("a_x")) * F.col("a_hx") + (F.col(f"b_y{e}") - F.col("a_y")) * F.col("a_hy") + F.col("a_at") for e in ("", "2")]
+    low, high = F.ceil((F.least(*along) - (reach + 1)) / spacing), F.floor((F.greatest(*along) + (reach + 1)) / spacing)
+    each = once(pairs, _k=F.struct(F.greatest("a_first", low).alias("low"), F.least("a_last", high).alias("high"))).where("_k.low <= _k.high")
+    each = each.withColumn("a_k", F.explode(F.sequence("_k.low", "_k.high")))
+    t = (F.col("a_k") * spacing - F.col("a_at")) / F.col("a_len")
+    place = F.struct(*[(F.col(f"a_{c}") + t * (F.col(f"a_{c}2") - F.col(f"a_{c}"))).alias(c) for c in "xy"])
+    gap = F.sqrt(point_segment_distance2(F.col("_p.x"), F.col("_p.y"), *[F.col(f"b_{c}") for c in ("x", "y", "x2", "y2")]))
+    each = once(each, _p=place, gap=gap).where(F.col("gap") <= reach)
+    return each.withColumns({"a_x": F.col("_p.x"), "a_y": F.col("_p.y")}).drop("_k", "_p", "a_x2", "a_y2", "a_at", "a_len", "a_first", "a_last")
+
+
 def match_carriageways(roads: DataFrame, spacing: float, least: float, most: int) -> DataFrame:
     """(id, k, partner, gap): for each sample of a road the nearest other road of its ``kind`` that runs the other way, least to most away; ties go to the smaller id."""
     # segments meet first, once for all of their samples; a sample is made for a segment that may be its partner
-    own = _headed(arc_length(roads).where("len > 0")).select("id", "kind", "x", "y", "x2", "y2", "hx", "hy", "at", "len")
-    pairs = box_join(boxed_segments(own), boxed_segments(own.drop("at", "len")), max(1, most), most, ("kind", "kind"))
-    pairs = pairs.where((F.col("a_id") != F.col("b_id")) & (_dot() < -PARALLEL))
-    first, last = _places(F.col("a_at"), F.col("a_len"), spacing)
-    each = pairs.where(first <= last).withColumn("a_k", F.explode(F.sequence(first, last)))
-    t = (F.col("a_k") * spacing - F.col("a_at")) / F.col("a_len")
-    x, y = (F.col(f"a_{c}") + t * (F.col(f"a_{c}2") - F.col(f"a_{c}")) for c in ("x", "y"))
-    each = each.withColumn("gap", F.sqrt(point_segment_distance2(x, y, *[F.col(f"b_{c}") for c in ("x", "y", "x2", "y2")])))
-    found = each.where((F.col("gap") >= least) & (F.col("gap") <= most))
-    best = found.groupBy(F.col("a_id").alias("id"), F.col("a_k").alias("k")).agg(F.min(F.struct("gap", F.col("b_id").alias("partner"))).alias("m"))
+    line = ["id", "kind", "x", "y", "x2", "y2"]
+    pairs = _met(roads.select(*line, "seq"), roads.select(line), spacing, most, ("kind", "kind"))
+    pairs = pairs.where((F.col("a_id") != F.col("b_id")) & (_dot() < -PARALLEL)).drop("a_kind", "b_kind", "b_hx", "b_hy", "a_n")
+    each = _sampled(pairs, spacing, most)
+    best = each.where(F.col("gap") >= least).groupBy(F.col("a_id").alias("id"), F.col("a_k").alias("k")).agg(F.min(F.struct("gap", F.col("b_id").alias("partner"))).alias("m"))
     return best.select("id", "k", "m.partner", "m.gap")
 
 
@@ -72,8 +83,9 @@ def match_sidewalks(roads: DataFrame, footways: DataFrame, spacing: float, reach
     half of the road's samples. The offset is the upper median of the footways' outer edges from the road's edge.
     Side 1 is left. No road may be wider than ``widest``.
     """
-    near = _near(samples(roads, spacing), footways, reach + (widest + 1) // 2)
-    near = near.where((F.col("gap") - F.col("a_width") / 2.0 <= reach) & (F.abs(_dot()) >= PARALLEL))
+    far = reach + (widest + 1) // 2
+    near = _sampled(written(_met(roads, footways, spacing, far).where(F.abs(_dot()) >= PARALLEL).drop("b_seq", "b_hx", "b_hy")), spacing, far)
+    near = near.where(F.col("gap") - F.col("a_width") / 2.0 <= reach)
     dx, dy = F.col("b_x2") - F.col("b_x"), F.col("b_y2") - F.col("b_y")
     t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((F.col("a_x") - F.col("b_x")) * dx + (F.col("a_y") - F.col("b_y")) * dy) / (dx * dx + dy * dy).cast("double")))
     ox, oy = F.col("b_x") + t * dx - F.col("a_x"), F.col("b_y") + t * dy - F.col("a_y")
@@ -92,8 +104,8 @@ def absorbed_footways(footways: DataFrame, roads: DataFrame, pairs: DataFrame, s
 
     The owner is the road that holds most of the samples, ties to the smaller id. No band may exceed ``widest``.
     """
-    near = _near(samples(footways, spacing), roads, widest).where(F.col("gap") <= F.col("b_band"))
-    own = near.join(pairs, (F.col("a_id") == F.col("footway")) & (F.col("b_id") == F.col("road")))
+    met = _met(footways, roads, spacing, widest).drop("b_seq", "b_hx", "b_hy").join(pairs, (F.col("a_id") == F.col("footway")) & (F.col("b_id") == F.col("road")))
+    own = _sampled(met, spacing, widest).where(F.col("gap") <= F.col("b_band"))
     held = written(own.select(F.col("a_id").alias("id"), F.col("a_k").alias("k"), F.col("a_n").alias("n"), "road").distinct())
     whole = held.groupBy("id", "n").agg(F.count_distinct("k").alias("_k")).where("_k = n").select(F.col("id").alias("_id"))
     most = held.groupBy("id", "road").agg((-F.count(F.lit(1))).alias("less")).groupBy("id").agg(F.min(F.struct("less", "road")).alias("m"))

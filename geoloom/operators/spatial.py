@@ -38,6 +38,21 @@ def cells(df: DataFrame, cell: int | Column, x0: Column, y0: Column, x1: Column,
     return df.withColumn(f"{prefix}cx", F.explode(cx)).withColumn(f"{prefix}cy", F.explode(cy))
 
 
+def _numbered_cells(df: DataFrame, cell: int | Column, x0: Column, y0: Column, x1: Column, y1: Column, prefix: str) -> DataFrame:
+    """As ``cells``, with the cells' numbers nx and ny within the box, from 0."""
+    for c, low, high in (("x", x0, x1), ("y", y0, y1)):
+        df = df.select("*", F.posexplode(F.sequence(F.floor(low / cell), F.floor(high / cell))).alias(f"{prefix}n{c}", f"{prefix}c{c}"))
+    return df
+
+
+def once(df: DataFrame, **values: Column) -> DataFrame:
+    """df with columns that are worked out once a row, one after the other. A filter on them stays above; pushed down, it would write their expressions out again
+    at each use, and a generated method of over 8,000 bytes is never compiled by the JVM."""
+    for name, value in values.items():
+        df = df.withColumn(name, F.explode(F.array(value)))
+    return df
+
+
 def occupancy(records: DataFrame, cell: int, margin: int = 0) -> DataFrame:
     """(…, cx, cy): records (x0, y0, x1, y1) by the grid cells they touch with a margin."""
     m = F.lit(margin)
@@ -52,15 +67,16 @@ def box_join(a: DataFrame, b: DataFrame, cell: int, reach: int = 0, same: tuple[
     left = a.select(*[F.col(c).alias(f"a_{c}") for c in a.columns])
     right = b.select(*[F.col(c).alias(f"b_{c}") for c in b.columns])
     r = F.lit(reach)
-    left = cells(left, cell, F.col("a_x0") - r, F.col("a_y0") - r, F.col("a_x1") + r, F.col("a_y1") + r, "l")
-    right = cells(right, cell, F.col("b_x0"), F.col("b_y0"), F.col("b_x1"), F.col("b_y1"), "r")
+    left = _numbered_cells(left, cell, F.col("a_x0") - r, F.col("a_y0") - r, F.col("a_x1") + r, F.col("a_y1") + r, "l")
+    right = _numbered_cells(right, cell, F.col("b_x0"), F.col("b_y0"), F.col("b_x1"), F.col("b_y1"), "r")
     key = (F.col("lcx") == F.col("rcx")) & (F.col("lcy") == F.col("rcy"))
     if same:
         key = key & (F.col(f"a_{same[0]}") == F.col(f"b_{same[1]}"))
     both = left.join(grown(right), key)
-    owner = (F.col("lcx") == F.floor(F.greatest(F.col("a_x0") - r, F.col("b_x0")) / cell)) & (F.col("lcy") == F.floor(F.greatest(F.col("a_y0") - r, F.col("b_y0")) / cell))
+    # the larger lower corner lies in the cell that is the first one of either box
+    owner = ((F.col("lnx") == 0) | (F.col("rnx") == 0)) & ((F.col("lny") == 0) | (F.col("rny") == 0))
     touch = (F.col("a_x0") - r <= F.col("b_x1")) & (F.col("b_x0") - r <= F.col("a_x1")) & (F.col("a_y0") - r <= F.col("b_y1")) & (F.col("b_y0") - r <= F.col("a_y1"))
-    return both.where(owner & touch).drop("lcx", "lcy", "rcx", "rcy")
+    return both.where(owner & touch).drop(*[f"{p}{c}" for p in "lr" for c in ("cx", "cy", "nx", "ny")])
 
 
 def segment_cells(segs: DataFrame, size: Column, prefix: str = "") -> DataFrame:

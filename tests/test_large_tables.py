@@ -119,3 +119,32 @@ def test_inputs_used_again_are_written(spark, capsys, name):
     """Ways are numbered, and crossings found, once and not for each use."""
     text = plan(catalog.QUERIES[name](spark, SF), capsys)
     assert "LAG" not in text.upper() and text.count("lineitem.parquet") < 4 and "signum" not in text.lower()
+
+
+def test_samples_are_made_for_pairs_of_segments(spark, capsys, monkeypatch):
+    """Lines meet segment by segment; the samples' exact distances are no part of the join, whose method was too long to be compiled, and a long line has samples only beside what it meets."""
+    from geoloom.operators import parallels as A
+
+    made = []
+    monkeypatch.setattr(A, "written", lambda df: made.append(df) or written(df))
+    row = "id long, seq long, x long, y long, x2 long, y2 long, width long"
+    roads = spark.createDataFrame([(1, 0, 0, 0, 400, 0, 40), (2, 0, 0, 5000, 100000, 5000, 40)], row)
+    walks = spark.createDataFrame([(7, 0, 10, 30, 260, 30, 16), (8, 0, 50000, 5030, 50250, 5030, 16), (9, 0, 10, 900, 260, 900, 16)], row)
+    sides, pairs = A.match_sidewalks(roads, walks, 50.0, 80, 80)
+    assert {tuple(r) for r in pairs.collect()} == {(1, 7)} and [(r.id, r.side, r.offset) for r in sides.collect()] == [(1, 1, 18.0)]
+    text = plan(made[0], capsys)
+    assert "SortMergeJoin" in text and "a_k" not in text and "SQRT" not in text[: text.index("SortMergeJoin")]
+    each = A._sampled(made[0], 50.0, 121)
+    assert each.where("a_id = 2").count() < 20 and each.where("a_id = 1").count() == 8
+    paired = spark.createDataFrame([(1, 7), (2, 8)], "road long, footway long")
+    held = A.absorbed_footways(walks, roads.withColumn("band", F.lit(40.0)), paired, 50.0, 200)
+    assert {tuple(r) for r in held.collect()} == {(7, 1), (8, 2)}
+
+
+def test_cells_own_pairs_by_their_number(spark):
+    """A pair of boxes comes once, by cells below zero and boxes of many cells too."""
+    rows = [(n, n * 37 % 211 - 100, n * 53 % 199 - 90, n * 7 % 40, n * 11 % 60) for n in range(80)]
+    boxes = spark.createDataFrame([(i, x, y, x + w, y + h) for i, x, y, w, h in rows], "id long, x0 long, y0 long, x1 long, y1 long")
+    want = sorted((i, j) for i, x, y, w, h in rows for j, p, q, v, u in rows if x - 9 <= p + v and p - 9 <= x + w and y - 9 <= q + u and q - 9 <= y + h)
+    for cell in (5, 16, 300):
+        assert sorted(tuple(r) for r in P.box_join(boxes, boxes, cell, 9).select("a_id", "b_id").collect()) == want
