@@ -28,41 +28,46 @@ def _places(at: Column, size: Column, spacing: float) -> tuple[Column, Column]:
     return F.ceil(at / spacing), F.ceil((at + size) / spacing) - 1
 
 
-def samples(segs: DataFrame, spacing: float) -> DataFrame:
-    """Points (id, k, x, y, hx, hy, n, …) at k times the spacing along each line, with its heading there and how many it has; lines without length have none."""
-    own = _headed(arc_length(segs).where("len > 0"))
-    first, last = _places(F.col("at"), F.col("len"), spacing)
-    each = own.where(first <= last).withColumns({"n": F.ceil(F.col("total") / spacing), "k": F.explode(F.sequence(first, last))})
-    t = (F.col("k") * spacing - F.col("at")) / F.col("len")
-    place = {c: F.col(c) + t * (F.col(f"{c}2") - F.col(c)) for c in ("x", "y")}
-    return each.withColumns(place).drop("seq", "x2", "y2", "len", "at", "total", "fraction")
-
-
 def _dot() -> Column:
     return F.col("a_hx") * F.col("b_hx") + F.col("a_hy") * F.col("b_hy")
 
 
-def _met(lines: DataFrame, segs: DataFrame, spacing: float, reach: int, same: tuple[str, str] | None = None) -> DataFrame:
-    """Segments a of lines, with the samples first to last of ``n`` on them, and the segments b within reach of them along both axes."""
+def with_places(lines: DataFrame, spacing: float) -> DataFrame:
+    """Segments (…, hx, hy, len, at, total, n, first, last) with the samples first to last of the line's ``n`` on them; those without a sample go."""
     own = _headed(arc_length(lines).where("len > 0"))
     first, last = _places(F.col("at"), F.col("len"), spacing)
-    own = own.withColumns({"n": F.ceil(F.col("total") / spacing), "first": first, "last": last}).where("first <= last").drop("seq", "total", "fraction")
-    pairs = box_join(boxed_segments(own), boxed_segments(_headed(segs)), max(1, reach), reach, same)
-    return pairs.drop(*[f"{p}_{c}{n}" for p in "ab" for c in "xy" for n in "01"])
+    return own.withColumns({"n": F.ceil(F.col("total") / spacing), "first": first, "last": last}).where("first <= last").drop("seq", "fraction")
 
 
-def _sampled(pairs: DataFrame, spacing: float, reach: int) -> DataFrame:
-    """Samples a (a_k, a_x, a_y) of pairs of segments (as ``_met`` gives them) with ``gap``, how far segment b is from them, up to reach."""
-    # a sample within reach of a point of b is within reach of its place along a, too; one unit more is for rounding
-    along = [(F.col(f"b_x{e}") - F.col("a_x")) * F.col("a_hx") + (F.col(f"b_y{e}") - F.col("a_y")) * F.col("a_hy") + F.col("a_at") for e in ("", "2")]
-    low, high = F.ceil((F.least(*along) - (reach + 1)) / spacing), F.floor((F.greatest(*along) + (reach + 1)) / spacing)
+def beside(pairs: DataFrame, along: list[Column], spacing: float, reach: int = 0) -> DataFrame:
+    """Pairs (a_ columns of ``with_places``) once for each sample a_k on a, at _p (x, y), whose place along the line is within reach of the places from the least to the greatest of ``along``."""
+    # one unit more is for rounding
+    low, high = F.ceil((F.least(*along) + F.col("a_at") - (reach + 1)) / spacing), F.floor((F.greatest(*along) + F.col("a_at") + (reach + 1)) / spacing)
     each = once(pairs, _k=F.struct(F.greatest("a_first", low).alias("low"), F.least("a_last", high).alias("high"))).where("_k.low <= _k.high")
     each = each.withColumn("a_k", F.explode(F.sequence("_k.low", "_k.high")))
     t = (F.col("a_k") * spacing - F.col("a_at")) / F.col("a_len")
-    place = F.struct(*[(F.col(f"a_{c}") + t * (F.col(f"a_{c}2") - F.col(f"a_{c}"))).alias(c) for c in "xy"])
+    return once(each, _p=F.struct(*[(F.col(f"a_{c}") + t * (F.col(f"a_{c}2") - F.col(f"a_{c}"))).alias(c) for c in "xy"])).drop("_k")
+
+
+def ahead(x: Column, y: Column) -> Column:
+    """How far a place lies along segment a from its start."""
+    return (x - F.col("a_x")) * F.col("a_hx") + (y - F.col("a_y")) * F.col("a_hy")
+
+
+def _met(lines: DataFrame, segs: DataFrame, spacing: float, reach: int, same: tuple[str, str] | None = None) -> DataFrame:
+    """Segments a of lines, with the samples first to last of ``n`` on them, and the segments b within reach of them along both axes."""
+    own = with_places(lines, spacing)
+    pairs = box_join(boxed_segments(own), boxed_segments(_headed(segs)), max(1, 2 * reach), reach, same)
+    return pairs.drop("a_total", *[f"{p}_{c}{n}" for p in "ab" for c in "xy" for n in "01"])
+
+
+def _sampled(pairs: DataFrame, spacing: float, reach: int) -> DataFrame:
+    """Samples a (a_k, a_x, a_y) of pairs of segments (as ``_met`` gives them) with ``gap``, how far segment b is from them, up to reach."""
+    # a sample within reach of a point of b is within reach of its place along a, too
+    each = beside(pairs, [ahead(F.col(f"b_x{e}"), F.col(f"b_y{e}")) for e in ("", "2")], spacing, reach)
     gap = F.sqrt(point_segment_distance2(F.col("_p.x"), F.col("_p.y"), *[F.col(f"b_{c}") for c in ("x", "y", "x2", "y2")]))
-    each = once(each, _p=place, gap=gap).where(F.col("gap") <= reach)
-    return each.withColumns({"a_x": F.col("_p.x"), "a_y": F.col("_p.y")}).drop("_k", "_p", "a_x2", "a_y2", "a_at", "a_len", "a_first", "a_last")
+    each = once(each, gap=gap).where(F.col("gap") <= reach)
+    return each.withColumns({"a_x": F.col("_p.x"), "a_y": F.col("_p.y")}).drop("_p", "a_x2", "a_y2", "a_at", "a_len", "a_first", "a_last")
 
 
 def match_carriageways(roads: DataFrame, spacing: float, least: float, most: int) -> DataFrame:
@@ -71,7 +76,8 @@ def match_carriageways(roads: DataFrame, spacing: float, least: float, most: int
     line = ["id", "kind", "x", "y", "x2", "y2"]
     pairs = _met(roads.select(*line, "seq"), roads.select(line), spacing, most, ("kind", "kind"))
     pairs = pairs.where((F.col("a_id") != F.col("b_id")) & (_dot() < -PARALLEL)).drop("a_kind", "b_kind", "b_hx", "b_hy", "a_n")
-    each = _sampled(pairs, spacing, most)
+    # dealt by road before samples are made, so these need no shuffle of their own
+    each = _sampled(pairs.repartition("a_id"), spacing, most)
     best = each.where(F.col("gap") >= least).groupBy(F.col("a_id").alias("id"), F.col("a_k").alias("k")).agg(F.min(F.struct("gap", F.col("b_id").alias("partner"))).alias("m"))
     return best.select("id", "k", "m.partner", "m.gap")
 

@@ -144,11 +144,14 @@ def crossings(segs: DataFrame, cell: int) -> DataFrame:
 ACROSS = 8
 
 
+def _level(cell: int) -> Column:
+    extent = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")).cast("double")
+    return F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(extent, F.lit(1.0)) / (ACROSS * cell))).cast("int"))
+
+
 def _levels(boxes: DataFrame, cell: int) -> tuple[DataFrame, list[int]]:
     """Boxes with the level of their cells (cell * 2**level), and the levels there are: one for each doubling of an extent."""
-    extent = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")).cast("double")
-    level = F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(extent, F.lit(1.0)) / (ACROSS * cell))).cast("int"))
-    found = boxes.withColumn("level", level)
+    found = boxes.withColumn("level", _level(cell))
     return found, sorted(r["level"] for r in found.select("level").distinct().collect())
 
 
@@ -181,6 +184,29 @@ def _inner_cells(held: DataFrame, edges: DataFrame, cell: int) -> DataFrame:
     return known.where("_p IS NOT NULL OR _q IS NOT NULL").select("polygon", "level", "cx", "cy", "x0", "y0", "x1", "y1", F.col("_q").isNotNull().alias("inner"))
 
 
+def _named_edges(edges: DataFrame, *tie: str) -> DataFrame:
+    return edges.select(F.col("id").alias("polygon"), *tie, *[F.col(c).alias(f"e_{c}") for c in ("x", "y", "x2", "y2")])
+
+
+def _boxes(e: DataFrame, *tie: str) -> DataFrame:
+    low, high = (lambda c: F.min(F.least(f"e_{c}", f"e_{c}2"))), (lambda c: F.max(F.greatest(f"e_{c}", f"e_{c}2")))
+    return e.groupBy("polygon", *tie).agg(low("x").alias("x0"), low("y").alias("y0"), high("x").alias("x1"), high("y").alias("y1"))
+
+
+def polygon_boxes(edges: DataFrame) -> DataFrame:
+    """(id, x0, y0, x1, y1) of polygons given as ring edges (id, x, y, x2, y2)."""
+    return _boxes(_named_edges(edges)).withColumnRenamed("polygon", "id")
+
+
+def in_named_polygons(points: DataFrame, edges: DataFrame, cell: int) -> DataFrame:
+    """(id, polygon, on): points (id, polygon, x, y) that lie in the polygon they name, or ``on`` an edge of it."""
+    e = _named_edges(edges)
+    level = _boxes(e).select(F.col("polygon").alias("_b"), _level(cell).alias("level"))
+    e = e.join(level, F.col("polygon") == F.col("_b")).drop("_b")
+    found = _parity(points.select("id", "polygon", F.lit(0).alias("level"), "x", "y").join(level.withColumnRenamed("level", "_level"), F.col("polygon") == F.col("_b")).select("id", "polygon", F.col("_level").alias("level"), "x", "y"), e, cell)
+    return found.where(F.col("on") | (F.col("n") % 2 == 1)).select("id", "polygon", "on")
+
+
 def points_in_polygons(points: DataFrame, edges: DataFrame, cell: int, boundary: bool = True, same: str | None = None) -> DataFrame:
     """(id, polygon): points in polygons given as ring edges (id, x, y, x2, y2), holes included as further rings.
 
@@ -191,10 +217,8 @@ def points_in_polygons(points: DataFrame, edges: DataFrame, cell: int, boundary:
     whole, and points in them are answered without edges. With ``same``, a column of both sides, points meet only polygons of equal value.
     """
     tie = [same] if same else []
-    e = edges.select(F.col("id").alias("polygon"), *tie, *[F.col(c).alias(f"e_{c}") for c in ("x", "y", "x2", "y2")])
-    low, high = (lambda c: F.min(F.least(f"e_{c}", f"e_{c}2"))), (lambda c: F.max(F.greatest(f"e_{c}", f"e_{c}2")))
-    boxes = e.groupBy("polygon", *tie).agg(low("x").alias("x0"), low("y").alias("y0"), high("x").alias("x1"), high("y").alias("y1"))
-    boxes, levels = _levels(boxes, cell)
+    e = _named_edges(edges, *tie)
+    boxes, levels = _levels(_boxes(e, *tie), cell)
     size = F.lit(cell) * F.pow(F.lit(2), F.col("level"))
     held = cells(boxes, size, F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"))
     if levels and levels[-1] > 0:

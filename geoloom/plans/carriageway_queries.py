@@ -43,7 +43,8 @@ def _pieces(spark: SparkSession, d: str) -> DataFrame:
     return each.select((F.col("k") * 20 + F.col("p.piece")).alias("id"), "p.piece", (F.col("k") * 20 + F.col("p.a")).alias("a"), (F.col("k") * 20 + F.col("p.b")).alias("b"), F.expr(KINDS).alias("kind"), F.lit(0).cast("bigint").alias("seq"), *at)
 
 
-def ladders(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def ladders(spark: SparkSession, d: str) -> tuple:
+    """The arguments of ``merge_carriageways``."""
     each = _pieces(spark, d)
     line = ["id", "seq", "x", "y", "x2", "y2"]
     size = F.sqrt(((F.col("x2") - F.col("x")) * (F.col("x2") - F.col("x")) + (F.col("y2") - F.col("y")) * (F.col("y2") - F.col("y"))).cast("double"))
@@ -51,7 +52,7 @@ def ladders(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     corner = F.array(*[F.struct(F.lit(n).cast("bigint").alias("seq"), (F.col("x") + x).alias("x"), (F.col("y") + y).alias("y"), (F.col("x") + x2).alias("x2"), (F.col("y") + y2).alias("y2")) for n, (x, y, x2, y2) in enumerate([(130, 4, 170, 4), (170, 4, 170, 8), (170, 8, 130, 8), (130, 8, 130, 4)])])
     houses = _base(spark, d).where("k % 8 = 3").select(F.col("k").alias("id"), F.explode(corner).alias("e")).select("id", "e.*")
     anchors = _base(spark, d).where("k % 8 = 5").select((F.col("x") + 306).alias("x"), (F.col("y") + 6).alias("y"))
-    return C.merge_carriageways(oneway.select("id", "a", "b", "kind"), oneway.select(line), each.select("id", "a", "b", size.alias("length")), each.select(line), houses, anchors, ["motorway", "trunk"])
+    return (oneway.select("id", "a", "b", "kind"), oneway.select(line), each.select("id", "a", "b", size.alias("length")), each.select(line), houses, anchors, ["motorway", "trunk"])
 
 
 _CELLS = "SELECT CAST(c_custkey AS BIGINT) * 20 AS a, CAST(c_custkey AS BIGINT) * 20 + 3 AS b, n, k0, 3 - k0 AS j0, k0 + 1 AS k1, 2 - k0 AS j1, 100.0::DOUBLE AS length, reason FROM customer JOIN (SELECT m, n, n - 1 AS k0, CAST(CASE WHEN m = 3 AND n = 2 THEN 'obstacle' WHEN m = 4 AND n = 2 THEN 'road' WHEN m = 5 AND n = 3 THEN 'structure' END AS VARCHAR) AS reason FROM range(8) r(m), range(1, 4) q(n) WHERE m <> 6 UNION ALL SELECT 6, 1, 2, NULL) v ON c_custkey % 8 = m"
@@ -62,12 +63,12 @@ _MERGED += [(m, i, role, run) for m in (3, 4) for i, role, run in ((0, "a", 1),
 
 @query("gra17_ladder_cells", _CELLS)
 def _(spark, d):
-    return ladders(spark, d)[0].withColumn("length", F.round("length", 6))
+    return C.carriageway_cells(*ladders(spark, d)).withColumn("length", F.round("length", 6))
 
 
 @query("gra17_merged_roads", f"SELECT CAST(c_custkey AS BIGINT) * 20 + i AS id, role, CAST(c_custkey AS BIGINT) * 20 AS a, CAST(c_custkey AS BIGINT) * 20 + 3 AS b, CAST(run AS BIGINT) AS run FROM customer JOIN (VALUES {', '.join(map(str, _MERGED))}) v(m, i, role, run) ON c_custkey % 8 = m")
 def _(spark, d):
-    return ladders(spark, d)[1]
+    return C.merge_carriageways(*ladders(spark, d))[1]
 
 
 # The serial program: a step a rung, with the weights and predecessors so far in lists.
