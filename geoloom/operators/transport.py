@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,27 +26,27 @@ def graph_faults(vertices: DataFrame, refs: DataFrame, connectors: DataFrame, ru
     connector at 0 or at 1), ``ambiguous`` (a connector twice, or two at one place), ``unknown`` and ``repeated`` connectors, ``off the line`` (farther than the
     tolerance from where the reference puts it), and for each layer of rules `` gap``, `` overlap`` or `` end`` after its name.
     """
-    lines = vertices.groupBy("id").agg(F.max("at").alias("end"))
-    short = lines.where("end IS NULL").select("id", F.lit("short").alias("fault"))
-    uses = refs.groupBy(F.col("id").alias("_u")).agg(F.min("at").alias("lo"), F.max("at").alias("hi"), F.count(F.lit(1)).alias("n"), F.count_distinct("at").alias("places"), F.count_distinct("connector").alias("names"))
-    both = lines.select("id").join(uses, F.col("id") == F.col("_u"), "left")
-    ends = both.where("lo IS NULL OR lo <> 0 OR hi <> 1").select("id", F.lit("ends").alias("fault"))
-    ambiguous = both.where("n <> places OR n <> names").select("id", F.lit("ambiguous").alias("fault"))
     c = connectors.groupBy(F.col("connector").alias("_c")).agg(F.min("x").alias("cx"), F.min("y").alias("cy"), F.count(F.lit(1)).alias("n"))
-    known = refs.join(c, F.col("connector") == F.col("_c"), "left")
-    odd = known.withColumn("fault", F.when(F.col("n").isNull(), "unknown").when(F.col("n") > 1, "repeated")).where("fault IS NOT NULL").select("id", "fault")
-    # each reference and the vertices around it, found by one sort
-    marks = vertices.where("at IS NOT NULL").select("id", "at", "x", "y", F.lit(None).cast("double").alias("cx"), F.lit(None).cast("double").alias("cy"), F.lit(0).alias("kind"))
-    asks = known.where("n = 1").select("id", "at", F.lit(None).cast(vertices.schema["x"].dataType).alias("x"), F.lit(None).cast(vertices.schema["y"].dataType).alias("y"), F.col("cx").cast("double"), F.col("cy").cast("double"), F.lit(1).alias("kind"))
+    known = refs.join(c, F.col("connector") == F.col("_c"), "left").withColumn("twice", F.col("connector").isNull() | (F.count(F.lit(1)).over(Window.partitionBy("connector", "id")) > 1))
+    # references and vertices are dealt by segment once: each reference and the vertices around it are found by one sort, and all else is told from the same rows
+    none = {n: F.lit(None).cast(t).alias(n) for n, t in (("cx", "double"), ("cy", "double"), ("n", "long"), ("twice", "boolean"), *[(c, vertices.schema[c].dataType) for c in "xy"])}
+    marks = vertices.select("id", "at", "x", "y", none["cx"], none["cy"], none["n"], none["twice"], F.lit(0).alias("kind"))
+    asks = known.select("id", "at", none["x"], none["y"], F.col("cx").cast("double").alias("cx"), F.col("cy").cast("double").alias("cy"), F.coalesce("n", F.lit(0)).alias("n"), "twice", F.lit(1).alias("kind"))
     order = Window.partitionBy("id").orderBy("at", "kind")
-    spot = F.when(F.col("kind") == 0, F.struct("at", "x", "y"))
-    around = marks.unionByName(asks).withColumns({"p": F.last(spot, True).over(order), "q": F.first(spot, True).over(order.rowsBetween(1, Window.unboundedFollowing))}).where("kind = 1")
+    spot, asked = F.when((F.col("kind") == 0) & F.col("at").isNotNull(), F.struct("at", "x", "y")), F.col("kind") == 1
+    same = F.col("at").isNull() | ((F.lag("kind").over(order) == 1) & (F.lag("at").over(order) == F.col("at")))
+    around = marks.unionByName(asks).withColumns({"p": F.last(spot, True).over(order), "q": F.first(spot, True).over(order.rowsBetween(1, Window.unboundedFollowing)), "same": same})
     t = F.coalesce((F.col("at") - F.col("p.at")) / F.nullif(F.col("q.at") - F.col("p.at"), F.lit(0.0)), F.lit(0.0))
     gap = [F.col(f"p.{c}") + t * F.coalesce(F.col(f"q.{c}") - F.col(f"p.{c}"), F.lit(0)) - F.col(f"c{c}") for c in "xy"]
-    off = around.where(gap[0] * gap[0] + gap[1] * gap[1] > tolerance * tolerance).select("id", F.lit("off the line").alias("fault"))
-    keyed = rules.select(F.struct("id", "layer").alias("id"), "lo", "hi")
-    uneven = partition_faults(keyed).select("id.id", F.concat_ws(" ", "id.layer", "fault").alias("fault"))
-    return reduce(DataFrame.union, [short, ends, ambiguous, odd, off, uneven]).distinct()
+    some = lambda what: F.coalesce(F.max(what), F.lit(False))
+    own = around.groupBy("id").agg(
+        some(~asked).alias("line"), F.max(F.when(~asked, F.col("at"))).alias("end"), F.min(F.when(asked, F.col("at"))).alias("lo"), F.max(F.when(asked, F.col("at"))).alias("hi"), some(asked & (F.col("same") | F.col("twice"))).alias("twice"),
+        some(F.col("n") == 0).alias("unknown"), some(F.col("n") > 1).alias("repeated"), some((F.col("n") == 1) & (gap[0] * gap[0] + gap[1] * gap[1] > tolerance * tolerance)).alias("off"),
+    )
+    why = {"short": F.expr("line AND end IS NULL"), "ends": F.expr("line AND (lo IS NULL OR lo <> 0 OR hi <> 1)"), "ambiguous": F.expr("line AND twice"), "unknown": F.col("unknown"), "repeated": F.col("repeated"), "off the line": F.col("off")}
+    found = own.select("id", F.explode(F.array_compact(F.array(*[F.when(w, F.lit(n)) for n, w in why.items()]))).alias("fault"))
+    uneven = partition_faults(rules.select(F.struct("id", "layer").alias("id"), "lo", "hi")).select("id.id", F.concat_ws(" ", "id.layer", "fault").alias("fault"))
+    return found.union(uneven)
 
 
 def transport_graph(vertices: DataFrame, refs: DataFrame, connectors: DataFrame, rules: DataFrame, layers: list[str], tolerance: float) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -56,9 +54,10 @@ def transport_graph(vertices: DataFrame, refs: DataFrame, connectors: DataFrame,
 
     A segment without a fault is cut into roads at its connectors, numbered from 0, and a road into pieces at its vertices and wherever a rule of any layer begins; a piece has one
     value of each layer, null where a segment has no rule of it. All of a segment's marks go by in one sorted sweep, so the layers are not joined with each other.
-    A connector's own coordinates replace those of the line. A null id, reference or rule takes no part.
+    A connector's own coordinates replace those of the line. A null id, reference or rule takes no part. Vertices may bring their fractions ``at`` along.
     """
-    at = written(fractions(vertices.where("id IS NOT NULL")))
+    at = vertices.where("id IS NOT NULL")
+    at = at if "at" in vertices.columns else written(fractions(at))
     refs, rules = refs.where("id IS NOT NULL AND connector IS NOT NULL"), rules.where("id IS NOT NULL AND layer IS NOT NULL")
     faults = written(graph_faults(at, refs, connectors, rules, tolerance))
     bad = faults.select(F.col("id").alias("_bad")).distinct()
@@ -79,8 +78,10 @@ def transport_graph(vertices: DataFrame, refs: DataFrame, connectors: DataFrame,
     spot = {c: F.coalesce(F.col(f"tie.{c}"), F.col(f"_p.p.{c}") + t * (F.col(f"_q.p.{c}") - F.col(f"_p.p.{c}"))) for c in "xy"}
     swept = swept.withColumns(spot)
     ahead = {"hi": F.lead("at").over(order), "x2": F.lead("x").over(order), "y2": F.lead("y").over(order)}
-    pieces = swept.withColumns(ahead).where("hi IS NOT NULL").withColumn("n", F.row_number().over(Window.partitionBy("id", "road").orderBy("at")).cast("bigint"))
-    pieces = written(pieces.select("id", "road", "n", F.col("at").alias("lo"), "hi", "x", "y", "x2", "y2", F.col("_last").alias("_start"), *[F.col(f"{n}.value").alias(n) for n in layers]))
+    # swept once: pieces, and the connectors that end roads, are read from one table
+    numbered = swept.withColumns(ahead).withColumn("n", F.row_number().over(Window.partitionBy("id", "road").orderBy("at")).cast("bigint"))
+    swept = written(numbered.select("id", "road", "n", F.col("at").alias("lo"), "hi", "x", "y", "x2", "y2", "connector", F.col("_last").alias("_start"), *[F.col(f"{n}.value").alias(n) for n in layers]))
+    pieces = swept.where("hi IS NOT NULL").drop("connector")
     ends = swept.where("connector IS NOT NULL").select(F.col("id").alias("_i"), (F.col("road") - 1).alias("_r"), F.col("connector").alias("end"))
     count = pieces.groupBy("id", "road").agg(F.min("_start").alias("start"), F.count(F.lit(1)).alias("pieces"))
     roads = count.join(ends, (F.col("id") == F.col("_i")) & (F.col("road") == F.col("_r"))).select("id", "road", "start", "end", "pieces")

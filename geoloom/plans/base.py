@@ -71,8 +71,9 @@ def box_edges(spark: SparkSession, d: str) -> DataFrame:
 
 
 def way_nodes(spark: SparkSession, d: str) -> DataFrame:
-    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate")
-    return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), F.row_number().over(order).cast("bigint").alias("seq"), F.col("l_partkey").alias("ref"))
+    # named first: what follows by way then needs no other shuffle
+    order = Window.partitionBy("id").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate")
+    return table(spark, d, "lineitem").withColumnRenamed("l_orderkey", "id").select("id", F.row_number().over(order).cast("bigint").alias("seq"), F.col("l_partkey").alias("ref"))
 
 
 def lines(spark: SparkSession, d: str) -> DataFrame:

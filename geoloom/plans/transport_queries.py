@@ -5,7 +5,7 @@ A line's tenth and later vertices share the connector names of the next line's,
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from geoloom.operators import transport as X
@@ -18,18 +18,18 @@ RULES += [(k, "surface", 0.0, 1.0, 1) for k in (0, 3, 5)] + [(k, "surface", lo,
 
 
 def _inputs(spark: SparkSession, d: str) -> tuple[DataFrame, ...]:
-    # numbered and measured once; all that follows reads them
-    at = written(X.fractions(near_lines(spark, d).select("id", "seq", "x", "y")))
-    vertices = at.drop("at")
-    last = at.groupBy(F.col("id").alias("_l")).agg(F.max("seq").alias("last"))
-    tied = written(at.join(last, F.col("id") == F.col("_l")).where("seq = 1 OR seq = last OR seq % 3 = 0").where("at IS NOT NULL"))
+    # numbered and measured once; all that follows reads them, and a line's last vertex is known from the same sort
+    numbered = near_lines(spark, d).withColumn("last", F.max("seq").over(Window.partitionBy("id")))
+    at = written(X.fractions(numbered.select("id", "seq", "x", "y", "last")))
+    vertices = at.drop("last")
+    tied = at.where("seq = 1 OR seq = last OR seq % 3 = 0").where("at IS NOT NULL")
     name = F.col("id").cast("bigint") * 10 + F.col("seq")
     refs = tied.select("id", name.alias("connector"), "at")
     # one connector in 400 is missing, one in 300 lies beside the line
     shift = F.when(name % 300 == 0, 7).otherwise(0)
     connectors = tied.where(name % 400 != 7).select(name.alias("connector"), (F.col("x") + shift).alias("x"), (F.col("y") - shift).alias("y"))
     rule = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(n).alias("layer"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi"), F.lit(v).cast("bigint").alias("value")) for k, n, lo, hi, v in RULES])
-    rules = last.select(F.col("_l").alias("id"), F.explode(rule).alias("r")).where("id % 7 = r.k").select("id", "r.layer", "r.lo", "r.hi", "r.value")
+    rules = at.where("seq = 1").select("id", F.explode(rule).alias("r")).where("id % 7 = r.k").select("id", "r.layer", "r.lo", "r.hi", "r.value")
     return vertices, refs, connectors, rules
 
 

@@ -66,3 +66,27 @@ def test_structures(spark):
     # way 1 runs from 150 to 450 and crosses 2 at 300; 3 from 450 to 750 crosses 4 at 600; 5 crosses none
     assert got == {0: "estimated", 1: "separation", 2: "estimated", 3: "separation", 4: "estimated", 5: "estimated", 20: "level", 30: "branched", 40: "shape"}
     assert {r.way for r in kept.collect()} == {0, 2, 4, 5}
+
+
+def test_segments_are_dealt_once_for_their_faults(spark, capsys, monkeypatch):
+    """Faults of vertices and references need one shuffle by segment, lines of ways one from their table on, and roads read what was swept; odd references keep their faults."""
+    from geoloom.operators import graph as GR
+    from geoloom.plans import transport_queries as Q
+
+    made = []
+    monkeypatch.setattr(X, "written", lambda df: made.append(df) or GR.written(df))
+    monkeypatch.setattr(Q, "written", lambda df: made.append(df) or GR.written(df))
+
+    def shuffles(df):
+        capsys.readouterr()
+        df.explain()
+        return capsys.readouterr().out.count("Exchange hashpartitioning")
+
+    roads = Q._graph(spark, "/root/testdata/sf0.001")[1]
+    assert len(made) == 3 and shuffles(made[0]) == 1 and shuffles(made[1]) <= 4 and shuffles(roads) <= 3
+    vertices = spark.createDataFrame([(1, 0, 0, 0, 0.0), (1, 1, 9, 0, 1.0), (2, 0, 4, 4, None)], "id long, seq long, x long, y long, at double")
+    refs = spark.createDataFrame([(1, 5, 0.0), (1, 6, 1.0), (1, 6, None), (3, 7, 0.5), (3, 8, 0.5)], "id long, connector long, at double")
+    connectors = spark.createDataFrame([(5, 0, 0), (6, 9, 0), (8, 1, 1), (8, 2, 2)], "connector long, x long, y long")
+    rules = spark.createDataFrame([], "id long, layer string, lo double, hi double, value long")
+    faults = X.transport_graph(vertices, refs, connectors, rules, [], 0.001)[2]
+    assert sorted(tuple(r) for r in faults.collect()) == [(1, "ambiguous"), (2, "ends"), (2, "short"), (3, "repeated"), (3, "unknown")]
