@@ -76,8 +76,9 @@ def match_carriageways(roads: DataFrame, spacing: float, least: float, most: int
     line = ["id", "kind", "x", "y", "x2", "y2"]
     pairs = _met(roads.select(*line, "seq"), roads.select(line), spacing, most, ("kind", "kind"))
     pairs = pairs.where((F.col("a_id") != F.col("b_id")) & (_dot() < -PARALLEL)).drop("a_kind", "b_kind", "b_hx", "b_hy", "a_n")
-    # dealt by road before samples are made, so these need no shuffle of their own
-    each = _sampled(pairs.repartition("a_id"), spacing, most)
+    # dealt by road before samples are made, so these need no shuffle of their own; in a fixed number of parts, as adaptive execution would pack them by the bytes of pairs
+    parts = int(roads.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    each = _sampled(pairs.repartition(parts, "a_id"), spacing, most)
     best = each.where(F.col("gap") >= least).groupBy(F.col("a_id").alias("id"), F.col("a_k").alias("k")).agg(F.min(F.struct("gap", F.col("b_id").alias("partner"))).alias("m"))
     return best.select("id", "k", "m.partner", "m.gap")
 

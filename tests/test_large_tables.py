@@ -148,3 +148,13 @@ def test_cells_own_pairs_by_their_number(spark):
     want = sorted((i, j) for i, x, y, w, h in rows for j, p, q, v, u in rows if x - 9 <= p + v and p - 9 <= x + w and y - 9 <= q + u and q - 9 <= y + h)
     for cell in (5, 16, 300):
         assert sorted(tuple(r) for r in P.box_join(boxes, boxes, cell, 9).select("a_id", "b_id").collect()) == want
+
+
+def test_matched_samples_are_not_packed(spark, capsys):
+    """Samples are many times the bytes of the pairs that they are made for, so adaptive execution may not pack these; and they are grouped without another shuffle."""
+    from geoloom.operators.parallels import match_carriageways
+
+    segs = spark.createDataFrame([(1, 0, 0, 0, 400, 0, 0), (2, 0, 400, 100, 0, 100, 0)], "id long, seq long, x long, y long, x2 long, y2 long, kind long")
+    found = match_carriageways(segs, 50.0, 50.0, 700)
+    text = plan(found, capsys)
+    assert found.count() == 16 and text.count("REPARTITION_BY_NUM") == 1 and "Exchange" not in text[: text.index("Generate")]
